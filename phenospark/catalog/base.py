@@ -88,8 +88,8 @@ class Tables:
                 F.concat(F.lit("cfg"), (F.col("c_custkey") % 25).cast("string")).alias("config"),
             )
             .agg(
-                F.round(F.avg("c_acctbal"), 4).alias("pa"),
-                F.round(F.avg(F.abs("c_acctbal")) / 100, 4).alias("pc"),
+                F.round(F.avg("c_acctbal"), 9).alias("pa"),
+                F.round(F.avg(F.abs("c_acctbal")) / 97, 9).alias("pc"),
                 F.count("*").alias("n"),
             )
             .withColumn("modality", F.when(F.col("codec").isin("codec0", "codec1"), F.lit("orf")))
@@ -179,7 +179,7 @@ CTES = {
     "runs": """runs AS (
         SELECT *, CASE WHEN codec IN ('codec0', 'codec1') THEN 'orf' END AS modality FROM (
         SELECT c_mktsegment AS family, 'codec' || (c_nationkey % 4) AS codec, 'cfg' || (c_custkey % 25) AS config,
-               round(avg(c_acctbal), 4) AS pa, round(avg(abs(c_acctbal)) / 100, 4) AS pc, count(*) AS n
+               round(avg(c_acctbal), 9) AS pa, round(avg(abs(c_acctbal)) / 97, 9) AS pc, count(*) AS n
         FROM customer GROUP BY ALL))""",
     "annotations": """annotations AS (
         SELECT l_partkey AS compound, 'T' || ((l_partkey * 7 + l_linenumber) % 500) AS target,
