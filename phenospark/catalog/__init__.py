@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from phenospark.catalog.base import ORACLES, QUERIES
-from phenospark.catalog import q_aggregates, q_features, q_joins, q_projections, q_windows
+from phenospark.catalog import (q_aggregates, q_features, q_functions, q_joins, q_projections, q_sources,
+                                q_windows)
 
 __all__ = ["ORACLES", "QUERIES"]

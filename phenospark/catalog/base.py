@@ -205,7 +205,20 @@ def with_ctes(sql: str) -> str:
     """Replace ``{name}`` by the fixture's CTE text."""
     for name, text in CTES.items():
         sql = sql.replace("{" + name + "}", text)
-    return sql
+    return positive_zero(sql)
+
+
+def positive_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` so that the oracle never returns negative zero, and always a double."""
+    out, i = [], 0
+    while (at := sql.find("round(", i)) >= 0:
+        depth, end = 1, at + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += [sql[i:at], "(round(", positive_zero(sql[at + len("round("):end - 1]), ") + 0.0::DOUBLE)"]
+        i = end
+    return "".join(out) + sql[i:]
 
 
 def query(name: str, sql: str | None = None):

@@ -21,11 +21,11 @@ def rounded(df, cols, digits=6):
 
 
 @query("agg_01_aggregate_wells_median", """WITH {profiles}
-  SELECT plate, well, round(median(f0), 6) AS f0, round(median(f1), 6) AS f1, round(median(f2), 6) AS f2,
-    round(median(f3), 6) AS f3, min_by(compound, row_id) AS compound FROM profiles GROUP BY plate, well""")
+  SELECT plate, well, round(median(f0), 8) AS f0, round(median(f1), 8) AS f1, round(median(f2), 8) AS f2,
+    round(median(f3), 8) AS f3, min_by(compound, row_id) AS compound FROM profiles GROUP BY plate, well""")
 def _(t):
     out = agg.aggregate_profiles(frame(t), ["plate", "well"], "median")
-    return rounded(out.wide().select("plate", "well", *FEATS, "compound"), FEATS)
+    return rounded(out.wide().select("plate", "well", *FEATS, "compound"), FEATS, 8)
 
 
 @query("agg_01_aggregate_wells_mean", """WITH {profiles}
@@ -89,12 +89,12 @@ def _(t):
 
 
 @query("agg_09_consensus", """WITH {profiles}, p AS (SELECT *, CASE WHEN compound % 50 <> 0 THEN compound END AS cmp FROM profiles)
-  SELECT cmp, grp, round(median(f0), 6) AS f0, round(median(f1), 6) AS f1, round(median(f2), 6) AS f2, round(median(f3), 6) AS f3
+  SELECT cmp, grp, round(median(f0), 8) AS f0, round(median(f1), 8) AS f1, round(median(f2), 8) AS f2, round(median(f3), 8) AS f3
   FROM p WHERE cmp IS NOT NULL GROUP BY cmp, grp""")
 def _(t):
     df = t.profiles.withColumn("cmp", F.when(F.col("compound") % 50 != 0, F.col("compound")))
     out = agg.aggregate_profiles(ProfileFrame.from_wide(df, FEATS), ["cmp", "grp"], "median", drop_null_keys=True)
-    return rounded(out.wide().select("cmp", "grp", *FEATS), FEATS)
+    return rounded(out.wide().select("cmp", "grp", *FEATS), FEATS, 8)
 
 
 @query("agg_10_sorted_unique_strings", """WITH {annotations}

@@ -159,24 +159,24 @@ def _(t):
 
 # ---- normalization -----------------------------------------------------------------------------------
 
-def scaled(stat_center, stat_scale, table="profiles", where="negcon", batch="plate"):
+def scaled(stat_center, stat_scale, table="profiles", where="negcon", batch="plate", digits=5):
     """SQL of (x - centre) / scale for each feature, with statistics from the rows under a condition."""
     stats = ", ".join(f"{stat_center.format(c=c)} AS c_{c}, {stat_scale.format(c=c)} AS s_{c}" for c in FEATS)
-    cols = ", ".join(f"round((p.{c} - s.c_{c}) / (s.s_{c} + 1e-18), 5) AS {c}" for c in FEATS)
+    cols = ", ".join(f"round((p.{c} - s.c_{c}) / (s.s_{c} + 1e-18), {digits}) AS {c}" for c in FEATS)
     return (f"s AS (SELECT {batch}, {stats} FROM {table} WHERE {where} GROUP BY {batch}) "
             f"SELECT p.row_id, {cols} FROM {table} p JOIN s USING ({batch})")
 
 
-@query("nrm_01_robust_mad", "WITH {profiles}, " + scaled("median({c})", "mad({c})"))
+@query("nrm_01_robust_mad", "WITH {profiles}, " + scaled("median({c})", "mad({c})", digits=9))
 def _(t):
-    return out_wide(nm.robust_mad(frame(t), ["plate"], F.col("negcon")))
+    return out_wide(nm.robust_mad(frame(t), ["plate"], F.col("negcon")), 9)
 
 
 @query("nrm_01_robust_mad_global_scaled", """WITH {profiles}, s AS (SELECT median(f0) AS c0, mad(f0) / 1.4826 AS m0, median(f1) AS c1, mad(f1) / 1.4826 AS m1,
    median(f2) AS c2, mad(f2) / 1.4826 AS m2, median(f3) AS c3, mad(f3) / 1.4826 AS m3 FROM profiles)
-  SELECT row_id, round((f0 - c0) / m0, 5) AS f0, round((f1 - c1) / m1, 5) AS f1, round((f2 - c2) / m2, 5) AS f2, round((f3 - c3) / m3, 5) AS f3 FROM profiles, s""")
+  SELECT row_id, round((f0 - c0) / m0, 9) AS f0, round((f1 - c1) / m1, 9) AS f1, round((f2 - c2) / m2, 9) AS f2, round((f3 - c3) / m3, 9) AS f3 FROM profiles, s""")
 def _(t):
-    return out_wide(nm.robust_mad(frame(t), [], None, mad_divisor=1.4826))
+    return out_wide(nm.robust_mad(frame(t), [], None, mad_divisor=1.4826), 9)
 
 
 @query("nrm_02_standardize", "WITH {profiles}, " + scaled("avg({c})", "stddev_pop({c})"))
