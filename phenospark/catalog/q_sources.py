@@ -33,22 +33,24 @@ def _(t):
     return io.load_metadata(t.spark, [a, b])
 
 
-def site_files(t, name):
-    """Measurement rows stored per site key, the key being the folder name of each file."""
+def plate_files(t, name):
+    """Measurement rows stored as one folder per plate key."""
     path = scratch_path(t.spark, name)
-    keyed = t.eav.withColumn("key", F.concat_ws("__", F.lit("source_1"), F.lit("B1"), (F.col("well") % 5).cast("string"),
-                                                F.col("well").cast("string"), F.col("site").cast("string")))
-    keyed.write.partitionBy("key").parquet(path)
+    key = F.concat_ws("__", F.lit("source_1"), F.lit("B1"), (F.col("well") % 5).cast("string"))
+    t.eav.withColumn("key", key).repartition("key").write.partitionBy("key").parquet(path)
     return path
 
 
 @query("src_04_measurement_scan", """WITH {eav}
-  SELECT well_id, count(*) AS n, round(sum(value), 4) AS total FROM
-   (SELECT 'source_1__B1__' || (well % 5) || '__' || well AS well_id, value FROM eav) GROUP BY well_id""")
-def _(t):
-    df = t.spark.read.parquet(site_files(t, "sites"))
-    return df.groupBy(io.well_id(F.col("key")).alias("well_id")).agg(
-        F.count("*").alias("n"), r6(F.sum("value"), 4).alias("total"))
+  SELECT 'source_1' AS source, 'B1' AS batch, CAST(well % 5 AS VARCHAR) AS plate, 'source_1__B1__' || (well % 5) || '__' || well AS well_id,
+    count(*) AS n, round(sum(value), 4) AS total, true AS has_file FROM eav GROUP BY well""")
+def _(t):
+    df = io.scan_measurements(t.spark, plate_files(t, "plates"))
+    path_key = F.regexp_extract(F.input_file_name(), "key=([^/]+)/", 1)
+    keyed = df.withColumn("site_key", F.concat_ws("__", path_key, F.col("well").cast("string"), F.col("site").cast("string")))
+    parts = keyed.select(*io.site_parts(F.col("site_key"))[:3], io.well_id(F.col("site_key")).alias("well_id"), "value", "file")
+    return parts.groupBy("source", "batch", "plate", "well_id").agg(
+        F.count("*").alias("n"), r6(F.sum("value"), 4).alias("total"), F.bool_and(F.col("file") != "").alias("has_file"))
 
 
 @query("src_05_discover_profiles", """

@@ -37,6 +37,7 @@ def batch_models(pf: ProfileFrame, batch: str, control: Column | None, fit: Call
     if extra is not None:
         table = table.join(extra, batch)
     schema = T.StructType([table.schema[batch], *la.MODEL_SCHEMA])
+    takes_row = extra is not None
 
     def solve(frames):
         for pdf in frames:
@@ -45,7 +46,7 @@ def batch_models(pf: ProfileFrame, batch: str, control: Column | None, fit: Call
                 m = la.Moments.parse(row.moments, d, shift)
                 if m.n < min_rows:
                     continue
-                mu, w = fit(m) if extra is None else fit(m, row)
+                mu, w = fit(m, row) if takes_row else fit(m)
                 out.append((getattr(row, batch), np.asarray(mu).tolist(), np.asarray(w).ravel().tolist()))
             yield pd.DataFrame(out, columns=[batch, "mu", "m"])
 

@@ -64,19 +64,78 @@ def expected_precision(r: Column, n: Column) -> Column:
 
 def average_precision(pf: ProfileFrame, positive: PairRule, negative: PairRule, query: Column | None = None,
                       metric: str | None = None, resolution: float = pr.RESOLUTION, block: int = pr.BLOCK_ROWS) -> DataFrame:
-    """Rows with at least one positive partner, with their pair counts, AP and normalized AP."""
+    """Rows with at least one positive partner, with their pair counts, AP and normalized AP.
+
+    For each query the smaller side (positives or negatives) gives the thresholds and the larger side is only
+    counted against them, so a compound or a plate with a third of all rows does not write out its pairs.
+    """
+    from phenospark.session import materialize
+
     metric = metric or pick_metric(pf.width)
-    df, rid = _prepared(pf, metric), pf.id_col
+    rid, keep = pf.id_col, [c for c in pf.meta if c != pf.id_col]
+    df = materialize(_prepared(pf, metric), "pairs")
     queries = df.filter(query) if query is not None else df
-    among = lambda rule: df.filter(rule.where) if rule.where is not None else df
-    hist = pr.similarity_histogram(
-        pr.side(queries, rid, positive.same, positive.differ), pr.side(among(positive), rid, positive.same, positive.differ),
-        pf.width, metric, resolution, block)
-    ap = rank_hits(hist, queries, rid, negative, among(negative), pf.width, metric, resolution, block)
-    keep = [c for c in pf.meta if c != rid]
+    pos_refs, neg_refs = (df.filter(r.where) if r.where is not None else df for r in (positive, negative))
+    sized = pr.partner_counts(queries, pos_refs, positive.same, "_np")
+    sized = pr.partner_counts(sized, neg_refs, negative.same, "_nn").filter("_np > 0")
+    sized = materialize(sized, "queries")
+    few_pos = F.col("_np") <= F.col("_nn")
+    n_few_pos, n_rest = sized.agg(F.count_if(few_pos), F.count_if(~few_pos)).first()
+    parts = []
+    if n_few_pos or not n_rest:
+        q = sized.filter(few_pos)
+        hist = pr.similarity_histogram(pr.side(q, rid, positive.same, positive.differ),
+                                       pr.side(pos_refs, rid, positive.same, positive.differ), pf.width, metric, resolution, block)
+        parts.append(rank_hits(hist, q, rid, negative, neg_refs, pf.width, metric, resolution, block))
+    if n_rest:
+        parts.append(rank_misses(sized.filter(~few_pos), rid, positive, pos_refs, negative, neg_refs, pf.width, metric, resolution, block))
+    ap = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return queries.select(rid, *keep).join(ap.withColumnRenamed("_id", rid), rid)
 
 
+def rank_misses(queries: DataFrame, rid: str, positive: PairRule, pos_refs: DataFrame, negative: PairRule, neg_refs: DataFrame,
+                width: int, metric: str, resolution: float, block: int) -> DataFrame:
+    """AP per query from its negative steps and the positives at or above each of them.
+
+    Between two neighbouring negatives the hits form a run whose sum of precisions is a difference of harmonic numbers.
+    """
+    misses = pr.similarity_histogram(pr.side(queries, rid, negative.same, negative.differ),
+                                     pr.side(neg_refs, rid, negative.same, negative.differ), width, metric, resolution, block)
+    per_id = misses.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("_miss"))
+    asked = queries.join(per_id.withColumnRenamed("_id", rid), rid, "left").withColumn(
+        "_miss", F.coalesce("_miss", F.array().cast("array<struct<step:bigint,n:bigint>>")))
+    asked = asked.withColumn("_thr", F.concat(F.array(F.lit(pr.EVERYTHING)), F.transform("_miss", lambda h: h["step"])))
+    above = pr.count_above(pr.side(asked, rid, positive.same, positive.differ, thresholds="_thr"),
+                           pr.side(pos_refs, rid, positive.same, positive.differ), width, metric, resolution, block, or_equal=True)
+    found = above.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "above"))).alias("_above"))
+    joined = asked.select(F.col(rid).alias("_id"), "_miss").join(found, "_id")
+    hits_at = lambda step: F.coalesce(F.try_element_at("_above", step), F.lit(0).cast("bigint"))
+
+    def run(a, b, j):
+        """Sum of i / (i + j) for hits a+1 .. b behind j misses."""
+        return (b - a) - j * (harmonic(b + j) - harmonic(a + j))
+
+    def add(acc, x):
+        return F.struct((acc["j"] + x["n"]).alias("j"), x["hits"].alias("c"),
+                        (acc["s"] + run(acc["c"], x["hits"], acc["j"])).alias("s"))
+
+    zero = F.lit(0).cast("bigint")
+    ordered = F.reverse(F.transform("_miss", lambda h: F.struct(h["n"].alias("n"), hits_at(h["step"]).alias("hits"))))
+    state = F.aggregate(ordered, F.struct(zero.alias("j"), zero.alias("c"), F.lit(0.0).alias("s")), add)
+    out = joined.select("_id", hits_at(F.lit(pr.EVERYTHING).cast("bigint")).alias("n_pos_pairs"), state.alias("_st")).filter("n_pos_pairs > 0")
+    r, st = F.col("n_pos_pairs"), F.col("_st")
+    out = out.select("_id", "n_pos_pairs", (r + st["j"]).alias("n_total_pairs"),
+                     ((st["s"] + run(st["c"], r, st["j"])) / r).alias("average_precision"))
+    return with_normalized(out)
+
+
+def with_normalized(ap: DataFrame) -> DataFrame:
+    """Adds (AP - expected) / (1 - expected); NULL when every candidate is a positive."""
+    e = expected_precision(F.col("n_pos_pairs"), F.col("n_total_pairs"))
+    return ap.withColumn("normalized_average_precision",
+                         F.when(F.col("n_total_pairs") > F.col("n_pos_pairs"), (F.col("average_precision") - e) / (1 - e)))
+
+
 def rank_hits(hist: DataFrame, queries: DataFrame, rid: str, negative: PairRule, refs: DataFrame, width: int,
               metric: str, resolution: float, block: int, labels: str | None = None, owner: Column | None = None) -> DataFrame:
     """AP per ``_id`` of the histogram from its positive steps and the negatives above each of them.
@@ -84,8 +143,11 @@ def rank_hits(hist: DataFrame, queries: DataFrame, rid: str, negative: PairRule,
     ``owner`` gives the row an ``_id`` belongs to when several share one row; the row is then compared once with
     the thresholds of all of them. A list holds one entry per distinct step, so it is bounded by the grid.
     """
+    from phenospark.session import materialize
+
     per_id = (hist.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("_hits"))
               .withColumn("_owner", owner if owner is not None else F.col("_id")))
+    per_id = materialize(per_id, "hits")
     steps = F.array_distinct(F.flatten(F.collect_list(F.transform("_hits", lambda h: h["step"]))))
     thresholds = per_id.groupBy("_owner").agg(F.concat(F.array(F.lit(pr.EVERYTHING)), steps).alias("_thr"))
     asked = queries.join(thresholds.withColumnRenamed("_owner", rid), rid)
@@ -103,9 +165,7 @@ def rank_hits(hist: DataFrame, queries: DataFrame, rid: str, negative: PairRule,
     out = joined.select(
         "_id", n_pos.alias("n_pos_pairs"), (n_pos + count(F.lit(pr.EVERYTHING).cast("bigint"))).alias("n_total_pairs"),
         precision_of_hits(hits).alias("average_precision"))
-    e = expected_precision(F.col("n_pos_pairs"), F.col("n_total_pairs"))
-    return out.withColumn("normalized_average_precision",
-                          F.when(F.col("n_total_pairs") > F.col("n_pos_pairs"), (F.col("average_precision") - e) / (1 - e)))
+    return with_normalized(out)
 
 
 # ---- permutation nulls -----------------------------------------------------------------------------
@@ -258,7 +318,9 @@ def multilabel_precision(pf: ProfileFrame, targets: str, group: str | None = Non
     ``background`` marks rows that only serve as negatives.
     """
     metric = metric or pick_metric(pf.width)
-    df = _prepared(pf, metric).withColumn("_rid", F.col(pf.id_col).cast("string"))
+    from phenospark.session import materialize
+
+    df = materialize(_prepared(pf, metric).withColumn("_rid", F.col(pf.id_col).cast("string")), "rows")
     same = (group,) if group else ()
     queries = df.filter(~background) if background is not None else df
     # Every (row, label) is an id of its own; the row is still compared with the negatives only once.
@@ -281,7 +343,7 @@ def phenotypic_consistency(pf: ProfileFrame, targets: str, compound: str, group:
     """(AP per row and label, mean AP per label and group with p-values) on consensus profiles."""
     from phenospark.session import materialize
 
-    rows = pf.with_df(filter_targets(pf.df, targets, compound, negcon, min_compounds, max_targets))
+    rows = pf.with_df(filter_targets(materialize(pf.df, "targets"), targets, compound, negcon, min_compounds, max_targets))
     ap = materialize(multilabel_precision(rows, targets, group, **kw), "consistency")
     by = ["label", group] if group else ["label"]
     return ap, mean_average_precision(ap, by, null_size, p_threshold, seed)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from phenospark.operators.linalg import to_matrix
 
 RESOLUTION = 1e-6
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 # Threshold below every similarity: its count is the number of partners.
 EVERYTHING = -(2 ** 62)
 
@@ -29,7 +29,9 @@ EVERYTHING = -(2 ** 62)
 def unit(vector: Column) -> Column:
     """Row scaled to length one; a zero row stays zero."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    # The norm rides along as a one-element array, so it is computed once per row and not once per element.
+    return F.flatten(F.transform(F.array(F.when(norm == 0, F.lit(1.0)).otherwise(norm)),
+                                 lambda n: F.transform(vector, lambda x: x / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -76,45 +78,43 @@ def _tiles(queries: DataFrame, refs: DataFrame, block: int) -> DataFrame:
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(flat values, offsets) of a list column whose rows are not NULL."""
+    """(flat values, offsets) of a list column; a NULL row counts as empty."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat, np.r_[0, np.cumsum(lengths)]
+    return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lengths)]
 
 
 def _overlap(flat, offsets, q: slice, r: slice) -> np.ndarray:
     """Which query and reference rows of a tile share a label."""
-    lo, mid, hi = offsets[q.start], offsets[q.stop], offsets[r.stop]
+    lo, hi = offsets[q.start], offsets[r.stop]
     codes, inverse = np.unique(flat[lo:hi], return_inverse=True)
     member = np.zeros((r.stop - q.start, max(len(codes), 1)), dtype=np.float32)
-    rows = np.repeat(np.arange(r.stop - q.start), np.diff(offsets[q.start:r.stop + 1]))
-    member[rows, inverse] = 1.0
+    member[np.repeat(np.arange(r.stop - q.start), np.diff(offsets[q.start:r.stop + 1])), inverse] = 1.0
     n_q = q.stop - q.start
     return member[:n_q] @ member[n_q:].T > 0
 
 
-def _each_tile(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
-    """Call ``work(rows)`` on complete tiles; a tile cut by a batch border is carried over."""
-    carry: pa.RecordBatch | None = None
+def _complete_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches that hold whole tiles; a tile cut by a batch border is carried over."""
+    carry: list[pa.RecordBatch] = []
     for b in batches:
         if b.num_rows == 0:
             continue
-        rows = b if carry is None else pa.concat_batches([carry, b])
-        tiles = rows.column(0).to_numpy(zero_copy_only=False)
-        last = int(np.flatnonzero(tiles != tiles[-1])[-1]) + 1 if tiles[0] != tiles[-1] else 0
-        carry = rows.slice(last)
-        if last:
-            out = work(rows.slice(0, last))
-            if out is not None:
-                yield out
-    if carry is not None:
-        out = work(carry)
-        if out is not None:
-            yield out
-
-
-def _similarities(x: np.ndarray, q: slice, r: slice, metric: str, resolution: float) -> np.ndarray:
-    a, b = x[q], x[r]
+        tiles = b.column(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
+        held = carry[-1].column(0)[-1].as_py() if carry else tiles[0]
+        cut = int(starts[-1]) if len(starts) else 0
+        if held != tiles[0]:
+            yield pa.concat_batches(carry)
+            carry = []
+        if cut:
+            yield pa.concat_batches([*carry, b.slice(0, cut)])
+            carry = []
+        carry.append(b.slice(cut))
+    if carry:
+        yield pa.concat_batches(carry)
+
+
+def _similarities(a: np.ndarray, b: np.ndarray, metric: str, resolution: float) -> np.ndarray:
     s = a @ b.T
     if metric == "euclidean":
         d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * s
@@ -122,78 +122,111 @@ def _similarities(x: np.ndarray, q: slice, r: slice, metric: str, resolution: fl
     return np.rint(s / resolution).astype(np.int64)
 
 
+def _tile_steps(rows: pa.RecordBatch, width: int, metric: str, resolution: float, exclude_shared_labels: bool,
+                sign: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query row, similarity step) of the admissible pairs of whole tiles, some millions at a time."""
+    tile = rows.column(0).to_numpy(zero_copy_only=False)
+    tag = rows.column(1).to_numpy(zero_copy_only=False)
+    x = to_matrix(rows.column(3), width)
+    codes = rows.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(tile), -1)
+    labels = _lists(rows.column(5)) if exclude_shared_labels else None
+    starts = np.r_[0, np.flatnonzero(tile[1:] != tile[:-1]) + 1, len(tile)]
+    first_ref = np.r_[0, np.cumsum(tag)]
+    at, steps, held = [], [], 0
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        m = e - int(first_ref[e] - first_ref[s])
+        if m == s or m == e:
+            continue
+        found = _similarities(x[s:m], x[m:e], metric, resolution)
+        ok = codes[s:m, :1] != codes[m:e, 0]
+        for c in range(1, codes.shape[1]):
+            ok &= codes[s:m, c:c + 1] != codes[m:e, c]
+        if labels is not None:
+            ok &= ~_overlap(*labels, slice(s, m), slice(m, e))
+        q, r = np.nonzero(ok)
+        at.append(q + s)
+        steps.append(found[q, r])
+        held += len(q)
+        if held > PAIRS_AT_ONCE:
+            yield np.concatenate(at), sign * np.concatenate(steps)
+            at, steps, held = [], [], 0
+    if held:
+        yield np.concatenate(at), sign * np.concatenate(steps)
+
+
+# Pairs a task holds in memory before it reduces them to counts.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _count_steps(at: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, step, count) of equal steps of a query."""
+    order = np.lexsort((steps, at))
+    at, steps = at[order], steps[order]
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (steps[1:] != steps[:-1])])
+    return at[first], steps[first], np.diff(np.r_[first, len(at)])
+
+
+def _count_beyond(at: np.ndarray, steps: np.ndarray, thr: tuple[np.ndarray, np.ndarray], or_equal: bool):
+    """(query row, threshold, count of the query's steps above it)."""
+    asked = np.unique(at)
+    n_thr = thr[1][asked + 1] - thr[1][asked]
+    rows = np.repeat(asked, n_thr)
+    levels = thr[0][np.repeat(thr[1][asked] - np.r_[0, np.cumsum(n_thr)[:-1]], n_thr) + np.arange(n_thr.sum())]
+    # One sort of steps and thresholds together; the kind decides who comes first among equals.
+    n = len(at)
+    kind = np.r_[np.zeros(n, np.int8), np.full(len(rows), -1 if or_equal else 1, np.int8)]
+    order = np.lexsort((kind, np.r_[steps, levels], np.r_[at, rows]))
+    is_step = order < n
+    seen = np.cumsum(is_step)
+    position = np.empty(len(order), dtype=np.int64)
+    position[order] = seen
+    ends = np.cumsum(np.bincount(np.searchsorted(asked, at), minlength=len(asked)))
+    return rows, levels, ends[np.searchsorted(asked, rows)] - position[n:]
+
+
 def _scan(queries: DataFrame, refs: DataFrame, width: int, metric: str, resolution: float, block: int,
-          exclude_shared_labels: bool, answer: Callable, value_names: tuple[str, str]) -> DataFrame:
+          exclude_shared_labels: bool, sign: int, answer: Callable, value_names: tuple[str, str]) -> DataFrame:
     tiles = _tiles(queries, refs, block)
-    id_field = tiles.schema["_id"]
-
-    def work(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        tile = rows.column(0).to_numpy(zero_copy_only=False)
-        tag = rows.column(1).to_numpy(zero_copy_only=False)
-        x = to_matrix(rows.column(3), width)
-        codes = to_matrix_int(rows.column(4))
-        labels = _lists(rows.column(5)) if exclude_shared_labels else None
-        thr = _lists(rows.column(6))
-        bounds = np.r_[0, np.flatnonzero(tile[1:] != tile[:-1]) + 1, len(tile)]
-        at, firsts, seconds = [], [], []
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            m = s + int(np.searchsorted(tag[s:e], 1))
-            if m == s or m == e:
-                continue
-            q, r = slice(s, m), slice(m, e)
-            steps = _similarities(x, q, r, metric, resolution)
-            ok = np.ones(steps.shape, dtype=bool)
-            for c in range(codes.shape[1]):
-                ok &= codes[q, c][:, None] != codes[r, c][None, :]
-            if labels is not None:
-                ok &= ~_overlap(*labels, q, r)
-            for i in range(m - s):
-                got = answer(steps[i][ok[i]], thr[0][thr[1][s + i]:thr[1][s + i + 1]])
-                if got is not None:
-                    at.append(s + i)
-                    firsts.append(got[0])
-                    seconds.append(got[1])
-        if not at:
-            return None
-        offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in firsts])].astype(np.int32))
-        pack = lambda parts: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(np.int64)))
-        return pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(at)), pack(firsts), pack(seconds)],
-                                          names=["_id", *value_names])
-
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([id_field, T.StructField(value_names[0], longs), T.StructField(value_names[1], longs)])
-    out = tiles.mapInArrow(lambda batches: _each_tile(batches, work), schema)
-    pairs = F.explode(F.arrays_zip(*value_names))
-    flat = out.select("_id", pairs.alias("_p")).select("_id", *[F.col("_p")[n].alias(n) for n in value_names])
-    return flat.groupBy("_id", value_names[0]).agg(F.sum(value_names[1]).alias(value_names[1]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _complete_tiles(batches):
+            thr = _lists(rows.column(6))
+            for at, steps in _tile_steps(rows, width, metric, resolution, exclude_shared_labels, sign):
+                row, level, count = answer(at, steps, thr)
+                if len(row):
+                    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    offsets = pa.array(np.r_[first, len(row)].astype(np.int32))
+                    pack = lambda v: pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(row[first])), pack(level), pack(count)],
+                                                     names=["_id", *value_names])
 
-def to_matrix_int(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([tiles.schema["_id"], *[T.StructField(n, longs) for n in value_names]])
+    out = tiles.mapInArrow(run, schema).select("_id", F.inline(F.arrays_zip(*value_names)))
+    return out.groupBy("_id", value_names[0]).agg(F.sum(value_names[1]).alias(value_names[1]))
 
 
 def similarity_histogram(queries: DataFrame, refs: DataFrame, width: int, metric: str = "cosine",
                          resolution: float = RESOLUTION, block: int = BLOCK_ROWS) -> DataFrame:
     """(_id, step, n): partners of each query per similarity step."""
-
-    def answer(steps, _):
-        return np.unique(steps, return_counts=True) if len(steps) else None
-
-    return _scan(queries, refs, width, metric, resolution, block, False, answer, ("step", "n"))
+    answer = lambda at, steps, _: _count_steps(at, steps)
+    return _scan(queries, refs, width, metric, resolution, block, False, 1, answer, ("step", "n"))
 
 
 def count_above(queries: DataFrame, refs: DataFrame, width: int, metric: str = "cosine", resolution: float = RESOLUTION,
-                block: int = BLOCK_ROWS, exclude_shared_labels: bool = False, sign: int = 1) -> DataFrame:
-    """(_id, step, above): partners strictly more similar than each threshold of the query.
+                block: int = BLOCK_ROWS, exclude_shared_labels: bool = False, sign: int = 1, or_equal: bool = False) -> DataFrame:
+    """(_id, step, above): partners more similar than each threshold of the query (``or_equal``: at least as similar).
 
     ``sign=-1`` ranks by dissimilarity; thresholds are then given for the negated similarity.
     """
+    answer = lambda at, steps, thr: _count_beyond(at, steps, thr, or_equal)
+    return _scan(queries, refs, width, metric, resolution, block, exclude_shared_labels, sign, answer, ("step", "above"))
 
-    def answer(steps, thr):
-        if not len(thr):
-            return None
-        ordered = np.sort(sign * steps)
-        return thr, len(ordered) - np.searchsorted(ordered, thr, side="right")
 
-    return _scan(queries, refs, width, metric, resolution, block, exclude_shared_labels, answer, ("step", "above"))
+def partner_counts(queries: DataFrame, refs: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Queries with the size of their reference group (an upper bound of their partners)."""
+    sizes = refs.groupBy(*[F.col(k).alias(f"_{out}_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(out))
+    if not keys:
+        return queries.join(F.broadcast(sizes))
+    cond = [queries[k] == sizes[f"_{out}_{k}"] for k in keys]
+    return queries.join(sizes, cond, "left").drop(*[f"_{out}_{k}" for k in keys]).fillna(0, [out])
