@@ -240,3 +240,22 @@ def r6(col: Column | str, digits: int = 6) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     rounded = F.round(col, digits)
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
+
+
+# ---- the normal quantile as SQL text for the oracle ----------------------------------------------
+
+def _horner(coef, x: str) -> str:
+    text = f"{coef[-1]!r}::DOUBLE"
+    for c in reversed(coef[:-1]):
+        text = f"({text} * {x} + {c!r}::DOUBLE)"
+    return text
+
+
+def normal_quantile_sql(p: str) -> str:
+    from phenospark.functions import scalar as sc
+
+    q, tail = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1.0::DOUBLE - {p})))"
+    ratio = lambda num, den, x: f"{_horner(num, x)} / {_horner(den, x)}"
+    return (f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(sc._CENTRE_NUM, sc._CENTRE_DEN, f'(0.180625::DOUBLE - {q} * {q})')} "
+            f"WHEN {tail} <= 5.0 THEN sign({q}) * {ratio(sc._MIDDLE_NUM, sc._MIDDLE_DEN, f'({tail} - 1.6::DOUBLE)')} "
+            f"ELSE sign({q}) * {ratio(sc._TAIL_NUM, sc._TAIL_DEN, f'({tail} - 5.0::DOUBLE)')} END")

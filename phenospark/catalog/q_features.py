@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from phenospark.catalog.base import query, r6
-from phenospark.functions.scalar import normal_quantile_sql
+from phenospark.catalog.base import normal_quantile_sql, query, r6
 from phenospark.operators import normalize as nm
 from phenospark.operators import relational as rel
 from phenospark.operators import select as sel
@@ -206,7 +205,7 @@ def _(t):
 
 def _int_sql():
     ranks = ", ".join(f"(row_number() OVER (ORDER BY {c}, row_id) - 0.375::DOUBLE) / (count(*) OVER () + 0.25::DOUBLE) AS p_{c}" for c in FEATS)
-    cols = ", ".join(f"round({normal_quantile_sql('p_' + c, '::DOUBLE')}, 6) AS {c}" for c in FEATS)
+    cols = ", ".join(f"round({normal_quantile_sql('p_' + c)}, 6) AS {c}" for c in FEATS)
     return "WITH {profiles}, r AS (SELECT row_id, " + ranks + " FROM profiles) SELECT row_id, " + cols + " FROM r"
 
 

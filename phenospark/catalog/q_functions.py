@@ -4,9 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from phenospark.catalog.base import query, r6
+from phenospark.catalog.base import normal_quantile_sql, query, r6
 from phenospark.functions import names
-from phenospark.functions.scalar import dice_from_iou, normal_quantile, normal_quantile_sql, object_key, safe_ratio
+from phenospark.functions.scalar import dice_from_iou, object_key, safe_ratio, with_normal_quantile
 
 
 @query("fun_01_split_part", "SELECT c_custkey, split_part(c_name, '#', 2) AS tail, split_part(split_part(c_name, '#', 1), 'st', 1) AS head FROM customer")
@@ -162,10 +162,10 @@ def _(t):
     return t.events.select("event_id", r6(dice_from_iou(F.col("value") / 200)).alias("dice"))
 
 
-@query("fun_15_normal_quantile", "SELECT event_id, round(" + normal_quantile_sql("((event_id + 0.5::DOUBLE) / 1e6::DOUBLE)", "::DOUBLE") + ", 6) AS z FROM events")
+@query("fun_15_normal_quantile", "SELECT event_id, round(" + normal_quantile_sql("((event_id + 0.5::DOUBLE) / 1e6::DOUBLE)") + ", 6) AS z FROM events")
 def _(t):
     rows = t.events.select("event_id", ((F.col("event_id") + 0.5) / 1e6).alias("p"))
-    return rows.select("event_id", r6(normal_quantile("p")).alias("z"))
+    return with_normal_quantile(rows, "p", "z").select("event_id", r6("z").alias("z"))
 
 
 @query("fun_16_digests", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md5 FROM documents")

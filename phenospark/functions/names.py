@@ -188,7 +188,7 @@ def mapping_coverage(mapped: DataFrame) -> DataFrame:
     return mapped.agg(
         F.countDistinct(a).alias("total_a"), F.countDistinct(b).alias("total_b"),
         F.countDistinct(F.when(both, a)).alias("mapped_a"), F.countDistinct(F.when(both, b)).alias("mapped_b"),
-    ).withColumns({"coverage_a": F.col("mapped_a") / F.col("total_a") * 100, "coverage_b": F.col("mapped_b") / F.col("total_b") * 100})
+    ).withColumns({"coverage_a": F.try_divide("mapped_a", "total_a") * 100, "coverage_b": F.try_divide("mapped_b", "total_b") * 100})
 
 
 def greenlist_filter(df: DataFrame, green: DataFrame, col: str = "full_feature_name") -> DataFrame:

@@ -14,6 +14,7 @@ from phenospark.operators import pairs as pr
 from phenospark.operators.aggregate import GROUP_LIMIT, group_median
 from phenospark.operators.frame import ProfileFrame
 from phenospark.operators.relational import null_safe_join, random_bucket
+from phenospark.session import materialize
 
 
 @dataclass(frozen=True)
@@ -69,8 +70,6 @@ def average_precision(pf: ProfileFrame, positive: PairRule, negative: PairRule,
     For each query the smaller side (positives or negatives) gives the thresholds and the larger side is only
     counted against them, so a compound or a plate with a third of all rows does not write out its pairs.
     """
-    from phenospark.session import materialize
-
     metric = metric or pick_metric(pf.width)
     rid, keep = pf.id_col, [c for c in pf.meta if c != pf.id_col]
     df = materialize(_prepared(pf, metric), "pairs")
@@ -107,9 +106,7 @@ def rank_misses(queries: DataFrame, rid: str, positive: PairRule, pos_refs: Data
     asked = asked.withColumn("_thr", F.concat(F.array(F.lit(pr.EVERYTHING)), F.transform("_miss", lambda h: h["step"])))
     above = pr.count_above(pr.side(asked, rid, positive.same, positive.differ, thresholds="_thr"),
                            pr.side(pos_refs, rid, positive.same, positive.differ), width, metric, resolution, block, or_equal=True)
-    found = above.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "above"))).alias("_above"))
-    joined = asked.select(F.col(rid).alias("_id"), "_miss").join(found, "_id")
-    hits_at = lambda step: F.coalesce(F.try_element_at("_above", step), F.lit(0).cast("bigint"))
+    joined = asked.select(F.col(rid).alias("_id"), "_miss").join(_counts_in_order(above, "_id"), "_id")
 
     def run(a, b, j):
         """Sum of i / (i + j) for hits a+1 .. b behind j misses."""
@@ -120,15 +117,21 @@ def rank_misses(queries: DataFrame, rid: str, positive: PairRule, pos_refs: Data
                         (acc["s"] + run(acc["c"], x["hits"], acc["j"])).alias("s"))
 
     zero = F.lit(0).cast("bigint")
-    ordered = F.reverse(F.transform("_miss", lambda h: F.struct(h["n"].alias("n"), hits_at(h["step"]).alias("hits"))))
+    ordered = F.reverse(F.zip_with("_miss", "_above", lambda h, a: F.struct(h["n"].alias("n"), a["above"].alias("hits"))))
     state = F.aggregate(ordered, F.struct(zero.alias("j"), zero.alias("c"), F.lit(0.0).alias("s")), add)
-    out = joined.select("_id", hits_at(F.lit(pr.EVERYTHING).cast("bigint")).alias("n_pos_pairs"), state.alias("_st")).filter("n_pos_pairs > 0")
+    out = joined.select("_id", F.col("_total").alias("n_pos_pairs"), state.alias("_st")).filter("n_pos_pairs > 0")
     r, st = F.col("n_pos_pairs"), F.col("_st")
     out = out.select("_id", "n_pos_pairs", (r + st["j"]).alias("n_total_pairs"),
                      ((st["s"] + run(st["c"], r, st["j"])) / r).alias("average_precision"))
     return with_normalized(out)
 
 
+def _counts_in_order(above: DataFrame, key: str) -> DataFrame:
+    """Per query the counts by ascending threshold, and the total from the threshold below everything."""
+    packed = above.groupBy(F.col("_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("step", "above"))).alias("_a"))
+    return packed.select(key, F.col("_a")[0]["above"].alias("_total"), F.slice("_a", 2, F.size("_a")).alias("_above"))
+
+
 def with_normalized(ap: DataFrame) -> DataFrame:
     """Adds (AP - expected) / (1 - expected); NULL when every candidate is a positive."""
     e = expected_precision(F.col("n_pos_pairs"), F.col("n_total_pairs"))
@@ -143,8 +146,6 @@ def rank_hits(hist: DataFrame, queries: DataFrame, rid: str, negative: PairRule,
     ``owner`` gives the row an ``_id`` belongs to when several share one row; the row is then compared once with
     the thresholds of all of them. A list holds one entry per distinct step, so it is bounded by the grid.
     """
-    from phenospark.session import materialize
-
     per_id = (hist.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("_hits"))
               .withColumn("_owner", owner if owner is not None else F.col("_id")))
     per_id = materialize(per_id, "hits")
@@ -155,15 +156,21 @@ def rank_hits(hist: DataFrame, queries: DataFrame, rid: str, negative: PairRule,
         pr.side(asked, rid, negative.same, negative.differ, labels=labels, thresholds="_thr"),
         pr.side(refs, rid, negative.same, negative.differ, labels=labels), width, metric, resolution, block,
         exclude_shared_labels=labels is not None)
-    found = above.groupBy(F.col("_id").alias("_owner")).agg(
-        F.map_from_entries(F.collect_list(F.struct("step", "above"))).alias("_above"))
+    found = _counts_in_order(above, "_owner")
     joined = per_id.join(found, "_owner", "left")
-    count = lambda step: F.coalesce(F.try_element_at("_above", step), F.lit(0).cast("bigint"))
-    hits = F.reverse(F.transform("_hits", lambda h: F.struct(
-        h["step"].alias("step"), h["n"].alias("n"), count(h["step"]).alias("above"))))
-    n_pos = F.aggregate("_hits", F.lit(0).cast("bigint"), lambda a, h: a + h["n"])
+    zero = F.lit(0).cast("bigint")
+    if owner is None:
+        # Thresholds and hits are the same steps in the same order.
+        counts = F.zip_with("_hits", "_above", lambda h, a: F.struct(h["n"].alias("n"), F.coalesce(a["above"], zero).alias("above")))
+        none = F.transform("_hits", lambda h: F.struct(h["n"].alias("n"), zero.alias("above")))
+        hits = F.reverse(F.when(F.col("_above").isNull(), none).otherwise(counts))
+    else:
+        joined = joined.withColumn("_at", F.map_from_entries("_above"))
+        hits = F.reverse(F.transform("_hits", lambda h: F.struct(
+            h["n"].alias("n"), F.coalesce(F.try_element_at("_at", h["step"]), zero).alias("above"))))
+    n_pos = F.aggregate("_hits", zero, lambda a, h: a + h["n"])
     out = joined.select(
-        "_id", n_pos.alias("n_pos_pairs"), (n_pos + count(F.lit(pr.EVERYTHING).cast("bigint"))).alias("n_total_pairs"),
+        "_id", n_pos.alias("n_pos_pairs"), (n_pos + F.coalesce("_total", zero)).alias("n_total_pairs"),
         precision_of_hits(hits).alias("average_precision"))
     return with_normalized(out)
 
@@ -248,7 +255,8 @@ def mean_average_precision(ap: DataFrame, by: Sequence[str], null_size: int = 10
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # Groups with the same make-up of pairs share nulls; keep them together.
     placed = groups.repartition(n, F.xxhash64("_cfg"), *by)
-    tested = with_p_values(placed, "_cfg", "mean_average_precision", null_size, seed).drop("_cfg")
+    # Written once: the adjustment below reads the p-values three times.
+    tested = materialize(with_p_values(placed, "_cfg", "mean_average_precision", null_size, seed).drop("_cfg"), "tested")
     return benjamini_hochberg(tested).withColumn("below_corrected_p", F.col("corrected_p_value") < threshold)
 
 
@@ -271,8 +279,6 @@ def activity_precision(pf: ProfileFrame, compound: str, negcon: str, batch: str,
 def phenotypic_activity(pf: ProfileFrame, compound: str, negcon: str, batch: str, group: str | None = None,
                         null_size: int = 10_000, p_threshold: float = 0.05, seed: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
     """(AP per row, mean AP per compound with p-values)."""
-    from phenospark.session import materialize
-
     ap = materialize(activity_precision(pf, compound, negcon, batch, group, **kw), "activity")
     by = [compound, group] if group else [compound]
     return ap, mean_average_precision(ap, by, null_size, p_threshold, seed)
@@ -318,8 +324,6 @@ def multilabel_precision(pf: ProfileFrame, targets: str, group: str | None = Non
     ``background`` marks rows that only serve as negatives.
     """
     metric = metric or pick_metric(pf.width)
-    from phenospark.session import materialize
-
     df = materialize(_prepared(pf, metric).withColumn("_rid", F.col(pf.id_col).cast("string")), "rows")
     same = (group,) if group else ()
     queries = df.filter(~background) if background is not None else df
@@ -341,8 +345,6 @@ def phenotypic_consistency(pf: ProfileFrame, targets: str, compound: str, group:
                            null_size: int = 10_000, p_threshold: float = 0.05, seed: int = 0, min_compounds: int = 3,
                            max_targets: int = 50, **kw) -> tuple[DataFrame, DataFrame]:
     """(AP per row and label, mean AP per label and group with p-values) on consensus profiles."""
-    from phenospark.session import materialize
-
     rows = pf.with_df(filter_targets(materialize(pf.df, "targets"), targets, compound, negcon, min_compounds, max_targets))
     ap = materialize(multilabel_precision(rows, targets, group, **kw), "consistency")
     by = ["label", group] if group else ["label"]

@@ -68,9 +68,13 @@ def moment_table(pf: ProfileFrame, keys: Sequence[str] = (), where: Column | Non
                 continue
             x = to_matrix(b.column(len(keys)), d) - shift
             if keys:
-                frame = pd.MultiIndex.from_arrays([b.column(i).to_pylist() for i in range(len(keys))])
-                codes, uniques = pd.factorize(frame)
-                groups = [(tuple(uniques[c]), x[codes == c]) for c in range(len(uniques))]
+                labels = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))]))
+                seen: dict = {}
+                codes = np.array([seen.setdefault(k, len(seen)) for k in labels])
+                order = np.argsort(codes, kind="stable")
+                ends = np.cumsum(np.bincount(codes))
+                x = x[order]
+                groups = [(k, x[e - n:e]) for (k, _), e, n in zip(seen.items(), ends, np.bincount(codes))]
             else:
                 groups = [((), x)]
             for key, part in groups:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phenospark.functions.scalar import normal_quantile
+from phenospark.functions.scalar import with_normal_quantile
 from phenospark.operators.aggregate import group_median
 from phenospark.operators.frame import ProfileFrame, assemble, finite_or_null
 from phenospark.operators.ordered import ordinal_rank
@@ -103,8 +103,9 @@ def inverse_normal_transform(pf: ProfileFrame, **kw) -> ProfileFrame:
     """Blom scores (r - 3/8) / (n + 1/4) through the normal quantile; missing values stay missing."""
     n = pf.df.count()
     ranks = ordinal_ranks(pf, **kw).withColumn("_p", (F.col("rank") - 0.375) / F.lit(n + 0.25))
-    scored = ranks.select(pf.id_col, "idx", normal_quantile("_p").alias("z"))
+    scored = with_normal_quantile(ranks, "_p", "z").select(pf.id_col, "idx", "z")
+    # One score per feature and row; features without a score stay NULL at their place.
     packed = scored.groupBy(pf.id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "z"))).alias("_z"))
     joined = pf.df.join(packed, pf.id_col, "left")
-    values = F.transform("features", lambda x, i: F.try_element_at(F.col("_z"), i))
+    values = F.transform(F.sequence(F.lit(0), F.lit(pf.width - 1)), lambda i: F.try_element_at(F.col("_z"), i))
     return pf.with_df(joined.withColumn("features", values).drop("_z"))

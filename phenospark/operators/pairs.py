@@ -143,10 +143,11 @@ def _tile_steps(rows: pa.RecordBatch, width: int, metric: str, resolution: float
             ok &= codes[s:m, c:c + 1] != codes[m:e, c]
         if labels is not None:
             ok &= ~_overlap(*labels, slice(s, m), slice(m, e))
-        q, r = np.nonzero(ok)
-        at.append(q + s)
-        steps.append(found[q, r])
-        held += len(q)
+        per_row = ok.sum(axis=1)
+        kept = int(per_row.sum())
+        at.append(np.repeat(np.arange(s, m), per_row))
+        steps.append(found.ravel() if kept == found.size else found[ok])
+        held += kept
         if held > PAIRS_AT_ONCE:
             yield np.concatenate(at), sign * np.concatenate(steps)
             at, steps, held = [], [], 0
@@ -172,7 +173,25 @@ def _count_beyond(at: np.ndarray, steps: np.ndarray, thr: tuple[np.ndarray, np.n
     n_thr = thr[1][asked + 1] - thr[1][asked]
     rows = np.repeat(asked, n_thr)
     levels = thr[0][np.repeat(thr[1][asked] - np.r_[0, np.cumsum(n_thr)[:-1]], n_thr) + np.arange(n_thr.sum())]
-    # One sort of steps and thresholds together; the kind decides who comes first among equals.
+    lo, hi = int(steps.min()), int(steps.max())
+    span, n_asked = hi - lo + 3, len(asked)
+    if span * n_asked < 2 ** 62:
+        # Usual case: place every step among its query's sorted thresholds, then count from the top.
+        local = np.searchsorted(asked, rows)
+        keys = local * span + np.clip(levels - lo + 1, 0, span - 1)
+        order = np.argsort(keys, kind="stable")
+        step_keys = np.searchsorted(asked, at) * span + (steps - lo + 1)
+        # Slot of a step: the number of thresholds it is above.
+        slot = np.searchsorted(keys[order], step_keys, side="right" if or_equal else "left")
+        gained = np.bincount(slot, minlength=len(keys) + 1)
+        total = np.cumsum(gained[::-1])[::-1]
+        # Steps of later queries lie in later slots; a query's own last slot is shared with none of them.
+        own = np.bincount(np.searchsorted(asked, at), minlength=n_asked)
+        later = np.r_[np.cumsum(own[::-1])[::-1][1:], 0]
+        counts = np.empty(len(keys), dtype=np.int64)
+        counts[order] = total[np.arange(len(keys)) + 1] - later[local[order]]
+        return rows, levels, counts
+    # Very wide steps: one sort of steps and thresholds together; the kind decides who comes first among equals.
     n = len(at)
     kind = np.r_[np.zeros(n, np.int8), np.full(len(rows), -1 if or_equal else 1, np.int8)]
     order = np.lexsort((kind, np.r_[steps, levels], np.r_[at, rows]))

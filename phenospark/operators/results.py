@@ -51,7 +51,7 @@ def with_selection_score(df: DataFrame, pa: str, pc: str, mode: str = "balanced"
     if mode == "nap_balanced":
         tops = df.agg(F.max(pa).alias("_ma"), F.max(pc).alias("_mc"))
         return (df.join(F.broadcast(tops))
-                .withColumn(out, (F.col(pa) / F.col("_ma")) * (F.col(pc) / F.col("_mc"))).drop("_ma", "_mc"))
+                .withColumn(out, F.try_divide(pa, "_ma") * F.try_divide(pc, "_mc")).drop("_ma", "_mc"))
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -102,13 +102,14 @@ def rank_stability(best: DataFrame, family: str, codec: str, score: str, extra:
     The input holds one row per (family, codec), so the self join is over result rows only.
     """
     from phenospark.operators.relational import average_rank
+    from phenospark.operators.stats import pearson
 
     a = best.select(*extra, family, F.col(codec).alias("codec_a"), F.col(score).alias("sa"))
     b = best.select(*extra, family, F.col(codec).alias("codec_b"), F.col(score).alias("sb"))
     pairs = a.join(b, [*extra, family]).filter("codec_a < codec_b")
     keys = [*extra, "codec_a", "codec_b"]
     ranked = pairs.withColumns({"ra": average_rank("sa", keys), "rb": average_rank("sb", keys)})
-    return (ranked.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return (ranked.groupBy(*keys).agg(pearson("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") >= min_common))
 
 

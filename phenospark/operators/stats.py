@@ -17,7 +17,8 @@ def pearson(a: str, b: str, min_n: int = 2) -> Column:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
     usable = (F.count_if(both) >= min_n) & (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-    return F.when(usable, F.corr(x, y))
+    # From its parts: the built-in correlation fails on a constant side in ANSI mode.
+    return F.when(usable, F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
 def match_objects(a: DataFrame, b: DataFrame, mapping: DataFrame, site: str, a_label: str, b_label: str, values: Sequence[str]) -> DataFrame:
@@ -87,7 +88,7 @@ def two_sample_cdf(df: DataFrame, keys: Sequence[str], value: str, is_a: str, **
     run = running_sums(counts, keys, [value], {"_na": F.col("_ca"), "_nb": F.col("_cb")}, **kw)
     totals = counts.groupBy(*keys).agg(F.sum("_ca").alias("_ta"), F.sum("_cb").alias("_tb"))
     joined = run.join(totals, list(keys))
-    return joined.withColumns({"fa": F.col("_na") / F.col("_ta"), "fb": F.col("_nb") / F.col("_tb")})
+    return joined.withColumns({"fa": F.try_divide("_na", "_ta"), "fb": F.try_divide("_nb", "_tb")})
 
 
 def distribution_distances(df: DataFrame, keys: Sequence[str], value: str, is_a: str, **kw) -> DataFrame:
@@ -97,7 +98,7 @@ def distribution_distances(df: DataFrame, keys: Sequence[str], value: str, is_a:
     """
     cdf = two_sample_cdf(df.filter(F.col(value).isNotNull()), keys, value, is_a, **kw)
     after = F.abs(F.col("fa") - F.col("fb"))
-    before = F.abs((F.col("_na") - F.col("_ca")) / F.col("_ta") - (F.col("_nb") - F.col("_cb")) / F.col("_tb"))
+    before = F.abs(F.try_divide(F.col("_na") - F.col("_ca"), F.col("_ta")) - F.try_divide(F.col("_nb") - F.col("_cb"), F.col("_tb")))
     dist = cdf.groupBy(*keys).agg(F.max(after).alias("ks"), F.sum(F.col(value) * (before - after)).alias("wasserstein"))
     return dist.join(effect_sizes(df, keys, value, is_a), list(keys)).withColumn(
         "wasserstein_scaled", F.when(F.col("pooled_std") > 0, F.col("wasserstein") / F.col("pooled_std")))
