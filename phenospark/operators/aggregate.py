@@ -36,14 +36,16 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         return direct(df)
     hot = counts.filter(F.col("_n") > group_limit).drop("_n")
     if not size_keys:
-        return _bracketed(df, keys, value, probs, names)
+        return _bracketed(df, keys, value, probs, names, group_limit)
     # NULL keys never match in these joins, so they stay with the direct way.
     small = df.join(hot, size_keys, "left_anti")
-    return direct(small).unionByName(_bracketed(df.join(hot, size_keys, "left_semi"), keys, value, probs, names))
+    return direct(small).unionByName(_bracketed(df.join(hot, size_keys, "left_semi"), keys, value, probs, names, group_limit))
 
 
-def _bracketed(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    accuracy, margin = 10_000, 3e-4
+def _bracketed(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], names: Sequence[str], least: int) -> DataFrame:
+    """Groups with more than ``least`` rows: the bracket spans the sketch's rank error and both neighbouring ranks."""
+    accuracy = 10_000
+    margin = 3e-4 + 2 / least
     rows = df.filter(F.col(value).isNotNull())
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),

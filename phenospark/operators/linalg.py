@@ -294,6 +294,7 @@ def _apply_streamed(pf: ProfileFrame, models: DataFrame, key: str, names: Sequen
     """Rows and models meet in sorted partitions: each (key, block) starts with its model row."""
     d, k = pf.width, len(names)
     base = pf.df.drop("features")
+    kept = base.columns
     sizes = pf.df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nb"))
     rows = (pf.df.join(sizes, pf.df[key].eqNullSafe(sizes[key]), "left").drop(sizes[key])
             .withColumn("_b", F.pmod(F.xxhash64(pf.id_col), F.col("_nb").cast("bigint")).cast("int")).drop("_nb")
@@ -332,8 +333,8 @@ def _apply_streamed(pf: ProfileFrame, models: DataFrame, key: str, names: Sequen
                     out = np.zeros((len(x), k))
                 else:
                     continue
-                cols = [part.column(names_.index(c)) for c in base.columns]
-                yield pa.RecordBatch.from_arrays([*cols, to_list_array(out)], names=[*base.columns, "features"])
+                cols = [part.column(names_.index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*cols, to_list_array(out)], names=[*kept, "features"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
     return ProfileFrame(parted.mapInArrow(run, schema), tuple(names), pf.id_col)

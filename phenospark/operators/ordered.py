@@ -32,7 +32,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     ranged = (rows.withColumn(code, F.xxhash64(*keys) if keys else F.lit(0).cast("bigint"))
               .repartitionByRange(code, *keys, *order).sortWithinPartitions(code, *keys, *order)
               .withColumn("_pid", F.spark_partition_id()))
-    names = [f"_s_{n}" for n in sums]
+    names, locals_ = [f"_s_{n}" for n in sums], [f"_l_{n}" for n in sums]
     at = {c: i for i, c in enumerate(ranged.columns)}
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
                 outs.append(run)
             last, carry = kh[-1], [int(o[-1]) for o in outs]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(o) for o in outs]],
-                                             names=[*b.schema.names, *[f"_l_{n}" for n in sums]])
+                                             names=[*b.schema.names, *locals_])
 
     schema = T.StructType([*ranged.schema.fields, *[T.StructField(f"_l_{n}", T.LongType()) for n in sums]])
     summed = materialize(ranged.mapInArrow(local, schema), "running")
