@@ -253,7 +253,7 @@ def _(t):
 @query("jon_26_metadata_times_sites", """
   SELECT s_suppkey, s_name, site FROM supplier CROSS JOIN (SELECT DISTINCT l_linenumber AS site FROM lineitem)""")
 def _(t):
-    sites = t.lineitem.agg(F.array_sort(F.collect_set("l_linenumber")).alias("sites"))
+    sites = t.lineitem.agg(F.sort_array(F.collect_set("l_linenumber")).alias("sites"))
     # The distinct sites are a handful of numbers: one broadcast row, exploded next to each well.
     return (t.supplier.select("s_suppkey", "s_name").join(F.broadcast(sites))
             .select("s_suppkey", "s_name", F.explode("sites").alias("site")))

@@ -100,7 +100,7 @@ def run_files(t):
     path = scratch_path(t.spark, "sweep")
     runs = t.runs.groupBy("family", "config").agg(
         r6(F.avg("pa")).alias("pa"), r6(F.avg("pc")).alias("pc"), F.sum("n").alias("n"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("codec", F.struct(r6("pa").alias("mean"), F.col("n").alias("n")))))).alias("groups"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("codec", F.struct(r6("pa").alias("mean"), F.col("n").alias("n")))))).alias("groups"))
     runs.withColumns({"model": F.col("family"), "cfg": F.col("config")}).drop("family", "config").write.partitionBy("model", "cfg").json(path)
     return path
 
@@ -118,7 +118,7 @@ def _(t):
    AND (task = 'cc' OR codec <> 'codec0')""")
 def _(t):
     path = scratch_path(t.spark, "relation")
-    entry = lambda *more: F.array_sort(F.collect_list(F.struct("codec", r6("pa").alias("recall_5"), *more)))
+    entry = lambda *more: F.sort_array(F.collect_list(F.struct("codec", r6("pa").alias("recall_5"), *more)))
     setting = F.when(F.col("codec") == "codec0", "filtered").otherwise("full").alias("setting")
     (t.runs.filter("config = 'cfg1'").groupBy("family").agg(entry().alias("cc"), entry(setting).alias("cg")).write.json(path))
     nested = t.spark.read.schema("family string, cc array<struct<codec: string, recall_5: double>>, "

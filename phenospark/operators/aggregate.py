@@ -112,7 +112,7 @@ def summarize(df: DataFrame, keys: Sequence[str], col: str, quantiles: Sequence[
 
 def sorted_unique_join(col: str, sep: str = "|") -> Column:
     """Sorted distinct strings joined by a separator; the set per group is the result."""
-    return F.array_join(F.array_sort(F.collect_set(col)), sep)
+    return F.array_join(F.sort_array(F.collect_set(col)), sep)
 
 
 def share(df: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataFrame:

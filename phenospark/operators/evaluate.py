@@ -71,8 +71,9 @@ def average_precision(pf: ProfileFrame, positive: PairRule, negative: PairRule,
     counted against them, so a compound or a plate with a third of all rows does not write out its pairs.
     """
     metric = metric or pick_metric(pf.width)
-    rid, keep = pf.id_col, [c for c in pf.meta if c != pf.id_col]
-    df = materialize(_prepared(pf, metric), "pairs")
+    rid, keep = "_rid", pf.meta
+    # A short number names the row inside; it is written once and so stays the same for every reader.
+    df = materialize(_prepared(pf, metric).withColumn("_rid", F.monotonically_increasing_id()), "pairs")
     queries = df.filter(query) if query is not None else df
     pos_refs, neg_refs = (df.filter(r.where) if r.where is not None else df for r in (positive, negative))
     sized = pr.partner_counts(queries, pos_refs, positive.same, "_np")
@@ -89,7 +90,7 @@ def average_precision(pf: ProfileFrame, positive: PairRule, negative: PairRule,
     if n_rest:
         parts.append(rank_misses(sized.filter(~few_pos), rid, positive, pos_refs, negative, neg_refs, pf.width, metric, resolution, block))
     ap = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return queries.select(rid, *keep).join(ap.withColumnRenamed("_id", rid), rid)
+    return queries.select(rid, *keep).join(ap.withColumnRenamed("_id", rid), rid).drop(rid)
 
 
 def rank_misses(queries: DataFrame, rid: str, positive: PairRule, pos_refs: DataFrame, negative: PairRule, neg_refs: DataFrame,
@@ -100,10 +101,10 @@ def rank_misses(queries: DataFrame, rid: str, positive: PairRule, pos_refs: Data
     """
     misses = pr.similarity_histogram(pr.side(queries, rid, negative.same, negative.differ),
                                      pr.side(neg_refs, rid, negative.same, negative.differ), width, metric, resolution, block)
-    per_id = misses.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("_miss"))
+    per_id = misses.withColumnRenamed("_list", "_miss")
     asked = queries.join(per_id.withColumnRenamed("_id", rid), rid, "left").withColumn(
         "_miss", F.coalesce("_miss", F.array().cast("array<struct<step:bigint,n:bigint>>")))
-    asked = asked.withColumn("_thr", F.concat(F.array(F.lit(pr.EVERYTHING)), F.transform("_miss", lambda h: h["step"])))
+    asked = asked.withColumn("_thr", F.concat(F.array(F.lit(pr.EVERYTHING)), F.col("_miss")["step"]))
     above = pr.count_above(pr.side(asked, rid, positive.same, positive.differ, thresholds="_thr"),
                            pr.side(pos_refs, rid, positive.same, positive.differ), width, metric, resolution, block, or_equal=True)
     joined = asked.select(F.col(rid).alias("_id"), "_miss").join(_counts_in_order(above, "_id"), "_id")
@@ -128,8 +129,8 @@ def rank_misses(queries: DataFrame, rid: str, positive: PairRule, pos_refs: Data
 
 def _counts_in_order(above: DataFrame, key: str) -> DataFrame:
     """Per query the counts by ascending threshold, and the total from the threshold below everything."""
-    packed = above.groupBy(F.col("_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("step", "above"))).alias("_a"))
-    return packed.select(key, F.col("_a")[0]["above"].alias("_total"), F.slice("_a", 2, F.size("_a")).alias("_above"))
+    return above.select(F.col("_id").alias(key), F.col("_list")[0]["above"].alias("_total"),
+                        F.slice("_list", 2, F.size("_list")).alias("_above"))
 
 
 def with_normalized(ap: DataFrame) -> DataFrame:
@@ -146,11 +147,13 @@ def rank_hits(hist: DataFrame, queries: DataFrame, rid: str, negative: PairRule,
     ``owner`` gives the row an ``_id`` belongs to when several share one row; the row is then compared once with
     the thresholds of all of them. A list holds one entry per distinct step, so it is bounded by the grid.
     """
-    per_id = (hist.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("_hits"))
-              .withColumn("_owner", owner if owner is not None else F.col("_id")))
-    per_id = materialize(per_id, "hits")
-    steps = F.array_distinct(F.flatten(F.collect_list(F.transform("_hits", lambda h: h["step"]))))
-    thresholds = per_id.groupBy("_owner").agg(F.concat(F.array(F.lit(pr.EVERYTHING)), steps).alias("_thr"))
+    per_id = hist.withColumnRenamed("_list", "_hits").withColumn("_owner", owner if owner is not None else F.col("_id"))
+    everything, own_steps = F.array(F.lit(pr.EVERYTHING)), F.col("_hits")["step"]
+    if owner is None:
+        thresholds = per_id.select("_owner", F.concat(everything, own_steps).alias("_thr"))
+    else:
+        steps = F.array_distinct(F.flatten(F.collect_list(own_steps)))
+        thresholds = per_id.groupBy("_owner").agg(F.concat(everything, steps).alias("_thr"))
     asked = queries.join(thresholds.withColumnRenamed("_owner", rid), rid)
     above = pr.count_above(
         pr.side(asked, rid, negative.same, negative.differ, labels=labels, thresholds="_thr"),
@@ -233,8 +236,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", out: str = "corrected_
     """
     counts = df.groupBy(p).agg(F.count(F.lit(1)).alias("_c"))
     up, down = W.orderBy(p), W.orderBy(F.col(p).desc())
-    total = df.agg(F.count(F.lit(1)).alias("_m"))
-    adjusted = (counts.join(F.broadcast(total)).withColumn("_rank", F.sum("_c").over(up))
+    adjusted = (counts.withColumn("_m", df.agg(F.count(F.lit(1))).scalar()).withColumn("_rank", F.sum("_c").over(up))
                 .withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down)))
                 .select(p, out))
     return null_safe_join(df, adjusted, [p])
@@ -250,7 +252,7 @@ def mean_average_precision(ap: DataFrame, by: Sequence[str], null_size: int = 10
         (F.sum("_ap") / F.sum("weight")).alias("mean_average_precision"),
         (F.sum("_nap") / F.when(F.sum("_nn") > 0, F.sum("_nn"))).alias("mean_normalized_average_precision"),
         F.sum("weight").alias("n_rows"),
-        F.array_sort(F.collect_list(F.struct("n_pos_pairs", "n_total_pairs", "weight"))).alias("_cfg"))
+        F.sort_array(F.collect_list(F.struct("n_pos_pairs", "n_total_pairs", "weight"))).alias("_cfg"))
     spark = ap.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # Groups with the same make-up of pairs share nulls; keep them together.
@@ -294,7 +296,7 @@ def activity_summary(map_df: DataFrame, by: Sequence[str], compound: str, replic
         F.countDistinct(compound).alias("n_unique_compounds"))
     for col, name in ((nap, "median_nap"), (F.col(replicates).cast("double"), "median_n_replicates")):
         med = group_median(map_df.select(*by, col.alias("_x")), by, "_x", name)
-        stats = null_safe_join(stats, med, by) if by else stats.join(F.broadcast(med))
+        stats = null_safe_join(stats, med, by) if by else stats.withColumn(name, med.scalar())
     return stats
 
 
@@ -310,9 +312,9 @@ def filter_targets(df: DataFrame, targets: str, compound: str, negcon: str | Non
     rows = rows.filter(F.size(targets) > 0)
     exploded = rows.select(compound, F.explode(F.array_distinct(targets)).alias("_t")).distinct()
     enough = exploded.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_compounds).select("_t")
-    lists = exploded.join(enough, "_t").groupBy(compound).agg(F.array_sort(F.collect_list("_t")).alias("_kept"))
+    lists = exploded.join(enough, "_t").groupBy(compound).agg(F.sort_array(F.collect_list("_t")).alias("_kept"))
     joined = rows.join(lists, compound)
-    own = F.array_sort(F.array_intersect(targets, "_kept"))
+    own = F.sort_array(F.array_intersect(targets, "_kept"))
     return joined.withColumn(targets, own).drop("_kept").filter(F.size(targets) > 0)
 
 

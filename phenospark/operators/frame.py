@@ -75,6 +75,6 @@ def finite_or_null(x: Column) -> Column:
 
 def assemble(long: DataFrame, keys: Sequence[str], value_cols: Sequence[str], idx: str = "idx") -> DataFrame:
     """Per key, arrays ordered by feature position. Group size is the feature count, not the rows."""
-    packed = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(idx, *value_cols))).alias("_p"))
+    packed = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(idx, *value_cols))).alias("_p"))
     pick = lambda c: F.transform("_p", lambda s: s[c])
     return packed.select(*keys, *[pick(c).alias(c) for c in value_cols])

@@ -93,9 +93,9 @@ def moment_table(pf: ProfileFrame, keys: Sequence[str] = (), where: Column | Non
     parts = rows.mapInArrow(partials, schema)
     cells = (parts.select(*keys, "i", F.posexplode("g").alias("j", "v"))
              .groupBy(*keys, "i", "j").agg(F.sum("v").alias("v")))
-    by_row = cells.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r"))
+    by_row = cells.groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r"))
     by_row = by_row.select(*keys, "i", F.transform("r", lambda s: s["v"]).alias("r"))
-    whole = by_row.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("m"))
+    whole = by_row.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("m"))
     return whole.select(*keys, F.flatten(F.transform("m", lambda s: s["r"])).alias("moments"))
 
 

@@ -93,9 +93,9 @@ def sample_picks(scores: DataFrame, id_col: str, score: str) -> DataFrame:
     """The worst, median and best sample: three rows found by running counts, not by one sorted partition."""
     from phenospark.operators.ordered import ordinal_rank
 
-    total = scores.agg(F.count(F.lit(1)).alias("_n"))
+    total = scores.agg(F.count(F.lit(1))).scalar()
     ranked = ordinal_rank(scores.select(id_col, score, F.lit(0).alias("_all")), ["_all"], score, id_col, "_rn").drop("_all")
     pick = (F.when(F.col("_rn") == 1, "worst").when(F.col("_rn") == F.col("_n"), "best")
             .when(F.col("_rn") == F.floor(F.col("_n") / 2) + 1, "median"))
-    return (ranked.join(F.broadcast(total)).withColumn("pick", pick).filter(F.col("pick").isNotNull())
+    return (ranked.withColumn("_n", total).withColumn("pick", pick).filter(F.col("pick").isNotNull())
             .drop("_rn", "_n"))

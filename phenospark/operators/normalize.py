@@ -19,7 +19,7 @@ def fit_rows(pf: ProfileFrame, batch: Sequence[str], control: Column | None) ->
         return pf.df
     flagged = pf.df.withColumn("_ctl", F.coalesce(control, F.lit(False)))
     has = flagged.groupBy(*batch).agg(F.max("_ctl").alias("_has"))
-    joined = null_safe_join(flagged, has, batch) if batch else flagged.join(F.broadcast(has))
+    joined = null_safe_join(flagged, has, batch) if batch else flagged.withColumn("_has", has.scalar())
     return joined.filter("_ctl OR NOT _has").drop("_ctl", "_has")
 
 
@@ -28,8 +28,11 @@ def _scaled(pf: ProfileFrame, stats: DataFrame, batch: Sequence[str], epsilon: f
 
     The arrays are joined on the batch; AQE picks broadcast from the measured size and splits hot batches.
     """
-    arrays = assemble(stats, batch, ["centre", "scale"]) if batch else assemble(stats, [], ["centre", "scale"])
-    joined = null_safe_join(pf.df, arrays, batch, "left") if batch else pf.df.join(F.broadcast(arrays), how="left")
+    arrays = assemble(stats, batch, ["centre", "scale"])
+    if batch:
+        joined = null_safe_join(pf.df, arrays, batch, "left")
+    else:
+        joined = pf.df.withColumns({c: arrays.select(c).scalar() for c in ("centre", "scale")})
     scaled = F.transform("features", lambda x, i: (finite_or_null(x) - F.get(F.col("centre"), i))
                          / (F.get(F.col("scale"), i) + F.lit(epsilon)))
     return pf.with_df(joined.withColumn("features", scaled).drop("centre", "scale"))
@@ -53,7 +56,7 @@ def robust_statistics(pf: ProfileFrame, batch: Sequence[str] = (), control: Colu
     sizes = rows.df.select(*batch)
     centre = group_median(rows.long(*batch), [*batch, "idx"], "value", "centre", sizes=sizes, **kw)
     centres = assemble(centre, batch, ["centre"])
-    near = null_safe_join(rows.df, centres, batch) if batch else rows.df.join(F.broadcast(centres))
+    near = null_safe_join(rows.df, centres, batch) if batch else rows.df.withColumn("centre", centres.scalar())
     deviation = F.transform("features", lambda x, i: F.abs(finite_or_null(x) - F.get(F.col("centre"), i)))
     spread = group_median(rows.with_df(near.withColumn("features", deviation)).long(*batch), [*batch, "idx"],
                           "value", "mad", sizes=sizes, **kw)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from phenospark.operators.linalg import to_matrix
+from phenospark.session import materialize
 
 RESOLUTION = 1e-6
 BLOCK_ROWS = 1024
@@ -67,7 +68,7 @@ def _tiles(queries: DataFrame, refs: DataFrame, block: int) -> DataFrame:
     sizes = n_blocks(queries, "_nq").join(n_blocks(refs, "_nr"), "_k")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n).cast("bigint")).cast("int")
-    body = ["_id", "_v", "_codes", "_labels", "_thr"]
+    body = ["_id", "_v", "_codes", "_labels", "_thr", (F.col("_nr") == 1).alias("_whole")]
     q = (queries.join(sizes, "_k").withColumn("_qb", own("_nq")).withColumn("_rb", spread("_nr"))
          .select(F.xxhash64("_k", "_qb", "_rb").alias("_tile"), F.lit(0).alias("_tag"), *body))
     r = (refs.join(sizes, "_k").withColumn("_rb", own("_nr")).withColumn("_qb", spread("_nq"))
@@ -148,6 +149,7 @@ def _tile_steps(rows: pa.RecordBatch, width: int, metric: str, resolution: float
         at.append(np.repeat(np.arange(s, m), per_row))
         steps.append(found.ravel() if kept == found.size else found[ok])
         held += kept
+        # Portions end at tile borders, so a query's answer for a tile is never split.
         if held > PAIRS_AT_ONCE:
             yield np.concatenate(at), sign * np.concatenate(steps)
             at, steps, held = [], [], 0
@@ -216,25 +218,41 @@ def _scan(queries: DataFrame, refs: DataFrame, width: int, metric: str, resoluti
                     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                     offsets = pa.array(np.r_[first, len(row)].astype(np.int32))
                     pack = lambda v: pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(row[first])), pack(level), pack(count)],
-                                                     names=["_id", *value_names])
+                    at_first = pa.array(row[first])
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(2).take(at_first), rows.column(7).take(at_first), pack(level), pack(count)],
+                        names=["_id", "_whole", *value_names])
 
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([tiles.schema["_id"], *[T.StructField(n, longs) for n in value_names]])
-    out = tiles.mapInArrow(run, schema).select("_id", F.inline(F.arrays_zip(*value_names)))
-    return out.groupBy("_id", value_names[0]).agg(F.sum(value_names[1]).alias(value_names[1]))
+    schema = T.StructType([tiles.schema["_id"], tiles.schema["_whole"], *[T.StructField(n, longs) for n in value_names]])
+    return _merged(materialize(tiles.mapInArrow(run, schema), "tiles"), *value_names)
+
+
+def _merged(raw: DataFrame, step: str, value: str) -> DataFrame:
+    """One ascending list of (step, value) per query.
+
+    A query whose references lie in one tile has its list already; lists of several tiles are summed per step.
+    """
+    whole = raw.filter("_whole").select("_id", F.sort_array(F.arrays_zip(step, value)).alias("_list"))
+    rest = raw.filter("NOT _whole")
+    if rest.isEmpty():
+        return whole
+    flat = rest.select("_id", F.inline(F.arrays_zip(step, value)))
+    sums = flat.groupBy("_id", step).agg(F.sum(value).alias(value))
+    lists = sums.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(step, value))).alias("_list"))
+    return whole.unionByName(lists)
 
 
 def similarity_histogram(queries: DataFrame, refs: DataFrame, width: int, metric: str = "cosine",
                          resolution: float = RESOLUTION, block: int = BLOCK_ROWS) -> DataFrame:
-    """(_id, step, n): partners of each query per similarity step."""
+    """(_id, _list of (step, n)): partners of each query per similarity step, ascending."""
     answer = lambda at, steps, _: _count_steps(at, steps)
     return _scan(queries, refs, width, metric, resolution, block, False, 1, answer, ("step", "n"))
 
 
 def count_above(queries: DataFrame, refs: DataFrame, width: int, metric: str = "cosine", resolution: float = RESOLUTION,
                 block: int = BLOCK_ROWS, exclude_shared_labels: bool = False, sign: int = 1, or_equal: bool = False) -> DataFrame:
-    """(_id, step, above): partners more similar than each threshold of the query (``or_equal``: at least as similar).
+    """(_id, _list of (step, above)): partners beyond each threshold of the query (``or_equal``: or on it).
 
     ``sign=-1`` ranks by dissimilarity; thresholds are then given for the negated similarity.
     """
@@ -244,8 +262,8 @@ def count_above(queries: DataFrame, refs: DataFrame, width: int, metric: str = "
 
 def partner_counts(queries: DataFrame, refs: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """Queries with the size of their reference group (an upper bound of their partners)."""
-    sizes = refs.groupBy(*[F.col(k).alias(f"_{out}_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(out))
     if not keys:
-        return queries.join(F.broadcast(sizes))
+        return queries.withColumn(out, refs.agg(F.count(F.lit(1))).scalar())
+    sizes = refs.groupBy(*[F.col(k).alias(f"_{out}_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(out))
     cond = [queries[k] == sizes[f"_{out}_{k}"] for k in keys]
     return queries.join(sizes, cond, "left").drop(*[f"_{out}_{k}" for k in keys]).fillna(0, [out])

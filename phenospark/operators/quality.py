@@ -63,18 +63,17 @@ def malformed_keys(df: DataFrame, key: str, parts: int = 5, sep: str = "__") ->
 
 def compare_variants(keys: DataFrame, variant: str, key: str, canonical: DataFrame) -> DataFrame:
     """Per variant: missing and extra keys against the canonical set, and whether the digests agree."""
-    names = keys.select(variant).distinct()
     wanted = canonical.select(key).distinct()
     have = keys.select(variant, key).distinct()
-    flags = (have.withColumn("_h", F.lit(1)).unionByName(
-        wanted.join(F.broadcast(names)).select(variant, key).withColumn("_h", F.lit(0)))
-        .groupBy(variant, key).agg(F.max("_h").alias("_h"), F.min("_h").alias("_c")))
-    counts = flags.groupBy(variant).agg(
-        F.sum("_h").alias("n_keys"), F.count_if(F.col("_h") == 0).alias("n_missing"),
-        F.count_if(F.col("_c") == 1).alias("n_extra"))
-    target = set_digest(wanted, F.col(key)).select(F.col("digest").alias("_d"))
-    digests = set_digest(have, F.col(key), [variant]).join(F.broadcast(target))
-    return counts.join(digests.select(variant, (F.col("digest") == F.col("_d")).alias("same_digest")), variant)
+    flagged = have.join(wanted.withColumn("_c", F.lit(True)), key, "left")
+    n_wanted = wanted.agg(F.count(F.lit(1))).scalar()
+    known = F.count("_c")
+    counts = flagged.groupBy(variant).agg(F.count(F.lit(1)).alias("n_keys"), known.alias("_known"),
+                                          (F.count(F.lit(1)) - known).alias("n_extra"))
+    counts = counts.withColumn("n_missing", n_wanted - F.col("_known")).drop("_known")
+    target = set_digest(wanted, F.col(key)).select("digest").scalar()
+    digests = set_digest(have, F.col(key), [variant]).select(variant, (F.col("digest") == target).alias("same_digest"))
+    return counts.join(digests, variant)
 
 
 def compare_inventory(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -87,15 +87,21 @@ def restrict_to_split(df: DataFrame, is_compound: Column, ids: DataFrame, key: s
 
 def nearest_threshold(df: DataFrame, wanted: float, col: str = "thresh") -> DataFrame:
     """Rows at the available threshold closest to the wanted one."""
-    pick = df.select(F.min_by(col, F.struct(F.abs(F.col(col) - wanted), F.col(col))).alias("_t"))
-    return df.join(F.broadcast(pick), F.col(col) == F.col("_t")).drop("_t")
+    pick = df.select(F.min_by(col, F.struct(F.abs(F.col(col) - wanted), F.col(col)))).scalar()
+    return df.filter(F.col(col) == pick)
 
 
 def percentile_band(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
-    """Rows between two percentiles of a column (one row of bounds is broadcast)."""
-    bounds = df.select(F.percentile(col, F.array(F.lit(low), F.lit(high))).alias("_b"))
-    return (df.join(F.broadcast(bounds), (F.col(col) >= F.col("_b")[0]) & (F.col(col) <= F.col("_b")[1]))
-            .drop("_b"))
+    """Rows between two percentiles of a column."""
+    from phenospark.operators.aggregate import group_quantiles
+
+    bounds = with_row(df, group_quantiles(df.select(col), [], col, [low, high], ["lo", "hi"]), "_b")
+    return bounds.filter(F.col(col).between(F.col("_b.lo"), F.col("_b.hi"))).drop("_b")
+
+
+def with_row(df: DataFrame, one: DataFrame, name: str) -> DataFrame:
+    """Adds a one-row table as a struct column (a scalar subquery, not a join)."""
+    return df.withColumn(name, one.select(F.struct(*one.columns)).scalar())
 
 
 def min_group_size(df: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from phenospark.operators.relational import with_row
+
 
 def best_row(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str], largest: bool = True) -> DataFrame:
     """The row with the best score per group; ties go to the largest tie key. Combines map-side."""
@@ -49,9 +51,8 @@ def with_selection_score(df: DataFrame, pa: str, pc: str, mode: str = "balanced"
     if mode in ("pc", "pc_nap"):
         return df.withColumn(out, F.col(pc))
     if mode == "nap_balanced":
-        tops = df.agg(F.max(pa).alias("_ma"), F.max(pc).alias("_mc"))
-        return (df.join(F.broadcast(tops))
-                .withColumn(out, F.try_divide(pa, "_ma") * F.try_divide(pc, "_mc")).drop("_ma", "_mc"))
+        top = with_row(df, df.agg(F.max(pa).alias("a"), F.max(pc).alias("c")), "_top")
+        return top.withColumn(out, F.try_divide(F.col(pa), F.col("_top.a")) * F.try_divide(F.col(pc), F.col("_top.c"))).drop("_top")
     raise ValueError(f"unknown mode {mode!r}")
 
 
