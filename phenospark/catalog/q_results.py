@@ -97,8 +97,6 @@ def _(t):
 @query("exp_10_saturation")
 def _(t):
     """Nested subsamples of several sizes and seeds scored in one plan: (n, seed) is part of the key."""
-    from phenospark.operators.select import outlier_statistics  # noqa: F401  (same statistics as the filters use)
-
     rank = rel.hash_order(["compound", "seed"], 7)
     seeds = t.profiles.filter("NOT negcon").select("compound").distinct().withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     scored = seeds.withColumn("_u", F.pmod(rank, F.lit(1_000_000)) / 1_000_000)
