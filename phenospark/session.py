@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,3 +58,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; in local mode the workers see it already."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_phenospark_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as folder:
+        copy = os.path.join(folder, "copy")
+        shutil.copytree(os.path.join(root, "phenospark"), os.path.join(copy, "phenospark"), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "phenospark"), "zip", copy))
+    context._phenospark_shipped = True
