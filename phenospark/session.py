@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -66,8 +67,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.master.startswith("local[") or context.master == "local" or getattr(context, "_phenospark_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as folder:
-        copy = os.path.join(folder, "copy")
-        shutil.copytree(os.path.join(root, "phenospark"), os.path.join(copy, "phenospark"), ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(os.path.join(folder, "phenospark"), "zip", copy))
+    folder = tempfile.mkdtemp(prefix="phenospark-ship-")  # the driver serves the archive from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = os.path.join(folder, "copy")
+    shutil.copytree(os.path.join(root, "phenospark"), os.path.join(copy, "phenospark"), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "phenospark"), "zip", copy))
     context._phenospark_shipped = True
