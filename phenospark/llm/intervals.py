@@ -16,11 +16,18 @@ from phenospark.llm.texts import Stage
 FAN = 16
 
 
-def number_blocks(blocks: DataFrame) -> DataFrame:
-    """Adds ``block``: 0, 1, ... in the order of (part, idx); ``part`` has as many values as the sort had partitions."""
-    sizes = blocks.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
-    return blocks.join(before, "part").withColumn("block", F.col("before") + F.col("idx")).drop("before", "part", "idx")
+def ranked_blocks(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The rows with ``block``: consecutive numbers of runs of ``limit`` rows in the given order.
+
+    Positions are counted within the sort's partitions and shifted by the sizes of earlier ones; the only window runs over
+    one row per partition.
+    """
+    parts = max(1, -(-rows.count() // (16 * limit)))
+    sorted_ = Stage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    placed = sorted_.df.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit(2**33 - 1)))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return placed.join(before, "part").withColumn("block", F.floor((F.col("before") + F.col("at")) / limit)).drop("before", "part", "at")
 
 
 def close_pairs(blocks: DataFrame, bounds: dict[str, Callable[[str], Column]], may_match: Callable[[str, str], Column], n_blocks: int) -> DataFrame:

@@ -6,8 +6,8 @@ place. Consecutive windows mostly share an anchor; such a run is a segment.
 
 1. Tasks send the anchors' hashes to buckets by hash, as packed arrays (one row per task flush and bucket). A bucket tells
    each text which of its anchors occur elsewhere as well.
-2. Texts with such anchors send their segments on; equal segments are aggregated before and after the shuffle, so a hot
-   passage or a large group of copies is one row. Anchors with over ``hot`` occurrences are sent window by window, keyed by
+2. Texts with such anchors send their segments on; a task sends the text of equal segments once, with their number and
+   smallest and largest document, so a hot passage or a large group of copies is one row per task. Anchors with over ``hot`` occurrences are sent window by window, keyed by
    the window's own content, so no key can gather many different segments.
 3. A shard (a bounded number of keys) holds all segments of its keys and decides with the operator's own index. Since all
    occurrences of a window meet in one shard, the answer is exact.
@@ -16,19 +16,22 @@ place. Consecutive windows mostly share an anchor; such a run is a segment.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from phenospark.llm import texts as tx
 
 ANCHOR_SCHEMA = "bucket int, order_ids binary, rids binary, counts binary, hashes binary"
 REPLY_SCHEMA = "order_id long, rid long, anchors binary, hot binary"
-SEGMENT_SCHEMA = "anchor long, sid long, order_id long, rid long, start long, segment binary"
+SEGMENT_SCHEMA = "anchor long, sid long, order_id long, rid long, start long, segment binary, n long, first long, last long"
 FLAG_SCHEMA = "anchor long, sid long, found binary"
 FLUSH = 2_000_000
+FLUSH_BYTES, FLUSH_SEGMENTS = 24 << 20, 250_000
 
 
 def _ids(batch, name) -> np.ndarray:
@@ -93,63 +96,96 @@ def _recurring(table: pa.Table, unit, hot: int) -> pa.Table:
     return pa.table([pa.array(out["order_id"], pa.int64()), pa.array(out["rid"], pa.int64()), pa.array(out["anchors"], pa.binary()), pa.array(out["hot"], pa.binary())], names=list(out))
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(wanted, values)
+    at[at == len(wanted)] = 0
+    return wanted[at] == values
+
+
+class _SegmentRows:
+    """Rows of one flush: every occurrence, and with the first one of each segment its text and totals."""
+
+    def __init__(self):
+        self.cols = {k: [] for k in ("anchor", "sid", "order_id", "rid", "start")}
+        self.seen: dict[tuple[int, bytes], list] = {}
+        self.bytes = 0
+
+    def add(self, anchor: int, segment: bytes, order_id: int, rid: int, start: int) -> None:
+        got = self.seen.get((anchor, segment))
+        if got is None:
+            sid = xxhash.xxh64_intdigest(segment) - 2**63
+            self.seen[anchor, segment] = [len(self.cols["sid"]), 1, order_id, order_id, sid]
+            self.bytes += len(segment)
+        else:
+            sid = got[4]
+            got[1] += 1
+            if order_id < got[2]:
+                got[2] = order_id
+            elif order_id > got[3]:
+                got[3] = order_id
+        for k, v in zip(self.cols.values(), (anchor, sid, order_id, rid, start)):
+            k.append(v)
+
+    def batches(self, rows: int = 20_000):
+        n = len(self.cols["sid"])
+        more = {k: [None] * n for k in ("segment", "n", "first", "last")}
+        for (_, segment), (at, count, first, last, _) in self.seen.items():
+            for k, v in zip(more.values(), (segment, count, first, last)):
+                k[at] = v
+        batch = pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in self.cols.values()), pa.array(more["segment"], pa.binary()), *(pa.array(more[k], pa.int64()) for k in ("n", "first", "last"))], names=[*self.cols, *more])
+        for lo in range(0, n, rows):
+            yield batch.slice(lo, rows)
+
+
 def _segment_rows(batches, unit):
     """Segments whose anchor recurs; windows of hot anchors each on their own."""
+    out = _SegmentRows()
     for batch, texts in tx.text_chunks(batches, limit=1 << 20):
-        order, rid = _ids(batch, "order_id"), _ids(batch, "rid")
-        replies = [[np.frombuffer(b, dtype=np.uint64) for b in got or []] for got in batch.column(batch.schema.get_field_index("anchors")).to_pylist()]
-        hots = [[np.frombuffer(b, dtype=np.uint64) for b in got or []] for got in batch.column(batch.schema.get_field_index("hot")).to_pylist()]
-        out = {k: [] for k in ("anchor", "order_id", "rid", "start", "segment")}
+        order, rid = _ids(batch, "order_id").tolist(), _ids(batch, "rid").tolist()
+        known = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("anchors", "hot")}
+        known = {k: [np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in got])) if got else None for got in v] for k, v in known.items()}
         for which, s0, s1, view, h in unit.anchors(texts):
             for lo, hi in zip(*tx.runs_of(which)):
                 d = int(which[lo])
-                if not replies[d]:
+                if known["anchors"][d] is None:
                     continue
-                wanted, hot = np.concatenate(replies[d]), np.concatenate(hots[d])
-                own = h[lo:hi + 1]
-                is_hot = np.isin(own, hot)
-                for i in lo + np.flatnonzero(np.isin(own, wanted)):
-                    a, b = int(s0[i]), int(s1[i])
-                    pieces = [(a, b)] if not is_hot[i - lo] else [(x, x) for x in range(a, b + 1)]
-                    for x, y in pieces:
-                        segment = view.segment(d, x, y)
-                        out["anchor"].append(int(h[i].astype(np.int64)) if not is_hot[i - lo] else int.from_bytes(unit.digest(segment), "little", signed=True))
-                        out["order_id"].append(int(order[d]))
-                        out["rid"].append(int(rid[d]))
-                        out["start"].append(x)
-                        out["segment"].append(segment)
-                if len(out["anchor"]) > 20_000:
-                    yield _segments(out)
-                    out = {k: [] for k in out}
-        if out["anchor"]:
-            yield _segments(out)
-
-
-def _segments(out) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[k], pa.binary() if k == "segment" else pa.int64()) for k in out], names=list(out))
-
-
-def repeated_windows(docs: DataFrame, unit, decide: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                at = lo + np.flatnonzero(_among(h[lo:hi + 1], known["anchors"][d]))
+                hot = _among(h[at], known["hot"][d])
+                for key, start, segment in zip(h[at[~hot]].view(np.int64).tolist(), s0[at[~hot]].tolist(), view.segments(d, s0[at[~hot]], s1[at[~hot]])):
+                    out.add(key, segment, order[d], rid[d], start)
+                for i in at[hot]:
+                    each = np.arange(s0[i], s1[i] + 1)
+                    for start, segment in zip(each.tolist(), view.segments(d, each, each)):
+                        out.add(int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True), segment, order[d], rid[d], start)
+        if out.bytes > FLUSH_BYTES or len(out.seen) > FLUSH_SEGMENTS:
+            yield from out.batches()
+            out = _SegmentRows()
+    yield from out.batches()
+
+
+def repeated_windows(docs: DataFrame, unit, decide: Callable[[pa.Table], pa.Table],
                      hot: int = 20_000, bucket_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> tuple[DataFrame, list]:
     """Per text with repeated windows: order_id, rid, spans array<struct<start, found>>; and the tables to drop later.
 
     ``unit`` cuts texts into windows; ``decide`` gets all distinct segments of a shard as (anchor, sid, segment, n, first,
     last) and answers FLAG_SCHEMA rows: which windows of which segment are repeated.
     """
-    size = tx.text_bytes(docs)
+    spark, size = docs.sparkSession, tx.text_bytes(docs)
     buckets, shards = tx.parts(size, bucket_bytes, 8), tx.parts(size, shard_bytes, 8)
     rows = tx.identified(docs)
     sent = rows.mapInArrow(lambda it: _anchor_rows(it, unit, buckets), ANCHOR_SCHEMA)
     replies = sent.groupBy("bucket").applyInArrow(lambda t: _recurring(t.drop(["bucket"]), unit, hot), REPLY_SCHEMA)
     known = tx.Stage(replies.groupBy("order_id", "rid").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")), "anchors")
     cut = rows.join(known.df, ["order_id", "rid"])
-    segments = tx.Stage(
-        cut.mapInArrow(lambda it: _segment_rows(it, unit), "anchor long, order_id long, rid long, start long, segment binary")
-        .withColumn("sid", F.xxhash64("segment")), "segments")
+    segments = tx.Stage(cut.mapInArrow(lambda it: _segment_rows(it, unit), SEGMENT_SCHEMA), "segments")
     known.drop()
-    distinct = segments.df.groupBy("anchor", "sid", "segment").agg(F.count("*").alias("n"), F.min("order_id").alias("first"), F.max("order_id").alias("last"))
-    shard = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    flags = shard.groupBy("shard").applyInArrow(lambda t: decide(t.drop(["shard"])), FLAG_SCHEMA)
+    wanted = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shard = segments.df.where("segment is not null").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(wanted, "shard")
+    distinct = shard.groupBy("shard", "anchor", "sid", "segment").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    flags = distinct.groupBy("shard").applyInArrow(lambda t: decide(t.drop(["shard"])), FLAG_SCHEMA)
     spans = tx.Stage(
         segments.df.select("anchor", "sid", "order_id", "rid", "start").join(flags, ["anchor", "sid"])
         .groupBy("order_id", "rid").agg(F.collect_list(F.struct("start", "found")).alias("spans")), "spans")

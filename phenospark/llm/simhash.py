@@ -154,24 +154,13 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 20
     return forest
 
 
-def _blocks(batches, limit):
-    """Distinct values of a sorted partition, cut into blocks."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    values = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-    values = (np.concatenate(values) if values else np.zeros(0, np.int64)).astype(np.int64).view(np.uint64)
-    values = np.sort(values)
-    rows = [values[i:i + limit] for i in range(0, len(values), limit)]
-    ints = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64()), ints([r[0] for r in rows]), ints([r[-1] for r in rows]), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "idx", "lo", "hi", "fps"])
-
-
 def _pair_links(batches, budget):
     for batch in batches:
-        for a, b, left, right in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("a", "b", "a_fps", "b_fps"))):
-            x = np.frombuffer(left, dtype=np.uint64)
-            y = None if a == b else np.frombuffer(right, dtype=np.uint64)
+        a, b, left, right = (batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "a_fps", "b_fps"))
+        for i in range(batch.num_rows):
+            same = a[i].as_py() == b[i].as_py()
+            x, y = (np.sort(side[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for side in (left, right))
+            y = None if same else y
             label = trie_links(x, y, budget).label
             both = x if y is None else np.concatenate((x, y))
             moved = np.flatnonzero(label != np.arange(len(label)))
@@ -197,21 +186,14 @@ def _prefix_near(budget: int):
 
 def fingerprint_groups(fps: DataFrame, budget: int = 4, block: int = 16_384) -> tuple[DataFrame, list[tx.Stage]]:
     """(fp, root) for every fingerprint that links with another one; ``fps`` has a column fp (long)."""
-    spark = fps.sparkSession
-    distinct = tx.Stage(fps.select("fp").distinct(), "fps")
-    n = distinct.df.count()
-    ranged = distinct.df.repartitionByRange(tx.parts(n, 16 * block), _sortable("fp"))
-    blocks = tx.Stage(ranged.mapInArrow(lambda it: _blocks(it, block), "part int, idx long, lo long, hi long, fps binary"), "blocks")
-    numbered = intervals.number_blocks(blocks.df)
+    ranked = intervals.ranked_blocks(fps.select("fp").distinct(), [_sortable("fp")], block)
+    blocks = tx.Stage(ranked.groupBy("block").agg(F.min_by("fp", _sortable("fp")).alias("lo"), F.max_by("fp", _sortable("fp")).alias("hi"), F.collect_list("fp").alias("fps")), "blocks")
     n_blocks = blocks.df.count()
-    if not n_blocks:
-        return spark.createDataFrame([], "fp long, root long"), [distinct, blocks]
     bounds = {"lo": lambda c: F.min_by("lo", _sortable("lo")), "hi": lambda c: F.max_by("hi", _sortable("hi"))}
-    pairs = intervals.close_pairs(numbered, bounds, _prefix_near(budget), n_blocks)
-    edges = intervals.with_contents(pairs, numbered, ["fps"], per_task=2).mapInArrow(lambda it: _pair_links(it, budget), "src long, dst long")
+    pairs = intervals.close_pairs(blocks.df, bounds, _prefix_near(budget), n_blocks)
+    edges = intervals.with_contents(pairs, blocks.df, ["fps"], per_task=2).mapInArrow(lambda it: _pair_links(it, budget), "src long, dst long")
     groups, stages = components.connected_components(edges)
     blocks.drop()
-    distinct.drop()
     return groups.select(F.col("node").alias("fp"), F.col("component").alias("root")), stages
 
 

@@ -11,7 +11,7 @@ one document: they do not remove each other's words.
 
 from __future__ import annotations
 
-import hashlib
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -31,8 +31,9 @@ class WordUnit:
 
     def anchors(self, texts: list[bytes]):
         """Runs of windows with one anchor: (text, first start, last start, view, anchor hash), in blocks of windows."""
-        words = tx.Words(texts)
+        words = tx.Words([b" ".join(t.split()) for t in texts])
         h, owner = words.hashes(), words.text_of_words()
+        view = _WordView(words, self.width)
         last = words.first[1:][owner] - self.width if len(owner) else owner
         for lo in range(0, len(h), self.block):
             part = h[lo:lo + self.block + self.width - 1]
@@ -45,41 +46,45 @@ class WordUnit:
                 continue
             a, b = tx.runs_of(at * (len(texts) + 1) + owner[lo + starts])
             first_word = words.first[owner[lo + starts[a]]]
-            yield owner[lo + starts[a]], lo + starts[a] - first_word, lo + starts[b] - first_word, _WordView(words, self.width), grams[at[a]]
-
-    @staticmethod
-    def digest(segment: bytes) -> bytes:
-        return hashlib.blake2b(segment, digest_size=8).digest()
+            yield owner[lo + starts[a]], lo + starts[a] - first_word, lo + starts[b] - first_word, view, grams[at[a]]
 
 
 class _WordView:
     def __init__(self, words: tx.Words, width: int):
-        self.words, self.width = words, width
+        self.words, self.width, self.raw = words, width, words.buf.tobytes()
+
+    def segments(self, text: int, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        w, raw, base = self.words, self.raw, self.words.first[text]
+        return [raw[a:b] for a, b in zip(w.starts[base + first].tolist(), w.ends[base + last + self.width - 1].tolist())]
+
+
+class _Codes(dict):
+    """A character for each word, in order of first sight."""
 
-    def segment(self, text: int, first: int, last: int) -> bytes:
-        w = self.words
-        i, j = w.first[text] + first, w.first[text] + last + self.width
-        raw = w.buf[w.starts[i]:w.ends[j - 1]].tobytes()
-        return b" ".join(raw.split())
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        code = self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return code
 
 
 def _locate(width: int, block_bytes: int):
     def decide(table: pa.Table) -> pa.Table:
         anchors, sids, found = [], [], []
         for block in repeats.blocks_of_keys(table, block_bytes):
-            codes: dict[bytes, str] = {}
-            lines = []
-            for segment in block.column("segment").to_pylist():
-                lines.append("".join([codes.setdefault(w, chr(len(codes) + (0xE000 if len(codes) >= 0xD000 else 1))) for w in segment.split(b" ")]))
+            code = _Codes().__getitem__
+            lines = ["".join(map(code, segment.split(b" "))) for segment in block.column("segment").to_pylist()]
             first, last = block.column("first").to_pylist(), block.column("last").to_pylist()
             least: dict[str, int] = {}
             most: dict[str, int] = {}
             for line, a, b in zip(lines, first, last):
                 for i in range(len(line) - width + 1):
                     phrase = line[i:i + width]
-                    if least.setdefault(phrase, a) > a:
+                    if phrase not in least:
+                        least[phrase], most[phrase] = a, b
+                        continue
+                    if least[phrase] > a:
                         least[phrase] = a
-                    if most.setdefault(phrase, b) < b:
+                    if most[phrase] < b:
                         most[phrase] = b
             automaton = ahocorasick.Automaton()
             for phrase, a in least.items():
@@ -103,23 +108,21 @@ def _strip(batches, width: int):
     for batch, texts in tx.text_chunks(batches):
         order = batch.column(batch.schema.get_field_index("order_id")).to_pylist()
         spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-        words = tx.Words(texts)
         out = {k: [] for k in ("order_id", "n_words", "n_removed", "kept")}
-        for d, (own, got) in enumerate(zip(order, spans)):
-            lo, n = int(words.first[d]), int(words.first[d + 1] - words.first[d])
-            gone = np.zeros(n, dtype=bool)
+        for own, got, text in zip(order, spans, texts):
+            words, gone = text.split(), 0
+            n = len(words)
             if got:
-                hits = [np.frombuffer(s["found"], dtype=np.int64).reshape(-1, 2) + (s["start"], 0) for s in got]
-                hits = np.concatenate(hits)
-                hits = hits[hits[:, 1] < own]
-                gone = tx.covered(n, hits[:, 0], hits[:, 0] + width)
-            raw = words.buf[words.starts[lo]:words.ends[lo + n - 1]].tobytes().split() if n else []
-            if gone.any():
-                raw = [raw[i] for i in np.flatnonzero(~gone)]
+                hits = np.concatenate([np.frombuffer(s["found"], dtype=np.int64).reshape(-1, 2) + (s["start"], 0) for s in got])
+                hits = hits[hits[:, 1] < own, 0]
+                if len(hits):
+                    stays = ~tx.covered(n, hits, hits + width)
+                    words = list(compress(words, stays.tolist()))
+                    gone = n - len(words)
             out["order_id"].append(own)
             out["n_words"].append(n)
-            out["n_removed"].append(int(gone.sum()))
-            out["kept"].append(b" ".join(raw).decode("utf-8", "replace"))
+            out["n_removed"].append(gone)
+            out["kept"].append(b" ".join(words).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "kept" else pa.int64()) for k, v in out.items()], names=list(out))
 
 

@@ -10,8 +10,6 @@ Rows: one per input row. NULL text is empty. Matches never cross documents. Copi
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -43,26 +41,24 @@ class ByteUnit:
             a, b = tx.runs_of(at * (len(texts) + 1) + owner)
             yield owner[a], starts[a] - begins[owner[a]], starts[b] - begins[owner[a]], _ByteView(texts, self.width), grams[at[a]]
 
-    @staticmethod
-    def digest(segment: bytes) -> bytes:
-        return hashlib.blake2b(segment, digest_size=8).digest()
-
 
 class _ByteView:
     def __init__(self, texts: list[bytes], width: int):
         self.texts, self.width = texts, width
 
-    def segment(self, text: int, first: int, last: int) -> bytes:
-        return self.texts[text][first:last + self.width]
+    def segments(self, text: int, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        raw = self.texts[text]
+        return [raw[a:b] for a, b in zip(first.tolist(), (last + self.width).tolist())]
 
 
 class BlindTrie:
     """Patricia trie that stores branching depths and bytes only; a probe is compared once, with one leaf."""
 
-    __slots__ = ("strings", "root")
+    __slots__ = ("strings", "numbers", "root")
 
     def __init__(self, strings: list[bytes]):
         self.strings = strings
+        self.numbers = [int.from_bytes(s, "big") for s in strings]
         self.root: int | tuple = 0
         for i in range(1, len(strings)):
             self._insert(i)
@@ -73,13 +69,7 @@ class BlindTrie:
             depth, kids = node
             node = kids.get(new[depth]) if new[depth] in kids else next(iter(kids.values()))
         old = self.strings[node]
-        lo, hi = 0, len(new)
-        while lo < hi:  # longest common prefix
-            mid = (lo + hi + 1) // 2
-            if new[lo:mid] == old[lo:mid]:
-                lo = mid
-            else:
-                hi = mid - 1
+        lo = len(new) - ((self.numbers[i] ^ self.numbers[node]).bit_length() + 7) // 8  # longest common prefix
         parent, node = None, self.root
         while not isinstance(node, int) and node[0] < lo:
             parent, node = node, node[1][new[node[0]]]
@@ -103,6 +93,13 @@ class BlindTrie:
         return out
 
 
+def blind_order(rests: list[bytes]) -> list[int] | tuple:
+    """Order of different strings of one length; a trie of two leaves is one comparison."""
+    if len(rests) < 3:
+        return (0,) if len(rests) == 1 else (0, 1) if rests[0] < rests[1] else (1, 0)
+    return BlindTrie(rests).order()
+
+
 def suffix_order(text: bytes, positions: np.ndarray, width: int, shallow: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """The given positions in the order of their next ``width`` bytes, and whether each equals the one before it there.
 
@@ -143,7 +140,7 @@ def suffix_order(text: bytes, positions: np.ndarray, width: int, shallow: int =
             leaves.setdefault(text[p + done:p + width], []).append(p)
         rests = list(leaves)
         at = lo
-        for leaf in BlindTrie(rests).order() if len(rests) > 1 else (0,):
+        for leaf in blind_order(rests):
             members = leaves[rests[leaf]]
             order[at:at + len(members)] = members
             same[at + 1:at + len(members)] = True
