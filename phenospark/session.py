@@ -62,9 +62,9 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; in local mode the workers see it already."""
+    """Send this package to the Python workers, once per application, so that it need not be installed on them."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_phenospark_shipped", False):
+    if getattr(context, "_phenospark_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = tempfile.mkdtemp(prefix="phenospark-ship-")  # the driver serves the archive from here as long as it lives
