@@ -17,7 +17,7 @@ FAN = 16
 
 
 def ranked_blocks(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """The rows with ``block``: consecutive numbers of runs of ``limit`` rows in the given order.
+    """The rows with ``rank`` in the given order and ``block``: consecutive numbers of runs of ``limit`` rows.
 
     Positions are counted within the sort's partitions and shifted by the sizes of earlier ones; the only window runs over
     one row per partition.
@@ -27,7 +27,7 @@ def ranked_blocks(rows: DataFrame, order: list[Column], limit: int) -> DataFrame
     placed = sorted_.df.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit(2**33 - 1)))
     sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return placed.join(before, "part").withColumn("block", F.floor((F.col("before") + F.col("at")) / limit)).drop("before", "part", "at")
+    return placed.join(before, "part").withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / limit)).drop("before", "part", "at")
 
 
 def close_pairs(blocks: DataFrame, bounds: dict[str, Callable[[str], Column]], may_match: Callable[[str, str], Column], n_blocks: int) -> DataFrame:

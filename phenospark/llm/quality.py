@@ -196,6 +196,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, passage: int = 1024, model
     return rows.mapInArrow(lambda it: _score(it, sent.value, passage), "doc_id long, held_out boolean, score double")
 
 
+def _keep(batches, model: AttentionModel, passage: int, least: float):
+    for batch, texts in tx.text_chunks(batches, 1 << 20):
+        x, counts = passages(texts, passage)
+        yield batch.filter(pa.array(model.score(x, counts) >= least))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, passage: int = 1024, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with the columns of ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, passage))
+    return docs.mapInArrow(lambda it: _keep(it, sent.value, passage, least), docs.schema)
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     """The whole of documents; labels from labels.quality."""
     scored = score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -103,8 +103,23 @@ class Trie:
         return bounds[nodes], bounds[nodes + 1]
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 200_000, leaf: int = 16) -> Forest:
-    """Groups among a (and b, numbered after a) linked by at most ``budget`` differing bits, found by walking node pairs."""
+def _join_confirmed(forest: Forest, i: np.ndarray, j: np.ndarray, confirm) -> None:
+    open_ = forest.label[i] != forest.label[j]
+    i, j = i[open_], j[open_]
+    if confirm is not None and len(i):
+        for lo in range(0, len(i), 50_000):
+            ok = confirm(i[lo:lo + 50_000], j[lo:lo + 50_000])
+            forest.join(i[lo:lo + 50_000][ok], j[lo:lo + 50_000][ok])
+    elif len(i):
+        forest.join(i, j)
+
+
+def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 200_000, leaf: int = 16, confirm=None) -> Forest:
+    """Groups among a (and b, numbered after a) linked by at most ``budget`` differing bits, found by walking node pairs.
+
+    Values are sorted and may repeat. Pairs of nodes with up to ``leaf`` value pairs are compared value by value; larger
+    leaves pay when the budget is wide. ``confirm(i, j)`` may turn links down.
+    """
     left = Trie(a)
     right, shift = (left, 0) if b is None else (Trie(b), len(a))
     forest = Forest(len(a) + (0 if b is None else len(b)))
@@ -126,15 +141,20 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 20
         (x0, x1), (y0, y1) = left.span(depth, x), right.span(depth, y)
         few = ((x1 - x0) * (y1 - y0) <= leaf) | (depth == 64)
         if few.any():
-            for lo in range(0, int(few.sum()), chunk):
-                at = np.flatnonzero(few)[lo:lo + chunk]
+            small = few & ((x1 - x0) * (y1 - y0) <= 64)
+            for lo in range(0, int(small.sum()), chunk):
+                at = np.flatnonzero(small)[lo:lo + chunk]
                 nx, ny = (x1 - x0)[at], (y1 - y0)[at]
                 pair = np.repeat(np.arange(len(at)), nx * ny)
                 k = np.arange(len(pair)) - np.repeat(np.cumsum(nx * ny) - nx * ny, nx * ny)
                 i, j = x0[at][pair] + k // ny[pair], y0[at][pair] + k % ny[pair]
                 near = np.bitwise_count(left.values[i] ^ right.values[j]) <= budget
-                if near.any():
-                    forest.join(i[near], j[near] + shift)
+                _join_confirmed(forest, i[near], j[near] + shift, confirm)
+            for at in np.flatnonzero(few & ~small).tolist():
+                rows = max(1, chunk // int(y1[at] - y0[at]))
+                for lo in range(int(x0[at]), int(x1[at]), rows):
+                    i, j = np.nonzero(np.bitwise_count(left.values[lo:min(lo + rows, int(x1[at])), None] ^ right.values[None, y0[at]:y1[at]]) <= budget)
+                    _join_confirmed(forest, i + lo, j + y0[at] + shift, confirm)
             rest = ~few
             x, y, diff = x[rest], y[rest], diff[rest]
         if not len(x):
@@ -206,6 +226,96 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, block: int
     return rows.df.join(named, "fp")
 
 
+# ---- similar texts: the pipeline's stage ----------------------------------------------------------------------------
+
+BINS = 128
+
+
+def sketches(texts: list[bytes], width: int) -> tuple[np.ndarray, list[bytes]]:
+    """SimHash of each text's different words, and a one-permutation minimum sketch of its shingles of ``width`` words.
+
+    An edit touches few words but ``width`` times as many shingles, so fingerprints of words keep near copies close; the
+    sketch (a byte per bin, 0: empty) estimates the similarity of the shingles.
+    """
+    fps, marks = np.zeros(len(texts), dtype=np.uint64), []
+    for lo, hi in tx.chunked([len(t) for t in texts], 1 << 20):
+        words = tx.Words(texts[lo:hi], lower=True)
+        h, own = words.hashes(), words.text_of_words()
+        by = np.lexsort((h, own))
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[by][1:] != h[by][:-1]) | (own[by][1:] != own[by][:-1])
+        each, who = h[by][new], own[by][new]
+        sums, counts = np.zeros((hi - lo, 64), dtype=np.int64), np.bincount(who, minlength=hi - lo)
+        for a in range(0, len(each), 1 << 16):
+            bits = np.unpackbits(each[a:a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            first, _ = tx.runs_of(who[a:a + (1 << 16)])
+            sums[who[a:a + (1 << 16)][first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        fps[lo:hi] = np.packbits((2 * sums > counts[:, None]).astype(np.uint8), axis=1).view(">u8")[:, 0]
+        grams = tx.gram_hashes(h, width)
+        at = np.arange(len(grams))
+        inside = at + width <= words.first[1:][own[at]]
+        grams, at = grams[inside], own[at[inside]]
+        n_words = np.diff(words.first)
+        short = np.flatnonzero((n_words > 0) & (n_words < width))
+        whole = np.array([tx.gram_hashes(h[words.first[d]:words.first[d + 1]], int(n_words[d]))[0] for d in short], dtype=np.uint64)
+        grams, at = np.concatenate((grams, whole)), np.concatenate((at, short))
+        least = np.full((hi - lo) * BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        np.minimum.at(least, at * BINS + (grams % np.uint64(BINS)).astype(np.int64), grams)
+        byte = (tx.mix(least.copy()) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        byte[least == np.iinfo(np.uint64).max] = 0
+        marks += [row.tobytes() for row in byte.reshape(hi - lo, BINS)]
+    return fps, marks
+
+
+def _sketch_rows(batches, width):
+    for batch, texts in tx.text_chunks(batches, 4 << 20):
+        at = batch.schema.get_field_index
+        fps, marks = sketches(texts, width)
+        yield pa.RecordBatch.from_arrays([batch.column(at("order_id")), batch.column(at("rid")), pa.array(fps.view(np.int64), pa.int64()), pa.array(marks, pa.binary())], names=["order_id", "rid", "fp", "sketch"])
+
+
+def _similar_links(batches, budget, similarity):
+    for batch in batches:
+        col = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+        for row in range(batch.num_rows):
+            same = col["a"][row].as_py() == col["b"][row].as_py()
+            sides = []
+            for s in ("a_",) if same else ("a_", "b_"):
+                fps = col[f"{s}fps"][row].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                by = np.argsort(fps, kind="stable")
+                marks = np.frombuffer(b"".join(col[f"{s}sketches"][row].as_py()), dtype=np.uint8).reshape(-1, BINS)
+                sides.append((fps[by], col[f"{s}ranks"][row].values.to_numpy(zero_copy_only=False)[by], marks[by]))
+            ranks, marks = (np.concatenate([side[k] for side in sides]) for k in (1, 2))
+
+            def confirm(i, j, marks=marks):
+                x, y = marks[i], marks[j]
+                agree = ((x == y) & (x > 0)).sum(axis=1)
+                return agree >= similarity * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+
+            label = trie_links(sides[0][0], None if same else sides[1][0], budget, leaf=1 << 18, confirm=confirm).label
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(ranks[moved], pa.int64()), pa.array(ranks[label[moved]], pa.int64())], names=["src", "dst"])
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 7, block: int = 8_192) -> DataFrame:
+    """order_id, rid, component_id for every row of ``docs``: groups of texts whose word fingerprints differ in at most
+    ``budget`` bits and whose estimated similarity over shingles of ``width`` words is ``similarity`` less the sketch's
+    standard error (0.04), so that pairs at the limit are found. Texts without words are one group."""
+    rows = tx.Stage(tx.identified(docs).mapInArrow(lambda it: _sketch_rows(it, width), "order_id long, rid long, fp long, sketch binary"), "sketches")
+    distinct = rows.df.groupBy("fp", "sketch").agg(F.min("order_id").alias("least"))
+    ranked = tx.Stage(intervals.ranked_blocks(distinct, [_sortable("fp"), F.col("sketch")], block), "ranked")
+    listed = F.collect_list(F.struct("fp", "sketch", "rank"))
+    blocks = tx.Stage(ranked.df.groupBy("block").agg(F.min_by("fp", _sortable("fp")).alias("lo"), F.max_by("fp", _sortable("fp")).alias("hi"), listed.alias("x")).select("block", "lo", "hi", F.col("x.fp").alias("fps"), F.col("x.sketch").alias("sketches"), F.col("x.rank").alias("ranks")), "blocks")
+    bounds = {"lo": lambda c: F.min_by("lo", _sortable("lo")), "hi": lambda c: F.max_by("hi", _sortable("hi"))}
+    pairs = intervals.close_pairs(blocks.df, bounds, _prefix_near(budget), blocks.df.count())
+    edges = intervals.with_contents(pairs, blocks.df, ["fps", "sketches", "ranks"], per_task=2).mapInArrow(lambda it: _similar_links(it, budget, similarity - 0.04), "src long, dst long")
+    groups, _ = components.connected_components(edges)
+    blocks.drop()
+    known = ranked.df.select("fp", "sketch", "least", "rank").join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
+    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "sketch", "component_id")
+    return rows.df.join(named, ["fp", "sketch"]).select("order_id", "rid", "component_id")
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """The whole of documents with 4-word shingles and 4 differing bits."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

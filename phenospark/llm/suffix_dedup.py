@@ -229,6 +229,32 @@ def strip_repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, b
     return joined.mapInArrow(lambda it: _strip(it, width, whole_characters), STRIP_SCHEMA)
 
 
+def _rewrite(batches, width: int):
+    for batch, texts in tx.text_chunks(batches):
+        spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
+        kept = []
+        for got, raw in zip(spans, texts):
+            cuts = [(_forward(raw, a), _back(raw, b)) for a, b in zip(*(x.tolist() for x in removed_spans(got, len(raw), width)))]
+            edges = [0, *(x for cut in cuts if cut[0] < cut[1] for x in cut), len(raw)]
+            kept.append(b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])).decode())
+        names = batch.schema.names[:-1]
+        at = names.index("text")
+        columns = [batch.column(i) for i in range(len(names))]
+        nulls = columns[at].is_null().to_pylist()
+        columns[at] = pa.array([None if no else k for no, k in zip(nulls, kept)], pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def strip_texts(docs: DataFrame, width: int = 200) -> DataFrame:
+    """``docs`` with texts that lack the repeated strings (whole characters only); n_chars follows if there is one."""
+    spans, _ = repeats.repeated_windows(docs, ByteUnit(width), _decide(width, 2 << 20))
+    spans = spans.select(F.col("order_id").alias("__order"), F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
+    order, rid = F.coalesce(docs["doc_id"].cast("long"), F.lit(tx.LAST_ID)), F.xxhash64(docs["doc_id"], docs["text"])
+    keyed = docs.withColumns({"__order": order, "__rid": rid}).join(spans, ["__order", "__rid"], "left").select(*docs.columns, "__spans")
+    out = keyed.mapInArrow(lambda it: _rewrite(it, width), docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The whole of documents with strings of 200 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
