@@ -54,11 +54,9 @@ def _directions(classes: DataFrame, k: int, sample: int) -> np.ndarray:
 
 def _project(batches, directions: np.ndarray, epsilon: float):
     for batch in batches:
-        x = _unit(_matrix(batch.column(batch.schema.get_field_index("v"))))
-        lead = x @ directions
-        cells = np.floor(lead / epsilon).astype(np.int32)
+        lead = _unit(_matrix(batch.column(batch.schema.get_field_index("v")))) @ directions
         lists = lambda m, kind: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel(), kind))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("cid")), batch.column(batch.schema.get_field_index("n")), lists(x, pa.float64()), lists(lead, pa.float64()), lists(cells, pa.int32())], names=["cid", "n", "u", "lead", "cells"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists(lead, pa.float64()), lists(np.floor(lead / epsilon).astype(np.int32), pa.int32())], names=[*batch.schema.names, "lead", "cells"])
 
 
 def _boxes_apart(k: int, epsilon: float):
@@ -93,52 +91,53 @@ def _join_intervals(x, lead_x, y, lead_y, same, threshold, epsilon, leaf):
         stack += [(*u, *w) for u in halves(a, b) for w in halves(c, d)]
 
 
-def _pair_links(batches, width, k, threshold, epsilon, leaf):
+def _pair_links(batches, width, directions, threshold, epsilon, leaf):
     """(cid, links, root) for every class with links in a pair of blocks."""
-    for batch in batches:
-        col = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-        for row in range(batch.num_rows):
-            get = lambda n: col[n][row].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            same = col["a"][row].as_py() == col["b"][row].as_py()
-            sides = []
-            for s in ("a_",) if same else ("a_", "b_"):
-                cid, n, u, lead = get(f"{s}cid"), get(f"{s}n"), get(f"{s}u").reshape(-1, width), get(f"{s}lead").reshape(-1, k)
-                by = np.lexsort((cid, *np.floor(lead / epsilon).T[::-1]))
-                sides.append((cid[by], n[by], u[by], lead[by]))
-            left, right = sides[0], sides[-1]
-            shift = 0 if same else len(left[0])
-            cid = left[0] if same else np.concatenate((left[0], right[0]))
-            many = left[1] if same else np.concatenate((left[1], right[1]))
-            links, forest = np.zeros(len(cid), dtype=np.int64), Forest(len(cid))
-            for i, j in _join_intervals(left[2], left[3], right[2], right[3], same, threshold, epsilon, leaf):
-                j = j + shift
-                links += np.bincount(i, weights=many[j], minlength=len(cid)).astype(np.int64)
-                links += np.bincount(j, weights=many[i], minlength=len(cid)).astype(np.int64)
-                forest.join(i, j)
-            hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(cid[hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array(cid[forest.label[hit]], pa.int64())], names=["cid", "links", "root"])
+
+    def side(got):
+        cid, n, v = (x.to_numpy(zero_copy_only=False) for x in got)
+        unit = _unit(v.astype(np.float64).reshape(-1, width))
+        lead = unit @ directions
+        by = np.lexsort((cid, *np.floor(lead / epsilon).T[::-1]))
+        return cid[by], n[by], unit[by], lead[by]
+
+    holder, left = None, None
+    for own, other in intervals.partners(batches, ["cid", "n", "v"]):
+        if own is not holder:
+            holder, left = own, side(own)
+        right, same = (left, True) if other is None else (side(other), False)
+        shift = 0 if same else len(left[0])
+        cid, many = (left[k] if same else np.concatenate((left[k], right[k])) for k in (0, 1))
+        links, forest = np.zeros(len(cid), dtype=np.int64), Forest(len(cid))
+        for i, j in _join_intervals(left[2], left[3], right[2], right[3], same, threshold, epsilon, leaf):
+            j = j + shift
+            links += np.bincount(i, weights=many[j], minlength=len(cid)).astype(np.int64)
+            links += np.bincount(j, weights=many[i], minlength=len(cid)).astype(np.int64)
+            forest.join(i, j)
+        hit = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array(cid[forest.label[hit]], pa.int64())], names=["cid", "links", "root"])
 
 
 def _links(classes: DataFrame, width: int, threshold: float, k: int, block: int, leaf: int, sample: int) -> DataFrame:
     epsilon = float(np.sqrt(2 - 2 * threshold))
     k = min(k, width)
     directions = _directions(classes, k, sample)
-    lead = classes.mapInArrow(lambda it: _project(it, directions, epsilon), "cid long, n long, u array<double>, lead array<double>, cells array<int>")
+    lead = classes.select("cid", "n", "v").mapInArrow(lambda it: _project(it, directions, epsilon), f"{', '.join(f'{n} {t}' for n, t in classes.select('cid', 'n', 'v').dtypes)}, lead array<double>, cells array<int>")
     ranked = intervals.ranked_blocks(lead, [F.col("cells"), F.col("cid")], block)
     bounds = {}
     for d in range(k):
         bounds[f"lo{d}"] = lambda c: F.min(c)
         bounds[f"hi{d}"] = lambda c: F.max(c)
-    rows = F.collect_list(F.struct("cid", "n", "u", "lead"))
+    rows = F.collect_list(F.struct("cid", "n", "v"))
     packed = ranked.groupBy("block").agg(rows.alias("rows"), *(F.min(F.col("lead")[d]).alias(f"lo{d}") for d in range(k)), *(F.max(F.col("lead")[d]).alias(f"hi{d}") for d in range(k)))
-    blocks = tx.Stage(packed.select("block", F.col("rows.cid").alias("cid"), F.col("rows.n").alias("n"), F.flatten("rows.u").alias("u"), F.flatten("rows.lead").alias("lead"), *bounds), "blocks")
+    blocks = tx.Stage(packed.select("block", F.col("rows.cid").alias("cid"), F.col("rows.n").alias("n"), F.flatten("rows.v").alias("v"), *bounds), "blocks")
     n_blocks = blocks.df.count()
     pairs = intervals.close_pairs(blocks.df, bounds, _boxes_apart(k, epsilon), n_blocks)
-    return intervals.with_contents(pairs, blocks.df, ["cid", "n", "u", "lead"], per_task=12).mapInArrow(
-        lambda it: _pair_links(it, width, k, threshold, epsilon, leaf), "cid long, links long, root long")
+    return intervals.with_partners(pairs, blocks.df, ["cid", "n", "v"], n_blocks).mapInArrow(
+        lambda it: _pair_links(it, width, directions, threshold, epsilon, leaf), "cid long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, block: int = 512, leaf: int = 128, sample: int = 20_000) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 10, block: int = 2_048, leaf: int = 128, sample: int = 20_000) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     v = F.col("embedding").cast("array<double>")
     rows = tx.Stage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(_usable(v), F.col("embedding")).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")

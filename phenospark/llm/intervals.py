@@ -49,9 +49,28 @@ def close_pairs(blocks: DataFrame, bounds: dict[str, Callable[[str], Column]], m
     return pairs
 
 
-def with_contents(pairs: DataFrame, blocks: DataFrame, contents: list[str], per_task: int = 4) -> DataFrame:
-    """Each pair with the contents of both blocks, a few pairs to a task."""
-    stage = Stage(pairs, "pairs")
-    n = stage.df.count()
-    side = lambda p: blocks.select(F.col("block").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in contents))
-    return stage.df.join(side("a"), "a").join(side("b"), "b").repartition(max(1, -(-n // per_task)), "a", "b")
+def with_partners(pairs: DataFrame, blocks: DataFrame, contents: list[str], n_blocks: int) -> DataFrame:
+    """(owner, other, contents of other) for every pair, the owner's own row first; a block owns about half its pairs.
+
+    A task streams its owners' partners past them, so a block is sent once per pair and a task holds two blocks.
+    """
+    owned = pairs.select(F.when((F.col("a") + F.col("b")) % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("owner"), "a", "b")
+    owned = owned.select("owner", (F.col("a") + F.col("b") - F.col("owner")).alias("block"))
+    rows = owned.join(blocks.select("block", *contents), "block").select("owner", F.col("block").alias("other"), *contents)
+    return rows.repartition(max(1, 4 * n_blocks), "owner").sortWithinPartitions("owner", F.col("other") != F.col("owner"), "other")
+
+
+def partners(batches, contents: list[str]):
+    """(own contents, other's contents or None for the pair of a block with itself), as Arrow values."""
+    owner, own = None, None
+    for batch in batches:
+        col = [batch.column(batch.schema.get_field_index(n)) for n in ("owner", "other", *contents)]
+        for row in range(batch.num_rows):
+            now, other = col[0][row].as_py(), col[1][row].as_py()
+            got = [c[row].values for c in col[2:]]
+            if now == other:
+                owner, own = now, got
+                yield own, None
+            else:
+                assert now == owner, "a block comes before its partners"
+                yield own, got

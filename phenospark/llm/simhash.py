@@ -174,17 +174,21 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, chunk: int = 20
     return forest
 
 
+def _longs(values) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _edges(names: np.ndarray, forest: Forest) -> pa.RecordBatch:
+    """The forest's links as (name, name of the root)."""
+    moved = np.flatnonzero(forest.label != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int64()), pa.array(names[forest.label[moved]], pa.int64())], names=["src", "dst"])
+
+
 def _pair_links(batches, budget):
-    for batch in batches:
-        a, b, left, right = (batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "a_fps", "b_fps"))
-        for i in range(batch.num_rows):
-            same = a[i].as_py() == b[i].as_py()
-            x, y = (np.sort(side[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for side in (left, right))
-            y = None if same else y
-            label = trie_links(x, y, budget).label
-            both = x if y is None else np.concatenate((x, y))
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(both[moved].view(np.int64), pa.int64()), pa.array(both[label[moved]].view(np.int64), pa.int64())], names=["src", "dst"])
+    for own, other in intervals.partners(batches, ["fps"]):
+        x = np.sort(_longs(own[0]).view(np.uint64))
+        y = None if other is None else np.sort(_longs(other[0]).view(np.uint64))
+        yield _edges((x if y is None else np.concatenate((x, y))).view(np.int64), trie_links(x, y, budget))
 
 
 def _sortable(c: str):
@@ -211,7 +215,7 @@ def fingerprint_groups(fps: DataFrame, budget: int = 4, block: int = 16_384) ->
     n_blocks = blocks.df.count()
     bounds = {"lo": lambda c: F.min_by("lo", _sortable("lo")), "hi": lambda c: F.max_by("hi", _sortable("hi"))}
     pairs = intervals.close_pairs(blocks.df, bounds, _prefix_near(budget), n_blocks)
-    edges = intervals.with_contents(pairs, blocks.df, ["fps"], per_task=2).mapInArrow(lambda it: _pair_links(it, budget), "src long, dst long")
+    edges = intervals.with_partners(pairs, blocks.df, ["fps"], n_blocks).mapInArrow(lambda it: _pair_links(it, budget), "src long, dst long")
     groups, stages = components.connected_components(edges)
     blocks.drop()
     return groups.select(F.col("node").alias("fp"), F.col("component").alias("root")), stages
@@ -275,26 +279,21 @@ def _sketch_rows(batches, width):
 
 
 def _similar_links(batches, budget, similarity):
-    for batch in batches:
-        col = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-        for row in range(batch.num_rows):
-            same = col["a"][row].as_py() == col["b"][row].as_py()
-            sides = []
-            for s in ("a_",) if same else ("a_", "b_"):
-                fps = col[f"{s}fps"][row].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                by = np.argsort(fps, kind="stable")
-                marks = np.frombuffer(b"".join(col[f"{s}sketches"][row].as_py()), dtype=np.uint8).reshape(-1, BINS)
-                sides.append((fps[by], col[f"{s}ranks"][row].values.to_numpy(zero_copy_only=False)[by], marks[by]))
-            ranks, marks = (np.concatenate([side[k] for side in sides]) for k in (1, 2))
-
-            def confirm(i, j, marks=marks):
-                x, y = marks[i], marks[j]
-                agree = ((x == y) & (x > 0)).sum(axis=1)
-                return agree >= similarity * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
-
-            label = trie_links(sides[0][0], None if same else sides[1][0], budget, leaf=1 << 18, confirm=confirm).label
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(ranks[moved], pa.int64()), pa.array(ranks[label[moved]], pa.int64())], names=["src", "dst"])
+    def side(got):
+        fps = _longs(got[0]).view(np.uint64)
+        by = np.argsort(fps, kind="stable")
+        return fps[by], _longs(got[2])[by], np.frombuffer(b"".join(got[1].to_pylist()), dtype=np.uint8).reshape(-1, BINS)[by]
+
+    for own, other in intervals.partners(batches, ["fps", "sketches", "ranks"]):
+        sides = [side(got) for got in (own, other) if got is not None]
+        ranks, marks = (np.concatenate([s[k] for s in sides]) for k in (1, 2))
+
+        def confirm(i, j, marks=marks):
+            x, y = marks[i], marks[j]
+            agree = ((x == y) & (x > 0)).sum(axis=1)
+            return agree >= similarity * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+
+        yield _edges(ranks, trie_links(sides[0][0], None if other is None else sides[1][0], budget, leaf=1 << 18, confirm=confirm))
 
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 7, block: int = 8_192) -> DataFrame:
@@ -307,8 +306,9 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budg
     listed = F.collect_list(F.struct("fp", "sketch", "rank"))
     blocks = tx.Stage(ranked.df.groupBy("block").agg(F.min_by("fp", _sortable("fp")).alias("lo"), F.max_by("fp", _sortable("fp")).alias("hi"), listed.alias("x")).select("block", "lo", "hi", F.col("x.fp").alias("fps"), F.col("x.sketch").alias("sketches"), F.col("x.rank").alias("ranks")), "blocks")
     bounds = {"lo": lambda c: F.min_by("lo", _sortable("lo")), "hi": lambda c: F.max_by("hi", _sortable("hi"))}
-    pairs = intervals.close_pairs(blocks.df, bounds, _prefix_near(budget), blocks.df.count())
-    edges = intervals.with_contents(pairs, blocks.df, ["fps", "sketches", "ranks"], per_task=2).mapInArrow(lambda it: _similar_links(it, budget, similarity - 0.04), "src long, dst long")
+    n_blocks = blocks.df.count()
+    pairs = intervals.close_pairs(blocks.df, bounds, _prefix_near(budget), n_blocks)
+    edges = intervals.with_partners(pairs, blocks.df, ["fps", "sketches", "ranks"], n_blocks).mapInArrow(lambda it: _similar_links(it, budget, similarity - 0.04), "src long, dst long")
     groups, _ = components.connected_components(edges)
     blocks.drop()
     known = ranked.df.select("fp", "sketch", "least", "rank").join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))

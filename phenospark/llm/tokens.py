@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 #: ASCII, and composed Latin letters whose lower case is one letter.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -32,6 +32,7 @@ class PieceEncoder:
         self.split = regex.compile(pattern).findall
         self.lower = lower
         self.memory: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -42,18 +43,49 @@ class PieceEncoder:
         for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
         plain = [i for i, ids in enumerate(out) if ids is None]
-        pieces = [self.split(texts[i].lower() if self.lower else texts[i]) for i in plain]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        missing = list({p for line in pieces for p in line}.difference(self.memory))
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo:lo + 20_000]
-            self.memory.update(zip(part, self._whole(part)))
-        get = self.memory.__getitem__
-        for i, line in zip(plain, pieces):
-            out[i] = b"".join(map(get, line))
+        lines = self._by_stretch([texts[i].lower() for i in plain]) if self.lower else self._by_piece([texts[i] for i in plain])
+        for i, ids in zip(plain, lines):
+            out[i] = ids
+        return out
+
+    def _by_piece(self, texts: list[str]) -> list[bytes]:
+        return self._joined(self.memory, [self.split(t) for t in texts], self._encode_pieces)
+
+    def _joined(self, memory: dict[str, bytes], lines: list[list[str]], encode) -> list[bytes]:
+        """Ids of lines of parts; parts that are not remembered are encoded, and remembered while there is room."""
+        missing = [p for p in set().union(*lines) if p not in memory]
+        known = len(memory)
+        memory.update(zip(missing, encode(missing)))
+        get = memory.__getitem__
+        out = [b"".join(map(get, line)) for line in lines]
+        for p in missing[max(0, REMEMBERED - known):]:
+            del memory[p]
         return out
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        found = {}
+        blank = [p for p in pieces if p.isspace()]
+        found.update(zip(blank, self._whole(blank)))
+        solid = [p for p in pieces if not p.isspace()]
+        groups = [solid[lo:lo + 500] for lo in range(0, len(solid), 500)]
+        for group, lines in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False)):
+            found.update(zip(group, self._apart(group, lines)))
+        return [found[p] for p in pieces]
+
+    def _apart(self, group: list[str], encoded) -> list[bytes]:
+        """Ids of pieces that were encoded as lines of one text; the line ends are pieces of their own, or dropped."""
+        ids, words = np.array(encoded.ids, dtype="<u4"), np.array(encoded.word_ids)
+        cuts = np.flatnonzero(np.diff(words)) + 1
+        raw, edges = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+        parts = [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        parts = parts if self.lower else parts[::2]
+        n = len(group) if self.lower else 2 * len(group) - 1
+        return parts if len(cuts) + 1 == n else self._whole(group)
+
+    def _by_stretch(self, texts: list[str]) -> list[bytes]:
+        """For vocabularies that drop blanks: no piece crosses one, so stretches between blanks are remembered as a whole."""
+        return self._joined(self.stretches, [t.split() for t in texts], self._by_piece)
+
 
 #: How the two vocabularies split text.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
