@@ -8,7 +8,7 @@ failure arc to the shorter history weighs log10 (strength / (c(h) + strength)).
 The counts cover the whole corpus and go to nobody as a whole. Documents are dealt to chunks; a chunk sends its different
 n-grams with their numbers (so a frequent n-gram is one entry per chunk) to buckets by hash; a bucket adds them up and
 answers each chunk for the n-grams it asked about; the chunk then holds the part of the automaton its texts can reach.
-N-grams are named by 64-bit hashes.
+N-grams are named by 56-bit hashes, sent as sorted differences in byte planes, which compress well.
 
 Rows: one per input row. NULL text is empty and still has its end token. Repeated rows are counted each time.
 """
@@ -57,9 +57,19 @@ class Grams:
         return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of the values, all first bytes first: equal planes compress to nothing."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplanes(raw: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind)[:, 0]
+
+
 def _by_bucket(keys: np.ndarray, buckets: int):
     """Distinct keys ordered by (bucket, key), the place of each key among them, and the buckets' bounds."""
-    distinct, place = np.unique(keys, return_inverse=True)
+    distinct, place = np.unique(keys >> np.uint64(8), return_inverse=True)
     bucket = (distinct % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     rank = np.empty(len(by), dtype=np.int64)
@@ -77,7 +87,7 @@ def _requests(table: pa.Table, order: int, buckets: int) -> pa.Table:
         keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets)
         counts = np.bincount(place, weights=train, minlength=len(keys)).astype(np.uint32)
         for bucket, a, b in bounds:
-            for k, v in zip(out, (bucket, chunk, size, keys[a:b].tobytes(), counts[a:b].tobytes())):
+            for k, v in zip(out, (bucket, chunk, size, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b]))):
                 out[k].append(v)
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], names=list(out))
@@ -91,12 +101,12 @@ def _add_up(table: pa.Table) -> pa.Table:
     out = {k: [] for k in ("chunk", "bucket", "size", "totals", "n_sum", "n_distinct")}
     for size in sorted(set(sizes.tolist())):
         rows = np.flatnonzero(sizes == size)
-        distinct, place = np.unique(np.concatenate([np.frombuffer(keys[i], dtype=np.uint64) for i in rows]), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([np.frombuffer(counts[i], dtype=np.uint32) for i in rows]), minlength=len(distinct)).astype(np.int64)
+        distinct, place = np.unique(np.concatenate([np.cumsum(_unplanes(keys[i], np.uint64), dtype=np.uint64) for i in rows]), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([_unplanes(counts[i], np.uint32) for i in rows]), minlength=len(distinct)).astype(np.int64)
         at = 0
         for i in rows:
             n = len(keys[i]) // 8
-            for k, v in zip(out, (chunks[i], bucket, size, total[place[at:at + n]].tobytes(), 0, 0)):
+            for k, v in zip(out, (chunks[i], bucket, size, _planes(total[place[at:at + n]]), 0, 0)):
                 out[k].append(v)
             at += n
         for k, v in zip(out, (-1, bucket, size, b"", int(total.sum()), int((total > 0).sum()))):
@@ -139,7 +149,7 @@ def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int, n: int, v
     grams = Grams(tx.byte_rows(docs.column("text").combine_chunks()), order) if docs.num_rows else None
     if grams is None:
         return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["order_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-    answers = {(s, b): np.frombuffer(t, dtype=np.int64) for s, b, t in zip(totals.column("size").to_pylist(), totals.column("bucket").to_pylist(), totals.column("totals").to_pylist())}
+    answers = {(s, b): _unplanes(t, np.int64) for s, b, t in zip(totals.column("size").to_pylist(), totals.column("bucket").to_pylist(), totals.column("totals").to_pylist())}
     counts, places = [], []
     for size in range(1, order + 1):
         keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets)
@@ -150,7 +160,7 @@ def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int, n: int, v
     return pa.table([docs.column("order_id"), docs.column("held_out"), pa.array(grams.n, pa.int64()), *(pa.array(x) for x in sums)], names=["order_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, order: int = 3, strength: float = 150.0, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 2, strength: float = 150.0, chunk_bytes: int = 12 << 20) -> DataFrame:
     """order_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``; held-out rows
     (crc32 of doc_id modulo 7 is 2) are scored and not learned from."""
     size = tx.text_bytes(docs)
