@@ -113,7 +113,7 @@ V_STEP = "CAST(round(list_cosine_similarity(q.e, r.e) / 1e-6) AS BIGINT)"
 def _(t):
     df = t.part.select(F.col("p_partkey").alias("compound"), (F.col("p_partkey") % 10 == 0).alias("negcon"),
                        F.array("p_name", F.concat("p_type", F.col("p_size").cast("string")), F.lit("unknown")).alias("targets"))
-    out = ev.filter_targets(df, "targets", "compound", "negcon", min_compounds=8)
+    out = ev.filter_targets(df, "targets", "compound", "negcon", min_compounds=8, max_targets=50)
     return out.select("compound", F.array_join("targets", "|").alias("targets"))
 
 
@@ -135,7 +135,7 @@ def _(t):
 
 @query("evl_06_phenotypic_consistency")
 def _(t):
-    _, maps = ev.phenotypic_consistency(labelled(t), "targets", "cmp", "grp", null_size=500)
+    _, maps = ev.phenotypic_consistency(labelled(t), "targets", "cmp", "grp", null_size=500, max_targets=50)
     return maps
 
 
@@ -149,7 +149,7 @@ def _(t):
     gate = active.groupBy("cmp").agg(F.avg("normalized_average_precision").alias("nap")).filter("nap > 0").select("cmp")
     gate = materialize(gate, "active")
     gated = pf.with_df(pf.df.join(gate, "cmp", "left_semi"))
-    return ev.phenotypic_consistency(gated, "targets", "cmp", "grp", null_size=500)[1]
+    return ev.phenotypic_consistency(gated, "targets", "cmp", "grp", null_size=500, max_targets=50)[1]
 
 
 @query("evl_08_consistency_by_subset", f"""WITH {V_SQL}, s AS (SELECT v.*, subset FROM v, (VALUES ('all'), ('tier1'), ('tier2')) x(subset)
@@ -190,7 +190,7 @@ def _(t):
 @query("evl_09_position_effect_sampled")
 def _(t):
     z = normalized(t)
-    ap = ev.position_effect(z.with_df(z.df.filter("NOT negcon")), "well", "plate", "compound", "grp", seed=0)
+    ap = ev.position_effect(z.with_df(z.df.filter("NOT negcon")), "well", "plate", "compound", "grp", rows_per_bucket=15, seed=0)
     return ev.mean_average_precision(ap, ["grp", "well"], null_size=200)
 
 
@@ -208,7 +208,7 @@ def _(t):
 @query("evl_10_plate_effect_sampled")
 def _(t):
     z = normalized(t)
-    ap = ev.plate_effect(z.with_df(z.df.filter("NOT negcon")), "well", "plate", "compound", "grp", seed=0)
+    ap = ev.plate_effect(z.with_df(z.df.filter("NOT negcon")), "well", "plate", "compound", "grp", rows_per_bucket=(15, 25), seed=0)
     return ev.mean_average_precision(ap, ["grp", "plate"], null_size=200)
 
 
@@ -230,7 +230,7 @@ def _(t):
 
     pf = normalized(t)
     ap, maps = ev.phenotypic_activity(pf, "compound", "negcon", "plate", "grp", null_size=500)
-    consistency = ev.phenotypic_consistency(labelled(t), "targets", "cmp", "grp", null_size=500)[1]
+    consistency = ev.phenotypic_consistency(labelled(t), "targets", "cmp", "grp", null_size=500, max_targets=50)[1]
     pc1, pc2 = leading_variance(pf, 2)
     pa = ev.activity_summary(maps, [], "compound")
     pc = consistency.agg((F.avg(F.col("below_corrected_p").cast("double")) * 100).alias("pct_consistent"),

@@ -102,8 +102,7 @@ def feature_subcategory(name: Column) -> Column:
 def parse_config(name: Column) -> Column:
     """Settings encoded in a configuration name as one struct.
 
-    ``std_ctrl__outlier100__INT__prune0.9__pca64__tvn_efaar_e0.5_c96`` and the like: parts are separated by
-    double underscores, each part starts with its method.
+    Parts are separated by double underscores; each starts with its method, its settings follow.
     """
     parts = F.split(name, "__")
 

@@ -303,10 +303,13 @@ def activity_summary(map_df: DataFrame, by: Sequence[str], compound: str, replic
 # ---- phenotypic consistency --------------------------------------------------------------------------
 
 def filter_targets(df: DataFrame, targets: str, compound: str, negcon: str | None = None, min_compounds: int = 3,
-                   max_targets: int = 50, exclude_unknown: bool = True, unknown: str = "unknown") -> DataFrame:
-    """Controls, promiscuous and unlabelled rows out; lists shrink to targets with enough compounds."""
+                   max_targets: int | None = None, exclude_unknown: bool = True, unknown: str = "unknown") -> DataFrame:
+    """Controls and unlabelled rows out; lists shrink to targets with enough compounds.
+
+    ``max_targets`` also leaves out promiscuous compounds, those with more targets than that.
+    """
     rows = df.filter(~F.col(negcon)) if negcon else df
-    rows = rows.filter(F.size(targets) <= max_targets)
+    rows = rows if max_targets is None else rows.filter(F.size(targets) <= max_targets)
     if exclude_unknown:
         rows = rows.withColumn(targets, F.array_remove(targets, unknown))
     rows = rows.filter(F.size(targets) > 0)
@@ -345,7 +348,7 @@ LABEL_MARK = "\u0001"
 
 def phenotypic_consistency(pf: ProfileFrame, targets: str, compound: str, group: str | None = None, negcon: str | None = None,
                            null_size: int = 10_000, p_threshold: float = 0.05, seed: int = 0, min_compounds: int = 3,
-                           max_targets: int = 50, **kw) -> tuple[DataFrame, DataFrame]:
+                           max_targets: int | None = None, **kw) -> tuple[DataFrame, DataFrame]:
     """(AP per row and label, mean AP per label and group with p-values) on consensus profiles."""
     rows = pf.with_df(filter_targets(materialize(pf.df, "targets"), targets, compound, negcon, min_compounds, max_targets))
     ap = materialize(multilabel_precision(rows, targets, group, **kw), "consistency")
@@ -372,40 +375,61 @@ def wells_on_plates(df: DataFrame, well: str, batch: str, group: str | None = No
     return df.join(ok, keys, "left_semi")
 
 
-def position_effect(pf: ProfileFrame, well: str, batch: str, compound: str, group: str | None = None,
-                    bucket: Column | None = None, rows_per_bucket: int = 15, seed: int = 0, **kw) -> DataFrame:
+def several(df: DataFrame, column: str, group: str | None, at_least: int = 2) -> DataFrame:
+    """Rows of the groups (without a group: all rows or none) in which a column has enough different values."""
+    keys = [group] if group else [F.lit(0).alias("_all")]
+    ok = df.groupBy(*keys).agg(F.countDistinct(column).alias("_n")).filter(F.col("_n") >= at_least)
+    if group:
+        return df.join(ok.select(group), group, "left_semi")
+    return df.withColumn("_all", F.lit(0)).join(ok.select("_all"), "_all", "left_semi").drop("_all")
+
+
+def _sampled(df: DataFrame, group: str | None, name: str, size: Column, id_col: str, seed: int) -> DataFrame:
+    """A random bucket per row, as many per group as ``size`` says, 2 at least."""
+    keys = [group] if group else [F.lit(0).alias("_all")]
+    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(2), F.floor(size)).cast("int").alias("_nb"))
+    sized = df.join(sizes, group) if group else df.withColumn("_all", F.lit(0)).join(sizes, "_all").drop("_all")
+    return sized.withColumn(name, random_bucket([id_col], F.col("_nb"), seed)).drop("_nb")
+
+
+def position_effect(pf: ProfileFrame, well: str, batch: str, compound: str, group: str | None = None, bucket: Column | None = None,
+                    rows_per_bucket: int | None = None, min_rows: int = 10, seed: int = 0, **kw) -> DataFrame:
     """AP of the same position on other plates against other positions of the plate.
 
-    Random buckets keep the negatives near ``rows_per_bucket`` per query, as the measure defines them; pass
-    ``bucket=F.lit(0)`` for all negatives.
+    All negatives count unless ``rows_per_bucket`` asks for random buckets of about that many negatives per query (the sampled
+    form of the measure) or ``bucket`` gives them. Groups with fewer than two positions on several plates are left out, and
+    with fewer than ``min_rows`` rows there is no result.
     """
     g = (group,) if group else ()
-    rows = pf.with_df(wells_on_plates(pf.df, well, batch, group))
-    if bucket is None:
-        sizes = rows.df.groupBy(*g).agg((F.count(F.lit(1)) / F.countDistinct(batch) / rows_per_bucket).alias("_s"))
-        sizes = sizes.select(*g, F.greatest(F.lit(2), F.floor("_s")).cast("int").alias("_nb"))
-        sized = rows.df.join(F.broadcast(sizes), list(g)) if g else rows.df.join(F.broadcast(sizes))
-        df = sized.withColumn("_bucket", random_bucket([pf.id_col], F.col("_nb"), seed)).drop("_nb")
+    df = several(wells_on_plates(pf.df, well, batch, group), well, group)
+    if pf.df.limit(min_rows).count() < min_rows:
+        df = df.limit(0)
+    if bucket is None and rows_per_bucket:
+        df = _sampled(df, group, "_bucket", F.count(F.lit(1)) / F.countDistinct(batch) / rows_per_bucket, pf.id_col, seed)
     else:
-        df = rows.df.withColumn("_bucket", bucket)
+        df = df.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
     return average_precision(pf.with_df(df), PairRule((*g, well), (batch, compound)),
                              PairRule((*g, batch, "_bucket"), (well, compound)), **kw)
 
 
-def plate_effect(pf: ProfileFrame, well: str, batch: str, compound: str, group: str | None = None,
-                 pos_bucket: Column | None = None, neg_bucket: Column | None = None, seed: int = 0, **kw) -> DataFrame:
-    """AP of the same plate against other plates, other positions and other compounds."""
+def plate_effect(pf: ProfileFrame, well: str, batch: str, compound: str, group: str | None = None, pos_bucket: Column | None = None,
+                 neg_bucket: Column | None = None, rows_per_bucket: tuple[int, int] | None = None, min_rows: int = 10,
+                 seed: int = 0, **kw) -> DataFrame:
+    """AP of the same plate against other plates, other positions and other compounds.
+
+    All pairs count unless ``rows_per_bucket`` (positives, negatives) asks for random buckets or the buckets are given. Groups
+    with one plate are left out, and with fewer than ``min_rows`` rows there is no result.
+    """
     g = (group,) if group else ()
-    df = pf.df
-    if pos_bucket is None or neg_bucket is None:
+    df = several(pf.df, batch, group)
+    if pf.df.limit(min_rows).count() < min_rows:
+        df = df.limit(0)
+    if rows_per_bucket and pos_bucket is None and neg_bucket is None:
         n = F.count(F.lit(1))
-        sizes = df.groupBy(*g).agg(
-            F.greatest(F.lit(2), F.floor(n / F.countDistinct(batch) / 15)).cast("int").alias("_np"),
-            F.greatest(F.lit(2), F.floor(n / 25)).cast("int").alias("_nn"))
-        sized = df.join(F.broadcast(sizes), list(g)) if g else df.join(F.broadcast(sizes))
-        df = (sized.withColumn("_pos_bucket", random_bucket([pf.id_col], F.col("_np"), seed))
-              .withColumn("_neg_bucket", random_bucket([pf.id_col], F.col("_nn"), seed + 1)).drop("_np", "_nn"))
+        df = _sampled(df, group, "_pos_bucket", n / F.countDistinct(batch) / rows_per_bucket[0], pf.id_col, seed)
+        df = _sampled(df, group, "_neg_bucket", n / rows_per_bucket[1], pf.id_col, seed + 1)
     else:
-        df = df.withColumn("_pos_bucket", pos_bucket).withColumn("_neg_bucket", neg_bucket)
+        df = df.withColumn("_pos_bucket", F.lit(0) if pos_bucket is None else pos_bucket)
+        df = df.withColumn("_neg_bucket", F.lit(0) if neg_bucket is None else neg_bucket)
     return average_precision(pf.with_df(df), PairRule((*g, batch, "_pos_bucket"), (compound,)),
                              PairRule((*g, "_neg_bucket"), (batch, well, compound)), **kw)

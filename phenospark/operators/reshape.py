@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Objects that only object measurements have.
+CELL_OBJECTS = ("cell", "nuclei")
+
+
 def detect_layout(columns: Sequence[str], objects: Sequence[str] = ()) -> str:
     """'wide' without a metric column; else object-measurement ('cp_long') or embedding ('dl_long') rows."""
     if "metric" not in columns:
         return "wide"
-    return "cp_long" if {"cell", "nuclei"} & set(objects) else "dl_long"
+    return "cp_long" if set(CELL_OBJECTS) & set(objects) else "dl_long"
 
 
 def value_column(schema) -> tuple[str, bool]:

@@ -131,6 +131,7 @@ SWITCH_STEP = {
     "use_wellcorr": "well_position_correct",
     "use_int": "inverse_normal_transform",
     "use_sample_norm": "sample_norm",
+    "use_filter_features": "filter_features",
 }
 # Setting of a configuration to (step, parameter).
 SETTING_PARAM = {
@@ -144,16 +145,25 @@ SETTING_PARAM = {
     "spherize_method": ("normalize_spherize", "method"),
     "spherize_epsilon": ("normalize_spherize", "epsilon"),
     "spherize_fit_controls": ("normalize_spherize", "fit_on_controls"),
+    "spherize_remove_variance_threshold": ("normalize_spherize", "variance"),
+    "spherize_remove_variance_method": ("normalize_spherize", "remove"),
+    "spherize_n_permutations": ("normalize_spherize", "n_permutations"),
     "pca_n_components": ("normalize_pca", "n_components"),
     "pca_whiten": ("normalize_pca", "whiten"),
     "corr_thresh": ("prune_correlated", "threshold"),
     "sample_norm_type": ("sample_norm", "norm"),
     "agg_method": ("aggregate_wells", "method"),
 }
+# Settings that ``configure`` reads by itself.
+OTHER_SETTINGS = {"norm_method", "batch_method", "use_spherize", "spherize_batch_col", "outlier_cutoff", "norm_fit_controls",
+                  "tvn_fit_controls", "prune_always"}
 
 
 def configure(steps: Sequence[Step], settings: Mapping) -> tuple[Step, ...]:
-    """Steps of a preset with the flat settings of one grid row applied."""
+    """Steps of a preset with the flat settings of one grid row applied; a setting that no step knows is an error."""
+    unknown = set(settings) - set(SWITCH_STEP) - set(SETTING_PARAM) - OTHER_SETTINGS
+    if unknown:
+        raise ValueError(f"unknown settings {sorted(unknown)}")
     out = []
     norm, method = settings.get("norm_method"), settings.get("batch_method")
     for s in steps:
@@ -172,6 +182,12 @@ def configure(steps: Sequence[Step], settings: Mapping) -> tuple[Step, ...]:
             p["batch_col"] = "" if method == "spherize_global" else settings.get("spherize_batch_col", "Metadata_Batch")
             if method == "spherize_global":
                 p["fit_on_controls"] = True
+        if s.name == "normalize_spherize" and p.get("remove") == "threshold" and p.get("variance") is None:
+            p["remove"] = None  # removal by threshold without a threshold is none
+        elif s.name == "normalize_spherize" and p.get("variance") is not None and p.get("remove") is None:
+            p["remove"] = "threshold"
+        if s.name.startswith("normalize_tvn") and "tvn_fit_controls" in settings:
+            p["fit_on_controls"] = settings["tvn_fit_controls"]
         if s.name == "filter_features" and "outlier_cutoff" in settings:
             p["filters"] = tuple((n, {**kw, "cutoff": settings["outlier_cutoff"]}) if n == "drop_outliers" else (n, kw) for n, kw in p["filters"])
         if s.name.startswith("normalize_") and "norm_fit_controls" in settings and s.name in ("normalize_robustmad", "normalize_standardize"):

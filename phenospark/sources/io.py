@@ -122,11 +122,11 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def sample_layout(df: DataFrame) -> tuple[str, str | None, bool]:
     """(layout, value column, whether it is a list) of measurement rows."""
-    from phenospark.operators.reshape import detect_layout, value_column
+    from phenospark.operators.reshape import CELL_OBJECTS, detect_layout, value_column
 
     if "metric" not in df.columns:
         return "wide", None, False
-    objects = [r[0] for r in df.select("object").distinct().limit(16).collect()] if "object" in df.columns else []
+    objects = [o for o in CELL_OBJECTS if not df.filter(F.col("object") == o).isEmpty()] if "object" in df.columns else []
     col, is_list = value_column(df.schema)
     return detect_layout(df.columns, objects), col, is_list
 
@@ -202,7 +202,7 @@ def scan_named_parquet(spark: SparkSession, path: str, pattern: str, names: Sequ
 
 def strip_uri(uri: str, prefix: str) -> Column:
     """Object key of a URI below a prefix."""
-    return F.when(F.col(uri).startswith(prefix), F.substring(F.col(uri), len(prefix) + 1, 1_000_000)).otherwise(F.col(uri))
+    return F.when(F.col(uri).startswith(prefix), F.substring(F.col(uri), F.lit(len(prefix) + 1), F.length(uri))).otherwise(F.col(uri))
 
 
 def flatten_header(df: DataFrame, first: str, header_rows: Sequence[str]) -> DataFrame:

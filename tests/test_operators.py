@@ -373,3 +373,45 @@ def test_bad_relation_type_fails(spark):
     df = spark.createDataFrame([("a", "t", "no such type")], "compound string, target string, rel_type string")
     with pytest.raises(Exception, match="without action class"):
         classify_actions(df).collect()
+
+
+def test_independent_set_rule():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 30):
+        linked = np.triu(rng.random((n, n)) < 0.2, 1)
+        linked |= linked.T
+        left, want = set(range(n)), set()
+        while left:
+            node = min(left, key=lambda i: (sum(linked[i, j] for j in left), i))
+            want.add(node)
+            left -= {j for j in left if linked[node, j]} | {node}
+        assert sel.independent_set(linked) == want
+
+
+def test_layout_looks_at_all_objects(spark):
+    from phenospark.sources import io
+
+    rows = [(f"o{i}", "m", 1.0) for i in range(60)] + [("cell", "m", 1.0)]
+    assert io.sample_layout(spark.createDataFrame(rows, "object string, metric string, value double"))[0] == "cp_long"
+
+
+def test_settings_reach_their_step():
+    plain = steps.configure(steps.PRESETS["full"], {"batch_method": "spherize_global"})
+    for more in ({"spherize_remove_variance_method": "pa"}, {"spherize_remove_variance_threshold": 0.9}, {"spherize_remove_variance_method": "pa", "spherize_n_permutations": 3}):
+        got = steps.configure(steps.PRESETS["full"], {"batch_method": "spherize_global", **more})
+        assert steps.output_name(got) != steps.output_name(plain)
+    off = steps.configure(steps.PRESETS["full"], {"use_filter_features": False})
+    assert not any(s.enabled for s in off if s.name == "filter_features")
+    with pytest.raises(ValueError, match="nonsense"):
+        steps.configure(steps.PRESETS["full"], {"nonsense": 1})
+
+
+def test_thin_groups_are_left_out(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"{g}{p}{w}", g, f"{g}p{p}", w, f"c{(3 * p + w) % 7}", rng.standard_normal(4).tolist()) for g, n in (("one", 1), ("two", 3)) for p in range(n) for w in range(6)]
+    df = spark.createDataFrame(rows, "row_id string, grp string, plate string, well int, compound string, features array<double>")
+    pf = ProfileFrame(df, ["a", "b", "c", "d"], "row_id")
+    got = ev.plate_effect(pf, "well", "plate", "compound", "grp").select("row_id").collect()
+    assert got and all(r.row_id.startswith("two") for r in got)
+    small = pf.with_df(df.limit(5))
+    assert ev.plate_effect(small, "well", "plate", "compound", "grp").count() == 0
