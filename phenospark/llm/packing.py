@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from phenospark.llm import texts as tx, tokens
@@ -28,10 +29,10 @@ def _pieces(batches, vocabulary: str, end_id: int, size: int, with_ids: bool):
     encoder = tokens.encoder(vocabulary)
     end = int(end_id).to_bytes(4, "little")
     for batch in batches:
-        ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
-        for lo, hi in tx.chunked([len(t) for t in texts], 4 << 20):
+        for lo, hi in tx.chunked(pc.binary_length(batch.column(1)).to_pylist(), 4 << 20):
+            ids, texts = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for own, line in zip(ids[lo:hi], encoder.encode(texts[lo:hi])):
+            for own, line in zip(ids, encoder.encode(texts)):
                 line += end
                 for a in range(0, len(line), 4 * size):
                     piece = line[a:a + 4 * size]

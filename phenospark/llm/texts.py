@@ -13,6 +13,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phenospark.session import scratch_path
@@ -217,6 +218,7 @@ def byte_rows(column: pa.Array) -> list[bytes]:
 def text_chunks(batches, limit: int = 2 << 20, column: str = "text"):
     """Arrow batches cut into pieces of about ``limit`` bytes of text: (record batch, texts as bytes)."""
     for batch in batches:
-        texts = byte_rows(batch.column(batch.schema.get_field_index(column)))
-        for lo, hi in chunked([len(t) for t in texts], limit):
-            yield batch.slice(lo, hi - lo), texts[lo:hi]
+        rows = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(rows), 0).to_pylist()
+        for lo, hi in chunked(sizes, limit):
+            yield batch.slice(lo, hi - lo), byte_rows(rows.slice(lo, hi - lo))

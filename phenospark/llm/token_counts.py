@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from phenospark.llm import texts as tx, tokens
@@ -29,11 +30,10 @@ def tokenizer_digest(vocabulary: str) -> str:
 def _count(batches, vocabulary: str, digest: str):
     encoder = tokens.encoder(vocabulary)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        counts = []
-        for lo, hi in tx.chunked([len(t) for t in texts], 4 << 20):
-            counts += [len(ids) // 4 for ids in encoder.encode(texts[lo:hi])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest] * len(texts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
+        texts, counts = batch.column(1), []
+        for lo, hi in tx.chunked(pc.binary_length(texts).to_pylist(), 4 << 20):
+            counts += [len(ids) // 4 for ids in encoder.encode(texts.slice(lo, hi - lo).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
 
 def _exists(spark, path: str) -> bool:

@@ -15,7 +15,8 @@ from tokenizers import Tokenizer
 
 #: ASCII, and composed Latin letters whose lower case is one letter.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
-REMEMBERED = 500_000
+#: Pieces, and stretches between blanks, that a worker remembers; a few hundred bytes each.
+REMEMBERED, STRETCHES = 150_000, 200_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -49,16 +50,16 @@ class PieceEncoder:
         return out
 
     def _by_piece(self, texts: list[str]) -> list[bytes]:
-        return self._joined(self.memory, [self.split(t) for t in texts], self._encode_pieces)
+        return self._joined(self.memory, REMEMBERED, [self.split(t) for t in texts], self._encode_pieces)
 
-    def _joined(self, memory: dict[str, bytes], lines: list[list[str]], encode) -> list[bytes]:
+    def _joined(self, memory: dict[str, bytes], room: int, lines: list[list[str]], encode) -> list[bytes]:
         """Ids of lines of parts; parts that are not remembered are encoded, and remembered while there is room."""
         missing = [p for p in set().union(*lines) if p not in memory]
         known = len(memory)
         memory.update(zip(missing, encode(missing)))
         get = memory.__getitem__
         out = [b"".join(map(get, line)) for line in lines]
-        for p in missing[max(0, REMEMBERED - known):]:
+        for p in missing[max(0, room - known):]:
             del memory[p]
         return out
 
@@ -84,7 +85,7 @@ class PieceEncoder:
 
     def _by_stretch(self, texts: list[str]) -> list[bytes]:
         """For vocabularies that drop blanks: no piece crosses one, so stretches between blanks are remembered as a whole."""
-        return self._joined(self.stretches, [t.split() for t in texts], self._by_piece)
+        return self._joined(self.stretches, STRETCHES, [t.split() for t in texts], self._by_piece)
 
 
 #: How the two vocabularies split text.
