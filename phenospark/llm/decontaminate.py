@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from phenospark.llm import texts as tx
 
 MATCH_SCHEMA = "order_id long, rid long, n_words long, spans array<long>, items array<string>, longest long"
+REPORT_SCHEMA = "order_id long, rid long, n_words long, n_hit long, items array<string>, longest_match long"
 
 
 class TestItems:
@@ -153,19 +154,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_byt
     for block in range(blocks):
         part = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         sent = context.broadcast(TestItems([(r.item_id, r.text.encode()) for r in part], window))
+        if blocks == 1:
+            return rows.mapInArrow(lambda it, sent=sent: _report_rows(_match_rows(it, sent.value, True)), REPORT_SCHEMA)
         passes.append(rows.mapInArrow(lambda it, sent=sent, every=not block: _match_rows(it, sent.value, every), MATCH_SCHEMA))
-    if blocks == 1:
-        merged = passes[0]
-    else:
-        more = passes[1]
-        for other in passes[2:]:
-            more = more.union(other)
-        more = more.groupBy("order_id", "rid").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_set("items")).alias("i"), F.max("longest").alias("l"))
-        none = F.array().cast("array<long>")
-        merged = passes[0].join(more, ["order_id", "rid"], "left").select(
-            "order_id", "rid", "n_words", F.concat("spans", F.coalesce("s", none)).alias("spans"),
-            F.concat("items", F.coalesce("i", F.array().cast("array<string>"))).alias("items"), F.greatest("longest", "l").alias("longest"))
-    return merged.mapInArrow(_report_rows, "order_id long, rid long, n_words long, n_hit long, items array<string>, longest_match long")
+    more = passes[1]
+    for other in passes[2:]:
+        more = more.union(other)
+    more = more.groupBy("order_id", "rid").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_set("items")).alias("i"), F.max("longest").alias("l"))
+    merged = passes[0].join(more, ["order_id", "rid"], "left").select(
+        "order_id", "rid", "n_words", F.concat("spans", F.coalesce("s", F.array().cast("array<long>"))).alias("spans"),
+        F.concat("items", F.coalesce("i", F.array().cast("array<string>"))).alias("items"), F.greatest("longest", "l").alias("longest"))
+    return merged.mapInArrow(_report_rows, REPORT_SCHEMA)
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

@@ -159,7 +159,7 @@ class AttentionModel:
 
 def _encode(batches, passage: int):
     """(label, passage count, features) of sampled rows."""
-    for batch, texts in tx.text_chunks(batches, 1 << 20):
+    for batch, texts in tx.text_chunks(batches, 1 << 19):
         x, counts = passages(texts, passage)
         ends = np.cumsum(counts)
         rows = [x[b - n:b].tobytes() for b, n in zip(ends, counts)]
@@ -182,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, passage: int = 1024, sample_docs:
 
 
 def _score(batches, model: AttentionModel, passage: int):
-    for batch, texts in tx.text_chunks(batches, 1 << 20):
+    for batch, texts in tx.text_chunks(batches, 1 << 19):
         x, counts = passages(texts, passage)
         scores = model.score(x, counts)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, passage: int = 1024, model
 
 
 def _keep(batches, model: AttentionModel, passage: int, least: float):
-    for batch, texts in tx.text_chunks(batches, 1 << 20):
+    for batch, texts in tx.text_chunks(batches, 1 << 19):
         x, counts = passages(texts, passage)
         yield batch.filter(pa.array(model.score(x, counts) >= least))
 
