@@ -7,8 +7,9 @@ place. Consecutive windows mostly share an anchor; such a run is a segment.
 1. Tasks send the anchors' hashes to buckets by hash, as packed arrays (one row per task flush and bucket). A bucket tells
    each text which of its anchors occur elsewhere as well.
 2. Texts with such anchors send their segments on; a task sends the text of equal segments once, with their number and
-   smallest and largest document, so a hot passage or a large group of copies is one row per task. Anchors with over ``hot`` occurrences are sent window by window, keyed by
-   the window's own content, so no key can gather many different segments.
+   smallest and largest document, so a hot passage or a large group of copies is one row per task. Anchors with over ``hot`` occurrences are cut by
+   distance to the anchor and keyed by what those windows share; with over ``huge``, window by window, keyed by the window
+   itself. So no key can gather an unbounded number of different segments.
 3. A shard (a bounded number of keys) holds all segments of its keys and decides with the operator's own index. Since all
    occurrences of a window meet in one shard, the answer is exact.
 4. The answers go back to the texts by segment and then by text.
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 from phenospark.llm import texts as tx
 
 ANCHOR_SCHEMA = "bucket int, order_ids binary, rids binary, counts binary, hashes binary"
-REPLY_SCHEMA = "order_id long, rid long, anchors binary, hot binary"
+REPLY_SCHEMA = "order_id long, rid long, anchors binary, hot binary, huge binary"
 SEGMENT_SCHEMA = "anchor long, sid long, order_id long, rid long, start long, segment binary, n long, first long, last long"
 FLAG_SCHEMA = "anchor long, sid long, found binary"
 FLUSH = 2_000_000
 FLUSH_BYTES, FLUSH_SEGMENTS = 24 << 20, 250_000
+CELL = 16
 
 
 def _ids(batch, name) -> np.ndarray:
@@ -58,7 +60,7 @@ def _anchor_rows(batches, unit, buckets):
         return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in rows.items() if k != "bucket")], names=list(rows))
 
     for batch, texts in tx.text_chunks(batches):
-        for which, _, _, _, h in unit.anchors(texts):
+        for which, _, _, _, _, h in unit.anchors(texts):
             hashes.append(h)
             owner.append(base + which)
         order.append(_ids(batch, "order_id"))
@@ -71,8 +73,8 @@ def _anchor_rows(batches, unit, buckets):
         yield flush()
 
 
-def _recurring(table: pa.Table, unit, hot: int) -> pa.Table:
-    """Of one bucket: per text the anchors that occur elsewhere, and those among them with over ``hot`` occurrences."""
+def _recurring(table: pa.Table, unit, hot: int, huge: int) -> pa.Table:
+    """Of one bucket: per text the anchors that occur elsewhere, and those with over ``hot`` and ``huge`` occurrences."""
     cols = {n: [np.frombuffer(b, dtype=t) for b in table.column(n).to_pylist()] for n, t in (("order_ids", np.int64), ("rids", np.int64), ("counts", np.int32), ("hashes", np.uint64))}
     counts = np.concatenate(cols["counts"])
     order_ids, rids, h = (np.concatenate(cols[n]) for n in ("order_ids", "rids", "hashes"))
@@ -84,16 +86,16 @@ def _recurring(table: pa.Table, unit, hot: int) -> pa.Table:
     lo, hi = lo[keep], hi[keep]
     size = hi - lo + 1
     at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(lo) else np.zeros(0, np.int64)
-    hs, ws, big = hs[at], ws[at], np.repeat(size > hot, size)
+    hs, ws, count = hs[at], ws[at], np.repeat(size, size)
     by = np.lexsort((hs, ws))
-    hs, ws, big = hs[by], ws[by], big[by]
-    out = {k: [] for k in ("order_id", "rid", "anchors", "hot")}
+    hs, ws, count = hs[by], ws[by], count[by]
+    out = {k: [] for k in ("order_id", "rid", "anchors", "hot", "huge")}
     for lo, hi in zip(*tx.runs_of(ws)):
         out["order_id"].append(int(order_ids[ws[lo]]))
         out["rid"].append(int(rids[ws[lo]]))
-        out["anchors"].append(np.unique(hs[lo:hi + 1]).tobytes())
-        out["hot"].append(np.unique(hs[lo:hi + 1][big[lo:hi + 1]]).tobytes())
-    return pa.table([pa.array(out["order_id"], pa.int64()), pa.array(out["rid"], pa.int64()), pa.array(out["anchors"], pa.binary()), pa.array(out["hot"], pa.binary())], names=list(out))
+        for k, least in (("anchors", 0), ("hot", hot), ("huge", huge)):
+            out[k].append(np.unique(hs[lo:hi + 1][count[lo:hi + 1] > least]).tobytes())
+    return pa.table([pa.array(v, pa.int64() if k in ("order_id", "rid") else pa.binary()) for k, v in out.items()], names=list(out))
 
 
 def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -140,14 +142,26 @@ class _SegmentRows:
             yield batch.slice(lo, rows)
 
 
+def _cells(view, unit, text: int, first: int, last: int, place: int, single: bool):
+    """A hot anchor's windows, cut by their distance to the anchor into cells of up to 16 (or 1) windows: key, first, last.
+
+    The key names what all windows of a cell share, so equal windows keep meeting.
+    """
+    most = 1 if single else min(CELL, unit.width - unit.gram + 1)
+    for cell in range((place - last) // most, (place - first) // most + 1):
+        near, far = place - cell * most, place - cell * most - most + 1  # the cell's last and first start
+        core = view.stretch(text, near, far + unit.width) + b"\0%d" % cell
+        yield int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), max(first, far), min(last, near)
+
+
 def _segment_rows(batches, unit):
-    """Segments whose anchor recurs; windows of hot anchors each on their own."""
+    """Segments whose anchor recurs; those of hot anchors in cells."""
     out = _SegmentRows()
     for batch, texts in tx.text_chunks(batches, limit=1 << 20):
         order, rid = _ids(batch, "order_id").tolist(), _ids(batch, "rid").tolist()
-        known = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("anchors", "hot")}
+        known = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("anchors", "hot", "huge")}
         known = {k: [np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in got])) if got else None for got in v] for k, v in known.items()}
-        for which, s0, s1, view, h in unit.anchors(texts):
+        for which, s0, s1, place, view, h in unit.anchors(texts):
             for lo, hi in zip(*tx.runs_of(which)):
                 d = int(which[lo])
                 if known["anchors"][d] is None:
@@ -156,10 +170,10 @@ def _segment_rows(batches, unit):
                 hot = _among(h[at], known["hot"][d])
                 for key, start, segment in zip(h[at[~hot]].view(np.int64).tolist(), s0[at[~hot]].tolist(), view.segments(d, s0[at[~hot]], s1[at[~hot]])):
                     out.add(key, segment, order[d], rid[d], start)
-                for i in at[hot]:
-                    each = np.arange(s0[i], s1[i] + 1)
-                    for start, segment in zip(each.tolist(), view.segments(d, each, each)):
-                        out.add(int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True), segment, order[d], rid[d], start)
+                for i, single in zip(at[hot].tolist(), _among(h[at[hot]], known["huge"][d]).tolist()):
+                    for key, first, last in _cells(view, unit, d, int(s0[i]), int(s1[i]), int(place[i]), single):
+                        for segment in view.segments(d, np.array([first]), np.array([last])):
+                            out.add(key, segment, order[d], rid[d], first)
         if out.bytes > FLUSH_BYTES or len(out.seen) > FLUSH_SEGMENTS:
             yield from out.batches()
             out = _SegmentRows()
@@ -167,7 +181,7 @@ def _segment_rows(batches, unit):
 
 
 def repeated_windows(docs: DataFrame, unit, decide: Callable[[pa.Table], pa.Table],
-                     hot: int = 20_000, bucket_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> tuple[DataFrame, list]:
+                     hot: int = 20_000, huge: int = 200_000, bucket_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> tuple[DataFrame, list]:
     """Per text with repeated windows: order_id, rid, spans array<struct<start, found>>; and the tables to drop later.
 
     ``unit`` cuts texts into windows; ``decide`` gets all distinct segments of a shard as (anchor, sid, segment, n, first,
@@ -177,8 +191,8 @@ def repeated_windows(docs: DataFrame, unit, decide: Callable[[pa.Table], pa.Tabl
     buckets, shards = tx.parts(size, bucket_bytes, 8), tx.parts(size, shard_bytes, 8)
     rows = tx.identified(docs)
     sent = rows.mapInArrow(lambda it: _anchor_rows(it, unit, buckets), ANCHOR_SCHEMA)
-    replies = sent.groupBy("bucket").applyInArrow(lambda t: _recurring(t.drop(["bucket"]), unit, hot), REPLY_SCHEMA)
-    known = tx.Stage(replies.groupBy("order_id", "rid").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")), "anchors")
+    replies = sent.groupBy("bucket").applyInArrow(lambda t: _recurring(t.drop(["bucket"]), unit, hot, huge), REPLY_SCHEMA)
+    known = tx.Stage(replies.groupBy("order_id", "rid").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot"), F.collect_list("huge").alias("huge")), "anchors")
     cut = rows.join(known.df, ["order_id", "rid"])
     segments = tx.Stage(cut.mapInArrow(lambda it: _segment_rows(it, unit), SEGMENT_SCHEMA), "segments")
     known.drop()

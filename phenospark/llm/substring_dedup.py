@@ -30,7 +30,7 @@ class WordUnit:
         self.width, self.gram, self.block = width, min(gram, width), block
 
     def anchors(self, texts: list[bytes]):
-        """Runs of windows with one anchor: (text, first start, last start, view, anchor hash), in blocks of windows."""
+        """Runs of windows with one anchor: (text, first start, last start, anchor place, view, anchor hash), in blocks of windows."""
         words = tx.Words([b" ".join(t.split()) for t in texts])
         h, owner = words.hashes(), words.text_of_words()
         view = _WordView(words, self.width)
@@ -46,7 +46,7 @@ class WordUnit:
                 continue
             a, b = tx.runs_of(at * (len(texts) + 1) + owner[lo + starts])
             first_word = words.first[owner[lo + starts[a]]]
-            yield owner[lo + starts[a]], lo + starts[a] - first_word, lo + starts[b] - first_word, view, grams[at[a]]
+            yield owner[lo + starts[a]], lo + starts[a] - first_word, lo + starts[b] - first_word, lo + at[a] - first_word, view, grams[at[a]]
 
 
 class _WordView:
@@ -57,6 +57,10 @@ class _WordView:
         w, raw, base = self.words, self.raw, self.words.first[text]
         return [raw[a:b] for a, b in zip(w.starts[base + first].tolist(), w.ends[base + last + self.width - 1].tolist())]
 
+    def stretch(self, text: int, first: int, end: int) -> bytes:
+        w, base = self.words, self.words.first[text]
+        return self.raw[w.starts[base + first]:w.ends[base + end - 1]]
+
 
 class _Codes(dict):
     """A character for each word, in order of first sight."""
@@ -126,9 +130,9 @@ def _strip(batches, width: int):
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "kept" else pa.int64()) for k, v in out.items()], names=list(out))
 
 
-def remove_repeated_phrases(docs: DataFrame, width: int = 13, hot: int = 20_000, block_bytes: int = 1 << 20) -> DataFrame:
+def remove_repeated_phrases(docs: DataFrame, width: int = 13, hot: int = 20_000, huge: int = 200_000, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words joined by one space) for every row of ``docs``."""
-    spans, _ = repeats.repeated_windows(docs, WordUnit(width), _locate(width, block_bytes), hot=hot)
+    spans, _ = repeats.repeated_windows(docs, WordUnit(width), _locate(width, block_bytes), hot=hot, huge=huge)
     joined = tx.identified(docs).join(spans, ["order_id", "rid"], "left")
     kept = joined.select("order_id", "text", "spans").mapInArrow(lambda it: _strip(it, width), "order_id long, n_words long, n_removed long, kept string")
     return kept.select(tx.public_id(F.col("order_id")).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -39,7 +39,7 @@ class ByteUnit:
             if not len(at):
                 continue
             a, b = tx.runs_of(at * (len(texts) + 1) + owner)
-            yield owner[a], starts[a] - begins[owner[a]], starts[b] - begins[owner[a]], _ByteView(texts, self.width), grams[at[a]]
+            yield owner[a], starts[a] - begins[owner[a]], starts[b] - begins[owner[a]], lo + at[a] - begins[owner[a]], _ByteView(texts, self.width), grams[at[a]]
 
 
 class _ByteView:
@@ -50,6 +50,9 @@ class _ByteView:
         raw = self.texts[text]
         return [raw[a:b] for a, b in zip(first.tolist(), (last + self.width).tolist())]
 
+    def stretch(self, text: int, first: int, end: int) -> bytes:
+        return self.texts[text][first:end]
+
 
 class BlindTrie:
     """Patricia trie that stores branching depths and bytes only; a probe is compared once, with one leaf."""
@@ -221,10 +224,10 @@ def _back(raw: bytes, i: int) -> int:
 STRIP_SCHEMA = "order_id long, rid long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def strip_repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, block_bytes: int = 2 << 20, whole_characters: bool = False) -> DataFrame:
+def strip_repeated_bytes(docs: DataFrame, width: int = 200, hot: int = 20_000, huge: int = 200_000, block_bytes: int = 2 << 20, whole_characters: bool = False) -> DataFrame:
     """order_id, rid, n_bytes, n_removed, n_spans, kept (bytes) for every row; ``whole_characters`` removes no part of a
     UTF-8 character, so that the rest is a text."""
-    spans, _ = repeats.repeated_windows(docs, ByteUnit(width), _decide(width, block_bytes), hot=hot)
+    spans, _ = repeats.repeated_windows(docs, ByteUnit(width), _decide(width, block_bytes), hot=hot, huge=huge)
     joined = tx.identified(docs).join(spans, ["order_id", "rid"], "left")
     return joined.mapInArrow(lambda it: _strip(it, width, whole_characters), STRIP_SCHEMA)
 

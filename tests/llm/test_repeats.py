@@ -48,15 +48,15 @@ def brute_bytes(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width,hot", [(13, 20_000), (13, 3), (4, 20_000), (2, 2)])
-def test_words(documents, corpus, width, hot):
-    got = Counter(tuple(r) for r in sub.remove_repeated_phrases(documents, width=width, hot=hot).collect())
+@pytest.mark.parametrize("width,hot,huge", [(13, 20_000, 200_000), (13, 3, 10**9), (13, 3, 20), (2, 2, 5)])
+def test_words(documents, corpus, width, hot, huge):
+    got = Counter(tuple(r) for r in sub.remove_repeated_phrases(documents, width=width, hot=hot, huge=huge).collect())
     assert got == brute_words(corpus, width)
 
 
-@pytest.mark.parametrize("width,hot", [(200, 20_000), (200, 3), (40, 20_000)])
-def test_bytes(documents, corpus, width, hot):
-    rows = suf.strip_repeated_bytes(documents, width=width, hot=hot).withColumn("doc_id", suf.tx.public_id(F.col("order_id")))
+@pytest.mark.parametrize("width,hot,huge", [(200, 20_000, 200_000), (200, 3, 10**9), (200, 3, 20), (40, 3, 10**9)])
+def test_bytes(documents, corpus, width, hot, huge):
+    rows = suf.strip_repeated_bytes(documents, width=width, hot=hot, huge=huge).withColumn("doc_id", suf.tx.public_id(F.col("order_id")))
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows.collect())
     assert got == brute_bytes(corpus, width)
 
