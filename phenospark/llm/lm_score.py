@@ -8,7 +8,8 @@ failure arc to the shorter history weighs log10 (strength / (c(h) + strength)).
 The counts cover the whole corpus and go to nobody as a whole. Documents are dealt to chunks; a chunk sends its different
 n-grams with their numbers (so a frequent n-gram is one entry per chunk) to buckets by hash; a bucket adds them up and
 answers each chunk for the n-grams it asked about; the chunk then holds the part of the automaton its texts can reach.
-N-grams are named by 56-bit hashes, sent as sorted differences in byte planes, which compress well.
+Words are named by 56-bit hashes, longer n-grams by as many bits as the corpus needs (its bytes in bits, and 18 more; 48 to
+64), so that a name stands for two n-grams about once in 2^18 or less at every size. Names are sent as sorted differences in byte planes, which compress well.
 
 Rows: one per input row. NULL text is empty and still has its end token. Repeated rows are counted each time.
 """
@@ -67,9 +68,9 @@ def _unplanes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind)[:, 0]
 
 
-def _by_bucket(keys: np.ndarray, buckets: int):
+def _by_bucket(keys: np.ndarray, buckets: int, bits: int):
     """Distinct keys ordered by (bucket, key), the place of each key among them, and the buckets' bounds."""
-    distinct, place = np.unique(keys >> np.uint64(8), return_inverse=True)
+    distinct, place = np.unique(keys >> np.uint64(64 - bits), return_inverse=True)
     bucket = (distinct % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     rank = np.empty(len(by), dtype=np.int64)
@@ -78,13 +79,13 @@ def _by_bucket(keys: np.ndarray, buckets: int):
     return distinct[by], rank[place], [(int(bucket[by[a]]), int(a), int(b) + 1) for a, b in zip(lo, hi)]
 
 
-def _requests(table: pa.Table, order: int, buckets: int) -> pa.Table:
+def _requests(table: pa.Table, order: int, buckets: int, bits: int) -> pa.Table:
     chunk = table.column("chunk")[0].as_py()
     grams = Grams(tx.byte_rows(table.column("text").combine_chunks()), order)
     train = np.repeat(~np.array(table.column("held_out").to_pylist(), dtype=bool), grams.n)
     out = {k: [] for k in ("bucket", "chunk", "size", "keys", "counts")}
     for size in range(1, order + 1):
-        keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets)
+        keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets, 56 if size == 1 else bits)
         counts = np.bincount(place, weights=train, minlength=len(keys)).astype(np.uint32)
         for bucket, a, b in bounds:
             for k, v in zip(out, (bucket, chunk, size, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b]))):
@@ -145,14 +146,14 @@ class BackoffAutomaton:
         return score, base, seen[0] > 0
 
 
-def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int, n: int, v: int, starts: int, strength: float) -> pa.Table:
+def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int, bits: int, n: int, v: int, starts: int, strength: float) -> pa.Table:
     grams = Grams(tx.byte_rows(docs.column("text").combine_chunks()), order) if docs.num_rows else None
     if grams is None:
         return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["order_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
     answers = {(s, b): _unplanes(t, np.int64) for s, b, t in zip(totals.column("size").to_pylist(), totals.column("bucket").to_pylist(), totals.column("totals").to_pylist())}
     counts, places = [], []
     for size in range(1, order + 1):
-        keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets)
+        keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets, 56 if size == 1 else bits)
         counts.append(np.concatenate([answers[size, bucket] for bucket, _, _ in bounds]).astype(np.float64))
         places.append(place)
     score, base, known = BackoffAutomaton(counts, n, v, starts, strength).scores(grams, places)
@@ -165,15 +166,16 @@ def score_texts(docs: DataFrame, order: int = 2, strength: float = 150.0, chunk_
     (crc32 of doc_id modulo 7 is 2) are scored and not learned from."""
     size = tx.text_bytes(docs)
     chunks = buckets = tx.parts(size, chunk_bytes)
+    bits = min(64, max(48, size.bit_length() + 18))
     rows = tx.identified(docs.withColumn("text", F.col("text").cast("string"))).withColumn("held_out", held_out(tx.public_id(F.col("order_id")), 7)).withColumn("chunk", F.pmod("rid", F.lit(chunks)))
     rows = rows.select("chunk", "order_id", "held_out", "text")
-    asked = rows.groupBy("chunk").applyInArrow(lambda t: _requests(t, order, buckets), REQUEST_SCHEMA)
+    asked = rows.groupBy("chunk").applyInArrow(lambda t: _requests(t, order, buckets, bits), REQUEST_SCHEMA)
     totals = tx.Stage(asked.groupBy("bucket").applyInArrow(_add_up, TOTAL_SCHEMA), "totals")
     sums = totals.df.where("chunk = -1 and size = 1").agg(F.sum("n_sum"), F.sum("n_distinct")).first()
     n, v = sums[0] or 0, sums[1] or 0
     starts = rows.where("not held_out").count()
     told = totals.df.where("chunk >= 0").select("chunk", "bucket", "size", "totals")
-    scored = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _score(d, t, order, buckets, n, v, starts, strength), SCORE_SCHEMA)
+    scored = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _score(d, t, order, buckets, bits, n, v, starts, strength), SCORE_SCHEMA)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
