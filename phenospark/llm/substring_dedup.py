@@ -11,7 +11,7 @@ one document: they do not remove each other's words.
 
 from __future__ import annotations
 
-from itertools import compress
+from itertools import chain, compress
 
 import ahocorasick
 import numpy as np
@@ -26,7 +26,7 @@ class WordUnit:
 
     between_texts = True
 
-    def __init__(self, width: int = 13, gram: int = 5, block: int = 1 << 18):
+    def __init__(self, width: int = 13, gram: int = 7, block: int = 1 << 18):
         self.width, self.gram, self.block = width, min(gram, width), block
 
     def anchors(self, texts: list[bytes]):
@@ -62,47 +62,87 @@ class _WordView:
         return self.raw[w.starts[base + first]:w.ends[base + end - 1]]
 
 
-class _Codes(dict):
-    """A character for each word, in order of first sight."""
-
-    def __missing__(self, word: bytes) -> str:
-        n = len(self) + 1
-        code = self[word] = chr(n if n < 0xD800 else n + 0x800)
-        return code
+def _names(codes: np.ndarray, k: int) -> np.ndarray:
+    """A number for each k consecutive codes, equal where all k are equal: pairs of shorter runs, numbered by rank."""
+    have, length = codes, 1
+    while length < k:
+        step = min(length, k - length)
+        low, high = have[:len(have) - step], have[step:]
+        have = np.unique(low * np.int64(have.max(initial=0) + 1) + high, return_inverse=True)[1].astype(np.int64)
+        length += step
+    return have
+
+
+class _Lines:
+    """The words of a block's segments as symbols for an automaton.
+
+    A symbol names several consecutive words, and a window is up to three symbols, ``step`` words apart, that cover it. A
+    segment is streamed as ``step`` strands, each with every step-th symbol, so that a window's symbols are neighbours.
+    """
+
+    def __init__(self, segments: list[bytes], width: int):
+        ids: dict[bytes, int] = {}
+        codes = np.array([ids.setdefault(w, len(ids)) for w in b" ".join(segments).split(b" ")], dtype=np.int64)
+        size = np.array([s.count(b" ") + 1 for s in segments])
+        self.step, self.most = (width // 3, 3) if width > 2 else (1, 1)
+        span = width - self.step * (self.most - 1)
+        self.owner = np.repeat(np.arange(len(segments)), size)
+        self.begin = np.cumsum(size) - size
+        left = np.repeat(self.begin + size, size) - np.arange(len(codes))  # words from here to the segment's end
+        self.windows = np.flatnonzero(left >= width)
+        self.window_names = _names(codes, width)[self.windows]
+        self.symbols = _names(codes, span)
+        place = np.flatnonzero(left >= span)
+        strand = self.owner[place] * self.step + (place - self.begin[self.owner[place]]) % self.step
+        self.place = place[np.argsort(strand, kind="stable")]
+
+    def phrases(self, at: np.ndarray):
+        """The symbols of the windows that start at the given words."""
+        return zip(*(self.symbols[at + i * self.step].tolist() for i in range(self.most)))
+
+    def located(self, automaton) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each occurrence of a phrase, and the phrase's value, in order of the start."""
+        hits = np.fromiter(chain.from_iterable(automaton.iter(tuple(self.symbols[self.place].tolist()))), dtype=np.int64).reshape(-1, 2)
+        hits = hits[hits[:, 0] >= self.most - 1]
+        first, last = self.place[hits[:, 0] - self.most + 1], self.place[hits[:, 0]]
+        ok = (last - first == self.step * (self.most - 1)) & (self.owner[first] == self.owner[last])  # not across strands
+        by = np.argsort(first[ok], kind="stable")
+        return first[ok][by], hits[ok, 1][by]
 
 
 def _locate(width: int, block_bytes: int):
     def decide(table: pa.Table) -> pa.Table:
         anchors, sids, found = [], [], []
         for block in repeats.blocks_of_keys(table, block_bytes):
-            code = _Codes().__getitem__
-            lines = ["".join(map(code, segment.split(b" "))) for segment in block.column("segment").to_pylist()]
-            first, last = block.column("first").to_pylist(), block.column("last").to_pylist()
-            least: dict[str, int] = {}
-            most: dict[str, int] = {}
-            for line, a, b in zip(lines, first, last):
-                for i in range(len(line) - width + 1):
-                    phrase = line[i:i + width]
-                    if phrase not in least:
-                        least[phrase], most[phrase] = a, b
-                        continue
-                    if least[phrase] > a:
-                        least[phrase] = a
-                    if most[phrase] < b:
-                        most[phrase] = b
-            automaton = ahocorasick.Automaton()
-            for phrase, a in least.items():
-                if a < most[phrase]:
-                    automaton.add_word(phrase, a)
-            if not len(automaton):
+            segments = block.column("segment").to_pylist()
+            first, last = block.column("first").to_numpy(), block.column("last").to_numpy()
+            lines = _Lines(segments, width)
+            by = np.argsort(lines.window_names, kind="stable")
+            lo, _ = tx.runs_of(lines.window_names[by])
+            own = lines.owner[lines.windows[by]]
+            least, most = np.minimum.reduceat(first[own], lo), np.maximum.reduceat(last[own], lo)
+            confirmed = least < most
+            if not confirmed.any():
                 continue
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for phrase, a in zip(lines.phrases(lines.windows[by[lo[confirmed]]]), least[confirmed].tolist()):
+                automaton.add_word(phrase, a)
             automaton.make_automaton()
-            for line, anchor, sid, b in zip(lines, block.column("anchor").to_pylist(), block.column("sid").to_pylist(), last):
-                hits = [(end - width + 1, a) for end, a in automaton.iter(line) if a < b]
-                if hits:
-                    anchors.append(anchor)
-                    sids.append(sid)
-                    found.append(np.array(hits, dtype=np.int64).tobytes())
+            start, a = lines.located(automaton)
+            ok = a < last[lines.owner[start]]
+            start, a = start[ok], a[ok]
+            own = lines.owner[start]
+            new = np.ones(len(start), dtype=bool)  # a run: consecutive windows of a segment with one smallest document
+            new[1:] = (own[1:] != own[:-1]) | (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:], len(start)) - 1
+            runs = np.stack((start[lo] - lines.begin[own[lo]], start[hi] - lines.begin[own[lo]], a[lo]), axis=1).astype(np.int64)
+            names = block.column("anchor").to_numpy()
+            for x, y in zip(*tx.runs_of(own[lo])):
+                line = own[lo[x]]
+                anchors.append(int(names[line]))
+                sids.append(repeats.segment_id(segments[line]))
+                found.append(runs[x:y + 1].tobytes())
         return repeats.flag_table(anchors, sids, found)
 
     return decide
@@ -117,10 +157,10 @@ def _strip(batches, width: int):
             words, gone = text.split(), 0
             n = len(words)
             if got:
-                hits = np.concatenate([np.frombuffer(s["found"], dtype=np.int64).reshape(-1, 2) + (s["start"], 0) for s in got])
-                hits = hits[hits[:, 1] < own, 0]
+                hits = np.concatenate([np.frombuffer(s["found"], dtype=np.int64).reshape(-1, 3) + (s["start"], s["start"], 0) for s in got])
+                hits = hits[hits[:, 2] < own]
                 if len(hits):
-                    stays = ~tx.covered(n, hits, hits + width)
+                    stays = ~tx.covered(n, hits[:, 0], hits[:, 1] + width)
                     words = list(compress(words, stays.tolist()))
                     gone = n - len(words)
             out["order_id"].append(own)

@@ -171,11 +171,11 @@ def _decide(width: int, block_bytes: int):
             repeated[positions[many[owner]]] = True
             hits = repeated[positions]
             who, offset = owner[hits], (positions - begins[owner])[hits]
-            names, tags = block.column("anchor").to_pylist(), block.column("sid").to_pylist()
+            names = block.column("anchor").to_pylist()
             for lo, hi in zip(*tx.runs_of(who)):
                 a, b = tx.runs_of(offset[lo:hi + 1] - np.arange(hi - lo + 1))
                 anchors.append(names[who[lo]])
-                sids.append(tags[who[lo]])
+                sids.append(repeats.segment_id(segments[who[lo]]))
                 found.append(np.stack((offset[lo + a], offset[lo + b]), axis=1).astype(np.int64).tobytes())
         return repeats.flag_table(anchors, sids, found)
 
