@@ -23,6 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -211,11 +212,12 @@ def repeated_windows(docs: DataFrame, unit, decide: Callable[[pa.Table], pa.Tabl
     wanted = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shard = segments.df.where("segment is not null").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(wanted, "shard")
     distinct = shard.groupBy("shard", "anchor", "segment").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    flags = distinct.groupBy("shard").applyInArrow(lambda t: decide(t.drop(["shard"])), FLAG_SCHEMA)
+    flags = tx.Stage(distinct.groupBy("shard").applyInArrow(lambda t: decide(t.drop(["shard"])), FLAG_SCHEMA), "flags")  # frees the segments' shuffle
     spans = tx.Stage(
-        segments.df.select("anchor", "sid", "order_id", "rid", "start").join(flags, ["anchor", "sid"])
+        segments.df.select("anchor", "sid", "order_id", "rid", "start").join(flags.df, ["anchor", "sid"])
         .groupBy("order_id", "rid").agg(F.collect_list(F.struct("start", "found")).alias("spans")), "spans")
     segments.drop()
+    flags.drop()
     return spans.df, [spans]
 
 
@@ -223,7 +225,7 @@ def blocks_of_keys(table: pa.Table, limit: int):
     """A shard's rows ordered by key and cut, between keys, into blocks of about ``limit`` bytes of segments."""
     table = table.sort_by("anchor").combine_chunks()
     anchor = table.column("anchor").to_numpy()
-    sizes = np.array([len(s) for s in table.column("segment").to_pylist()])
+    sizes = pc.binary_length(table.column("segment")).to_numpy()
     lo, hi = tx.runs_of(anchor)
     per_key = np.add.reduceat(sizes, lo) if len(lo) else sizes
     for a, b in tx.chunked(per_key.tolist(), limit):

@@ -62,15 +62,35 @@ class _WordView:
         return self.raw[w.starts[base + first]:w.ends[base + end - 1]]
 
 
-def _names(codes: np.ndarray, k: int) -> np.ndarray:
-    """A number for each k consecutive codes, equal where all k are equal: pairs of shorter runs, numbered by rank."""
-    have, length = codes, 1
-    while length < k:
-        step = min(length, k - length)
-        low, high = have[:len(have) - step], have[step:]
-        have = np.unique(low * np.int64(have.max(initial=0) + 1) + high, return_inverse=True)[1].astype(np.int64)
-        length += step
-    return have
+def _ranked(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+
+
+def _word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal where the words are: up to seven bytes by their bytes and length, longer ones by a dict."""
+    size = ends - starts
+    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray(len(padded) - 7, dtype=">u8", buffer=padded, strides=(1,))[starts].astype(np.uint64)
+    unused = (8 * (8 - np.minimum(size, 7))).astype(np.uint64)
+    codes = (eight >> unused << unused) | size.astype(np.uint64) & np.uint64(0xFF)
+    long = np.flatnonzero(size > 7)
+    raw, ids = buf.tobytes(), {}
+    codes[long] = np.array([ids.setdefault(raw[a:b], len(ids)) for a, b in zip(starts[long].tolist(), ends[long].tolist())], dtype=np.uint64) << np.uint64(8) | np.uint64(8)
+    return _ranked(codes)
+
+
+def _names(codes: np.ndarray, offsets: list[int]) -> np.ndarray:
+    """A number for each place, equal where the codes at all offsets from it are equal; ranked again before it overflows."""
+    n = max(0, len(codes) - offsets[-1])
+    base = int(codes.max(initial=0)) + 1
+    names, bound = np.zeros(n, dtype=np.int64), 1
+    for i in offsets:
+        if bound * base >= 2**63:
+            names = _ranked(names)
+            bound = int(names.max(initial=0)) + 1
+        names = names * base + codes[i:i + n]
+        bound *= base
+    return names
 
 
 class _Lines:
@@ -81,17 +101,19 @@ class _Lines:
     """
 
     def __init__(self, segments: list[bytes], width: int):
-        ids: dict[bytes, int] = {}
-        codes = np.array([ids.setdefault(w, len(ids)) for w in b" ".join(segments).split(b" ")], dtype=np.int64)
-        size = np.array([s.count(b" ") + 1 for s in segments])
+        buf = np.frombuffer(b" ".join(segments), dtype=np.uint8)
+        ends = np.append(np.flatnonzero(buf == 0x20), len(buf))
+        starts = np.append(0, ends[:-1] + 1)
+        codes = _word_codes(buf, starts, ends)
+        size = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(s) + 1 for s in segments])))
         self.step, self.most = (width // 3, 3) if width > 2 else (1, 1)
         span = width - self.step * (self.most - 1)
         self.owner = np.repeat(np.arange(len(segments)), size)
         self.begin = np.cumsum(size) - size
         left = np.repeat(self.begin + size, size) - np.arange(len(codes))  # words from here to the segment's end
         self.windows = np.flatnonzero(left >= width)
-        self.window_names = _names(codes, width)[self.windows]
-        self.symbols = _names(codes, span)
+        self.symbols = _ranked(_names(codes, list(range(span))))
+        self.window_names = _names(self.symbols, [i * self.step for i in range(self.most)])[self.windows]
         place = np.flatnonzero(left >= span)
         strand = self.owner[place] * self.step + (place - self.begin[self.owner[place]]) % self.step
         self.place = place[np.argsort(strand, kind="stable")]
@@ -100,11 +122,17 @@ class _Lines:
         """The symbols of the windows that start at the given words."""
         return zip(*(self.symbols[at + i * self.step].tolist() for i in range(self.most)))
 
-    def located(self, automaton) -> tuple[np.ndarray, np.ndarray]:
-        """Start of each occurrence of a phrase, and the phrase's value, in order of the start."""
-        hits = np.fromiter(chain.from_iterable(automaton.iter(tuple(self.symbols[self.place].tolist()))), dtype=np.int64).reshape(-1, 2)
+    def located(self, automaton, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each occurrence of a phrase (``at``: where each is found once), and the phrase's value, in order of the start."""
+        symbols = self.symbols[self.place]
+        used = np.zeros(len(self.symbols), dtype=bool)
+        used[self.symbols[at + self.step * np.arange(self.most)[:, None]]] = True
+        used = used[symbols]
+        used[1:] |= used[:-1]  # of symbols that no phrase has, the first of each run: the others leave the automaton at its root too
+        place = self.place[used]
+        hits = np.fromiter(chain.from_iterable(automaton.iter(tuple(symbols[used].tolist()))), dtype=np.int64).reshape(-1, 2)
         hits = hits[hits[:, 0] >= self.most - 1]
-        first, last = self.place[hits[:, 0] - self.most + 1], self.place[hits[:, 0]]
+        first, last = place[hits[:, 0] - self.most + 1], place[hits[:, 0]]
         ok = (last - first == self.step * (self.most - 1)) & (self.owner[first] == self.owner[last])  # not across strands
         by = np.argsort(first[ok], kind="stable")
         return first[ok][by], hits[ok, 1][by]
@@ -117,7 +145,7 @@ def _locate(width: int, block_bytes: int):
             segments = block.column("segment").to_pylist()
             first, last = block.column("first").to_numpy(), block.column("last").to_numpy()
             lines = _Lines(segments, width)
-            by = np.argsort(lines.window_names, kind="stable")
+            by = np.argsort(lines.window_names)
             lo, _ = tx.runs_of(lines.window_names[by])
             own = lines.owner[lines.windows[by]]
             least, most = np.minimum.reduceat(first[own], lo), np.maximum.reduceat(last[own], lo)
@@ -125,10 +153,11 @@ def _locate(width: int, block_bytes: int):
             if not confirmed.any():
                 continue
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, a in zip(lines.phrases(lines.windows[by[lo[confirmed]]]), least[confirmed].tolist()):
+            at = lines.windows[by[lo[confirmed]]]
+            for phrase, a in zip(lines.phrases(at), least[confirmed].tolist()):
                 automaton.add_word(phrase, a)
             automaton.make_automaton()
-            start, a = lines.located(automaton)
+            start, a = lines.located(automaton, at)
             ok = a < last[lines.owner[start]]
             start, a = start[ok], a[ok]
             own = lines.owner[start]
