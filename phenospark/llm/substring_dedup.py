@@ -1,9 +1,10 @@
 """Substring dedup by repeated-phrase automata.
 
 A word goes when it is covered by a window of ``width`` words whose word sequence also starts in a document with a smaller
-doc_id. Recurring passages are confirmed on their words, their windows become the phrases of Aho-Corasick automata (one per
-bounded block of a shard), and the segments of all documents stream through the automaton of their shard, which locates
-every occurrence of every phrase together with the smallest doc_id that has it.
+doc_id. Recurring passages are confirmed on their words: windows that always follow one another are one passage, named by
+its first window. Those are the phrases of Aho-Corasick automata (one per bounded block of a shard), and the segments of all
+documents stream through the automaton of their shard, which locates every occurrence of every passage; its length and the
+smallest doc_id that has it come with it.
 
 Rows: one per input row. NULL or blank text has no words. NULL doc_id counts as larger than any. Repeated rows (same id) are
 one document: they do not remove each other's words.
@@ -118,6 +119,23 @@ class _Lines:
         strand = self.owner[place] * self.step + (place - self.begin[self.owner[place]]) % self.step
         self.place = place[np.argsort(strand, kind="stable")]
 
+    def passages(self, by: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each different window the windows in the passage it begins, 0 if it lies inside one.
+
+        ``by`` orders the windows so that equal ones are the runs lo..hi. A window lies inside a passage if it and one other
+        window always come right after one another; so finding a passage's first window finds all of it.
+        """
+        name = np.empty(len(by), dtype=np.int64)
+        name[by] = np.repeat(np.arange(len(lo)), hi - lo + 1)
+        joins = (np.diff(self.windows) == 1) & (np.diff(self.owner[self.windows]) == 0)
+        before, after = np.append(-1, np.where(joins, name[:-1], -1))[by], np.append(np.where(joins, name[1:], -1), -1)[by]
+        always = [np.where(np.minimum.reduceat(x, lo) == np.maximum.reduceat(x, lo), x[lo], -1) for x in (before, after)]
+        inside = (always[0] >= 0) & (always[1][always[0]] == np.arange(len(lo)))
+        heads = np.flatnonzero(~inside[name])
+        length = np.zeros(len(lo), dtype=np.int64)
+        length[name[heads]] = np.diff(np.append(heads, len(name)))
+        return length
+
     def phrases(self, at: np.ndarray):
         """The symbols of the windows that start at the given words."""
         return zip(*(self.symbols[at + i * self.step].tolist() for i in range(self.most)))
@@ -146,26 +164,31 @@ def _locate(width: int, block_bytes: int):
             first, last = block.column("first").to_numpy(), block.column("last").to_numpy()
             lines = _Lines(segments, width)
             by = np.argsort(lines.window_names)
-            lo, _ = tx.runs_of(lines.window_names[by])
+            lo, hi = tx.runs_of(lines.window_names[by])
+            if not len(lo):
+                continue
             own = lines.owner[lines.windows[by]]
             least, most = np.minimum.reduceat(first[own], lo), np.maximum.reduceat(last[own], lo)
-            confirmed = least < most
-            if not confirmed.any():
+            length = lines.passages(by, lo, hi)
+            phrase = np.flatnonzero((least < most) & (length > 0))  # a passage's documents are those of its first window
+            if not len(phrase):
                 continue
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            at = lines.windows[by[lo[confirmed]]]
-            for phrase, a in zip(lines.phrases(at), least[confirmed].tolist()):
-                automaton.add_word(phrase, a)
+            at = lines.windows[by[lo[phrase]]]
+            for symbols, which in zip(lines.phrases(at), phrase.tolist()):
+                automaton.add_word(symbols, which)
             automaton.make_automaton()
-            start, a = lines.located(automaton, at)
-            ok = a < last[lines.owner[start]]
-            start, a = start[ok], a[ok]
-            own = lines.owner[start]
-            new = np.ones(len(start), dtype=bool)  # a run: consecutive windows of a segment with one smallest document
-            new[1:] = (own[1:] != own[:-1]) | (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)
+            start, which = lines.located(automaton, at)
+            ok = least[which] < last[lines.owner[start]]
+            start, which = start[ok], which[ok]
+            if not len(start):
+                continue
+            own, a, end = lines.owner[start], least[which], start + length[which]
+            new = np.ones(len(start), dtype=bool)  # a run: adjoining passages of a segment with one smallest document
+            new[1:] = (own[1:] != own[:-1]) | (a[1:] != a[:-1]) | (start[1:] != end[:-1])
             lo = np.flatnonzero(new)
             hi = np.append(lo[1:], len(start)) - 1
-            runs = np.stack((start[lo] - lines.begin[own[lo]], start[hi] - lines.begin[own[lo]], a[lo]), axis=1).astype(np.int64)
+            runs = np.stack((start[lo] - lines.begin[own[lo]], end[hi] - 1 - lines.begin[own[lo]], a[lo]), axis=1).astype(np.int64)
             names = block.column("anchor").to_numpy()
             for x, y in zip(*tx.runs_of(own[lo])):
                 line = own[lo[x]]
