@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from phenospark.catalog.base import query, r6
 from phenospark.operators import relational as rel
 from phenospark.operators.aggregate import sorted_unique_join
+from phenospark.operators.stats import match_objects
 
 
 @query("jon_01_merge_metadata", """
@@ -198,9 +199,8 @@ def _(t):
 def _(t):
     mapping = t.masks.filter("gt_id > 0 AND pred_id > 0").select("site", "gt_id", "pred_id").distinct()
     v = t.events.groupBy(F.col("user_id").alias("site"), (F.col("event_id") % 7).alias("label")).agg(F.avg("value").alias("x"))
-    gt = v.select("site", F.col("label").alias("gt_id"), r6("x").alias("x_gt"))
-    pred = v.select("site", F.col("label").alias("pred_id"), r6("x").alias("x_pred"))
-    return mapping.join(gt, ["site", "gt_id"]).join(pred, ["site", "pred_id"])
+    found = match_objects(v, v, mapping, "site", "gt_id", "pred_id", ("x",))
+    return found.select("site", "gt_id", "pred_id", r6("x_a").alias("x_gt"), r6("x_b").alias("x_pred"))
 
 
 @query("jon_19_interior_objects", """WITH {eav}, o AS (

@@ -133,9 +133,8 @@ def _(t):
     named = t.customer.select("c_custkey", F.concat(F.lit("segment_"), F.lower("c_mktsegment"), F.lit("_"),
                                                     (F.col("c_nationkey") % 2).cast("string")).alias("name"))
     named.write.partitionBy("name").option("header", "true").csv(path)
-    df = t.spark.read.schema("c_custkey bigint, name string").option("header", "true").csv(path)
-    return df.groupBy(F.regexp_extract("name", "^segment_(.*)_[0-9]+$", 1).alias("object"),
-                      F.regexp_extract("name", "_([0-9]+)$", 1).cast("int").alias("codec")).agg(F.count("*").alias("n"))
+    df = io.scan_named_csv(t.spark, path, "segment_([^/]*)_([0-9]+)/[^/]*$", ("object", "codec"), "c_custkey bigint")
+    return df.groupBy("object", F.col("codec").cast("int").alias("codec")).agg(F.count("*").alias("n"))
 
 
 @query("src_12_instance_mappings", """WITH {masks}
@@ -144,7 +143,7 @@ def _(t):
     path = scratch_path(t.spark, "mappings")
     rows = t.masks.select("site", "gt_id", "pred_id").distinct()
     rows.withColumn("method", F.concat(F.lit("method"), (F.col("site") % 3).cast("string"))).write.partitionBy("method").parquet(path)
-    return t.spark.read.parquet(path).groupBy("method").agg(F.count("*").alias("n"))
+    return io.scan_named_parquet(t.spark, path, "method=([^/]*)/[^/]*$", ("method",)).groupBy("method").agg(F.count("*").alias("n"))
 
 
 @query("src_13_atomic_sink", "SELECT o_orderkey, o_totalprice FROM orders")

@@ -39,6 +39,19 @@ def column_means(pf: ProfileFrame, where: Column | None = None) -> np.ndarray:
     return out
 
 
+def _by_key(columns: Sequence[pa.Array], x: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The matrix rows of each key of a batch."""
+    codes = np.zeros(len(x), dtype=np.int64)
+    for c in columns:
+        encoded = c.dictionary_encode(null_encoding="encode")
+        codes = codes * max(1, len(encoded.dictionary)) + encoded.indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(codes, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+    for s, e in zip(starts, np.r_[starts[1:], len(x)]):
+        yield tuple(c[int(order[s])].as_py() for c in columns), x[order[s:e]]
+
+
 def moment_table(pf: ProfileFrame, keys: Sequence[str] = (), where: Column | None = None,
                  shift: np.ndarray | None = None) -> DataFrame:
     """One row per key: n and the flattened d x (d + 1) matrix [X'X | X'1] of shifted rows.
@@ -54,49 +67,38 @@ def moment_table(pf: ProfileFrame, keys: Sequence[str] = (), where: Column | Non
     per_key = 8 * d * (d + 2)
     most = max(1, PARTIAL_BYTES // per_key)
 
-    def emit(sums):
+    def emit(sums, types):
         for key, (n, g) in sums.items():
-            table = [pa.array([k] * d, t) for k, t in zip(key, key_types)]
+            table = [pa.array([k] * d, t) for k, t in zip(key, types)]
             body = np.concatenate([g, np.full((d, 1), float(n))], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*table, pa.array(np.arange(d, dtype=np.int32)), to_list_array(body)], names=[*keys, "i", "g"])
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
+        sums, types = {}, []
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = to_matrix(b.column(len(keys)), d) - shift
-            if keys:
-                labels = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))]))
-                seen: dict = {}
-                codes = np.array([seen.setdefault(k, len(seen)) for k in labels])
-                order = np.argsort(codes, kind="stable")
-                ends = np.cumsum(np.bincount(codes))
-                x = x[order]
-                groups = [(k, x[e - n:e]) for (k, _), e, n in zip(seen.items(), ends, np.bincount(codes))]
-            else:
-                groups = [((), x)]
-            for key, part in groups:
+            own = b.columns[:len(keys)]
+            types = [c.type for c in own]
+            for key, part in _by_key(own, to_matrix(b.column(len(keys)), d) - shift):
                 n, g = sums.get(key, (0, 0.0))
                 sums[key] = (n + len(part), g + np.concatenate([part.T @ part, part.sum(0)[:, None]], axis=1))
             if len(sums) > most:
-                yield from emit(sums)
+                yield from emit(sums, types)
                 sums = {}
-        yield from emit(sums)
+        yield from emit(sums, types)
+
+    def total(table: pa.Table) -> pa.Table:
+        whole = to_matrix(table.column("g").combine_chunks(), d + 2).sum(axis=0, keepdims=True)
+        return table.slice(0, 1).set_column(len(keys) + 1, "g", to_list_array(whole))
 
-    key_types = [pa.string() if isinstance(df.schema[k].dataType, T.StringType) else
-                 {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.BooleanType: pa.bool_()}[type(df.schema[k].dataType)]
-                 for k in keys]
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("i", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
-    parts = rows.mapInArrow(partials, schema)
-    cells = (parts.select(*keys, "i", F.posexplode("g").alias("j", "v"))
-             .groupBy(*keys, "i", "j").agg(F.sum("v").alias("v")))
-    by_row = cells.groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r"))
-    by_row = by_row.select(*keys, "i", F.transform("r", lambda s: s["v"]).alias("r"))
-    whole = by_row.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("m"))
-    return whole.select(*keys, F.flatten(F.transform("m", lambda s: s["r"])).alias("moments"))
+    # One matrix row at a time: a group has one row per task, whatever the key's size.
+    by_row = rows.mapInArrow(partials, schema).groupBy(*keys, "i").applyInArrow(total, schema)
+    whole = by_row.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "g"))).alias("m"))
+    return whole.select(*keys, F.flatten(F.transform("m", lambda s: s["g"])).alias("moments"))
 
 
 @dataclass(frozen=True)

@@ -188,15 +188,15 @@ def relation_results(nested: DataFrame, tasks: Sequence[str] = ("cc", "gg", "cg"
 
 
 def scan_named_csv(spark: SparkSession, path: str, pattern: str, names: Sequence[str], schema=None) -> DataFrame:
-    """CSV files with labels taken from the file name by the pattern's groups."""
+    """CSV files with labels taken from the path of the file by the pattern's groups."""
     reader = spark.read.option("header", "true")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-    df = reader.csv(path).select("*", F.col("_metadata.file_name").alias("_f"))
+    df = reader.csv(path).select("*", F.col("_metadata.file_path").alias("_f"))
     return df.withColumns({n: F.regexp_extract("_f", pattern, i + 1) for i, n in enumerate(names)}).drop("_f")
 
 
 def scan_named_parquet(spark: SparkSession, path: str, pattern: str, names: Sequence[str]) -> DataFrame:
-    df = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_f"))
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_f"))
     return df.withColumns({n: F.regexp_extract("_f", pattern, i + 1) for i, n in enumerate(names)}).drop("_f")
 
 

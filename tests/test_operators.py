@@ -415,3 +415,21 @@ def test_thin_groups_are_left_out(spark):
     assert got and all(r.row_id.startswith("two") for r in got)
     small = pf.with_df(df.limit(5))
     assert ev.plate_effect(small, "well", "plate", "compound", "grp").count() == 0
+
+
+def test_moments_by_keys_of_any_type(spark):
+    """Date, decimal, double and NULL keys; every key's matrix against numpy."""
+    import datetime as dt
+    from decimal import Decimal
+
+    rng = np.random.default_rng(5)
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 2), None]
+    rows = [(days[i % 3], Decimal(i % 2), float(i % 2), rng.normal(size=4).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "day date, price decimal(10,2), level double, features array<double>").repartition(5)
+    pf = ProfileFrame(df, ("a", "b", "c", "d"))
+    found = la.moment_table(pf, ["day", "price", "level"], shift=np.zeros(4)).collect()
+    assert len(found) == 6
+    for r in found:
+        x = np.array([f for day, price, level, f in rows if (day, price, level) == (r.day, r.price, r.level)])
+        m = np.asarray(r.moments).reshape(4, 6)
+        assert np.allclose(m[:, :4], x.T @ x) and np.allclose(m[:, 4], x.sum(0)) and (m[:, 5] == len(x)).all()
