@@ -153,10 +153,8 @@ def parallel_envelope(pf: ProfileFrame, m: la.Moments, where: Column | None = No
         return pa.concat_tables(out)
 
     parts = rows.groupBy("_blk").applyInArrow(shuffle, "perm int, i int, g array<double>")
-    cells = parts.select("perm", "i", F.posexplode("g").alias("j", "v")).groupBy("perm", "i", "j").agg(F.sum("v").alias("v"))
-    by_row = cells.groupBy("perm", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("r"))
     top = np.zeros(d)
-    for r in by_row.groupBy("perm").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda s: s["r"])).alias("m")).collect():
+    for r in la.sum_matrices(parts, ["perm"], d, "m").collect():
         lam = np.linalg.eigvalsh(np.array(r["m"]).reshape(d, d))[::-1]
         top = np.maximum(top, np.sqrt(np.maximum(lam, 0.0)))
     return top

@@ -52,6 +52,22 @@ def _by_key(columns: Sequence[pa.Array], x: np.ndarray) -> Iterator[tuple[tuple,
         yield tuple(c[int(order[s])].as_py() for c in columns), x[order[s:e]]
 
 
+def sum_matrices(parts: DataFrame, keys: Sequence[str], width: int, out: str) -> DataFrame:
+    """Sum per key of matrices that come as rows (keys, i, g), flattened into one array.
+
+    Matrix rows are added one at a time: a group has one row per task, whatever the key's size.
+    """
+    at = parts.columns.index("g")
+
+    def total(table: pa.Table) -> pa.Table:
+        whole = to_matrix(table.column("g").combine_chunks(), width).sum(axis=0, keepdims=True)
+        return table.slice(0, 1).set_column(at, "g", to_list_array(whole))
+
+    by_row = parts.groupBy(*keys, "i").applyInArrow(total, parts.schema)
+    whole = by_row.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "g"))).alias("m"))
+    return whole.select(*keys, F.flatten(F.transform("m", lambda s: s["g"])).alias(out))
+
+
 def moment_table(pf: ProfileFrame, keys: Sequence[str] = (), where: Column | None = None,
                  shift: np.ndarray | None = None) -> DataFrame:
     """One row per key: n and the flattened d x (d + 1) matrix [X'X | X'1] of shifted rows.
@@ -89,16 +105,9 @@ def moment_table(pf: ProfileFrame, keys: Sequence[str] = (), where: Column | Non
                 sums = {}
         yield from emit(sums, types)
 
-    def total(table: pa.Table) -> pa.Table:
-        whole = to_matrix(table.column("g").combine_chunks(), d + 2).sum(axis=0, keepdims=True)
-        return table.slice(0, 1).set_column(len(keys) + 1, "g", to_list_array(whole))
-
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("i", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
-    # One matrix row at a time: a group has one row per task, whatever the key's size.
-    by_row = rows.mapInArrow(partials, schema).groupBy(*keys, "i").applyInArrow(total, schema)
-    whole = by_row.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "g"))).alias("m"))
-    return whole.select(*keys, F.flatten(F.transform("m", lambda s: s["g"])).alias("moments"))
+    return sum_matrices(rows.mapInArrow(partials, schema), keys, d + 2, "moments")
 
 
 @dataclass(frozen=True)
