@@ -232,16 +232,39 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, block: int
 
 # ---- similar texts: the pipeline's stage ----------------------------------------------------------------------------
 
-BINS = 128
-
-
-def sketches(texts: list[bytes], width: int) -> tuple[np.ndarray, list[bytes]]:
-    """SimHash of each text's different words, and a one-permutation minimum sketch of its shingles of ``width`` words.
+BINS, BANDS = 128, 25
+
+
+def shingle_sets(words: tx.Words, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of ``width`` words of each text, and the text of each, ordered by (text, hash); a
+    text with fewer words is one shingle."""
+    own = words.text_of_words()
+    grams = tx.gram_hashes(h, width)
+    at = np.arange(len(grams))
+    inside = at + width <= words.first[1:][own[at]]
+    grams, at = grams[inside], own[at[inside]]
+    n_words = np.diff(words.first)
+    short = np.flatnonzero((n_words > 0) & (n_words < width))
+    whole = np.array([tx.gram_hashes(h[words.first[d]:words.first[d + 1]], int(n_words[d]))[0] for d in short], dtype=np.uint64)
+    grams, at = np.concatenate((grams, whole)), np.concatenate((at, short))
+    by = np.lexsort((grams, at))
+    grams, at = grams[by], at[by]
+    new = np.ones(len(grams), dtype=bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (at[1:] != at[:-1])
+    return grams[new], at[new]
+
+
+def sketches(texts: list[bytes], width: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """SimHash of each text's different words; a one-permutation minimum sketch of its shingles of ``width`` words; a digest
+    of the set of shingles; and the keys of ``BANDS`` bands of the sketch's minima (0: a band without shingles).
 
     An edit touches few words but ``width`` times as many shingles, so fingerprints of words keep near copies close; the
-    sketch (a byte per bin, 0: empty) estimates the similarity of the shingles.
+    sketch (a byte per bin, 0: empty) estimates the similarity of the shingles. A band of 5 minima (6 in three of them) is
+    equal with the 5th power of that similarity, however the edits lie: at 0.8 one of 25 is equal in all but 0.01 % of pairs.
     """
     fps, marks = np.zeros(len(texts), dtype=np.uint64), []
+    digests, keys = np.zeros(len(texts), dtype=np.uint64), np.zeros((len(texts), BANDS), dtype=np.uint64)
+    none = np.iinfo(np.uint64).max
     for lo, hi in tx.chunked([len(t) for t in texts], 1 << 20):
         words = tx.Words(texts[lo:hi], lower=True)
         h, own = words.hashes(), words.text_of_words()
@@ -255,27 +278,56 @@ def sketches(texts: list[bytes], width: int) -> tuple[np.ndarray, list[bytes]]:
             first, _ = tx.runs_of(who[a:a + (1 << 16)])
             sums[who[a:a + (1 << 16)][first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
         fps[lo:hi] = np.packbits((2 * sums > counts[:, None]).astype(np.uint8), axis=1).view(">u8")[:, 0]
-        grams = tx.gram_hashes(h, width)
-        at = np.arange(len(grams))
-        inside = at + width <= words.first[1:][own[at]]
-        grams, at = grams[inside], own[at[inside]]
-        n_words = np.diff(words.first)
-        short = np.flatnonzero((n_words > 0) & (n_words < width))
-        whole = np.array([tx.gram_hashes(h[words.first[d]:words.first[d + 1]], int(n_words[d]))[0] for d in short], dtype=np.uint64)
-        grams, at = np.concatenate((grams, whole)), np.concatenate((at, short))
-        least = np.full((hi - lo) * BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        grams, at = shingle_sets(words, h, width)
+        first, _ = tx.runs_of(at)
+        if len(first):
+            digests[lo + at[first]] = np.add.reduceat(tx.mix(grams.copy()), first)
+        least = np.full((hi - lo) * BINS, none, dtype=np.uint64)
         np.minimum.at(least, at * BINS + (grams % np.uint64(BINS)).astype(np.int64), grams)
         byte = (tx.mix(least.copy()) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-        byte[least == np.iinfo(np.uint64).max] = 0
+        byte[least == none] = 0
         marks += [row.tobytes() for row in byte.reshape(hi - lo, BINS)]
-    return fps, marks
+        least = least.reshape(hi - lo, BINS)
+        for band in range(BANDS):
+            minima = least[:, band::BANDS]
+            key = np.full(hi - lo, band + 1, dtype=np.uint64)
+            for column in minima.T:
+                key = tx.mix(key * np.uint64(tx.BASE) + column)
+            keys[lo:hi, band] = np.where((minima == none).all(axis=1), 0, key)
+    return fps, marks, digests, keys
 
 
 def _sketch_rows(batches, width):
     for batch, texts in tx.text_chunks(batches, 4 << 20):
         at = batch.schema.get_field_index
-        fps, marks = sketches(texts, width)
-        yield pa.RecordBatch.from_arrays([batch.column(at("order_id")), batch.column(at("rid")), pa.array(fps.view(np.int64), pa.int64()), pa.array(marks, pa.binary())], names=["order_id", "rid", "fp", "sketch"])
+        fps, marks, digests, keys = sketches(texts, width)
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64), pa.int64()))
+        columns = [batch.column(at("order_id")), batch.column(at("rid")), pa.array(fps.view(np.int64), pa.int64()), pa.array(marks, pa.binary()), pa.array(digests.view(np.int64), pa.int64()), bands]
+        yield pa.RecordBatch.from_arrays(columns, names=["order_id", "rid", "fp", "sketch", "digest", "bands"])
+
+
+def _set_rows(batches, width):
+    """(rank, the sorted hashes of the text's different shingles)."""
+    for batch, texts in tx.text_chunks(batches, 1 << 20):
+        words = tx.Words(texts, lower=True)
+        grams, at = shingle_sets(words, words.hashes(), width)
+        bounds = np.searchsorted(at, np.arange(len(texts) + 1)).tolist()
+        sets = [grams[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rank")), pa.array(sets, pa.binary())], names=["rank", "grams"])
+
+
+def _alike(batches, similarity):
+    """The pairs whose sets of shingles have the similarity: common ones of all different ones."""
+    for batch in batches:
+        col = {name: batch.column(batch.schema.get_field_index(name)) for name in ("src", "dst", "x", "y")}
+        ok = []
+        for x, y in zip(col["x"], col["y"]):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            few, many = sorted((len(x), len(y)))
+            common = 0 if few < similarity * many else len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(few > 0 and common >= similarity * (few + many - common))
+        keep = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([col["src"].filter(keep), col["dst"].filter(keep)], names=["src", "dst"])
 
 
 def _similar_links(batches, budget, similarity):
@@ -296,24 +348,69 @@ def _similar_links(batches, budget, similarity):
         yield _edges(ranks, trie_links(sides[0][0], None if other is None else sides[1][0], budget, leaf=1 << 18, confirm=confirm))
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose texts have the similarity, counted over all their shingles."""
+    x, y = (sets.select(F.col("rank").alias(end), F.col("grams").alias(name)) for end, name in (("src", "x"), ("dst", "y")))
+    return pairs.join(x, "src").join(y, "dst").mapInArrow(lambda it: _alike(it, similarity), "src long, dst long")
+
+
+def _all_links(nominated: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Confirmed links (src, dst) that connect whatever the links among ``nominated`` and inside buckets connect.
+
+    In each round some members of every bucket (pivots, the least of each salt) meet all others of the bucket that are not
+    connected with them yet, and leave it; a bucket ends when its members are connected, or none is left to meet. So a bucket of
+    near copies is done after its first pivots, and in any other all pairs are compared; more pivots each round keep the
+    rounds few.
+    """
+    links, salts = tx.Stage(_confirmed(nominated, sets, similarity), "links"), 4
+    live = members.select("bucket", "rank")
+    while True:
+        groups, _ = components.connected_components(links.df)
+        named = live.join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
+        open_ = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+        now = tx.Stage(named.join(open_, "bucket"), "members")
+        if now.df.isEmpty():
+            return links.df
+        pivots = now.df.groupBy("bucket", F.pmod(F.xxhash64("rank"), F.lit(salts)).alias("salt")).agg(F.min("rank").alias("pivot"), F.min_by("component", "rank").alias("of"))
+        pivots = tx.Stage(pivots.select("bucket", "pivot", "of"), "pivots")
+        pairs = now.df.join(pivots.df, "bucket").where("component <> of").select(F.least("rank", "pivot").alias("src"), F.greatest("rank", "pivot").alias("dst")).distinct()
+        links = tx.Stage(links.df.union(_confirmed(pairs, sets, similarity)), "links")
+        live = now.df.join(pivots.df.select("bucket", F.col("pivot").alias("rank")), ["bucket", "rank"], "left_anti").select("bucket", "rank")
+        salts *= 8
+
+
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 7, block: int = 8_192) -> DataFrame:
-    """order_id, rid, component_id for every row of ``docs``: groups of texts whose word fingerprints differ in at most
-    ``budget`` bits and whose estimated similarity over shingles of ``width`` words is ``similarity`` less the sketch's
-    standard error (0.04), so that pairs at the limit are found. Texts without words are one group."""
-    rows = tx.Stage(tx.identified(docs).mapInArrow(lambda it: _sketch_rows(it, width), "order_id long, rid long, fp long, sketch binary"), "sketches")
-    distinct = rows.df.groupBy("fp", "sketch").agg(F.min("order_id").alias("least"))
-    ranked = tx.Stage(intervals.ranked_blocks(distinct, [_sortable("fp"), F.col("sketch")], block), "ranked")
+    """order_id, rid, component_id for every row of ``docs``: groups of texts linked by a similarity of at least
+    ``similarity`` over their different shingles of ``width`` words. Texts without words are one group.
+
+    Pairs are nominated by word fingerprints that differ in at most ``budget`` bits (with the sketch's estimate, less its
+    standard error of 0.04) and by equal bands of minimum shingles, which find contiguous edits as well as scattered ones.
+    Only pairs whose counted similarity suffices are linked."""
+    schema = "order_id long, rid long, fp long, sketch binary, digest long, bands array<long>"
+    texts = tx.identified(docs)
+    rows = tx.Stage(texts.mapInArrow(lambda it: _sketch_rows(it, width), schema), "sketches")
+    same = ["fp", "sketch", "digest"]
+    distinct = rows.df.groupBy(*same).agg(F.min(F.struct("order_id", "rid")).alias("least"), F.any_value("bands").alias("bands"))
+    ranked = tx.Stage(intervals.ranked_blocks(distinct, [_sortable("fp"), F.col("sketch"), F.col("digest")], block), "ranked")
     listed = F.collect_list(F.struct("fp", "sketch", "rank"))
     blocks = tx.Stage(ranked.df.groupBy("block").agg(F.min_by("fp", _sortable("fp")).alias("lo"), F.max_by("fp", _sortable("fp")).alias("hi"), listed.alias("x")).select("block", "lo", "hi", F.col("x.fp").alias("fps"), F.col("x.sketch").alias("sketches"), F.col("x.rank").alias("ranks")), "blocks")
     bounds = {"lo": lambda c: F.min_by("lo", _sortable("lo")), "hi": lambda c: F.max_by("hi", _sortable("hi"))}
     n_blocks = blocks.df.count()
     pairs = intervals.close_pairs(blocks.df, bounds, _prefix_near(budget), n_blocks)
-    edges = intervals.with_partners(pairs, blocks.df, ["fps", "sketches", "ranks"], n_blocks).mapInArrow(lambda it: _similar_links(it, budget, similarity - 0.04), "src long, dst long")
-    groups, _ = components.connected_components(edges)
+    nominated = tx.Stage(intervals.with_partners(pairs, blocks.df, ["fps", "sketches", "ranks"], n_blocks).mapInArrow(lambda it: _similar_links(it, budget, similarity - 0.04), "src long, dst long").distinct(), "nominated")
     blocks.drop()
-    known = ranked.df.select("fp", "sketch", "least", "rank").join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
-    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "sketch", "component_id")
-    return rows.df.join(named, ["fp", "sketch"]).select("order_id", "rid", "component_id")
+    members = ranked.df.select("rank", F.explode("bands").alias("bucket")).where("bucket <> 0")
+    shared = members.groupBy("bucket").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("bucket")
+    members = tx.Stage(members.join(shared, "bucket"), "members")
+    named = members.df.select("rank").union(nominated.df.select("src")).union(nominated.df.select("dst")).distinct()
+    named = ranked.df.select("rank", "least.order_id", "least.rid").join(named, "rank")
+    sets = tx.Stage(texts.join(named, ["order_id", "rid"]).select("rank", "text").mapInArrow(lambda it: _set_rows(it, width), "rank long, grams binary").dropDuplicates(["rank"]), "sets")
+    groups, _ = components.connected_components(_all_links(nominated.df, members.df, sets.df, similarity))
+    for stage in (nominated, members, sets):
+        stage.drop()
+    known = ranked.df.select(*same, F.col("least.order_id").alias("least"), "rank").join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
+    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(*same, "component_id")
+    return rows.df.join(named, same).select("order_id", "rid", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

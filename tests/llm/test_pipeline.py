@@ -50,6 +50,55 @@ def test_near_dedup(spark, corpus):
     assert got == {d for d in parent if root(d) == d}
 
 
+def brute_kept(rows):
+    """The smallest id of each group linked by five-word similarities of 0.8 or more."""
+    parent = {d: d for d, _ in rows}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    sets = [(d, shingles(t)) for d, t in rows]
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if len(s & t) >= 0.8 * len(s | t):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d for d in parent if root(d) == d}
+
+
+def fresh(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+
+
+def test_contiguous_edits(spark):
+    rng, rows = random.Random(5), []
+    for i in range(120):
+        w = fresh(rng, rng.randrange(150, 600))
+        part = rng.uniform(0.805, 0.9)
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(w[:int(len(w) * part)] if i % 2 else w + fresh(rng, int(len(w) * (1 / part - 1)))))]
+    want = brute_kept(rows)
+    assert len(want) <= 122
+    assert {r.doc_id for r in cp.simhash_near_dedup(spark, frame(spark, rows), "").collect()} == want
+
+
+def test_below_the_limit(spark):
+    """Scattered edits around the limit, and one bucket in which some texts are similar and others are not."""
+    rng, rows = random.Random(6), []
+    for i in range(150):
+        w = fresh(rng, rng.randrange(150, 400))
+        v = list(w)
+        for at in rng.sample(range(len(w)), max(1, int(len(w) * rng.uniform(0.018, 0.036)))):
+            v[at] = "edited"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    base = fresh(rng, 150)
+    rows += [(5000 + i, " ".join(base + fresh(rng, 10 + i))) for i in range(30)]
+    want = brute_kept(rows)
+    assert 180 < len(want) < 320
+    assert {r.doc_id for r in cp.simhash_near_dedup(spark, frame(spark, rows), "").collect()} == want
+
+
 def test_suffix_stage(spark, corpus):
     rows = [(d, t) for d, t in corpus if d is not None]
     got = sorted((r.doc_id, r.text, r.n_chars) for r in cp.suffix_array_dedup(spark, frame(spark, rows), "").collect() if r.text is not None)
