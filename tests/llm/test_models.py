@@ -56,6 +56,12 @@ def test_lm(documents, corpus, order, chunk):
     assert got == brute_lm(corpus, order, 3.0)
 
 
+def test_lm_default_is_trigrams(documents, corpus):
+    got = lm_score.score_texts(documents).withColumn("doc_id", lm_score.tx.public_id(F.col("order_id"))).collect()
+    got = Counter((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
+    assert got == brute_lm(corpus, 3, 150.0)
+
+
 def test_lm_beats_base(spark):
     got = lm_score.op7_lm_score(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
