@@ -168,20 +168,30 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def learn(docs: DataFrame, sample_chars: int = 24_000, total_chars: int = 2_400_000) -> Model:
-    """The model of a bounded sample: rows in hash order, per language until ``sample_chars`` characters."""
-    train = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("h"))
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    share = min(sample_chars, total_chars // max(1, len(sizes)))
-    unit = F.pmod("h", F.lit(2**31)) / float(2**31)
-    wanted = {lang: min(1.0, 4.0 * share / max(1, n)) for lang, n in sizes.items()}
-    if not wanted:
+    """The model of a bounded sample: rows in hash order, per language until ``sample_chars`` characters.
+
+    A row counts with at most as many characters as a sample has. Per language they are added up by powers of two of the
+    hash, so the smallest power whose rows fill the sample is known before any text is sent; a language with less text gives
+    all of it.
+    """
+    train = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31)).alias("h"))
+    languages = train.select("lang").distinct().count()
+    share = max(1, min(sample_chars, total_chars // max(1, languages)))
+    bits = F.when(F.col("h") > 0, F.length(F.bin("h"))).otherwise(0)
+    weights: dict[str, dict[int, int]] = {}
+    for r in train.groupBy("lang", bits.alias("bits")).agg(F.sum(F.least(F.length("text"), F.lit(share))).alias("n")).collect():
+        weights.setdefault(r.lang, {})[r.bits] = r.n
+    if not weights:
         return Model({})
+    wanted = {lang: next((k for k in sorted(n) if sum(m for j, m in n.items() if j <= k) >= share), 31) for lang, n in weights.items()}
     limit = F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair))
-    chosen = train.where(unit < limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, share).alias("text"))
+    chosen = train.where(bits <= limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, share).alias("text")).groupBy("lang", "h", "text").agg(F.count("*").alias("copies"))
     samples: dict[str, str] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        have = samples.get(r.lang, "")
-        if len(have) < share:
+        for _ in range(r.copies):
+            have = samples.get(r.lang, "")
+            if len(have) >= share:
+                break
             samples[r.lang] = have + r.text[: share - len(have)] + "\n"
     return Model(samples)
 

@@ -92,6 +92,18 @@ def test_language_accuracy(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_few_long_texts_are_learned(spark):
+    """Languages whose text lies in few long rows, or in one among many short ones, fill their samples as others do."""
+    sentence = lambda letters, n: " ".join(map("".join, np.random.default_rng(n).choice(list(letters), (n // 6, 5))))
+    rows = [(i, sentence("abcde", 3_000), "short") for i in range(60)] + [(1000, sentence("abcde", 500_000), "short")]
+    rows += [(2000 + 10 * k + i, sentence("fghij", 200_000), f"long{k}") for k in range(8) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~language_id.held_out(F.col("doc_id")))
+    model = language_id.learn(docs)
+    names = {r.lang for r in docs.select("lang").distinct().collect()}
+    assert set(model.names) == names and len(names) > 5
+    assert all(bits >= np.log2(23_000) for bits in model.bits)
+
+
 def test_language_edges(documents, corpus, empty_documents, spark):
     rows = language_id.identify(documents).collect()
     assert len(rows) == len(corpus)
