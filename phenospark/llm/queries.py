@@ -10,6 +10,7 @@ from phenospark.llm.decontaminate import op3_decontaminate
 from phenospark.llm.embedding_dedup import op6_embedding_dedup
 from phenospark.llm.language_id import op10_language_id
 from phenospark.llm.lm_score import op7_lm_score
+from phenospark.llm.merkle import manifest_sql, op13_merkle_manifest
 from phenospark.llm.packing import op4_packing
 from phenospark.llm.quality import op5_quality
 from phenospark.llm.simhash import op2_simhash
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_merkle_manifest": manifest_sql()}
