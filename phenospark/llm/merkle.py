@@ -102,7 +102,7 @@ def coordinates(rows: DataFrame) -> tuple[DataFrame, list[tx.Stage]]:
     directory = tx.Stage(_directory(containers.df), "merkle-directory")
     salted = directory.df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asking = placed.withColumns({"hi": F.shiftright("word", 4), "salt": F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")})
-    met = asking.join(salted, ["key", "hi", "salt"])
+    met = asking.join(salted.hint("merge"), ["key", "hi", "salt"])  # both sides grow with the input
     slot = F.expr("bit_count(mask & ~shiftleft(-1, cast(word & 15 as int)))")
     met = met.withColumn("slot", slot).withColumns({
         "start": F.col("base") + F.expr("before[slot]"),
@@ -169,7 +169,7 @@ def _down(rounds: list[tx.Stage], outer: DataFrame) -> DataFrame:
         ended = stage.df.where(F.col("total") <= SLOTS).join(outer, "key")
         if above is not None:
             path = above.select("key", F.col("index").alias("pack"), F.col("siblings").alias("upper"), "ends")
-            ended = ended.unionByName(stage.df.where(F.col("total") > SLOTS).join(path, ["key", "pack"]))
+            ended = ended.unionByName(stage.df.where(F.col("total") > SLOTS).join(path.hint("merge"), ["key", "pack"]))
         items = ended.select("key", "pack", "total", "inner", "upper", "ends", F.col("items.leaf").alias("digests"), F.explode("items").alias("item"))
         slot = F.col("item.slot")
         first = F.when(F.col("total") > 1, F.array(_siblings(slot, F.col("digests"))))

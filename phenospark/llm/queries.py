@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phenospark.llm import collocations
 from phenospark.llm.decontaminate import op3_decontaminate
 from phenospark.llm.embedding_dedup import op6_embedding_dedup
 from phenospark.llm.language_id import op10_language_id
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op13_merkle_manifest": manifest_sql()}
+ORACLES: dict[str, str] = {"op12_collocations": collocations.SQL, "op13_merkle_manifest": manifest_sql()}
