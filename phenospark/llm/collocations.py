@@ -2,15 +2,16 @@
 
 Proposals are the words and the pairs of words of a sample of documents (one in ``sample_every`` by hash). A full pass counts all
 words, all pairs of proposed words (proposed pairs, and the negative border of pairs), and all triples of two proposed pairs
-(every triple is a proposal or border: no longer phrase rests on it). Each counted phrase has its exact number of occurrences.
-Border phrases that turn out frequent are failures: they become proposals, and a further pass counts the phrases that
-rest on them, until no pass finds a failure. Then every phrase with frequent parts has been counted: every frequent phrase.
+(every triple is a proposal or border: no longer phrase rests on it). Border phrases that turn out frequent are failures: they
+become proposals, and a further pass counts the phrases that rest on them, until no pass finds a failure. Then
+every phrase with frequent parts has been counted, so every frequent one. These passes name phrases by codes of 64 bits, whose
+counts are at least the phrases' own; the last pass counts the phrases with frequent codes by their words, exactly.
 
-Proposals are looked up in bit sets of fixed size (2 MB for words, 16 MB for pairs, whatever the input), as the proposals
-themselves grow with it. A bit set that says yes too often only has more phrases counted, never fewer. Phrases are
-counted by their words, which tasks number exactly; hashes serve the bit sets alone. Tasks count their texts in pieces
-and send each phrase once per piece; Spark adds up before and after its shuffle, so a frequent phrase is few rows. Texts
-beyond a piece are cut where no phrase crosses, or else at a blank, with the two words that follow lent to the part before.
+Proposals are looked up in bit sets of fixed size (2 MB for words, 16 MB for pairs and for frequent phrases, whatever the
+input), as they grow with it. A bit set that says yes too often only has more phrases counted, never fewer. Tasks count
+their texts in pieces and send each phrase once per piece; Spark adds up before and after its shuffle, so a frequent phrase
+is few rows. Texts beyond a piece are cut where no phrase crosses, or else at a blank, with the two words that follow
+lent to the part before.
 
 Rows. NULL lang is ``und``, together with a lang of that name; NULL and empty texts hold nothing; repeated rows count again;
 doc_id is not read. Pieces are cut at ``.,;:!?`` and line ends, words at blanks and tabs; a word may be of any length. Ties are decided
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from phenospark.llm import texts as tx
 
-COUNTS = "lang string, phrase string, size int, code long, n long"
-#: Bits of the sets of proposed words and pairs, and of the blocks that Spark's bitmap functions build.
-BITS, BLOCK = (1 << 24, 1 << 27), 1 << 15
-#: Bytes of text that a task counts at a time.
-PIECE_BYTES = 6 << 20
+#: Codes end in two bits that tell a phrase's words.
+CODES, COUNTS = "code long, n long", "lang string, phrase string, n long"
+#: Bits of the sets of proposed words and pairs, and of frequent phrases; of the blocks that Spark's bitmap functions build.
+BITS, FREQUENT_BITS, BLOCK = (1 << 24, 1 << 27), 1 << 27, 1 << 15
+#: Bytes of text that a task counts at a time, and rows that it sends at a time.
+PIECE_BYTES, BATCH_ROWS = 2 << 20, 1 << 16
 BLANKS = tx.separator_table(lambda b: b in (0x09, 0x20))
 CUTS = tx.separator_table(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 CUT, BLANK, TWO_WORDS = re.compile(rb"[.,;:!?\x0A-\x0D]"), re.compile(rb"[\x20\x09]"), re.compile(rb"[\x20\x09]*[^\x20\x09]*[\x20\x09]*[^\x20\x09]*")
@@ -53,7 +54,7 @@ class Proposals:
     @classmethod
     def of(cls, bits: int, phrases: DataFrame) -> Proposals:
         """From a column ``code``. The driver gets at most bits / 8 bytes, in blocks of 4 KB."""
-        places = F.array(*(F.shiftright("code", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32)))
+        places = F.array(*(F.shiftright("code", s).bitwiseAND(F.lit(bits - 1)) for s in (2, 33)))
         place = phrases.select(F.explode(places).alias("place"))
         place = place.select(F.shiftright("place", 15).alias("block"), F.col("place").bitwiseAND(F.lit(BLOCK - 1)).alias("bit"))
         return cls(bits, {r.block: bytes(r.held) for r in place.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("held")).collect()})
@@ -74,7 +75,7 @@ class Proposals:
 
 def _held(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     out = np.ones(len(codes), dtype=bool)
-    for shift in (0, 32):
+    for shift in (2, 33):
         place = (codes >> np.uint64(shift)) & np.uint64(8 * len(table) - 1)
         out &= (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
     return out
@@ -103,17 +104,13 @@ def _parts(text: bytes, limit: int):
 
 
 class _Grams:
-    """Words of some parts of texts, numbered exactly, and the phrases that start at each."""
+    """Words of some parts of texts, and the codes of the phrases that start at each."""
 
     def __init__(self, parts: list[tuple[bytes, int]], langs: list[str]):
-        w = tx.Words([p for p, _ in parts], BLANKS | CUTS, lower=True)
-        n = self.n = len(w.starts)
-        bounds = np.stack((w.starts, w.ends), axis=1).ravel().astype(np.int64)  # words, and what lies between them
-        if not n:
+        w = self.words = tx.Words([p for p, _ in parts], BLANKS | CUTS, lower=True)
+        self.n = len(w.starts)
+        if not self.n:
             return
-        spans = pa.LargeStringArray.from_buffers(max(0, 2 * n - 1), pa.py_buffer(bounds), pa.py_buffer(w.buf)).dictionary_encode()
-        self.words: pa.Array = spans.dictionary
-        self.number = spans.indices.to_numpy(zero_copy_only=False).astype(np.int64)[::2]
         text = w.text_of_words()
         self.langs = sorted(set(langs))
         code_of = {x: i for i, x in enumerate(self.langs)}
@@ -121,78 +118,91 @@ class _Grams:
         self.own = w.starts - w.text_starts[text] < np.array([o for _, o in parts], dtype=np.int64)[text]
         cuts = np.flatnonzero(CUTS[w.buf])
         joined = np.searchsorted(cuts, w.starts[1:]) == np.searchsorted(cuts, w.ends[:-1])
-        #: starts of two words that are of one piece of one text
+        #: starts of two words, and of three (as places in ``two``), that are of one piece of one text
         self.two = np.flatnonzero(joined & (text[1:] == text[:-1]))
-        held = np.frombuffer(self.words.buffers()[2] or b"", dtype=np.uint8)
-        edges = np.frombuffer(self.words.buffers()[1], dtype=np.int64)[:len(self.words) + 1]
+        self.three = np.flatnonzero(self.two[1:] == self.two[:-1] + 1)
         salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs], dtype=np.uint64)
-        self.code = tx.mix(tx.span_hashes(held, edges[:-1], edges[1:])[self.number] ^ salt[self.lang])
-        self.pair_code = tx.mix(self.code[self.two] * STEP + self.code[self.two + 1])
-
-    def counted(self, at: np.ndarray, size: int, codes: np.ndarray | None = None) -> pa.RecordBatch:
-        """Each different phrase of ``size`` words that starts at one of ``at``, with its occurrences there."""
-        key = self.lang[at]
-        for k in range(size):
-            _, first, key, n = np.unique(key * len(self.words) + self.number[at + k], return_index=True, return_inverse=True, return_counts=True)
-        start = at[first]
-        words = [self.words.take(pa.array(self.number[start + k])) for k in range(size)]
-        phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())).cast(pa.string())
-        code = np.zeros(len(first), np.int64) if codes is None else codes[first].view(np.int64)
-        return self._batch(self.lang[start], phrase, size, code, n)
-
-    def totals(self) -> pa.RecordBatch:
-        n = np.bincount(self.lang[self.own], minlength=len(self.langs))
-        return self._batch(np.arange(len(n)), pa.array([""] * len(n), pa.string()), 0, np.zeros(len(n), np.int64), n)
-
-    def _batch(self, lang, phrase, size, code, n) -> pa.RecordBatch:
-        names = pa.array(self.langs, pa.string()).take(pa.array(lang))
-        return pa.RecordBatch.from_arrays([names, phrase, pa.array(np.full(len(n), size, np.int32)), pa.array(code), pa.array(n.astype(np.int64))],
-                                          names=["lang", "phrase", "size", "code", "n"])
-
-
-def _counted(g: _Grams, old: list[np.ndarray] | None, new: list[np.ndarray] | None):
-    """Phrases that the new proposals have counted and the old ones had not. Without proposals, all words and pairs."""
-    if not g.n:
-        return
-    own = np.flatnonzero(g.own)
-    if old is None:
-        yield g.totals()
-        yield g.counted(own, 1, g.code[own])
-
-    def allowed(sets):
+        mixed = tx.mix(w.hashes() ^ salt[self.lang])
+        pair = tx.mix(mixed[self.two] * STEP + mixed[self.two + 1])
+        triple = tx.mix(pair[self.three] * STEP + mixed[self.two[self.three] + 2])
+        self.code, self.pair_code, self.triple_code = ((c << np.uint64(2)) | np.uint64(k) for k, c in enumerate((mixed, pair, triple), 1))
+
+    def allowed(self, sets: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs, and which triples, are counted: those all of whose parts are proposals."""
-        pair, triple = np.zeros(len(g.two), bool), np.zeros(len(g.two), bool)
-        if sets is not None:
-            word = _held(sets[0], g.code)
-            pair = word[g.two] & word[g.two + 1]
-            proposed = pair & _held(sets[1], g.pair_code)
-            triple[:-1] = proposed[:-1] & proposed[1:] & (g.two[1:] == g.two[:-1] + 1)
-        return pair, triple
-
-    (pair0, triple0), (pair1, triple1) = allowed(old), allowed(new)
-    pair1 |= new is None
-    mine = g.own[g.two]
-    pairs, triples = np.flatnonzero(pair1 & ~pair0 & mine), g.two[triple1 & ~triple0 & mine]
-    if len(pairs):
-        yield g.counted(g.two[pairs], 2, g.pair_code[pairs])
-    if len(triples):
-        yield g.counted(triples, 3)
-
-
-def _pass(read: DataFrame, old: list[Proposals] | None, new: list[Proposals] | None) -> DataFrame:
-    """One pass over (lang, text): exact counts of what ``new`` has counted beyond ``old``."""
+        if sets is None:
+            return np.zeros(len(self.two), bool), np.zeros(len(self.three), bool)
+        word = _held(sets[0], self.code)
+        pair = word[self.two] & word[self.two + 1]
+        proposed = pair.copy()
+        proposed[pair] = _held(sets[1], self.pair_code[pair])
+        return pair, proposed[self.three] & proposed[self.three + 1]
+
+    def codes_beyond(self, old: list[np.ndarray] | None, new: list[np.ndarray] | None):
+        """Codes that the new proposals have counted and the old ones had not. Without proposals, all words and pairs."""
+        if old is None:
+            yield self.code[self.own]
+        (pair0, triple0), (pair1, triple1) = self.allowed(old), self.allowed(new)
+        yield self.pair_code[(pair1 & ~pair0 if new else True) & self.own[self.two]]
+        yield self.triple_code[triple1 & ~triple0 & self.own[self.two[self.three]]]
+
+    def phrases(self, frequent: np.ndarray):
+        """Different phrases of one to three words with frequent codes: (size, start of one occurrence, occurrences)."""
+        bounds = np.stack((self.words.starts, self.words.ends), axis=1).ravel().astype(np.int64)  # words, and what lies between them
+        spans = pa.LargeStringArray.from_buffers(2 * self.n - 1, pa.py_buffer(bounds), pa.py_buffer(self.words.buf)).dictionary_encode()
+        number = spans.indices.to_numpy(zero_copy_only=False).astype(np.int64)[::2]
+        starts = (np.arange(self.n), self.two, self.two[self.three])
+        for size, (at, codes) in enumerate(zip(starts, (self.code, self.pair_code, self.triple_code)), 1):
+            at = at[_held(frequent, codes) & self.own[at]]
+            key = self.lang[at]
+            for k in range(size):
+                _, first, key, n = np.unique(key * len(spans.dictionary) + number[at + k], return_index=True, return_inverse=True, return_counts=True)
+            words = [spans.dictionary.take(pa.array(number[at[first] + k])) for k in range(size)]
+            yield self.lang[at[first]], pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())), n
+
+
+def _in_pieces(batches):
+    for batch, texts in tx.text_chunks(batches, PIECE_BYTES):
+        langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+        parts = [(p, x) for t, x in zip(texts, langs) for p in _parts(t, PIECE_BYTES)]
+        for lo, hi in tx.chunked([len(p[0]) for p, _ in parts], PIECE_BYTES):
+            g = _Grams([p for p, _ in parts[lo:hi]], [x for _, x in parts[lo:hi]])
+            if g.n:
+                yield g
+
+
+def _sliced(batch: pa.RecordBatch):
+    for lo in range(0, batch.num_rows, BATCH_ROWS):
+        yield batch.slice(lo, BATCH_ROWS)
+
+
+def _code_pass(read: DataFrame, old: list[Proposals] | None, new: list[Proposals] | None) -> DataFrame:
+    """One pass over (lang, text): counts of what ``new`` has counted beyond ``old``."""
     sets = read.sparkSession.sparkContext.broadcast((old, new))
 
     def run(batches):
         was, now = ([s.table() for s in x] if x else None for x in sets.value)
-        for batch, texts in tx.text_chunks(batches, PIECE_BYTES):
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            parts = [(p, x) for t, x in zip(texts, langs) for p in _parts(t, PIECE_BYTES)]
-            for lo, hi in tx.chunked([len(p[0]) for p, _ in parts], PIECE_BYTES):
-                yield from _counted(_Grams([p for p, _ in parts[lo:hi]], [x for _, x in parts[lo:hi]]), was, now)
+        for g in _in_pieces(batches):
+            for codes in g.codes_beyond(was, now):
+                codes, n = np.unique(codes, return_counts=True)
+                yield from _sliced(pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"]))
+
+    return read.mapInArrow(run, CODES).groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _phrase_pass(read: DataFrame, frequent: Proposals) -> DataFrame:
+    """Exact counts of the phrases with frequent codes; the empty phrase counts all words."""
+    sets = read.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        table = sets.value.table()
+        for g in _in_pieces(batches):
+            names = pa.array(g.langs, pa.string())
+            total = np.bincount(g.lang[g.own], minlength=len(g.langs))
+            yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(names), pa.string()), pa.array(total.astype(np.int64))], names=["lang", "phrase", "n"])
+            for lang, phrase, n in g.phrases(table):
+                yield from _sliced(pa.RecordBatch.from_arrays([names.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"]))
 
-    rows = read.mapInArrow(run, COUNTS)
-    return rows.groupBy("lang", "phrase", "size").agg(F.first("code").alias("code"), F.sum("n").alias("n"))
+    return read.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 # ---- on Spark -----------------------------------------------------------------------------------------------------
@@ -211,24 +221,30 @@ def _failures(frequent: DataFrame, held: Proposals) -> Proposals:
     return Proposals.of(held.bits, frequent.select("code").mapInArrow(run, "code long"))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, sample_every: int = 8, sample_least: int = 2) -> list[tx.Stage]:
-    """Tables of (lang, phrase, size, code, n): all phrases of one to three words with n >= least; size 0 counts all words.
+def frequent_phrases(docs: DataFrame, least: int = 10, sample_every: int = 16, sample_least: int = 2) -> DataFrame:
+    """(lang, phrase, size, n): all phrases of one to three words with n >= least; the empty phrase counts all words.
 
     A phrase is a proposal if the sample, one document in ``sample_every``, has it ``sample_least`` times.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     sample = read.where(F.pmod(F.xxhash64("lang", "text"), F.lit(sample_every)) == 0)
-    seen = tx.Stage(_pass(sample, None, None).where(F.col("n") >= sample_least).select("size", "code"), "collocations-sample")
-    proposed = [Proposals.of(bits, seen.df.where(F.col("size") == k)) for k, bits in ((1, BITS[0]), (2, BITS[1]))]
+    of_size = lambda stage, k: stage.df.where(F.col("code").bitwiseAND(F.lit(3)) == k)
+    seen = tx.Stage(_code_pass(sample, None, None).where(F.col("n") >= sample_least), "collocations-sample")
+    before, proposed = None, [Proposals.of(bits, of_size(seen, k)) for k, bits in enumerate(BITS, 1)]
     seen.drop()
-    stages, before = [], None
+    frequent = Proposals(FREQUENT_BITS, {})
     while True:
-        stages.append(tx.Stage(_pass(read, before, proposed).where((F.col("size") == 0) | (F.col("n") >= least)), "collocations-counts"))
-        failed = [_failures(stages[-1].df.where(F.col("size") == k), held) for k, held in zip((1, 2), proposed)]
+        counted = tx.Stage(_code_pass(read, before, proposed).where(F.col("n") >= least), "collocations-codes")
+        frequent |= Proposals.of(FREQUENT_BITS, counted.df)
+        failed = [_failures(of_size(counted, k), held) for k, held in enumerate(proposed, 1)]
+        counted.drop()
         if not any(f.blocks for f in failed):
-            return stages
+            break
         before, proposed = proposed, [held | f for held, f in zip(proposed, failed)]
+    exact = _phrase_pass(read, frequent).where((F.col("phrase") == "") | (F.col("n") >= least))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return tx.Stage(exact.select("lang", "phrase", size.alias("size"), "n"), "collocations-phrases").df
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int = 50, **sampling) -> DataFrame:
@@ -236,7 +252,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int
 
     Phrases that lie in a longer one with at least ``inside`` percent of their occurrences are left out.
     """
-    counts = reduce(DataFrame.unionByName, [s.df for s in frequent_phrases(docs, least, **sampling)])
+    counts = frequent_phrases(docs, least, **sampling)
     found = counts.where("size >= 2").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
     joined = lambda lo, n: F.array_join(F.slice("words", lo, n), " ")
     cuts = F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")
