@@ -14,6 +14,7 @@ from phenospark.llm.lm_score import op7_lm_score
 from phenospark.llm.merkle import manifest_sql, op13_merkle_manifest
 from phenospark.llm.packing import op4_packing
 from phenospark.llm.quality import op5_quality
+from phenospark.llm.sentencepiece_table import op11_sentencepiece
 from phenospark.llm.simhash import op2_simhash
 from phenospark.llm.substring_dedup import op1_substring_dedup
 from phenospark.llm.suffix_dedup import op8_suffix_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_collocations": collocations.op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
