@@ -176,11 +176,24 @@ BUCKET_SQL = "(q.compound * 7 + q.plate) % 5 = (r.compound * 7 + r.plate) % 5"
 
 
 @query("evl_09_position_effect", f"""WITH {{profiles}}, {Z_SQL}, w AS (SELECT * FROM z WHERE NOT negcon AND (grp, well) IN
+    (SELECT (grp, well) FROM z WHERE NOT negcon GROUP BY grp, well HAVING count(DISTINCT plate) >= 2)), """ + ap_sql(
+    "q.grp = r.grp AND q.well = r.well AND q.plate <> r.plate AND q.compound <> r.compound",
+    "q.grp = r.grp AND q.plate = r.plate AND q.well <> r.well AND q.compound <> r.compound", base="w") + f"""
+  SELECT well, grp, count(*) AS n, round(avg(average_precision), 6) AS mean_ap FROM nap JOIN profiles USING (row_id) GROUP BY well, grp""")
+def _(t):
+    z = normalized(t)
+    rows = z.with_df(z.df.filter("NOT negcon"))
+    ap = ev.position_effect(rows, "well", "plate", "compound", "grp")
+    return ap.groupBy("well", "grp").agg(F.count("*").alias("n"), r6(F.avg("average_precision")).alias("mean_ap"))
+
+
+@query("evl_09_position_effect_bucketed", f"""WITH {{profiles}}, {Z_SQL}, w AS (SELECT * FROM z WHERE NOT negcon AND (grp, well) IN
     (SELECT (grp, well) FROM z WHERE NOT negcon GROUP BY grp, well HAVING count(DISTINCT plate) >= 2)), """ + ap_sql(
     "q.grp = r.grp AND q.well = r.well AND q.plate <> r.plate AND q.compound <> r.compound",
     f"q.grp = r.grp AND q.plate = r.plate AND {BUCKET_SQL} AND q.well <> r.well AND q.compound <> r.compound", base="w") + f"""
   SELECT well, grp, count(*) AS n, round(avg(average_precision), 6) AS mean_ap FROM nap JOIN profiles USING (row_id) GROUP BY well, grp""")
 def _(t):
+    """Negatives from the query's own bucket, as a caller may ask for."""
     z = normalized(t)
     rows = z.with_df(z.df.filter("NOT negcon"))
     ap = ev.position_effect(rows, "well", "plate", "compound", "grp", bucket=(F.col("compound") * 7 + F.col("plate")) % 5)
@@ -194,11 +207,20 @@ def _(t):
     return ev.mean_average_precision(ap, ["grp", "well"], null_size=200)
 
 
-@query("evl_10_plate_effect", f"WITH {{profiles}}, {Z_SQL}, w AS (SELECT * FROM z WHERE NOT negcon), " + ap_sql(
+@query("evl_10_plate_effect")
+def _(t):
+    """All pairs; no SQL, as it would write billions of them: tests compare with brute force."""
+    z = normalized(t)
+    ap = ev.plate_effect(z.with_df(z.df.filter("NOT negcon")), "well", "plate", "compound", "grp")
+    return ap.groupBy("plate", "grp").agg(F.count("*").alias("n"), r6(F.avg("average_precision")).alias("mean_ap"))
+
+
+@query("evl_10_plate_effect_bucketed", f"WITH {{profiles}}, {Z_SQL}, w AS (SELECT * FROM z WHERE NOT negcon), " + ap_sql(
     f"q.grp = r.grp AND q.plate = r.plate AND {BUCKET_SQL} AND q.compound <> r.compound",
     "q.grp = r.grp AND (q.compound * 3 + q.plate) % 97 = (r.compound * 3 + r.plate) % 97 AND q.plate <> r.plate AND q.well <> r.well AND q.compound <> r.compound",
     base="w") + """ SELECT plate, grp, count(*) AS n, round(avg(average_precision), 6) AS mean_ap FROM nap JOIN profiles USING (row_id) GROUP BY plate, grp""")
 def _(t):
+    """Partners from the query's own buckets, as a caller may ask for."""
     z = normalized(t)
     ap = ev.plate_effect(z.with_df(z.df.filter("NOT negcon")), "well", "plate", "compound", "grp",
                          pos_bucket=(F.col("compound") * 7 + F.col("plate")) % 5, neg_bucket=(F.col("compound") * 3 + F.col("plate")) % 97)

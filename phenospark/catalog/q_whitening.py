@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from phenospark.catalog.base import query, r6
+from phenospark.operators import axes as ax
 from phenospark.operators import batch as bt
 from phenospark.operators import linalg as la
 from phenospark.operators import normalize as nm
@@ -135,6 +136,113 @@ def _(t):
     return out.df.select("row_id", r6(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x), 4).alias("sq_norm"))
 
 
+# ---- wide tables: 1,024 features that follow from few, so that SQL knows the answer --------------------
+
+WIDTH = 1024
+
+
+def wide(t, base: int) -> ProfileFrame:
+    """Feature j is component j mod ``base`` of the vector times (1 + j mod 7) / 4."""
+    column = lambda j: F.get(F.col("features"), j % base) * (1 + j % 7) / 4
+    df = t.vectors.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), column))
+    return ProfileFrame(df, tuple(f"w{j}" for j in range(WIDTH)))
+
+
+def square_sum(features="features"):
+    return F.aggregate(features, F.lit(0.0), lambda a, x: a + x * x)
+
+
+#: Two components a, b; their covariance; the weights p, q of each over its 512 features.
+WIDE2_SQL = """x AS (SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+  m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM x),
+  wt AS (SELECT sum(CASE WHEN j % 2 = 0 THEN w * w ELSE 0 END) AS p, sum(CASE WHEN j % 2 = 1 THEN w * w ELSE 0 END) AS q
+    FROM (SELECT j, (1 + j % 7) / 4.0::DOUBLE AS w FROM range(1024) r(j)))"""
+MAHALANOBIS_SQL = f"""WITH {WIDE2_SQL} SELECT row_id, round((bb * (a - ma) * (a - ma) - 2 * ab * (a - ma) * (b - mb) + aa * (b - mb) * (b - mb)) / (aa * bb - ab * ab), 4) AS sq_norm
+  FROM x, m"""
+
+
+@query("lin_06_wide_whitening", MAHALANOBIS_SQL)
+def _(t):
+    """Both axes there are, scaled to unit variance: a row's squared norm is its Mahalanobis distance."""
+    pf = wide(t, 2)
+    found = ax.principal_axes(pf, 2)
+    out = la.apply_matrix(pf, found.mean, found.whitening(), ["W0", "W1"])
+    return out.df.select("row_id", r6(square_sum(), 4).alias("sq_norm"))
+
+
+@query("lin_07_wide_variance_share", f"""WITH {WIDE2_SQL}, e AS (SELECT p * aa + q * bb AS total, sqrt(power(p * aa - q * bb, 2) + 4 * p * q * ab * ab) AS gap FROM m, wt)
+  SELECT CAST(component AS BIGINT) AS component, round(total, 4) AS total_variance, round((total + sign * gap) / 2 / total, 6) AS share FROM e, (VALUES (1, 1), (2, -1)) v(component, sign)""")
+def _(t):
+    found = ax.principal_axes(wide(t, 2), 1.0 - 1e-9)
+    rows = [(i + 1, round(float(found.total), 4), round(float(r), 6)) for i, r in enumerate(found.ratio)]
+    return t.spark.createDataFrame(rows, "component bigint, total_variance double, share double")
+
+
+@query("lin_08_wide_projection", """WITH x AS (SELECT vec_id, unnest(range(16)) AS i, unnest(CAST(embedding[1:16] AS DOUBLE[])) AS v FROM embeddings), c AS (SELECT i, avg(v) AS m FROM x GROUP BY i),
+   wt AS (SELECT j % 16 AS i, sum(power((1 + j % 7) / 4.0::DOUBLE, 2)) AS w FROM range(1024) r(j) GROUP BY j % 16)
+  SELECT vec_id AS row_id, round(sum(w * (v - m) * (v - m)), 3) AS sq_norm FROM x JOIN c USING (i) JOIN wt USING (i) GROUP BY vec_id""")
+def _(t):
+    """The 16 leading axes hold all of rows that follow from 16 components: distances to the mean stay."""
+    pf = wide(t, 16)
+    found = ax.principal_axes(pf, 16)
+    out = la.apply_matrix(pf, found.mean, found.axes, [f"PC_{i}" for i in range(16)])
+    return out.df.select("row_id", r6(square_sum(), 3).alias("sq_norm"))
+
+
+@query("wht_01_wide_spherize", MAHALANOBIS_SQL)
+def _(t):
+    out = bt.spherize(wide(t, 2), None, None, "ZCA")
+    return out.df.select("row_id", r6(square_sum(), 4).alias("sq_norm"))
+
+
+# ---- axis removal on two correlated features: axes (1, 1) and (1, -1) of the standardized pair ------------
+
+PAIR = ["a", "b"]
+
+
+def pairs(t, always: bool = True) -> ProfileFrame:
+    """f0 with a noisy copy of itself (unless ``always``, on even plates only: elsewhere with the noise), batches of plates."""
+    noise = 100 * F.col("f2")
+    other = F.col("f0") + noise if always else F.when(F.col("plate") % 2 == 0, F.col("f0") + noise).otherwise(noise)
+    rows = t.profiles.select("row_id", (F.col("plate") % 8).cast("string").alias("batch"), F.col("f0").alias("a"), other.alias("b"))
+    return ProfileFrame.from_wide(rows, PAIR)
+
+
+REMOVED_SQL = """WITH {profiles}, x AS (SELECT row_id, f0 AS a, f0 + 100 * f2 AS b FROM profiles),
+  z AS (SELECT row_id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b FROM x)
+  SELECT row_id, CAST(1 AS BIGINT) AS width, round((a - b) * (a - b) / 2, 4) AS sq_norm FROM z"""
+
+
+def removed(out):
+    return out.df.select("row_id", F.lit(out.width).cast("bigint").alias("width"), r6(square_sum(), 4).alias("sq_norm"))
+
+
+@query("wht_02_variance_removal_values", REMOVED_SQL)
+def _(t):
+    return removed(bt.spherize(pairs(t), None, None, "ZCA-cor", remove="threshold", variance=0.5))
+
+
+@query("wht_03_noise_edge_removal_values", REMOVED_SQL)
+def _(t):
+    return removed(bt.spherize(pairs(t), None, None, "ZCA-cor", remove="mp"))
+
+
+@query("wht_04_parallel_removal_values", REMOVED_SQL)
+def _(t):
+    return removed(bt.spherize(pairs(t), None, None, "ZCA-cor", remove="pa", n_permutations=5))
+
+
+@query("wht_05_removal_per_batch", """WITH {profiles}, x AS (SELECT CAST(plate % 8 AS VARCHAR) AS batch, f0 AS a, 100 * f2 + CASE WHEN plate % 2 = 0 THEN f0 ELSE 0 END AS b FROM profiles),
+   m AS (SELECT batch, count(*) AS n, abs(corr(a, b)) AS r FROM x GROUP BY batch),
+   k AS (SELECT *, CASE WHEN (1 + r) * n / (n - 1) > power(1 + sqrt(2.0::DOUBLE / n), 2) THEN 1 ELSE 0 END AS k FROM m)
+  SELECT batch, n, CAST(2 - k AS BIGINT) AS n_kept, CASE WHEN k = 1 THEN round(1 - r, 4) ELSE round(2 * (n - 1) / n::DOUBLE, 4) END AS mean_sq_norm FROM k""")
+def _(t):
+    """Each batch loses the axes above its own noise edge: one where the pair is correlated, none elsewhere."""
+    out = bt.spherize(pairs(t, False), "batch", None, "ZCA-cor", remove="mp")
+    sq = square_sum(F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))))
+    return out.df.groupBy("batch").agg(F.count("*").alias("n"), F.max("n_kept").cast("bigint").alias("n_kept"), r6(F.avg(sq), 4).alias("mean_sq_norm"))
+
+
 IDENTITY4 = "SELECT 'f' || i AS a, 'f' || j AS b, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS value FROM range(4) x(i), range(4) y(j)"
 
 

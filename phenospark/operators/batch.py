@@ -9,14 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from types import SimpleNamespace
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from phenospark.operators import linalg as la
-from phenospark.operators.frame import ProfileFrame
+from phenospark.operators.axes import principal_axes
+from phenospark.operators.frame import ProfileFrame, assemble
 from phenospark.operators.normalize import standardize
+from phenospark.operators.ordered import running_sums
+from phenospark.operators.relational import null_safe_join
+from phenospark.session import materialize
 
 FEW_CONTROLS = 2
 
@@ -27,30 +33,21 @@ def batch_models(pf: ProfileFrame, batch: str, control: Column | None, fit: Call
 
     Batches with fewer fit rows than ``min_rows`` get no model, or one from all their rows.
     """
-    d = pf.width
-    shift = la.column_means(pf, control)
-    table = la.moment_table(pf, [batch], control, shift)
+    d, shift = pf.width, la.column_means(pf, control)
+    tiles = la.moment_tiles(pf, [batch], control, shift).withColumn("kind", F.lit(0))
     if fallback_all and control is not None:
-        rest = la.moment_table(pf, [batch], None, shift)
-        table = rest.withColumnRenamed("moments", "_all").join(table, batch, "left").select(
-            batch, F.coalesce("moments", "_all").alias("moments"))
+        tiles = tiles.unionByName(la.moment_tiles(pf, [batch], None, shift).withColumn("kind", F.lit(1)))
+    more = [] if extra is None else [c for c in extra.columns if c != batch]
     if extra is not None:
-        table = table.join(extra, batch)
-    schema = T.StructType([table.schema[batch], *la.MODEL_SCHEMA])
-    takes_row = extra is not None
+        tiles = tiles.join(extra, batch)
+    key_type = to_arrow_type(tiles.schema[batch].dataType)
 
-    def solve(frames):
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                m = la.Moments.parse(row.moments, d, shift)
-                if m.n < min_rows:
-                    continue
-                mu, w = fit(m, row) if takes_row else fit(m)
-                out.append((getattr(row, batch), np.asarray(mu).tolist(), np.asarray(w).ravel().tolist()))
-            yield pd.DataFrame(out, columns=[batch, "mu", "m"])
+    def solve(key, m: la.Moments, values: dict):
+        if m.n >= min_rows:
+            yield from la.model_rows(key, key_type, batch, *(fit(m, SimpleNamespace(**values)) if more else fit(m)))
 
-    return table.mapInPandas(solve, schema)
+    models = la.per_key(tiles, batch, d, shift, solve, la.model_type(tiles.schema[batch]), "kind", more)
+    return materialize(models, "models")
 
 
 # ---- spherize ------------------------------------------------------------------------------------
@@ -110,54 +107,134 @@ def spherize_fit(m: la.Moments, method: str = "ZCA-cor", epsilon: float = 1e-6,
 def spherize(pf: ProfileFrame, batch: str | None = None, control: Column | None = None, method: str = "ZCA-cor",
              epsilon: float = 1e-6, remove: str | None = None, variance: float | None = None,
              n_permutations: int = 10, seed: int = 0) -> ProfileFrame:
-    """Whiten per batch or over all rows, fitted on controls when given."""
+    """Whiten per batch or over all rows, fitted on controls when given.
+
+    Axis removal per batch leaves each batch its own number of features: narrower batches end in NULLs, and ``n_kept`` has
+    each row's number.
+    """
     if batch is None:
         m = la.global_moments(pf, control)
-        top = parallel_envelope(pf, m, control, method, n_permutations, seed) if remove == "pa" else None
+        top = np.array(parallel_envelope(pf, control, method, n_permutations, seed).first()["random_max"]) if remove == "pa" else None
         fitted = spherize_fit(m, method, epsilon, remove=remove, variance=variance, random_max=top)
         return la.apply_matrix(pf, fitted.mean, fitted.matrix, fitted.names or pf.names)
-    if remove is not None:
-        raise ValueError("axis removal gives each batch its own width; run it over all rows")
-    fit = lambda m: (lambda w: (w.mean, w.matrix))(spherize_fit(m, method, epsilon))
-    models = batch_models(pf, batch, control, fit, min_rows=1, fallback_all=True)
-    return la.apply_models(pf, models, batch, pf.names)
+    extra = None
+    if remove == "pa":
+        extra = parallel_envelope(pf, control, method, n_permutations, seed, batch, fallback_all=True).withColumnRenamed("key", batch)
+
+    def fit(m: la.Moments, row=None):
+        w = spherize_fit(m, method, epsilon, remove=remove, variance=variance, random_max=None if row is None else np.array(row.random_max))
+        return w.mean, w.matrix
 
+    models = batch_models(pf, batch, control, fit, min_rows=1, fallback_all=True, extra=extra)
+    if remove is None:
+        return la.apply_models(pf, models, batch, pf.names)
+    widths = models.groupBy(batch).agg((F.sum(F.size("m")) / pf.width).cast("int").alias("w"))
+    most = widths.agg(F.max("w")).first()[0] or pf.width
+    return la.apply_models(pf, models, batch, [f"Spherize_{i}" for i in range(most)], "drop", width_col="n_kept")
 
-def parallel_envelope(pf: ProfileFrame, m: la.Moments, where: Column | None = None, method: str = "ZCA-cor",
-                      n_permutations: int = 10, seed: int = 0, block_rows: int = 50_000) -> np.ndarray:
-    """Largest singular values over column-permuted copies of the data.
 
-    Rows are dealt into hash blocks of bounded size; inside a block each column is permuted on its own. Blocks
-    are random samples, so this breaks the correlations as a permutation of whole columns does.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted_ranks(rank: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a keyed permutation of 0..n-1 sends each rank; the three arrays broadcast.
+
+    Six Feistel rounds on the least even number of bits that hold n - 1, repeated until the result is below n.
     """
-    d = pf.width
-    df = pf.df.filter(where) if where is not None else pf.df
-    n_blocks = max(1, int(np.ceil(m.n / block_rows)))
-    sd = np.sqrt(np.diag(m.scatter) / m.n)
-    scale = np.where(sd < 1e-10, 1.0, sd) if "cor" in method else np.ones(d)
-    mean = m.mean
-    rows = df.select(F.pmod(F.xxhash64(F.lit(seed), F.col(pf.id_col)), F.lit(n_blocks)).cast("int").alias("_blk"),
-                     F.xxhash64(pf.id_col).alias("_o"), "features")
-
-    def shuffle(table: pa.Table) -> pa.Table:
-        # Order by the id hash first, so a rerun permutes the same rows the same way.
-        table = table.sort_by("_o")
-        block = table.column("_blk")[0].as_py()
-        x = (la.to_matrix(table.column("features").combine_chunks(), d) - mean) / scale
-        out = []
-        for p in range(n_permutations):
-            rng = np.random.default_rng([seed, block, p])
-            y = np.column_stack([rng.permutation(x[:, j]) for j in range(d)])
-            out.append(pa.table({"perm": pa.array([p] * d, pa.int32()), "i": pa.array(np.arange(d, dtype=np.int32)),
-                                 "g": la.to_list_array(y.T @ y)}))
-        return pa.concat_tables(out)
-
-    parts = rows.groupBy("_blk").applyInArrow(shuffle, "perm int, i int, g array<double>")
-    top = np.zeros(d)
-    for r in la.sum_matrices(parts, ["perm"], d, "m").collect():
-        lam = np.linalg.eigvalsh(np.array(r["m"]).reshape(d, d))[::-1]
-        top = np.maximum(top, np.sqrt(np.maximum(lam, 0.0)))
-    return top
+    rank, n, key = (np.array(x, dtype=np.uint64) for x in np.broadcast_arrays(rank, n, key))
+    half = np.maximum(1, -(-np.ceil(np.log2(np.maximum(n, 2).astype(np.float64))).astype(np.int64) // 2)).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    at, todo = rank, np.ones(rank.shape, bool)
+    while todo.any():
+        left, right, h, m, k = at[todo] >> half[todo], at[todo] & mask[todo], half[todo], mask[todo], key[todo]
+        for turn in range(6):
+            left, right = right, left ^ (_mixed(right + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) & m)
+        at[todo] = (left << h) | right
+        todo = at >= n
+    return at.astype(np.int64)
+
+
+def parallel_envelope(pf: ProfileFrame, where: Column | None = None, method: str = "ZCA-cor", n_permutations: int = 10, seed: int = 0,
+                      batch: str | None = None, fallback_all: bool = False, block_cells: int = 1 << 21) -> DataFrame:
+    """(key, random_max): largest singular values over copies of the data in which each column is permuted on its own.
+
+    Rows are numbered by id within their key (the batch, or all rows); a keyed permutation of the numbers says
+    where each value goes, so copies do not depend on partitions or blocks. Values meet by blocks of target rows, and a
+    block gives its part of the moments.
+    """
+    d, id_col = pf.width, pf.id_col
+    df = pf.df
+    if batch and fallback_all and where is not None:
+        counts = df.groupBy(batch).agg(F.count_if(where).alias("_controls"))
+        df = null_safe_join(df, counts, [batch]).filter((F.col("_controls") == 0) | where)
+    elif where is not None:
+        df = df.filter(where)
+    shift = la.column_means(pf, where)
+    rows = df.select((F.col(batch) if batch else F.lit(0)).alias("key"), F.col(id_col).alias("_id"), "features")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("_n"))
+    numbered = null_safe_join(running_sums(rows, ["key"], ["_id"], {"_rank": F.lit(1)}), sizes, ["key"]).select("key", "_rank", "_n", "features")
+    block, spans = max(1, block_cells // d), la.blocks_of(d)
+    columns = np.arange(d, dtype=np.uint64)
+    moved = T.StructType([T.StructField("key", rows.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in ("p", "block", "n")),
+                          T.StructField("cell", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType()))])
+
+    def send(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, max(1, (1 << 20) // d)):
+                part = b.slice(lo, max(1, (1 << 20) // d))
+                codes = part.column(0).dictionary_encode(null_encoding="encode")
+                key_of = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                rank, n = (part.column(i).to_numpy(zero_copy_only=False).astype(np.uint64)[:, None] for i in (1, 2))
+                values = (la.to_matrix(part.column(3), d) - shift).ravel()
+                for p in range(n_permutations):
+                    target = permuted_ranks(rank - np.uint64(1), n, _mixed(columns + np.uint64((seed << 32) + (p << 20))))
+                    to = target // block
+                    group = key_of[:, None] * (int(to.max()) + 1) + to
+                    cell = ((target - to * block) * d + np.arange(d)).ravel()
+                    order = np.argsort(group.ravel(), kind="stable")
+                    found = group.ravel()[order]
+                    edges = np.r_[0, np.flatnonzero(np.diff(found)) + 1, len(found)]
+                    at = order[edges[:-1]] // d
+                    lists = pa.array(edges.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), p)), pa.array(to.ravel()[order[edges[:-1]]]), pa.array(n[at, 0].astype(np.int64)),
+                         pa.ListArray.from_arrays(lists, pa.array(cell[order])), pa.ListArray.from_arrays(lists, pa.array(values[order]))], names=moved.names)
+
+    tiles_type = T.StructType([T.StructField("key", moved["key"].dataType), T.StructField("p", T.LongType()), *la.tile_type(df, []).fields])
+    key_type = to_arrow_type(moved["key"].dataType)
+
+    def meet(table: pa.Table) -> pa.Table:
+        size = min(block, table.column("n")[0].as_py() - block * table.column("block")[0].as_py())
+        y = np.zeros(size * d)
+        for cells, values in zip(table.column("cell").chunks, table.column("value").chunks):
+            y[cells.flatten().to_numpy()] = values.flatten().to_numpy()
+        y = y.reshape(size, d)
+        out = la._TileRows([key_type, pa.int64()], ["key", "p"], limit=1 << 40)
+        for i, (a, e) in enumerate(spans):
+            for j, (c, f) in enumerate(spans[i:], i):
+                out.add((table.column("key")[0].as_py(), table.column("p")[0].as_py()), i, j, size if i == j else 0,
+                        y[:, a:e].sum(0) if i == j else np.zeros(0), (y[:, a:e].T @ y[:, c:f]).ravel())
+        return pa.Table.from_batches(out.batch())
+
+    tiles = la.sum_tiles(numbered.mapInArrow(send, moved).groupBy("key", "p", "block").applyInArrow(meet, tiles_type), ["key", "p"])
+    found_type = T.StructType([T.StructField("copy", T.StructType(tiles_type.fields[:2])), T.StructField("s", T.ArrayType(T.DoubleType()))])
+    copy_type = to_arrow_type(found_type["copy"].dataType)
+
+    def values(copy, m: la.Moments, _):
+        scatter = m.scatter
+        if "cor" in method:
+            sd = np.sqrt(np.diag(scatter) / m.n)
+            scale = np.where(sd < 1e-10, 1.0, sd)
+            scatter = scatter / np.outer(scale, scale)
+        s = np.sqrt(np.maximum(np.linalg.eigvalsh(scatter)[::-1], 0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([copy], copy_type), la.to_list_array(s[None, :])], names=["copy", "s"])
+
+    found = la.per_key(tiles.select(F.struct("key", "p").alias("copy"), "i", "j", "n", "s", "g"), "copy", d, shift, values, found_type)
+    top = found.select("copy.key", F.posexplode("s").alias("idx", "v")).groupBy("key", "idx").agg(F.max("v").alias("random_max"))
+    return assemble(top, ["key"], ["random_max"])
 
 
 # ---- typical variation normalization -----------------------------------------------------------
@@ -194,18 +271,15 @@ def coral(pf: ProfileFrame, batch: str | None, control: Column, epsilon: float =
 def pca(pf: ProfileFrame, n_components: int | float = 128, whiten: bool = False, control: Column | None = None,
         prefix: str = "PC_", first: int = 1) -> ProfileFrame:
     """Projection on the principal axes of the controls (or of all rows)."""
-    m = la.global_moments(pf, control)
+    found = principal_axes(pf, n_components, control)
     if not isinstance(n_components, float):
-        most = min(m.n, pf.width)
+        most = min(found.n, pf.width)
         if n_components >= most:
             if most <= 1:
                 return pf
-            n_components = most - 1
-    axes, _ = la.pca_components(m, n_components)
-    if whiten:
-        lam = np.maximum(np.diag(axes.T @ m.cov() @ axes), 1e-12)
-        axes = axes / np.sqrt(lam)
-    return la.apply_matrix(pf, m.mean, axes, [f"{prefix}{i + first}" for i in range(axes.shape[1])])
+            found = found.first(most - 1)
+    axes = found.whitening(1e-12) if whiten else found.axes
+    return la.apply_matrix(pf, found.mean, axes, [f"{prefix}{i + first}" for i in range(axes.shape[1])])
 
 
 def control_counts(pf: ProfileFrame, batch: str, control: Column) -> DataFrame:
@@ -235,9 +309,8 @@ def tvn_aligned(pf: ProfileFrame, batch: str | None, control: Column, n_componen
     fewest = smallest_batch(pf, batch, control) if batch else n_controls
     k = min(n_components, pf.width, n_controls - 1)
     k = clamp_components(k, fewest or n_controls, dim_ratio_threshold, dim_ratio_action)
-    m = la.global_moments(scaled, control)
-    axes, _ = la.pca_components(m, k)
-    reduced = la.apply_matrix(scaled, m.mean, axes, [f"PC_{i}" for i in range(axes.shape[1])])
+    found = principal_axes(scaled, k, control)
+    reduced = la.apply_matrix(scaled, found.mean, found.axes, [f"PC_{i}" for i in range(found.axes.shape[1])])
     if batch is None:
         return reduced
 
@@ -286,8 +359,8 @@ def tvn_original(pf: ProfileFrame, batch: str, control: Column, k: int = 50, eps
     counted = _with_control_counts(pf, batch, control)
     usable = _eligible(counted, batch, control)
     k = clamp_components(min(k, pf.width), smallest_batch(pf, batch, control), dim_ratio_threshold, dim_ratio_action)
-    m = la.global_moments(counted, usable)
-    white = la.apply_matrix(counted, m.mean, la.pca_whitening(m, k, epsilon), [f"TVN_{i}" for i in range(k)])
+    found = principal_axes(counted, k, usable)
+    white = la.apply_matrix(counted, found.mean, found.whitening(epsilon), [f"TVN_{i}" for i in range(k)])
     out = _shrunk_alignment(white, batch, usable, few)
     return out.with_df(out.df.drop("_n_ctl"))
 
@@ -299,28 +372,25 @@ def tvn_cascade(pf: ProfileFrame, batch: str, control: Column, k1: int = 100, k2
     usable = _eligible(counted, batch, control)
     k1 = min(k1, pf.width)
     k2 = min(k2, k1)
-    m1 = la.global_moments(counted, usable)
-    wide = la.apply_matrix(counted, m1.mean, la.pca_whitening(m1, k1, epsilon), [f"W_{i}" for i in range(k1)])
-    m2 = la.global_moments(wide, usable)
-    narrow = la.apply_matrix(wide, m2.mean, la.pca_whitening(m2, k2, epsilon), [f"TVN_Cascade_{i}" for i in range(k2)])
+    first = principal_axes(counted, k1, usable)
+    wide = la.apply_matrix(counted, first.mean, first.whitening(epsilon), [f"W_{i}" for i in range(k1)])
+    second = principal_axes(wide, k2, usable)
+    narrow = la.apply_matrix(wide, second.mean, second.whitening(epsilon), [f"TVN_Cascade_{i}" for i in range(k2)])
     out = _shrunk_alignment(narrow, batch, usable, few)
     return out.with_df(out.df.drop("_n_ctl"))
 
 
 def whitening_report(pf: ProfileFrame, batch: str, control: Column) -> DataFrame:
     """Per batch: controls, condition number of the control covariance, and the ill-conditioned flag."""
-    d, shift = pf.width, la.column_means(pf, control)
-    table = la.moment_table(pf, [batch], control, shift)
-    schema = T.StructType([table.schema[batch], T.StructField("n_controls", T.LongType()),
+    shift = la.column_means(pf, control)
+    tiles = la.moment_tiles(pf, [batch], control, shift)
+    schema = T.StructType([tiles.schema[batch], T.StructField("n_controls", T.LongType()),
                            T.StructField("condition_number", T.DoubleType()), T.StructField("ill_conditioned", T.BooleanType())])
+    key_type = to_arrow_type(tiles.schema[batch].dataType)
 
-    def report(frames):
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                m = la.Moments.parse(row.moments, d, shift)
-                c = la.condition_number(m.cov()) if m.n >= FEW_CONTROLS else float("inf")
-                out.append((getattr(row, batch), m.n, c, c > la.ILL_CONDITIONED))
-            yield pd.DataFrame(out, columns=[f.name for f in schema])
+    def report(key, m: la.Moments, _):
+        c = la.condition_number(m.cov()) if m.n >= FEW_CONTROLS else float("inf")
+        yield pa.RecordBatch.from_arrays([pa.array([key], key_type), pa.array([m.n], pa.int64()), pa.array([c]), pa.array([c > la.ILL_CONDITIONED])],
+                                         names=[f.name for f in schema])
 
-    return table.mapInPandas(report, schema)
+    return la.per_key(tiles, batch, pf.width, shift, report, schema)

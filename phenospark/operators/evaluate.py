@@ -401,6 +401,7 @@ def position_effect(pf: ProfileFrame, well: str, batch: str, compound: str, grou
     with fewer than ``min_rows`` rows there is no result.
     """
     g = (group,) if group else ()
+    pf = pf.with_df(materialize(pf.df, "position"))
     df = several(wells_on_plates(pf.df, well, batch, group), well, group)
     if pf.df.limit(min_rows).count() < min_rows:
         df = df.limit(0)
@@ -421,6 +422,7 @@ def plate_effect(pf: ProfileFrame, well: str, batch: str, compound: str, group:
     with one plate are left out, and with fewer than ``min_rows`` rows there is no result.
     """
     g = (group,) if group else ()
+    pf = pf.with_df(materialize(pf.df, "plate"))
     df = several(pf.df, batch, group)
     if pf.df.limit(min_rows).count() < min_rows:
         df = df.limit(0)

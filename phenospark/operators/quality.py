@@ -33,11 +33,9 @@ def check_features(pf: ProfileFrame, step: str, abort: bool = True) -> dict:
 
 def leading_variance(pf: ProfileFrame, n: int = 2) -> list[float]:
     """Variance share of the first principal axes."""
-    from phenospark.operators.linalg import global_moments
+    from phenospark.operators.axes import principal_axes
 
-    lam = np.linalg.eigvalsh(global_moments(pf).cov())[::-1]
-    total = lam.sum()
-    return [float(x / total) if total > 0 else 0.0 for x in lam[:n]]
+    return [float(x) for x in principal_axes(pf, n).ratio]
 
 
 def check_leading_variance(pf: ProfileFrame, most: float = 0.4, abort: bool = True) -> float:

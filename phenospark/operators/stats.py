@@ -135,10 +135,10 @@ def cosine_between_features(pf) -> DataFrame:
     """Mean, std, max and min cosine of each feature to the other features, from the uncentred Gram matrix."""
     import numpy as np
 
-    from phenospark.operators.linalg import moment_table
+    from phenospark.operators.linalg import global_moments
 
-    flat = moment_table(pf, shift=np.zeros(pf.width)).first()["moments"]
-    g = np.array(flat).reshape(pf.width, pf.width + 2)[:, :pf.width]
+    m = global_moments(pf)
+    g = m.scatter + m.n * np.outer(m.mean, m.mean)
     norm = np.sqrt(np.diag(g))
     norm[norm == 0] = 1.0
     c = g / np.outer(norm, norm)
