@@ -48,6 +48,28 @@ def ap_columns(df, *keys):
                      r6("normalized_average_precision").alias("normalized_average_precision"))
 
 
+# ---- a null table as an input, the same for all pair counts, so that SQL knows the p-values ------------
+
+DRAWS, SHIFT = 400, 0.3141592653589793
+
+
+def fixed_nulls(ap, top: float = 1.0):
+    """Draws (i + SHIFT) / DRAWS * top for every pair of counts."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: (i + F.lit(SHIFT)) / DRAWS * top)
+    return ap.select("n_pos_pairs", "n_total_pairs").distinct().withColumn("draws", draws)
+
+
+def fixed_p_sql(observed: str, top: float = 1.0) -> str:
+    return f"(1 + {DRAWS} - least({DRAWS}, greatest(0, ceil({observed} * {DRAWS} / {top} - {SHIFT})))) / {DRAWS + 1}.0::DOUBLE"
+
+
+def adjusted_sql(table: str, name: str, family: str = "") -> str:
+    """CTE with p adjusted as cp, within the family's columns."""
+    part = f"PARTITION BY {family}" if family else ""
+    return f"""{name} AS (SELECT *, least(1.0, min(p * total / upto) OVER ({part} ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS cp
+    FROM (SELECT *, count(*) OVER ({part}) AS total, count(*) OVER ({part} ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM {table}))"""
+
+
 @query("evl_01_average_precision", f"WITH {{profiles}}, {Z_SQL}, {ACTIVITY} SELECT row_id, {AP_COLS} FROM nap")
 def _(t):
     return ap_columns(ev.activity_precision(normalized(t), "compound", "negcon", "plate", "grp"), "row_id")
@@ -75,6 +97,22 @@ def _(t):
     return ev.row_p_values(ap, null_size=1000).select("row_id", "average_precision", "p_value")
 
 
+@query("evl_03_p_values_of_given_nulls", f"WITH {{profiles}}, {Z_SQL}, {ACTIVITY} SELECT row_id, round({fixed_p_sql('average_precision')}, 8) AS p_value FROM nap")
+def _(t):
+    ap = ev.activity_precision(normalized(t), "compound", "negcon", "plate", "grp")
+    return ev.row_p_values(ap, nulls=fixed_nulls(ap)).select("row_id", r6("p_value", 8).alias("p_value"))
+
+
+@query("evl_04_activity_of_given_nulls", f"""WITH {{profiles}}, {Z_SQL}, {ACTIVITY}, m AS (SELECT compound, grp, avg(average_precision) AS m FROM nap JOIN profiles USING (row_id) GROUP BY compound, grp),
+  pv AS (SELECT *, {fixed_p_sql("m")} AS p FROM m), {adjusted_sql("pv", "adj")}
+  SELECT compound, grp, round(m, 6) AS mean_average_precision, round(p, 8) AS p_value, round(cp, 8) AS corrected_p_value, cp < 0.2 AS below_corrected_p FROM adj""")
+def _(t):
+    ap = ev.activity_precision(normalized(t), "compound", "negcon", "plate", "grp")
+    maps = ev.mean_average_precision(ap, ["compound", "grp"], threshold=0.2, nulls=fixed_nulls(ap))
+    return maps.select("compound", "grp", r6("mean_average_precision").alias("mean_average_precision"), r6("p_value", 8).alias("p_value"),
+                       r6("corrected_p_value", 8).alias("corrected_p_value"), "below_corrected_p")
+
+
 @query("evl_04_phenotypic_activity")
 def _(t):
     _, maps = ev.phenotypic_activity(normalized(t), "compound", "negcon", "plate", "grp", null_size=1000)
@@ -152,6 +190,42 @@ def _(t):
     return ev.phenotypic_consistency(gated, "targets", "cmp", "grp", null_size=500, max_targets=50)[1]
 
 
+GATED = f"""{V_SQL}, apairs AS (SELECT q.row_id AS k, {V_STEP} AS s, 1 AS pos FROM v q JOIN v r ON q.grp = r.grp AND q.label = r.label AND q.row_id <> r.row_id
+    UNION ALL SELECT q.row_id, {V_STEP}, 0 FROM v q JOIN v r ON q.grp = r.grp AND q.batch = r.batch AND q.label <> r.label),
+  ark AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY s DESC, pos DESC) AS rn,
+    sum(pos) OVER (PARTITION BY k ORDER BY s DESC, pos DESC ROWS UNBOUNDED PRECEDING) AS cp FROM apairs),
+  aap AS (SELECT k AS row_id, avg(CASE WHEN pos = 1 THEN cp * 1.0::DOUBLE / rn END) AS a FROM ark GROUP BY k HAVING sum(pos) > 0),
+  am AS (SELECT label, grp, avg(a) AS m FROM aap JOIN v USING (row_id) GROUP BY label, grp),
+  apv AS (SELECT *, {fixed_p_sql("m", 0.53)} AS p FROM am), {adjusted_sql("apv", "aadj")},
+  act AS (SELECT DISTINCT label FROM aadj WHERE cp < 0.05), gv AS (SELECT * FROM v WHERE label IN (SELECT label FROM act) AND (SELECT count(*) FROM act) >= 2),
+  ok AS (SELECT t FROM (SELECT label, unnest(targets) AS t FROM gv) GROUP BY t HAVING count(DISTINCT label) >= 2),
+  fv AS (SELECT row_id, grp, any_value(e) AS e, list(t) AS targets FROM (SELECT row_id, grp, e, unnest(targets) AS t FROM gv) JOIN ok USING (t) GROUP BY row_id, grp),
+  l AS (SELECT row_id, grp, targets, e, unnest(targets) AS tgt, row_id || '/' || unnest(targets) AS rl FROM fv WHERE len(targets) > 0),
+  pairs AS (SELECT q.rl AS k, {V_STEP} AS s, 1 AS pos FROM l q JOIN l r ON q.grp = r.grp AND q.tgt = r.tgt AND q.row_id <> r.row_id
+    UNION ALL SELECT q.rl, {V_STEP}, 0 FROM l q JOIN fv r ON q.grp = r.grp AND len(r.targets) > 0 AND NOT list_has_any(q.targets, r.targets)),
+  rk AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY s DESC, pos DESC) AS rn,
+    sum(pos) OVER (PARTITION BY k ORDER BY s DESC, pos DESC ROWS UNBOUNDED PRECEDING) AS cp FROM pairs),
+  ap AS (SELECT k AS rl, avg(CASE WHEN pos = 1 THEN cp * 1.0::DOUBLE / rn END) AS a FROM rk GROUP BY k HAVING sum(pos) > 0),
+  m AS (SELECT tgt, grp, count(*) AS n_rows, avg(a) AS m FROM ap JOIN l USING (rl) GROUP BY tgt, grp),
+  pv AS (SELECT *, {fixed_p_sql("m", 0.5)} AS p FROM m), {adjusted_sql("pv", "adj")}"""
+
+
+@query("evl_07_gated_by_significance", f"""WITH {GATED} SELECT tgt AS label, grp, n_rows, round(m, 6) AS mean_average_precision, round(p, 8) AS p_value, round(cp, 8) AS corrected_p_value, cp < 0.4 AS below_corrected_p,
+    (SELECT count(*) FROM act) AS n_active FROM adj""")
+def _(t):
+    """Consistency among the labels whose activity is significant after correction, with a null table as an input."""
+    from phenospark.session import materialize
+
+    pf = labelled(t)
+    pf = pf.with_df(materialize(pf.df, "labelled"))
+    ap = materialize(ev.average_precision(pf, ev.PairRule(("compound", "grp")), ev.PairRule(("batch", "grp"), ("compound",))), "ap")
+    activity = ev.mean_average_precision(ap, ["compound", "grp"], nulls=fixed_nulls(ap, 0.53))
+    _, maps, _ = ev.consistency_of_active(pf, activity, "targets", "compound", "grp", min_compounds=2, p_threshold=0.4, nulls=lambda a: fixed_nulls(a, 0.5))
+    n_active = activity.filter("below_corrected_p").select("compound").distinct().count()
+    return maps.select("label", "grp", "n_rows", r6("mean_average_precision").alias("mean_average_precision"), r6("p_value", 8).alias("p_value"),
+                       r6("corrected_p_value", 8).alias("corrected_p_value"), "below_corrected_p", F.lit(n_active).cast("bigint").alias("n_active"))
+
+
 @query("evl_08_consistency_by_subset", f"""WITH {V_SQL}, s AS (SELECT v.*, subset FROM v, (VALUES ('all'), ('tier1'), ('tier2')) x(subset)
     WHERE subset = 'all' OR (subset = 'tier1' AND label < 5) OR (subset = 'tier2' AND label >= 5)),
   l AS (SELECT row_id, subset, targets, e, unnest(targets) AS label, subset || '/' || row_id || '/' || unnest(targets) AS rl FROM s),

@@ -3,8 +3,12 @@
 from pyspark.sql import functions as F
 
 from phenospark.catalog.base import query, r6
+from phenospark.catalog.q_evaluate import FEATS, adjusted_sql, ap_sql, fixed_nulls, fixed_p_sql
 from phenospark.operators import relational as rel
+from phenospark.operators import normalize as nm
 from phenospark.operators import results as rs
+from phenospark.operators import saturation as sat
+from phenospark.operators.frame import ProfileFrame
 
 KEEP = ["family", "codec", "config", "pa"]
 
@@ -94,16 +98,33 @@ def _(t):
     return rs.top_configs(t.runs, "family", "codec", "config", "pa", 3).select(F.concat_ws("/", F.lit("data"), "family", "codec", "config").alias("path"))
 
 
-@query("exp_10_saturation")
-def _(t):
-    """Nested subsamples of several sizes and seeds scored in one plan: (n, seed) is part of the key."""
-    rank = rel.hash_order(["compound", "seed"], 7)
-    seeds = t.profiles.filter("NOT negcon").select("compound").distinct().withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    scored = seeds.withColumn("_u", F.pmod(rank, F.lit(1_000_000)) / 1_000_000)
-    sizes = F.explode(F.array(*[F.lit(x) for x in (0.05, 0.1, 0.25, 0.5, 1.0)])).alias("fraction")
-    members = scored.select("compound", "seed", "_u", sizes).filter("_u < fraction").drop("_u")
-    rows = t.profiles.filter("NOT negcon").join(members, "compound")
-    return rows.groupBy("fraction", "seed").agg(F.countDistinct("compound").alias("n_treatments"), F.avg("f0").alias("mean_f0"), F.stddev_samp("f0").alias("std_f0"))
+SATURATION_SQL = f"""WITH {{profiles}}, t AS (SELECT DISTINCT compound FROM profiles WHERE NOT negcon),
+  o AS (SELECT compound, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(compound || '/' || seed), compound) AS rn FROM t, (VALUES (0), (1)) v(seed)),
+  mem AS (SELECT compound, fraction, seed FROM o, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) f(fraction) WHERE rn <= greatest(1, floor(fraction * (SELECT count(*) FROM t)))),
+  runs AS (SELECT DISTINCT fraction, seed FROM mem),
+  rows_ AS (SELECT p.*, fraction, seed FROM profiles p JOIN mem USING (compound) WHERE NOT negcon UNION ALL SELECT p.*, fraction, seed FROM profiles p, runs WHERE negcon),
+  st AS (SELECT plate, {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) + 1e-18 AS d_{c}" for c in FEATS)} FROM profiles WHERE negcon GROUP BY plate),
+  zr AS (SELECT row_id || '/' || fraction || '/' || seed || '/' || config AS row_id, plate, compound, grp, negcon, fraction, seed, config,
+    {", ".join(f"CASE WHEN config = 'a' THEN ({c} - m_{c}) / d_{c} ELSE {c} END AS {c}" for c in FEATS)} FROM rows_ JOIN st USING (plate), (VALUES ('a'), ('b')) c(config)),
+  z AS (SELECT * EXCLUDE ({", ".join(FEATS)}), {", ".join(f"{c} / sqrt(f0 * f0 + f1 * f1 + f2 * f2 + f3 * f3) AS {c}" for c in FEATS)} FROM zr),
+  """ + ap_sql("q.config = r.config AND q.fraction = r.fraction AND q.seed = r.seed AND q.compound = r.compound AND q.grp = r.grp AND q.row_id <> r.row_id AND NOT r.negcon",
+               "q.config = r.config AND q.fraction = r.fraction AND q.seed = r.seed AND q.plate = r.plate AND q.grp = r.grp AND r.negcon AND q.compound <> r.compound", where="NOT q.negcon") + f""",
+  g AS (SELECT config, fraction, seed, compound, grp, avg(average_precision) AS m FROM nap JOIN zr USING (row_id) GROUP BY ALL),
+  pv AS (SELECT *, {fixed_p_sql("m")} AS p FROM g), {adjusted_sql("pv", "adj", "config, fraction, seed")},
+  sc AS (SELECT fraction, seed, config, count(DISTINCT compound) AS n_treatments, avg(m) AS mean_ap, avg(CASE WHEN cp < 0.05 THEN 100.0::DOUBLE ELSE 0 END) AS pct_active FROM adj GROUP BY ALL)
+  SELECT fraction, CAST(seed AS INT) AS seed, config, n_treatments, round(mean_ap, 6) AS mean_ap, round(pct_active, 6) AS pct_active,
+    row_number() OVER (PARTITION BY fraction, seed ORDER BY mean_ap DESC, config DESC) = 1 AS is_best FROM sc"""
+
+
+@query("exp_10_saturation", SATURATION_SQL)
+def _(t):
+    """Nested subsamples of treatments, normalized and scored in one plan under two configurations; the best one per run."""
+    pf = ProfileFrame.from_wide(t.profiles, FEATS)
+    configs = {"a": lambda x, batch, control: nm.standardize(x, batch, control), "b": lambda x, batch, control: x}
+    scores, best = sat.saturation(pf, "compound", "negcon", "plate", (0.05, 0.1, 0.2), (0, 1), configs, "grp", nulls=fixed_nulls)
+    flag = best.select("fraction", "seed", F.col("config").alias("_best"))
+    out = scores.join(flag, ["fraction", "seed"])
+    return out.select("fraction", "seed", "config", "n_treatments", r6("mean_ap").alias("mean_ap"), r6("pct_active").alias("pct_active"), (F.col("config") == F.col("_best")).alias("is_best"))
 
 
 @query("exp_11_config_grid")

@@ -155,10 +155,22 @@ def _(t):
     return s.withColumn("rate", r6(st.match_rate(F.col("n_matched"), F.col("n_total"))))
 
 
-@query("sta_17_rank_p_values")
+def beta_series_sql(a: str, b: str, x: str) -> str:
+    """Incomplete beta function by its power series, for x below its mean."""
+    return (f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / ({a}) * (1 + list_sum(list_transform(range(0, 5000), lambda k: "
+            f"exp(lgamma({a} + {b} + k + 1) - lgamma({a} + {b}) - lgamma({a} + k + 2) + lgamma({a} + 1) + (k + 1) * ln({x})))))")
+
+
+RHO_SQL = spearman_sql("sm", ["codec", "feature"], 5).replace("round(CASE", "(CASE").replace("END, 6) AS rho", "END) AS rho").replace(") SELECT", "), rh AS (SELECT") + ")"
+
+
+@query("sta_17_rank_p_values", f"""WITH {SITE_SQL}, {RHO_SQL}, x AS (SELECT *, (n - 2) / 2.0::DOUBLE AS h, 1 - rho * rho AS x FROM rh)
+  SELECT codec, feature, round(rho, 6) AS rho, n, round(CASE WHEN rho IS NULL OR n < 3 THEN NULL WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1
+    WHEN x < (h + 1) / (h + 2.5) THEN {beta_series_sql("h", "0.5::DOUBLE", "x")} ELSE 1 - {beta_series_sql("0.5::DOUBLE", "h", "(1 - x)")} END, 6) AS p_value FROM x""")
 def _(t):
-    """Spearman correlations with their row counts; the p-value is left to a permutation of the ranks."""
-    return st.spearman(site_rows(t), ["codec", "feature"], min_n=5)
+    """Spearman correlations with two-sided p-values; SQL adds up another series for the tail."""
+    out = st.spearman_test(site_rows(t), ["codec", "feature"], min_n=5)
+    return out.select("codec", "feature", r6("rho").alias("rho"), "n", r6("p_value").alias("p_value"))
 
 
 @query("sta_18_low_correlation_cause", f"""WITH {DIAG_SQL} SELECT codec, feature, CASE WHEN abs(coalesce(r, 0)) < 0.5 THEN CASE WHEN least(a_std, b_std) < 1e-10 THEN 'constant' WHEN least(a_std, b_std) < 1e-6 THEN 'near-constant'

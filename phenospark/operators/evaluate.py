@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from phenospark.operators import pairs as pr
 from phenospark.operators.aggregate import group_median
 from phenospark.operators.frame import ProfileFrame
+from phenospark.operators.linalg import to_list_array
+from phenospark.operators.ordered import running_least, running_sums
 from phenospark.operators.relational import null_safe_join, random_bucket
 from phenospark.session import materialize
 
@@ -180,92 +181,172 @@ def rank_hits(hist: DataFrame, queries: DataFrame, rid: str, negative: PairRule,
 
 # ---- permutation nulls -----------------------------------------------------------------------------
 
+def distinct_places(rng: np.random.Generator, m: int, k: int, n: int) -> np.ndarray:
+    """m rows of k different places among n, ascending, each set equally likely.
+
+    Places are drawn until k different ones are there, so time and memory follow k and not n.
+    """
+    found = np.sort(rng.integers(0, n, size=(m, k)), axis=1)
+    while k > 1:
+        again = np.zeros((m, k), bool)
+        again[:, 1:] = found[:, 1:] == found[:, :-1]
+        rows = np.flatnonzero(again.any(axis=1))
+        if not len(rows):
+            break
+        part = found[rows]
+        part[again[rows]] = rng.integers(0, n, size=int(again.sum()))
+        found[rows] = np.sort(part, axis=1)
+    return found
+
+
 def random_precisions(r: int, n: int, size: int, seed: int) -> np.ndarray:
-    """``size`` average precisions of r positives placed at random among n; the same for the same arguments."""
-    rng = np.random.default_rng([seed, r, n])
-    hits = np.arange(1, r + 1)
+    """``size`` average precisions of r positives placed at random among n; the same for the same arguments.
+
+    The places of the rarer kind are drawn. Hits between two misses have precisions whose sum is a difference of harmonic
+    numbers, so misses are as good as hits.
+    """
     if r >= n:
         return np.ones(size)
-    out = np.empty(size)
-    step = max(1, min(size, 4_000_000 // n))
+    rng, out, k = np.random.default_rng([seed, r, n]), np.empty(size), min(r, n - r)
+    step = max(1, 2_000_000 // k)
+    h = np.r_[0.0, np.cumsum(1.0 / np.arange(1, n + 1))] if r > k else None
     for a in range(0, size, step):
-        m = min(step, size - a)
-        if n <= 4_000_000:
-            places = np.sort(np.argpartition(rng.random((m, n)), r - 1, axis=1)[:, :r], axis=1)
-        else:
-            places = np.sort(np.array([rng.choice(n, r, replace=False, shuffle=False) for _ in range(m)]), axis=1)
-        out[a:a + m] = (hits / (places + 1)).mean(axis=1)
+        places = distinct_places(rng, min(step, size - a), k, n)
+        if r == k:
+            out[a:a + step] = (np.arange(1, r + 1) / (places + 1)).mean(axis=1)
+        else:  # before the j-th miss (from 0) lie places - j hits; the last run ends with hit r
+            j = np.arange(k + 1)
+            hits = np.concatenate([places - j[:-1], np.full((len(places), 1), r)], axis=1)
+            before = np.concatenate([np.zeros((len(places), 1), dtype=np.int64), hits[:, :-1]], axis=1)
+            out[a:a + step] = ((hits - before) - j * (h[hits + j] - h[before + j])).sum(axis=1) / r
     return out
 
 
-def with_p_values(df: DataFrame, configs: str, observed: str, null_size: int, seed: int, cache_bytes: int = 256 << 20) -> DataFrame:
-    """p = (1 + nulls at least as large) / (1 + null size).
+NULL_KEYS = ("n_pos_pairs", "n_total_pairs")
 
-    ``configs`` is an array of (n_pos_pairs, n_total_pairs, weight); a group's null is the weighted mean of its
-    members' nulls. Nulls follow from the seed, so each task makes the ones it needs and a retry makes the same.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField("p_value", T.DoubleType())])
 
-    def run(frames):
-        cache: OrderedDict = OrderedDict()
+def null_table(pairs: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(n_pos_pairs, n_total_pairs, draws): one row per different pair of counts, made once, on the executors."""
+    different = pairs.select(*NULL_KEYS).distinct()
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-        def null(r, n):
-            if (r, n) not in cache:
-                cache[(r, n)] = random_precisions(r, n, null_size, seed)
-                while len(cache) * 8 * null_size > cache_bytes:
-                    cache.popitem(last=False)
-            return cache[(r, n)]
+    def draw(batches):
+        for b in batches:
+            for r, total in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([total]), to_list_array(random_precisions(r, total, size, seed)[None, :])],
+                                                 names=[*NULL_KEYS, "draws"])
 
-        for pdf in frames:
-            ps = []
-            for cfg, value in zip(pdf[configs], pdf[observed]):
-                total, weight = np.zeros(null_size), 0
-                for c in cfg:
-                    total = total + null(int(c["n_pos_pairs"]), int(c["n_total_pairs"])) * c["weight"]
-                    weight += c["weight"]
-                ps.append((1 + int((total / weight >= value - 1e-12).sum())) / (1 + null_size))
-            yield pdf.assign(p_value=ps)
+    schema = "n_pos_pairs long, n_total_pairs long, draws array<double>"
+    return materialize(different.repartition(n, *NULL_KEYS).mapInArrow(draw, schema), "nulls")
 
-    return df.mapInPandas(run, schema)
 
+NULL_SALTS = 16
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", out: str = "corrected_p_value") -> DataFrame:
-    """False-discovery adjusted p-values.
 
-    Permutation p-values take at most null size + 1 values, so the ordered pass runs over that short table.
+def with_p_values(df: DataFrame, configs: str, observed: str, nulls: DataFrame) -> DataFrame:
+    """p = (1 + nulls at least as large) / (1 + null size).
+
+    ``configs`` is an array of (n_pos_pairs, n_total_pairs, weight); a group's null is the weighted mean of its members' draws.
+    Groups of the same make-up share one null, which starts the sorted stream of their rows; many such groups spread over
+    salts, each with a copy.
     """
-    counts = df.groupBy(p).agg(F.count(F.lit(1)).alias("_c"))
-    up, down = W.orderBy(p), W.orderBy(F.col(p).desc())
-    adjusted = (counts.withColumn("_m", df.agg(F.count(F.lit(1))).scalar()).withColumn("_rank", F.sum("_c").over(up))
-                .withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down)))
-                .select(p, out))
-    return null_safe_join(df, adjusted, [p])
+    cfg = F.col(configs)
+    members = df.select(cfg.alias("_c")).distinct().select("_c", F.explode("_c").alias("_m")).select(
+        "_c", F.col("_m.n_pos_pairs").alias("n_pos_pairs"), F.col("_m.n_total_pairs").alias("n_total_pairs"), F.col("_m.weight").cast("double").alias("_w"))
+    drawn = members.join(nulls, list(NULL_KEYS)).select("_c", *NULL_KEYS, "_w", "draws").repartition("_c").sortWithinPartitions("_c", *NULL_KEYS)
+
+    def mixed(batches):
+        current, total, weight, kept = None, None, 0.0, None
+        for b in batches:
+            column = b.column(0)
+            for i, (key, w) in enumerate(zip(column.to_pylist(), b.column(3).to_pylist())):
+                draws = b.column(4)[i].values.to_numpy(zero_copy_only=False) * w
+                if key == current:
+                    total, weight = total + draws, weight + w
+                    continue
+                if current is not None:
+                    yield pa.RecordBatch.from_arrays([kept, to_list_array(np.sort(total / weight)[None, :])], names=["_c", "_null"])
+                current, total, weight, kept = key, draws, w, column.slice(i, 1)
+        if current is not None:
+            yield pa.RecordBatch.from_arrays([kept, to_list_array(np.sort(total / weight)[None, :])], names=["_c", "_null"])
+
+    null_type = T.StructType([T.StructField("_c", df.schema[configs].dataType), T.StructField("_null", T.ArrayType(T.DoubleType()))])
+    heads = drawn.mapInArrow(mixed, null_type).select(F.col("_c").alias(configs), "_null", F.explode(F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).alias("_salt"))
+    rest = [c for c in df.columns if c != configs]
+    rows = df.withColumns({"_salt": F.pmod(F.xxhash64(*rest), F.lit(NULL_SALTS)).cast("int"), "_null": F.lit(None).cast("array<double>")})
+    both = heads.unionByName(rows, allowMissingColumns=True).withColumn("_row", F.col("_null").isNull())
+    both = both.select(*df.columns, "_salt", "_null", "_row").repartition(configs, "_salt").sortWithinPartitions(configs, "_salt", "_row")
+    at, width = df.columns.index(observed), len(df.columns)
+
+    def compare(batches):
+        null = None
+        for b in batches:
+            is_row = b.column(width + 2).to_numpy(zero_copy_only=False)
+            edges = np.r_[np.flatnonzero(~is_row), len(is_row)]
+            for lo, hi in zip(np.r_[0, edges[:-1]] if edges[0] else edges[:-1], edges if edges[0] else edges[1:]):
+                start = int(lo)
+                if not is_row[start]:
+                    null, start = b.column(width + 1)[start].values.to_numpy(zero_copy_only=False), start + 1
+                part = b.slice(start, int(hi) - start)
+                if part.num_rows:
+                    beyond = len(null) - np.searchsorted(null, part.column(at).to_numpy(zero_copy_only=False) - 1e-12, side="left")
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array((1 + beyond) / (1 + len(null)))], names=[*df_columns, "p_value"])
+
+    df_columns = list(df.columns)
+    return both.mapInArrow(compare, T.StructType([*df.schema.fields, T.StructField("p_value", T.DoubleType())]))
+
+
+def adjust_p_values(df: DataFrame, p: str = "p_value", out: str = "corrected_p_value", within: Sequence[str] = (), **kw) -> DataFrame:
+    """False-discovery adjusted p-values (Benjamini and Hochberg) of p-values of any origin; NULL stays NULL.
+
+    ``within`` columns separate families of tests. Equal p-values are counted first. Ranks are running sums over ranges of
+    p, and the minimum over larger p-values is taken inside ranges first, then over them.
+    """
+    family = list(within)
+    tests = df.filter(F.col(p).isNotNull())
+    counts = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums(counts, family, [p], {"_rank": F.col("_c")}, **kw)
+    if family:
+        ranked = null_safe_join(ranked, tests.groupBy(*family).agg(F.count(p).cast("double").alias("_m")), family)
+    else:
+        ranked = ranked.withColumn("_m", F.lit(float(tests.count())))
+    raw = ranked.select(*family, p, (F.col(p) * F.col("_m") / F.col("_rank")).alias("_raw"))
+    least = running_least(raw, family, p, "_raw", "_least")
+    adjusted = null_safe_join(tests, least.select(*family, p, F.least(F.lit(1.0), F.col("_least")).alias(out)), [*family, p])
+    return adjusted.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
+benjamini_hochberg = adjust_p_values
 
 
 def mean_average_precision(ap: DataFrame, by: Sequence[str], null_size: int = 10_000, threshold: float = 0.05,
-                           seed: int = 0) -> DataFrame:
-    """Mean AP per group with p-value, corrected p-value and a significance flag."""
-    cells = ap.groupBy(*by, "n_pos_pairs", "n_total_pairs").agg(
+                           seed: int = 0, nulls: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """Mean AP per group with p-value, corrected p-value and a significance flag. ``nulls`` may give a table of draws (or make
+    it from ``ap``), ``within`` columns whose values are corrected apart from each other."""
+    cells = ap.groupBy(*by, *NULL_KEYS).agg(
         F.count(F.lit(1)).alias("weight"), F.sum("average_precision").alias("_ap"),
         F.sum("normalized_average_precision").alias("_nap"), F.count("normalized_average_precision").alias("_nn"))
     groups = cells.groupBy(*by).agg(
         (F.sum("_ap") / F.sum("weight")).alias("mean_average_precision"),
         (F.sum("_nap") / F.when(F.sum("_nn") > 0, F.sum("_nn"))).alias("mean_normalized_average_precision"),
         F.sum("weight").alias("n_rows"),
-        F.sort_array(F.collect_list(F.struct("n_pos_pairs", "n_total_pairs", "weight"))).alias("_cfg"))
-    spark = ap.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # Groups with the same make-up of pairs share nulls; keep them together.
-    placed = groups.repartition(n, F.xxhash64("_cfg"), *by)
-    # Written once: the adjustment below reads the p-values three times.
-    tested = materialize(with_p_values(placed, "_cfg", "mean_average_precision", null_size, seed).drop("_cfg"), "tested")
-    return benjamini_hochberg(tested).withColumn("below_corrected_p", F.col("corrected_p_value") < threshold)
-
-
-def row_p_values(ap: DataFrame, null_size: int = 10_000, seed: int = 0) -> DataFrame:
+        F.sort_array(F.collect_list(F.struct(*NULL_KEYS, "weight"))).alias("_cfg"))
+    groups = materialize(groups, "groups")
+    if callable(nulls):
+        nulls = nulls(ap)
+    if nulls is None:
+        nulls = null_table(groups.select(F.explode("_cfg").alias("m")).select("m.*"), null_size, seed)
+    # Written once: the adjustment below reads the p-values several times.
+    tested = materialize(with_p_values(groups, "_cfg", "mean_average_precision", nulls).drop("_cfg"), "tested")
+    return adjust_p_values(tested, within=within).withColumn("below_corrected_p", F.col("corrected_p_value") < threshold)
+
+
+def row_p_values(ap: DataFrame, null_size: int = 10_000, seed: int = 0, nulls: DataFrame | None = None) -> DataFrame:
     """p-value of each row's own AP."""
-    one = F.array(F.struct("n_pos_pairs", "n_total_pairs", F.lit(1).cast("bigint").alias("weight")))
-    return with_p_values(ap.withColumn("_cfg", one), "_cfg", "average_precision", null_size, seed).drop("_cfg")
+    one = F.array(F.struct(*NULL_KEYS, F.lit(1).cast("bigint").alias("weight")))
+    ap = materialize(ap.withColumn("_cfg", one), "ap")
+    return with_p_values(ap, "_cfg", "average_precision", null_table(ap, null_size, seed) if nulls is None else nulls).drop("_cfg")
 
 
 # ---- phenotypic activity -----------------------------------------------------------------------------
@@ -278,12 +359,12 @@ def activity_precision(pf: ProfileFrame, compound: str, negcon: str, batch: str,
                              query=treated, **kw)
 
 
-def phenotypic_activity(pf: ProfileFrame, compound: str, negcon: str, batch: str, group: str | None = None,
-                        null_size: int = 10_000, p_threshold: float = 0.05, seed: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
+def phenotypic_activity(pf: ProfileFrame, compound: str, negcon: str, batch: str, group: str | None = None, null_size: int = 10_000,
+                        p_threshold: float = 0.05, seed: int = 0, nulls: DataFrame | None = None, **kw) -> tuple[DataFrame, DataFrame]:
     """(AP per row, mean AP per compound with p-values)."""
     ap = materialize(activity_precision(pf, compound, negcon, batch, group, **kw), "activity")
     by = [compound, group] if group else [compound]
-    return ap, mean_average_precision(ap, by, null_size, p_threshold, seed)
+    return ap, mean_average_precision(ap, by, null_size, p_threshold, seed, nulls)
 
 
 def activity_summary(map_df: DataFrame, by: Sequence[str], compound: str, replicates: str = "n_rows") -> DataFrame:
@@ -348,12 +429,32 @@ LABEL_MARK = "\u0001"
 
 def phenotypic_consistency(pf: ProfileFrame, targets: str, compound: str, group: str | None = None, negcon: str | None = None,
                            null_size: int = 10_000, p_threshold: float = 0.05, seed: int = 0, min_compounds: int = 3,
-                           max_targets: int | None = None, **kw) -> tuple[DataFrame, DataFrame]:
+                           max_targets: int | None = None, nulls: DataFrame | None = None, **kw) -> tuple[DataFrame, DataFrame]:
     """(AP per row and label, mean AP per label and group with p-values) on consensus profiles."""
     rows = pf.with_df(filter_targets(materialize(pf.df, "targets"), targets, compound, negcon, min_compounds, max_targets))
     ap = materialize(multilabel_precision(rows, targets, group, **kw), "consistency")
     by = ["label", group] if group else ["label"]
-    return ap, mean_average_precision(ap, by, null_size, p_threshold, seed)
+    return ap, mean_average_precision(ap, by, null_size, p_threshold, seed, nulls)
+
+
+def consistency_of_active(pf: ProfileFrame, activity: DataFrame, targets: str, compound: str, group: str | None = None,
+                          at_least: int = 2, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Consistency among compounds whose activity is significant: AP per row and label, mean AP, summary per group.
+
+    ``activity`` is a table of phenotypic activity; a compound is let in if one of its groups has ``below_corrected_p``. With
+    fewer than ``at_least`` such compounds nothing is let in.
+    """
+    active = materialize(activity.filter("below_corrected_p").select(compound).distinct(), "active")
+    if active.limit(at_least).count() < at_least:
+        active = active.limit(0)
+    gated = pf.with_df(pf.df.join(active, compound, "left_semi"))
+    ap, maps = phenotypic_consistency(gated, targets, compound, group, **kw)
+    maps = materialize(maps, "gated")
+    nap = "mean_normalized_average_precision"
+    summary = maps.groupBy(*([group] if group else [])).agg(
+        (F.avg(F.col("below_corrected_p").cast("double")) * 100).alias("pct_active"), F.count_if("below_corrected_p").alias("n_targets_active"),
+        F.count("*").alias("n_targets_total"), F.avg(nap).alias("mean_nap"))
+    return ap, maps, summary
 
 
 def consistency_by_subset(pf: ProfileFrame, subsets: DataFrame, targets: str, compound: str, subset: str = "subset",

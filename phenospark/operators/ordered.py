@@ -64,6 +64,39 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
+def running_least(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """Per key the least value among rows of the same or a larger ``order`` (unique per key), over ranges of (key, order)."""
+    from phenospark.session import materialize
+
+    keys = list(keys)
+    by = [*keys, F.desc(order)]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id())
+    at, of_key = ranged.columns.index(value), [ranged.columns.index(k) for k in keys]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, np.inf
+        for b in batches:
+            if not b.num_rows:
+                continue
+            heads = list(zip(*(b.column(c).to_pylist() for c in of_key))) if keys else [()] * b.num_rows
+            edges = [i for i in range(1, len(heads)) if heads[i] != heads[i - 1]] if keys else []
+            values, run = b.column(at).to_numpy(zero_copy_only=False), np.empty(len(heads))
+            for lo, hi in zip([0, *edges], [*edges, len(heads)]):
+                run[lo:hi] = np.minimum.accumulate(values[lo:hi])
+                if heads[lo] == last:
+                    run[lo:hi] = np.minimum(run[lo:hi], least)
+                last, least = heads[lo], run[hi - 1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run)], names=[*b.schema.names, "_run"])
+
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_run", T.DoubleType())])
+    runs = materialize(ranged.mapInArrow(local, schema), "least")
+    # a key reaches over few ranges: one row for each
+    reach = runs.groupBy(*keys, "_pid").agg(F.min("_run").alias("_m"))
+    earlier = reach.withColumn("_before", F.min("_m").over(W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)))
+    joined = runs.join(F.broadcast(earlier.drop("_m")) if not keys else earlier.drop("_m"), [*keys, "_pid"])
+    return joined.withColumn(out, F.least("_run", "_before")).drop("_pid", "_run", "_before")
+
+
 def ordinal_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str = "rank", **kw) -> DataFrame:
     """1, 2, 3... by value within a key, ties in the order of the tie column."""
     return running_sums(df, keys, [value, tie], {out: F.lit(1)}, **kw)

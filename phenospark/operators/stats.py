@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from phenospark.functions.scalar import correlation_p_value
 from phenospark.operators.aggregate import group_median
 from phenospark.operators.frame import finite_or_null
 from phenospark.operators.ordered import mean_rank, running_sums
@@ -82,6 +83,11 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", min
         F.when(F.count(F.lit(1)) >= min_n, pearson("_ra", "_rb", min_n)).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def spearman_test(df: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", min_n: int = 3, **kw) -> DataFrame:
+    """Rank correlation per key with the two-sided p-value of no association."""
+    return spearman(df, keys, a, b, min_n, **kw).withColumn("p_value", correlation_p_value(F.col("rho"), F.col("n")))
+
+
 def two_sample_cdf(df: DataFrame, keys: Sequence[str], value: str, is_a: str, **kw) -> DataFrame:
     """Running fractions of both samples at each distinct value; rows with NULL ``is_a`` only add values."""
     counts = df.groupBy(*keys, value).agg(F.count_if(F.col(is_a)).alias("_ca"), F.count_if(~F.col(is_a)).alias("_cb"))
