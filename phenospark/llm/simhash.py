@@ -354,29 +354,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.join(x, "src").join(y, "dst").mapInArrow(lambda it: _alike(it, similarity), "src long, dst long")
 
 
-def _all_links(nominated: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _all_links(nominated: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> tx.Stage:
     """Confirmed links (src, dst) that connect whatever the links among ``nominated`` and inside buckets connect.
 
-    In each round some members of every bucket (pivots, the least of each salt) meet all others of the bucket that are not
-    connected with them yet, and leave it; a bucket ends when its members are connected, or none is left to meet. So a bucket of
-    near copies is done after its first pivots, and in any other all pairs are compared; more pivots each round keep the
-    rounds few.
+    In each round the least member of every bucket (of every salt, from the second round on) is a pivot: members that are not
+    connected with it yet meet it, and it leaves the bucket, which ends when its members are connected or none is left
+    to meet. Near copies share many buckets and so few pivots, and one round connects them: a text meets each pivot once,
+    however many buckets they share. In a bucket of texts that are not similar all pairs are compared; more
+    pivots each round keep the rounds few.
     """
-    links, salts = tx.Stage(_confirmed(nominated, sets, similarity), "links"), 4
-    live = members.select("bucket", "rank")
+    links, salts = tx.Stage(_confirmed(nominated, sets, similarity), "links"), 1
+    live = tx.Stage(members.select("bucket", "rank"), "members")
     while True:
-        groups, _ = components.connected_components(links.df)
-        named = live.join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
+        groups, used = components.connected_components(links.df)
+        named = live.df.join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
         open_ = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
         now = tx.Stage(named.join(open_, "bucket"), "members")
+        for stage in (live, *used):
+            stage.drop()
         if now.df.isEmpty():
-            return links.df
-        pivots = now.df.groupBy("bucket", F.pmod(F.xxhash64("rank"), F.lit(salts)).alias("salt")).agg(F.min("rank").alias("pivot"), F.min_by("component", "rank").alias("of"))
-        pivots = tx.Stage(pivots.select("bucket", "pivot", "of"), "pivots")
-        pairs = now.df.join(pivots.df, "bucket").where("component <> of").select(F.least("rank", "pivot").alias("src"), F.greatest("rank", "pivot").alias("dst")).distinct()
-        links = tx.Stage(links.df.union(_confirmed(pairs, sets, similarity)), "links")
-        live = now.df.join(pivots.df.select("bucket", F.col("pivot").alias("rank")), ["bucket", "rank"], "left_anti").select("bucket", "rank")
-        salts *= 8
+            now.drop()
+            return links
+        pivots = now.df.groupBy("bucket", F.pmod(F.xxhash64("rank"), F.lit(salts)).alias("salt")).agg(F.min_by(F.struct(F.col("rank").alias("pivot"), F.col("component").alias("of")), "rank").alias("p"))
+        pivots = tx.Stage(pivots.select("bucket", "p.pivot", "p.of"), "pivots")
+        met = now.df.join(pivots.df, "bucket").where("component <> of")
+        pairs = tx.Stage(met.select(F.least("rank", "pivot").alias("src"), F.greatest("rank", "pivot").alias("dst")).distinct(), "pairs")
+        more = tx.Stage(links.df.union(_confirmed(pairs.df, sets, similarity)), "links")
+        live = tx.Stage(now.df.join(pivots.df.select("bucket", F.col("pivot").alias("rank")), ["bucket", "rank"], "left_anti").select("bucket", "rank"), "members")
+        for stage in (links, now, pivots, pairs):
+            stage.drop()
+        links, salts = more, 8 * salts
 
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 7, block: int = 8_192) -> DataFrame:
@@ -405,8 +412,9 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budg
     named = members.df.select("rank").union(nominated.df.select("src")).union(nominated.df.select("dst")).distinct()
     named = ranked.df.select("rank", "least.order_id", "least.rid").join(named, "rank")
     sets = tx.Stage(texts.join(named, ["order_id", "rid"]).select("rank", "text").mapInArrow(lambda it: _set_rows(it, width), "rank long, grams binary").dropDuplicates(["rank"]), "sets")
-    groups, _ = components.connected_components(_all_links(nominated.df, members.df, sets.df, similarity))
-    for stage in (nominated, members, sets):
+    links = _all_links(nominated.df, members.df, sets.df, similarity)
+    groups, _ = components.connected_components(links.df)
+    for stage in (nominated, members, sets, links):
         stage.drop()
     known = ranked.df.select(*same, F.col("least.order_id").alias("least"), "rank").join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
     named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(*same, "component_id")
