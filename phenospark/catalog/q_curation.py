@@ -83,7 +83,8 @@ def _(t):
     return picked.groupBy("plate").agg(F.count("*").alias("n"))
 
 
-@query("cur_05_control_sample")
+@query("cur_05_control_sample", """WITH {profiles}, o AS (SELECT plate, row_id, compound, row_number() OVER (PARTITION BY plate ORDER BY md5('42|' || row_id)) AS rn,
+   greatest(1, floor(count(*) OVER (PARTITION BY plate) * 0.25::DOUBLE)) AS k FROM profiles WHERE negcon) SELECT plate, row_id, compound FROM o WHERE rn <= k""")
 def _(t):
     """Controls of the modalities present on a plate, a quarter of each plate's."""
     return rel.sample_fraction_per_group(t.profiles.filter("negcon").select("plate", "row_id", "compound"), ["plate"], ["row_id"], 0.25, seed=42)
@@ -227,19 +228,27 @@ def _(t):
     return gg_counts(cu.gene_gene_edges(gene_pairs(t), genes(t), cu.STRICT_GENE_GENE))
 
 
+# Relations of every type with an action class, and of three without, dealt by the compound's number.
+EVERY_REL = (*cu.ACTION_CLASS, "enzyme", "BINDS_CHbG", "unknown")
+EVERY_REL_SQL = ("every_rel AS (SELECT compound, target, CASE compound % 23 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(EVERY_REL))
+                 + " END AS rel_type FROM edges)")
 CLASS_SQL = "CASE rel_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cu.ACTION_CLASS.items()) + " END"
-ULTRA_SQL = f"s AS (SELECT *, {CLASS_SQL} AS action_class FROM related WHERE rel_type IN ('inhibitor', 'agonist', 'binds'))"
+ULTRA_SQL = f"{EVERY_REL_SQL}, s AS (SELECT *, {CLASS_SQL} AS action_class FROM every_rel WHERE rel_type IN {in_list(cu.ULTRA_COMPOUND_GENE)})"
 
 
-@query("cur_20_action_classes", f"WITH {{edges}}, {RELATED_SQL}, {ULTRA_SQL} SELECT compound, target, rel_type, action_class FROM s")
+def every_relation(t):
+    return t.edges.select("compound", "target", rel.choose([(F.col("compound") % len(EVERY_REL) == i, v) for i, v in enumerate(EVERY_REL)]).alias("rel_type"))
+
+
+@query("cur_20_action_classes", f"WITH {{edges}}, {ULTRA_SQL} SELECT compound, target, rel_type, action_class FROM s")
 def _(t):
-    kept = related(t).filter(F.col("rel_type").isin("inhibitor", "agonist", "binds"))
+    kept = every_relation(t).filter(F.col("rel_type").isin(*cu.ULTRA_COMPOUND_GENE))
     return cu.classify_actions(kept).select("compound", "target", "rel_type", "action_class")
 
 
-@query("cur_21_action_aware_bridge", f"WITH {{edges}}, {RELATED_SQL}, {ULTRA_SQL} {BRIDGE_SQL} AND x.action_class = y.action_class")
+@query("cur_21_action_aware_bridge", f"WITH {{edges}}, {ULTRA_SQL} {BRIDGE_SQL} AND x.action_class = y.action_class")
 def _(t):
-    kept = related(t).filter(F.col("rel_type").isin("inhibitor", "agonist", "binds"))
+    kept = every_relation(t).filter(F.col("rel_type").isin(*cu.ULTRA_COMPOUND_GENE))
     return cu.bridged_compound_edges(cu.classify_actions(kept), ["target", "action_class"])
 
 
@@ -251,6 +260,43 @@ def _(t):
     return cu.map_splits(splits, ids, "inchikey", "fold", "k", "id")
 
 
+def mode_sql(mode):
+    """All edges of a mode: compound-gene, compound-compound, gene-gene."""
+    kept = {"full": "true", "strict": f"rel_type IN {in_list(cu.STRICT_COMPOUND_GENE)}", "ultra": f"rel_type IN {in_list(cu.ULTRA_COMPOUND_GENE)}"}[mode]
+    gene = {"full": "true", "strict": f"rel_type IN {in_list(cu.STRICT_GENE_GENE)}", "ultra": f"rel_type IN {in_list(cu.ULTRA_GENE_GENE)}"}[mode]
+    cc = ("SELECT a AS compound, b AS partner FROM known UNION SELECT b, a FROM known" if mode == "full" else
+          "SELECT DISTINCT x.compound, y.compound AS partner FROM s x JOIN s y ON x.target = y.target AND x.compound <> y.compound"
+          + (" AND x.action_class = y.action_class" if mode == "ultra" else ""))
+    return f"""WITH {{edges}}, {GENES_SQL}, {EVERY_REL_SQL}, {GENE_RELS_SQL},
+   known AS (SELECT DISTINCT 'C' || l_partkey AS a, 'C' || l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey),
+   s AS (SELECT 'C' || compound AS compound, target, rel_type, {CLASS_SQL} AS action_class FROM every_rel WHERE {kept}),
+   cg AS (SELECT DISTINCT s.compound, s.target, g.gene_id AS partner, g.modality{", s.rel_type" if mode == "ultra" else ""} FROM s JOIN genes g ON g.symbol = s.target),
+   lohi AS (SELECT DISTINCT least(ta, tb) AS lo, greatest(ta, tb) AS hi FROM gene_rels WHERE ta <> tb AND {gene}),
+   gg AS (SELECT x.gene_id AS a, y.gene_id AS b, lo, hi, x.modality FROM lohi JOIN genes x ON x.symbol = lo JOIN genes y ON y.symbol = hi AND x.modality = y.modality AND x.gene_id <> y.gene_id)
+  SELECT source, count(*) AS n, count(DISTINCT compound) AS n_left, count(DISTINCT partner) AS n_right, count(target) AS n_target, count(target_modality) AS n_modality FROM (
+    SELECT compound, target, partner, modality AS target_modality, 'cg' AS source FROM cg UNION ALL
+    SELECT compound, NULL, partner, NULL, 'cc' FROM ({cc}) UNION ALL
+    SELECT a, hi, b, modality, 'gg' FROM (SELECT a, hi, b, modality FROM gg UNION SELECT b, lo, a, modality FROM gg)) GROUP BY source"""
+
+
+# Gene relations of each strict type and of one outside the lists, dealt by the line's number.
+GENE_RELS = (*cu.STRICT_GENE_GENE, "regulates")
+GENE_RELS_SQL = ("gene_rels AS (SELECT DISTINCT a.p_name AS ta, b.p_name AS tb, CASE l_partkey % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(GENE_RELS))
+                 + " END AS rel_type FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey WHERE l_quantity > 45)")
+
+
+def mode_counts(t, mode):
+    name = lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
+    lines = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity")
+    a, b = (t.part.select(F.col("p_partkey").alias(k), F.col("p_name").alias(c)) for k, c in (("l_partkey", "target_a"), ("l_suppkey", "target_b")))
+    gene_rels = lines.filter("l_quantity > 45").join(a, "l_partkey").join(b, "l_suppkey").select(
+        "target_a", "target_b", rel.choose([(F.col("l_partkey") % len(GENE_RELS) == i, v) for i, v in enumerate(GENE_RELS)]).alias("rel_type"))
+    known = lines.select(name("l_partkey").alias("compound"), name("l_suppkey").alias("partner"))
+    out = cu.relation_graph(mode, every_relation(t).withColumn("compound", name("compound")), genes(t), gene_rels, known)
+    return out.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("compound").alias("n_left"), F.countDistinct("partner").alias("n_right"),
+                                     F.count("target").alias("n_target"), F.count("target_modality").alias("n_modality"))
+
+
 @query("cur_23_mode_assembly", f"""WITH {{edges}}, {GENES_SQL}, {RELATED_SQL}, cg AS ({CG_SQL}), s AS (SELECT * FROM related WHERE rel_type IN {in_list(cu.STRICT_COMPOUND_GENE)}), cc AS ({BRIDGE_SQL})
   SELECT source, count(*) AS n, count(DISTINCT compound) AS n_left, count(DISTINCT partner) AS n_right FROM (
     SELECT CAST(compound AS VARCHAR) AS compound, CAST(partner AS VARCHAR) AS partner, source FROM cg UNION ALL SELECT CAST(compound AS VARCHAR), CAST(partner AS VARCHAR), source FROM cc) GROUP BY source""")
@@ -259,3 +305,18 @@ def _(t):
     strict = related(t).filter(F.col("rel_type").isin(*cu.STRICT_COMPOUND_GENE))
     both = cu.union_edges(text(cu.compound_gene_edges(related(t), genes(t))), text(cu.bridged_compound_edges(strict)))
     return both.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("compound").alias("n_left"), F.countDistinct("partner").alias("n_right"))
+
+
+@query("cur_23_full_mode", mode_sql("full"))
+def _(t):
+    return mode_counts(t, "full")
+
+
+@query("cur_23_strict_mode", mode_sql("strict"))
+def _(t):
+    return mode_counts(t, "strict")
+
+
+@query("cur_23_ultra_mode", mode_sql("ultra"))
+def _(t):
+    return mode_counts(t, "ultra")

@@ -334,13 +334,11 @@ def _(t):
     return pa.join(F.broadcast(pc)).withColumns({"pc1_variance": F.lit(pc1), "pc2_variance": F.lit(pc2)})
 
 
-@query("evl_13_group_as_key", f"""WITH {{profiles}}, {Z_SQL}, w AS (SELECT * FROM z WHERE negcon), {ap_sql(
-    'q.plate = r.plate AND q.row_id <> r.row_id', 'q.well = r.well AND q.plate <> r.plate', base='w')}
+@query("evl_13_group_as_key", f"""WITH {{profiles}}, {Z_SQL}, {ap_sql(
+    'q.plate = r.plate AND q.row_id <> r.row_id', 'q.well = r.well AND q.plate <> r.plate')}
   SELECT count(*) AS n, CAST(sum(n_pos_pairs) AS BIGINT) AS pos, CAST(sum(n_total_pairs) AS BIGINT) AS total, round(avg(average_precision), 6) AS mean_ap FROM nap""")
 def _(t):
-    z = normalized(t)
-    rows = z.with_df(z.df.filter("negcon"))
-    ap = ev.average_precision(rows, ev.PairRule(("plate",)), ev.PairRule(("well",), ("plate",)), block=256)
+    ap = ev.average_precision(normalized(t), ev.PairRule(("plate",)), ev.PairRule(("well",), ("plate",)), block=256)
     return ap.agg(F.count("*").alias("n"), F.sum("n_pos_pairs").alias("pos"), F.sum("n_total_pairs").alias("total"),
                   r6(F.avg("average_precision")).alias("mean_ap"))
 

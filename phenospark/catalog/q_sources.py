@@ -114,16 +114,15 @@ def _(t):
 
 
 @query("src_10_relation_results", """WITH {runs}
-  SELECT family, task, codec, round(pa, 6) AS recall_5 FROM runs, (VALUES ('cc'), ('cg')) v(task) WHERE config = 'cfg1'
-   AND (task = 'cc' OR codec <> 'codec0')""")
+  SELECT family, config, task, codec, round(pa, 6) AS recall_5 FROM runs, (VALUES ('cc'), ('cg')) v(task) WHERE task = 'cc' OR codec <> 'codec0'""")
 def _(t):
     path = scratch_path(t.spark, "relation")
     entry = lambda *more: F.sort_array(F.collect_list(F.struct("codec", r6("pa").alias("recall_5"), *more)))
     setting = F.when(F.col("codec") == "codec0", "filtered").otherwise("full").alias("setting")
-    (t.runs.filter("config = 'cfg1'").groupBy("family").agg(entry().alias("cc"), entry(setting).alias("cg")).write.json(path))
-    nested = t.spark.read.schema("family string, cc array<struct<codec: string, recall_5: double>>, "
+    (t.runs.groupBy("family", "config").agg(entry().alias("cc"), entry(setting).alias("cg")).write.json(path))
+    nested = t.spark.read.schema("family string, config string, cc array<struct<codec: string, recall_5: double>>, "
                                  "cg array<struct<codec: string, recall_5: double, setting: string>>").json(path)
-    return io.relation_results(nested, ("cc", "cg")).select("family", "task", "codec", "recall_5")
+    return io.relation_results(nested, ("cc", "cg")).select("family", "config", "task", "codec", "recall_5")
 
 
 @query("src_11_named_csv", """

@@ -285,16 +285,21 @@ def _(t):
     return per.groupBy("plate").agg(F.max("n").alias("n"), F.abs(r6(F.sum("m"), 6)).alias("control_mean"))
 
 
-@query("wht_07_coral", IDENTITY4)
+PLATE_Z = ("st AS (SELECT plate, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) + 1e-18 AS d_{c}" for c in FEATS)
+           + " FROM profiles WHERE negcon GROUP BY plate), z AS (SELECT row_id, plate, " + ", ".join(f"({c} - m_{c}) / d_{c} AS {c}" for c in FEATS)
+           + " FROM profiles JOIN st USING (plate) WHERE negcon)")
+
+
+@query("wht_07_coral", f"""WITH {{profiles}}, {PLATE_Z}, x AS (UNPIVOT z ON {", ".join(FEATS)} INTO NAME f VALUE v),
+   target AS (SELECT p.f AS a, q.f AS b, round(covar_samp(p.v, q.v), 4) AS value FROM x p JOIN x q USING (row_id) WHERE p.f <= q.f GROUP BY ALL)
+  SELECT CAST(plate AS VARCHAR) AS plate, a, b, value FROM (SELECT plate FROM profiles WHERE negcon GROUP BY plate), target""")
 def _(t):
-    """Difference between a batch's aligned control covariance and the target covariance vanishes (shown as identity)."""
-    pf = normalized(t)
-    eps = 1e-9
-    target = la.global_moments(pf, F.col(CONTROL)).cov()
-    out = bt.coral(pf, "plate", F.col(CONTROL), eps)
-    one = la.global_moments(out, F.col(CONTROL) & (F.col("plate") == "7")).cov()
-    root = la.matrix_inv_sqrt(target)
-    return matrix_rows(t, np.abs(root @ one @ root), FEATS, 4)
+    """After the alignment the controls of every plate have the covariance of all controls."""
+    out = bt.coral(normalized(t), "plate", F.col(CONTROL), 1e-9)
+    rows = out.df.filter(CONTROL)
+    cell = [F.struct(F.lit(FEATS[i]).alias("a"), F.lit(FEATS[j]).alias("b"), r6(F.covar_samp(F.col("features")[i], F.col("features")[j]), 4).alias("value"))
+            for i in range(4) for j in range(i, 4)]
+    return rows.groupBy("plate").agg(F.array(*cell).alias("c")).select("plate", F.inline("c"))
 
 
 @query("wht_08_tvn_aligned")

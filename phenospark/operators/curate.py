@@ -43,6 +43,11 @@ ACTION_CLASS = {
     "blocker,activator": "binding",
 }
 
+# The strictest mode keeps the types whose action is known, and only physical gene pairs.
+ULTRA_COMPOUND_GENE = tuple(ACTION_CLASS)
+# Relation types of physical gene-gene interactions.
+ULTRA_GENE_GENE = ("ppi", "PPI", "GENE_BINDING_GENE", "GENE_PTMOD_GENE")
+
 # Gene perturbation type to the compound mode it mimics.
 MODALITY_MODE = {"crispr": "inhibition", "orf": "activation"}
 
@@ -169,7 +174,7 @@ def classify_actions(pairs: DataFrame, classes: Mapping[str, str] = ACTION_CLASS
     return pairs.withColumn("action_class", checked)
 
 
-def bridged_compound_edges(cg: DataFrame, keys: Sequence[str] = ("target",), block: int = 4096) -> DataFrame:
+def bridged_compound_edges(cg: DataFrame, keys: Sequence[str] = ("target",), block: int = 2048) -> DataFrame:
     """Compounds that share a target (and an action class when it is among the keys)."""
     pairs = pairs_in_group(cg, keys, "compound", block)
     return pairs.select(F.col("a").alias("compound"), F.lit(None).cast("string").alias("target"),
@@ -177,6 +182,30 @@ def bridged_compound_edges(cg: DataFrame, keys: Sequence[str] = ("target",), blo
                         F.lit("cc").alias("source"))
 
 
+def relation_graph(mode: str, pairs: DataFrame, genes: DataFrame, gene_pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges of all three kinds in one schema, for the modes full, strict and ultra.
+
+    ``pairs`` (compound, target, rel_type) and ``gene_pairs`` (target_a, target_b, rel_type) are filtered by the mode's
+    types. Compounds are linked by ``known`` (compound, partner) in full mode, by a shared target in strict mode, by a
+    shared target and action class in ultra mode, where a compound-gene edge also stands once per relation type.
+    """
+    pairs = pairs.filter(F.col("target") != "")
+    if mode == "full":
+        ends = symmetrize(known.select("compound", "partner").filter("compound <> partner"), "compound", "partner")
+        empty = F.lit(None).cast("string")
+        cc = ends.select("compound", empty.alias("target"), "partner", empty.alias("target_modality"), F.lit("cc").alias("source"))
+        return union_edges(compound_gene_edges(pairs, genes), cc, gene_gene_edges(gene_pairs, genes))
+    if mode == "strict":
+        kept = pairs.filter(F.col("rel_type").isin(*STRICT_COMPOUND_GENE))
+        return union_edges(compound_gene_edges(kept, genes), bridged_compound_edges(kept), gene_gene_edges(gene_pairs, genes, STRICT_GENE_GENE))
+    if mode == "ultra":
+        kept = classify_actions(pairs.filter(F.col("rel_type").isin(*ULTRA_COMPOUND_GENE)))
+        typed = kept.select("compound", "target", "rel_type").distinct()
+        linked = typed.join(genes.select(F.col("symbol").alias("target"), F.col("gene_id").alias("partner"), F.col("modality").alias("target_modality")).distinct(), "target")
+        return union_edges(linked.withColumn("source", F.lit("cg")), bridged_compound_edges(kept, ["target", "action_class"]), gene_gene_edges(gene_pairs, genes, ULTRA_GENE_GENE))
+    raise ValueError(f"unknown mode {mode}")
+
+
 def map_splits(splits: DataFrame, ids: DataFrame, key: str, split: str, id_key: str, id_col: str) -> DataFrame:
     """Split names per id through the connectivity layer of the structure key."""
     layer = lambda c: F.split_part(F.col(c), F.lit("-"), F.lit(1)).alias("_layer")

@@ -158,20 +158,43 @@ def refresh_columns(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
     return old.drop(*stale).join(new, list(keys), "left")
 
 
-def pairs_in_group(df: DataFrame, keys: Sequence[str], id_col: str, block: int = 4096) -> DataFrame:
-    """Ordered pairs (a, b), a <> b, of members of the same group, without duplicates.
-
-    The pairs are the result itself. Groups above ``block`` members are cut into hash blocks on one
-    side and the other side is repeated per block, so a hot group spreads over many tasks.
+def pairs_in_group(df: DataFrame, keys: Sequence[str], id_col: str, block: int = 2048, widest: int = 64) -> DataFrame:
+    """Ordered pairs (a, b), a <> b, of members of the same group, each once. NULL keys or ids belong to no group.
+
+    The pairs are the result itself, so the work must not exceed them. A group is cut into hash blocks of about ``block``
+    members, and a task gets one block against another, each unordered pair once: a hot group is more tasks of the same size.
+    A pair that shares several groups is written in the smallest of them, which both members know from their own lists
+    of groups, so the pairs need no ``distinct``. Only members of more than ``widest`` groups carry no list;
+    their pairs with members of several groups are made apart and made distinct there.
     """
+    from phenospark.session import materialize
+
     keys = list(keys)
-    members = df.select(*keys, id_col).dropna().distinct()
-    sizes = members.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
-    sized = members.join(sizes.filter("_nb > 0"), keys)
-    left = sized.select(*keys, F.col(id_col).alias("a"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_s"))
-    right = sized.select(*keys, F.col(id_col).alias("b"),
-                         F.pmod(F.xxhash64(id_col), F.col("_nb").cast("bigint")).cast("int").alias("_s"))
-    return left.join(right, [*keys, "_s"]).filter("a <> b").select("a", "b").distinct()
+    group = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    rows = materialize(df.select(*keys, F.col(id_col).alias("_m")).dropna().distinct(), "members")
+    blocks = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_nb"))
+    members = rows.join(blocks, keys).withColumn("_at", F.pmod(F.xxhash64("_m"), F.col("_nb").cast("bigint")).cast("int"))
+    reach = members.groupBy("_m").agg(F.count(F.lit(1)).alias("_of"))
+    lists = (members.join(reach.filter(F.col("_of").between(2, widest)), "_m")
+             .groupBy("_m").agg(F.collect_list(group).alias("_in")))
+    members = materialize(members.join(reach.join(lists, "_m", "left"), "_m"), "members")
+    light = members.filter(F.col("_of") <= widest)
+
+    def tiles(left: DataFrame, right: DataFrame, i: Column, j: Column) -> DataFrame:
+        """Members of a block meet those of another; i and j are the other blocks that each side goes to."""
+        a = left.select(*keys, F.col("_m").alias("a"), F.col("_in").alias("_ia"), F.col("_at").alias("_i"), F.explode(j).alias("_j"))
+        b = right.select(*keys, F.col("_m").alias("b"), F.col("_in").alias("_ib"), F.col("_of").alias("_ob"), F.col("_at").alias("_j"), F.explode(i).alias("_i"))
+        return a.join(b, [*keys, "_i", "_j"])
+
+    first = F.array_min(F.array_intersect("_ia", "_ib"))  # NULL where a member has one group only
+    once = (tiles(light, light, F.sequence(F.lit(0), F.col("_at")), F.sequence(F.col("_at"), F.col("_nb") - 1))
+            .filter((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("b"))).filter(first.isNull() | (first == group)))
+    both = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    every = F.sequence(F.lit(0), F.col("_nb") - 1)
+    wide = tiles(members.filter(F.col("_of") > widest), members, every, every).filter("a <> b")
+    wide = wide.select("a", "b", (F.col("_ob") <= widest).alias("_light")).distinct()
+    mirrored = wide.filter("_light").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return once.select(both).unionByName(wide.select("a", "b")).unionByName(mirrored)
 
 
 # ---- sets ------------------------------------------------------------------------------------
@@ -240,7 +263,8 @@ def order_by_list(col: str, order: Sequence[str]) -> Column:
 # ---- sampling (hash ordered, so reruns and lost executors give the same rows) ------------------
 
 def hash_order(keys: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    """Hex digits of MD5 over the seed and the keys, joined by '|': an order that other engines can repeat."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def sample_fraction_per_group(df: DataFrame, group: Sequence[str], id_cols: Sequence[str],
@@ -252,7 +276,7 @@ def sample_fraction_per_group(df: DataFrame, group: Sequence[str], id_cols: Sequ
     bucket's rows are ranked.
     """
     group = list(group)
-    h = df.withColumn("_h", hash_order(id_cols, seed)).withColumn("_bkt", F.shiftrightunsigned("_h", 52))
+    h = df.withColumn("_h", hash_order(id_cols, seed)).withColumn("_bkt", F.substring("_h", 1, 3))
     sizes = h.groupBy(*group, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*group)
     cut = (sizes.withColumn("_before", F.sum("_c").over(w.orderBy("_bkt")) - F.col("_c"))
@@ -279,7 +303,8 @@ def nested_subsample(df: DataFrame, treatment: str, is_control: Column, plate: s
 def random_bucket(keys: Sequence[str], n: Column | int, seed: int = 0) -> Column:
     """Bucket 1..n from a hash of the keys."""
     n = F.lit(n) if isinstance(n, int) else n
-    return (F.pmod(hash_order(keys, seed), n.cast("bigint")) + 1).cast("int")
+    unsigned = F.conv(F.substring(hash_order(keys, seed), 1, 15), 16, 10).cast("bigint")
+    return (F.pmod(unsigned, n.cast("bigint")) + 1).cast("int")
 
 
 def random_k(df: DataFrame, keys: Sequence[str], k: int, seed: int = 0) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs, including the ways that serve groups of any size."""
 
+import random
 import statistics
 
 import numpy as np
@@ -99,6 +100,21 @@ def test_pairs_in_group_with_blocks(spark):
     assert one == many == {(a, b) for a in range(60) for b in range(60) if a != b and a % 3 == b % 3}
 
 
+def test_pairs_sharing_several_groups_come_once(spark):
+    rng = random.Random(5)
+    rows = [(f"t{rng.randrange(12)}", rng.randrange(3), i % 40) for i in range(260)] + [(f"t{t}", k, 99) for t in range(12) for k in range(3)]
+    rows += [("t1", 1, i) for i in range(100, 140)] + [(None, 1, 3), ("t1", 1, None), ("lone", 0, 500)] + rows[:20]
+    df = spark.createDataFrame(rows, "t string, k int, c int")
+    for keys in (["t"], ["t", "k"]):
+        groups = {}
+        for t, k, c in rows:
+            if t is not None and c is not None:
+                groups.setdefault((t, k)[:len(keys)], set()).add(c)
+        want = sorted({(a, b) for g in groups.values() for a in g for b in g if a != b})
+        for kw in ({}, {"block": 4}, {"block": 4, "widest": 3}, {"widest": 1}):
+            assert sorted(tuple(r) for r in rel.pairs_in_group(df, keys, "c", **kw).collect()) == want, (keys, kw)
+
+
 # ---- selection and normalization -----------------------------------------------------------------
 
 def test_independent_set():
