@@ -6,8 +6,8 @@ automaton: states are the histories seen, an arc leaves state h for each w with
 failure arc to the shorter history weighs log10 (strength / (c(h) + strength)). A text is one left-to-right traversal.
 
 The counts cover the whole corpus and go to nobody as a whole. Documents are dealt to chunks; a chunk sends its different
-n-grams with their numbers (so a frequent n-gram is one entry per chunk) to buckets by hash; a bucket adds them up and
-answers each chunk for the n-grams it asked about; the chunk then holds the part of the automaton its texts can reach.
+n-grams with their numbers (so a frequent n-gram is one entry per chunk) to buckets, ranges of their hashes; a bucket adds them
+up, one order at a time, and answers each chunk for the n-grams it asked about; the chunk then holds the part of the automaton its texts can reach.
 Words are named by 56-bit hashes, longer n-grams by as many bits as the corpus needs (its bytes in bits, and 18 more; 48 to
 64), so that a name stands for two n-grams about once in 2^18 or less at every size. Names are sent as sorted differences in byte planes, which compress well.
 
@@ -16,6 +16,8 @@ Rows: one per input row. NULL text is empty and still has its end token. Repeate
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,141 +26,176 @@ from phenospark.llm import texts as tx
 from phenospark.llm.language_id import held_out
 
 START, END, STEP = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D1 | 1)
-REQUEST_SCHEMA = "bucket int, chunk long, size int, keys binary, counts binary"
+REQUEST_SCHEMA = "bucket int, size int, chunk long, n int, keys binary, counts binary"
 TOTAL_SCHEMA = "chunk long, bucket int, size int, totals binary, n_sum long, n_distinct long"
 SCORE_SCHEMA = "order_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+BATCH_BYTES = 4 << 20
 
 
 class Grams:
-    """Tokens of many texts and the hash of the n-gram of each order that ends at each token."""
+    """Tokens of many texts; ``levels`` gives the hash of the n-gram that ends at each token, order by order."""
 
-    def __init__(self, texts: list[bytes], order: int):
+    def __init__(self, texts: list[bytes]):
         words = tx.Words(texts, lower=True)
         own = words.text_of_words()
         ends = words.first[1:] + np.arange(len(texts))
-        tokens = np.empty(len(own) + len(texts), dtype=np.uint64)
-        tokens[np.arange(len(own)) + own] = words.hashes()
-        tokens[ends] = END
+        self.tokens = np.empty(len(own) + len(texts), dtype=np.uint64)
+        own += np.arange(len(own))
+        self.tokens[own] = words.hashes()
+        self.tokens[ends] = END
         self.n = np.diff(words.first) + 1
         self.first = ends - self.n + 1
-        self.ends = [tokens]
-        start = np.array([START])
-        self.starts = [START]
+
+    def levels(self, order: int) -> Iterator[np.ndarray]:
+        ends, start = self.tokens, START
+        yield ends
         for _ in range(1, order):
-            history = self.history(len(self.ends))
-            self.ends.append(tx.mix(history * STEP + tokens))
-            start = tx.mix(start * STEP + START)
-            self.starts.append(start[0])
-
-    def history(self, size: int) -> np.ndarray:
-        """Hash of the ``size`` tokens before each token; the start symbol fills up."""
-        out = np.empty_like(self.ends[size - 1])
-        out[1:] = self.ends[size - 1][:-1]
-        out[self.first] = self.starts[size - 1]
+            ends = self.before(ends, start)
+            ends *= STEP
+            ends += self.tokens
+            tx.mix(ends)
+            start = tx.mix(np.array([start]) * STEP + START)[0]
+            yield ends
+
+    def before(self, values: np.ndarray, start) -> np.ndarray:
+        """The value at the token before each token; ``start`` at the first of a text."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = start
         return out
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Bytes of the values, all first bytes first: equal planes compress to nothing."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Bytes of the values, all lowest bytes first, as many planes as the largest value needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _unplanes(raw: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind)[:, 0]
+def _unplanes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
+    out[:, :len(planes)] = planes.T
+    return out.view(np.uint64)[:, 0]
 
 
 def _by_bucket(keys: np.ndarray, buckets: int, bits: int):
-    """Distinct keys ordered by (bucket, key), the place of each key among them, and the buckets' bounds."""
+    """Distinct keys in order, the place of each key among them, and (bucket, from, to): buckets are ranges of keys."""
     distinct, place = np.unique(keys >> np.uint64(64 - bits), return_inverse=True)
-    bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(by), dtype=np.int64)
-    rank[by] = np.arange(len(by))
-    lo, hi = tx.runs_of(bucket[by])
-    return distinct[by], rank[place], [(int(bucket[by[a]]), int(a), int(b) + 1) for a, b in zip(lo, hi)]
-
-
-def _requests(table: pa.Table, order: int, buckets: int, bits: int) -> pa.Table:
-    chunk = table.column("chunk")[0].as_py()
-    grams = Grams(tx.byte_rows(table.column("text").combine_chunks()), order)
-    train = np.repeat(~np.array(table.column("held_out").to_pylist(), dtype=bool), grams.n)
-    out = {k: [] for k in ("bucket", "chunk", "size", "keys", "counts")}
-    for size in range(1, order + 1):
-        keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets, 56 if size == 1 else bits)
-        counts = np.bincount(place, weights=train, minlength=len(keys)).astype(np.uint32)
+    bucket = (distinct >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
+    lo, hi = tx.runs_of(bucket)
+    return distinct, place, [(int(bucket[a]), int(a), int(b) + 1) for a, b in zip(lo, hi)]
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of a few megabytes, so that an answer never stands in memory as a whole."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes)) + 64
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+
+
+REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+TOTAL_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("size", pa.int32()), ("totals", pa.binary()), ("n_sum", pa.int64()), ("n_distinct", pa.int64())])
+
+
+def _bits(size: int, bits: int) -> int:
+    return 56 if size == 1 else bits
+
+
+def _requests(batches: Iterator[pa.RecordBatch], order: int, buckets: int, bits: int) -> Iterator[tuple]:
+    """Of one chunk: its different n-grams of each order and how often its training rows have them."""
+    chunk, texts, held = None, [], []
+    for batch in batches:
+        if batch.num_rows:
+            chunk = batch.column("chunk")[0].as_py()
+            texts += tx.byte_rows(batch.column("text"))
+            held += batch.column("held_out").to_pylist()
+    grams = Grams(texts)
+    texts.clear()
+    train = np.repeat(~np.array(held, dtype=bool), grams.n)
+    for size, ends in enumerate(grams.levels(order), 1):
+        keys, place, bounds = _by_bucket(ends, buckets, _bits(size, bits))
+        counts = np.bincount(place[train], minlength=len(keys))
+        del place
         for bucket, a, b in bounds:
-            for k, v in zip(out, (bucket, chunk, size, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b]))):
-                out[k].append(v)
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], names=list(out))
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """Of one bucket: the total of each n-gram, told to every chunk in the order in which it asked."""
-    bucket = table.column("bucket")[0].as_py()
-    chunks, sizes = table.column("chunk").to_pylist(), np.array(table.column("size").to_pylist())
-    keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-    out = {k: [] for k in ("chunk", "bucket", "size", "totals", "n_sum", "n_distinct")}
-    for size in sorted(set(sizes.tolist())):
-        rows = np.flatnonzero(sizes == size)
-        distinct, place = np.unique(np.concatenate([np.cumsum(_unplanes(keys[i], np.uint64), dtype=np.uint64) for i in rows]), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([_unplanes(counts[i], np.uint32) for i in rows]), minlength=len(distinct)).astype(np.int64)
-        at = 0
-        for i in rows:
-            n = len(keys[i]) // 8
-            for k, v in zip(out, (chunks[i], bucket, size, _planes(total[place[at:at + n]]), 0, 0)):
-                out[k].append(v)
-            at += n
-        for k, v in zip(out, (-1, bucket, size, b"", int(total.sum()), int((total > 0).sum()))):
-            out[k].append(v)
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], names=list(out))
+            yield bucket, size, chunk, b - a, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of one bucket and order: the total of each n-gram, told to every chunk in the order in which it asked."""
+    chunks, sizes, keys, counts = [], [], [], []
+    bucket = size = None
+    for batch in batches:
+        for bucket, size, chunk, n, gaps, found in zip(*(c.to_pylist() for c in batch.columns)):
+            chunks.append(chunk)
+            sizes.append(n)
+            keys.append(np.cumsum(_unplanes(gaps, n), dtype=np.uint64))
+            counts.append(_unplanes(found, n).astype(np.uint32))
+    keys = np.concatenate(keys)
+    distinct, place = np.unique(keys, return_inverse=True)
+    n_distinct = len(distinct)
+    del keys, distinct
+    total = np.bincount(place, weights=np.concatenate(counts), minlength=n_distinct).astype(np.uint64)
+    counts.clear()
+    at = 0
+    for chunk, n in zip(chunks, sizes):
+        yield chunk, bucket, size, _planes(total[place[at:at + n]]), 0, 0
+        at += n
+    yield -1, bucket, size, b"", int(total.sum()), int((total > 0).sum())
 
 
 class BackoffAutomaton:
-    """The part of the automaton that given texts can reach; arcs and states are named by places in the count arrays."""
-
-    def __init__(self, counts: list[np.ndarray], n: int, v: int, starts: int, strength: float):
-        self.counts, self.total, self.starts, self.strength = counts, n + v + 1, starts, strength
-
-    def scores(self, grams: Grams, places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: log10 probability, log10 add-one probability, and whether the token is known."""
-        seen = [c[p] for c, p in zip(self.counts, places)]
-        p = (seen[0] + 1) / self.total
+    """The automaton's weights at the tokens of given texts, order by order from the words up.
+
+    At each token the state is the longest history; it takes the arc of the token where the n-gram is known, else its
+    failure arc to the next shorter history, whose weight is already known from the order before.
+    """
+
+    def __init__(self, n: int, v: int, starts: int, strength: float):
+        self.total, self.starts, self.strength = n + v + 1, starts, strength
+
+    def scores(self, grams: Grams, counts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: log10 probability, log10 add-one probability, and whether the token is known. ``counts`` gives
+        the training count of the n-gram that ends at each token, order by order."""
+        counts = iter(counts)
+        seen = next(counts)
+        known = seen > 0
+        p = (seen + 1) / self.total
         base = np.log10(p)
-        arcs, failures = [base], [None]
-        for size in range(1, len(seen)):
-            history = np.empty_like(seen[size - 1])
-            history[1:] = seen[size - 1][:-1]
-            history[grams.first] = self.starts
-            p = (seen[size] + self.strength * p) / (history + self.strength)
-            arcs.append(np.log10(p))
-            failures.append(np.log10(self.strength / (history + self.strength)))
-        score = np.zeros(len(base))
-        pending = np.ones(len(base), dtype=bool)
-        for size in range(len(seen) - 1, 0, -1):
-            arc = pending & (seen[size] > 0)
-            score[arc] += arcs[size][arc]
-            pending &= ~arc
-            score[pending] += failures[size][pending]
-        score[pending] += arcs[0][pending]
-        return score, base, seen[0] > 0
+        score = base.copy()
+        for higher in counts:
+            history = grams.before(seen, self.starts)
+            history += self.strength
+            p *= self.strength
+            p += higher
+            p /= history
+            failure = np.log10(self.strength / history) + score
+            score = np.where(higher > 0, np.log10(p), failure)
+            seen = higher
+        return score, base, known
+
+
+def _token_counts(grams: Grams, answers: dict, order: int, buckets: int, bits: int) -> Iterator[np.ndarray]:
+    for size, ends in enumerate(grams.levels(order), 1):
+        keys, place, bounds = _by_bucket(ends, buckets, _bits(size, bits))
+        del keys
+        yield np.concatenate([_unplanes(answers.pop((size, bucket)), b - a).astype(np.float64) for bucket, a, b in bounds])[place]
 
 
 def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int, bits: int, n: int, v: int, starts: int, strength: float) -> pa.Table:
-    grams = Grams(tx.byte_rows(docs.column("text").combine_chunks()), order) if docs.num_rows else None
-    if grams is None:
-        return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["order_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-    answers = {(s, b): _unplanes(t, np.int64) for s, b, t in zip(totals.column("size").to_pylist(), totals.column("bucket").to_pylist(), totals.column("totals").to_pylist())}
-    counts, places = [], []
-    for size in range(1, order + 1):
-        keys, place, bounds = _by_bucket(grams.ends[size - 1], buckets, 56 if size == 1 else bits)
-        counts.append(np.concatenate([answers[size, bucket] for bucket, _, _ in bounds]).astype(np.float64))
-        places.append(place)
-    score, base, known = BackoffAutomaton(counts, n, v, starts, strength).scores(grams, places)
+    names = ["order_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    if not docs.num_rows:
+        return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+    grams = Grams([t for part in docs.column("text").chunks for t in tx.byte_rows(part)])
+    answers = {(s, b): t for s, b, t in zip(*(totals.column(c).to_pylist() for c in ("size", "bucket", "totals")))}
+    score, base, known = BackoffAutomaton(n, v, starts, strength).scores(grams, _token_counts(grams, answers, order, buckets, bits))
     sums = [np.add.reduceat(x, grams.first) for x in (known.astype(np.int64), base, score)]
-    return pa.table([docs.column("order_id"), docs.column("held_out"), pa.array(grams.n, pa.int64()), *(pa.array(x) for x in sums)], names=["order_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    return pa.table([docs.column("order_id"), docs.column("held_out"), pa.array(grams.n, pa.int64()), *(pa.array(x) for x in sums)], names=names)
 
 
 def score_texts(docs: DataFrame, order: int = 3, strength: float = 150.0, chunk_bytes: int = 12 << 20) -> DataFrame:
@@ -169,8 +206,15 @@ def score_texts(docs: DataFrame, order: int = 3, strength: float = 150.0, chunk_
     bits = min(64, max(48, size.bit_length() + 18))
     rows = tx.identified(docs.withColumn("text", F.col("text").cast("string"))).withColumn("held_out", held_out(tx.public_id(F.col("order_id")), 7)).withColumn("chunk", F.pmod("rid", F.lit(chunks)))
     rows = rows.select("chunk", "order_id", "held_out", "text")
-    asked = rows.groupBy("chunk").applyInArrow(lambda t: _requests(t, order, buckets, bits), REQUEST_SCHEMA)
-    totals = tx.Stage(asked.groupBy("bucket").applyInArrow(_add_up, TOTAL_SCHEMA), "totals")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(_requests(batches, order, buckets, bits), REQUEST_ARROW)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(_add_up(batches), TOTAL_ARROW)
+
+    asked = rows.groupBy("chunk").applyInArrow(ask, REQUEST_SCHEMA)
+    totals = tx.Stage(asked.groupBy("bucket", "size").applyInArrow(answer, TOTAL_SCHEMA), "totals")
     sums = totals.df.where("chunk = -1 and size = 1").agg(F.sum("n_sum"), F.sum("n_distinct")).first()
     n, v = sums[0] or 0, sums[1] or 0
     starts = rows.where("not held_out").count()
