@@ -5,9 +5,10 @@ one: p(w | h) = (c(hw) + strength x p(w | shorter h)) / (c(h) + strength), and p
 automaton: states are the histories seen, an arc leaves state h for each w with c(hw) > 0 and weighs log10 p(w | h), and the
 failure arc to the shorter history weighs log10 (strength / (c(h) + strength)). A text is one left-to-right traversal.
 
-The counts cover the whole corpus and go to nobody as a whole. Documents are dealt to chunks; a chunk sends its different
-n-grams with their numbers (so a frequent n-gram is one entry per chunk) to buckets, ranges of their hashes; a bucket adds them
-up, one order at a time, and answers each chunk for the n-grams it asked about; the chunk then holds the part of the automaton its texts can reach.
+The counts cover the whole corpus and go to nobody as a whole. Tasks pack the documents that they read into compressed chunks,
+written once, so the first pass moves no text. A chunk sends its different n-grams with their numbers (so a frequent n-gram is
+one entry per chunk) to buckets, ranges of their hashes; a bucket adds them up, one order at a time, and answers each chunk for
+the n-grams it asked about; the chunk then holds the part of the automaton its texts can reach.
 Words are named by 56-bit hashes, longer n-grams by as many bits as the corpus needs (its bytes in bits, and 18 more; 48 to
 64), so that a name stands for two n-grams about once in 2^18 or less at every size. Names are sent as sorted differences in byte planes, which compress well.
 
@@ -20,6 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from phenospark.llm import texts as tx
@@ -28,6 +31,7 @@ from phenospark.llm.language_id import held_out
 START, END, STEP = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D1 | 1)
 REQUEST_SCHEMA = "bucket int, size int, chunk long, n int, keys binary, counts binary"
 TOTAL_SCHEMA = "chunk long, bucket int, size int, totals binary, n_sum long, n_distinct long"
+CHUNK_SCHEMA = "chunk long, docs binary"
 SCORE_SCHEMA = "order_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 BATCH_BYTES = 4 << 20
 
@@ -100,6 +104,7 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary())])
 TOTAL_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("size", pa.int32()), ("totals", pa.binary()), ("n_sum", pa.int64()), ("n_distinct", pa.int64())])
 
 
@@ -107,16 +112,40 @@ def _bits(size: int, bits: int) -> int:
     return 56 if size == 1 else bits
 
 
-def _requests(batches: Iterator[pa.RecordBatch], order: int, buckets: int, bits: int) -> Iterator[tuple]:
-    """Of one chunk: its different n-grams of each order and how often its training rows have them."""
-    chunk, texts, held = None, [], []
+def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple]:
+    """The rows of a task in chunks of about ``chunk_bytes`` of text, compressed; a longer text stands alone."""
+    task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
-        if batch.num_rows:
-            chunk = batch.column("chunk")[0].as_py()
-            texts += tx.byte_rows(batch.column("text"))
-            held += batch.column("held_out").to_pylist()
-    grams = Grams(texts)
-    texts.clear()
+        sizes = pc.binary_length(batch.column("text")).to_pylist()
+        for lo, hi in tx.chunked(sizes, chunk_bytes // 8):
+            piece = sum(sizes[lo:hi])
+            if held and size + piece > chunk_bytes:
+                yield task << 32 | made, _compressed(held)
+                made, held, size = made + 1, [], 0
+            held.append(batch.slice(lo, hi - lo))
+            size += piece
+    if held:
+        yield task << 32 | made, _compressed(held)
+
+
+def _compressed(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(docs: bytes) -> tuple[Grams, pa.Table]:
+    """The tokens of a chunk, and its rows without their texts."""
+    rows = pa.ipc.open_stream(docs).read_all()
+    return Grams([t for part in rows.column("text").chunks for t in tx.byte_rows(part)]), rows.drop_columns("text")
+
+
+def _requests(chunk: int, docs: bytes, order: int, buckets: int, bits: int) -> Iterator[tuple]:
+    """Of one chunk: its different n-grams of each order and how often its training rows have them."""
+    grams, rows = _unpacked(docs)
+    held = rows.column("held_out").to_pylist()
     train = np.repeat(~np.array(held, dtype=bool), grams.n)
     for size, ends in enumerate(grams.levels(order), 1):
         keys, place, bounds = _by_bucket(ends, buckets, _bits(size, bits))
@@ -189,37 +218,41 @@ def _token_counts(grams: Grams, answers: dict, order: int, buckets: int, bits: i
 
 def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int, bits: int, n: int, v: int, starts: int, strength: float) -> pa.Table:
     names = ["order_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    if not docs.num_rows:
-        return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-    grams = Grams([t for part in docs.column("text").chunks for t in tx.byte_rows(part)])
+    grams, rows = _unpacked(docs.column("docs")[0].as_py())
     answers = {(s, b): t for s, b, t in zip(*(totals.column(c).to_pylist() for c in ("size", "bucket", "totals")))}
     score, base, known = BackoffAutomaton(n, v, starts, strength).scores(grams, _token_counts(grams, answers, order, buckets, bits))
     sums = [np.add.reduceat(x, grams.first) for x in (known.astype(np.int64), base, score)]
-    return pa.table([docs.column("order_id"), docs.column("held_out"), pa.array(grams.n, pa.int64()), *(pa.array(x) for x in sums)], names=names)
+    return pa.table([rows.column("order_id"), rows.column("held_out"), pa.array(grams.n, pa.int64()), *(pa.array(x) for x in sums)], names=names)
 
 
 def score_texts(docs: DataFrame, order: int = 3, strength: float = 150.0, chunk_bytes: int = 12 << 20) -> DataFrame:
     """order_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``; held-out rows
     (crc32 of doc_id modulo 7 is 2) are scored and not learned from."""
     size = tx.text_bytes(docs)
-    chunks = buckets = tx.parts(size, chunk_bytes)
+    buckets = tx.parts(size, chunk_bytes)
     bits = min(64, max(48, size.bit_length() + 18))
-    rows = tx.identified(docs.withColumn("text", F.col("text").cast("string"))).withColumn("held_out", held_out(tx.public_id(F.col("order_id")), 7)).withColumn("chunk", F.pmod("rid", F.lit(chunks)))
-    rows = rows.select("chunk", "order_id", "held_out", "text")
+    order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(tx.LAST_ID))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(order_id.alias("order_id"), text.alias("text")).withColumn("held_out", held_out(tx.public_id(F.col("order_id")), 7))
+    starts = rows.where("not held_out").count()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(_pack(batches, chunk_bytes), CHUNK_ARROW)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(_requests(batches, order, buckets, bits), REQUEST_ARROW)
+        chunks = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        return _batches((asked for chunk, packed in chunks for asked in _requests(chunk, packed, order, buckets, bits)), REQUEST_ARROW)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(_add_up(batches), TOTAL_ARROW)
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, REQUEST_SCHEMA)
+    chunks = tx.Stage(rows.mapInArrow(pack, CHUNK_SCHEMA), "chunks").df
+    asked = chunks.mapInArrow(ask, REQUEST_SCHEMA)
     totals = tx.Stage(asked.groupBy("bucket", "size").applyInArrow(answer, TOTAL_SCHEMA), "totals")
     sums = totals.df.where("chunk = -1 and size = 1").agg(F.sum("n_sum"), F.sum("n_distinct")).first()
     n, v = sums[0] or 0, sums[1] or 0
-    starts = rows.where("not held_out").count()
     told = totals.df.where("chunk >= 0").select("chunk", "bucket", "size", "totals")
-    scored = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _score(d, t, order, buckets, bits, n, v, starts, strength), SCORE_SCHEMA)
+    scored = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _score(d, t, order, buckets, bits, n, v, starts, strength), SCORE_SCHEMA)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 

@@ -62,6 +62,12 @@ def test_lm_default_is_trigrams(documents, corpus):
     assert got == brute_lm(corpus, 3, 150.0)
 
 
+def test_lm_without_rows_or_training_rows(spark, documents):
+    assert lm_score.score_texts(documents.where("false")).collect() == []
+    got = lm_score.score_texts(documents.where(lm_score.held_out(F.col("doc_id"), 7))).collect()
+    assert got and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == r.score == 0 for r in got)
+
+
 def test_lm_beats_base(spark):
     got = lm_score.op7_lm_score(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
