@@ -70,15 +70,17 @@ class Grams:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Bytes of the values, all lowest bytes first, as many planes as the largest value needs."""
+    """Bytes of the values, all lowest bytes first, as many planes as the largest value needs (first byte), compressed."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8)
-    return values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unplanes(raw: bytes, n: int) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(pa.decompress(raw[1:], decompressed_size=width * n, codec="zstd"), dtype=np.uint8).reshape(width, n)
     out = np.zeros((n, 8), dtype=np.uint8)
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n)
-    out[:, :len(planes)] = planes.T
+    out[:, :width] = planes.T
     return out.view(np.uint64)[:, 0]
 
 
