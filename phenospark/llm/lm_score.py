@@ -253,6 +253,7 @@ def score_texts(docs: DataFrame, order: int = 3, strength: float = 150.0, chunk_
     totals = tx.Stage(asked.groupBy("bucket", "size").applyInArrow(answer, TOTAL_SCHEMA), "totals")
     sums = totals.df.where("chunk = -1 and size = 1").agg(F.sum("n_sum"), F.sum("n_distinct")).first()
     n, v = sums[0] or 0, sums[1] or 0
+    tx.release(docs.sparkSession)  # the requests' plan is known to be over only now
     told = totals.df.where("chunk >= 0").select("chunk", "bucket", "size", "totals")
     scored = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _score(d, t, order, buckets, bits, n, v, starts, strength), SCORE_SCHEMA)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
