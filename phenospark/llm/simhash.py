@@ -341,9 +341,7 @@ def _similar_links(batches, budget, similarity):
         ranks, marks = (np.concatenate([s[k] for s in sides]) for k in (1, 2))
 
         def confirm(i, j, marks=marks):
-            x, y = marks[i], marks[j]
-            agree = ((x == y) & (x > 0)).sum(axis=1)
-            return agree >= similarity * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+            return _estimates(marks[i], marks[j]) >= similarity
 
         yield _edges(ranks, trie_links(sides[0][0], None if other is None else sides[1][0], budget, leaf=1 << 18, confirm=confirm))
 
@@ -354,36 +352,118 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.join(x, "src").join(y, "dst").mapInArrow(lambda it: _alike(it, similarity), "src long, dst long")
 
 
-def _all_links(nominated: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> tx.Stage:
+def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of rows of sketches: equal bytes of those that either text fills."""
+    agree = ((x == y) & (x > 0)).sum(axis=1)
+    return agree / np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+
+
+def _sketch_matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+
+
+def _estimated(batches, floor):
+    """(rank, pivot, estimate) of the pairs whose sketches come near the similarity."""
+    for batch in batches:
+        col = {name: batch.column(batch.schema.get_field_index(name)) for name in ("rank", "pivot", "x", "y")}
+        found = _estimates(_sketch_matrix(col["x"]), _sketch_matrix(col["y"]))
+        keep = pa.array(found >= floor)
+        yield pa.RecordBatch.from_arrays([col["rank"].filter(keep), col["pivot"].filter(keep), pa.array(found).filter(keep)], names=["rank", "pivot", "estimate"])
+
+
+def _stars(members: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
+    """(src, dst): every member with the most similar of its buckets' least members, at most one link a member."""
+    pivots = members.groupBy("bucket").agg(F.min("rank").alias("pivot"))
+    pairs = members.join(pivots, "bucket").where("rank <> pivot").select("rank", "pivot").distinct()
+    both = pairs.join(sketches.withColumnRenamed("sketch", "x"), "rank").join(sketches.select(F.col("rank").alias("pivot"), F.col("sketch").alias("y")), "pivot")
+    near = both.mapInArrow(lambda it: _estimated(it, floor), "rank long, pivot long, estimate double")
+    best = near.groupBy("rank").agg(F.max_by("pivot", F.struct("estimate", "pivot")).alias("pivot"))
+    return best.select(F.col("pivot").alias("src"), F.col("rank").alias("dst"))
+
+
+def _whole_tiles(batches):
+    """Tables of whole tiles; rows come tile by tile, and a tile may span batches."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        keys = [table.column(k).to_numpy() for k in ("bucket", "i", "j")]
+        starts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        cut = int(starts[-1]) if len(starts) else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tile_candidates(batches, floor, best):
+    """Pairs of a tile in different components whose sketches come near the similarity: all, or a text's best one per component."""
+    for table in _whole_tiles(batches):
+        bucket, i, j, block, rank, component = (table.column(k).to_numpy() for k in ("bucket", "i", "j", "block", "rank", "component"))
+        marks, n, at = _sketch_matrix(table.column("sketch")), len(bucket), np.arange(len(bucket))
+        new = np.ones(n, dtype=bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        tile = np.cumsum(new) - 1
+        ends = np.append(np.flatnonzero(new)[1:], n)[tile]
+        seconds = ends - np.bincount(tile, weights=block == j).astype(np.int64)[tile]  # of two blocks, the second one's rows are last
+        first = np.where(i == j, at + 1, np.where(block == i, seconds, ends))
+        lengths = ends - first
+        for lo, hi in tx.chunked(lengths.tolist(), 1 << 16):
+            k = lengths[lo:hi]
+            x = np.repeat(at[lo:hi], k)
+            y = first[x] + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+            apart = component[x] != component[y]
+            x, y = x[apart], y[apart]
+            found = _estimates(marks[x], marks[y])
+            near = found >= floor
+            x, y, found = x[near], y[near], found[near]
+            if best:
+                by = np.lexsort((-found, component[y], x))
+                x, y = x[by], y[by]
+                top = np.ones(len(x), dtype=bool)
+                top[1:] = (x[1:] != x[:-1]) | (component[y][1:] != component[y][:-1])
+                x, y = x[top], y[top]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rank[x], rank[y])), pa.array(np.maximum(rank[x], rank[y]))], names=["src", "dst"])
+
+
+def _across(members: DataFrame, groups: DataFrame, sketches: DataFrame, floor: float, best: bool, block: int) -> DataFrame:
+    """(src, dst): pairs of members of one bucket in different components, by their sketches.
+
+    A bucket's largest component is not compared with itself: its blocks meet those of the other members only, and those
+    meet each other. A tile is two blocks of about ``block`` members, so no bucket lies in one task.
+    """
+    named = members.join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    open_ = open_.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / block).alias("others"), F.ceil(F.col("main.n") / block).alias("own"), (F.col("n") <= block).alias("small"))
+    rows, main, last = named.join(open_, "bucket"), F.col("component") == F.col("main"), F.col("others") + F.col("own") - 1
+    own = F.when(F.col("small"), F.lit(0).cast("long")).when(main, F.col("others") + F.pmod(F.xxhash64("rank"), F.col("own"))).otherwise(F.pmod(F.xxhash64("rank"), F.col("others")))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("small"), F.lit(0).cast("long")).when(main, F.col("others") - 1).otherwise(last))
+    rows = rows.select("bucket", "rank", "component", own.alias("block"), meets.alias("meets")).join(sketches, "rank")
+    tiles = rows.select("bucket", "rank", "component", "sketch", "block", F.explode("meets").alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "rank")
+    return tiles.mapInArrow(lambda it: _tile_candidates(it, floor, best), "src long, dst long").distinct()
+
+
+def _all_links(nominated: DataFrame, members: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float, block: int = 1_024) -> tx.Stage:
     """Confirmed links (src, dst) that connect whatever the links among ``nominated`` and inside buckets connect.
 
-    In each round the least member of every bucket (of every salt, from the second round on) is a pivot: members that are not
-    connected with it yet meet it, and it leaves the bucket, which ends when its members are connected or none is left
-    to meet. Near copies share many buckets and so few pivots, and one round connects them: a text meets each pivot once,
-    however many buckets they share. In a bucket of texts that are not similar all pairs are compared; more
-    pivots each round keep the rounds few.
+    Sets of shingles travel only for pairs whose sketches come within 0.16 of the similarity, four standard errors. First the
+    nominated pairs and one star link a member; then each member with its best partner of every other component it shares a
+    bucket with; last all pairs of a bucket that are still in different components. Three steps, whatever the input.
     """
-    links, salts = tx.Stage(_confirmed(nominated, sets, similarity), "links"), 1
-    live = tx.Stage(members.select("bucket", "rank"), "members")
-    while True:
+    floor = similarity - 0.16
+    links = tx.Stage(_confirmed(nominated.union(_stars(members, sketches, floor)).distinct(), sets, similarity), "links")
+    for best in (True, False):
         groups, used = components.connected_components(links.df)
-        named = live.df.join(groups.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-        now = tx.Stage(named.join(open_, "bucket"), "members")
-        for stage in (live, *used):
-            stage.drop()
-        if now.df.isEmpty():
-            now.drop()
-            return links
-        pivots = now.df.groupBy("bucket", F.pmod(F.xxhash64("rank"), F.lit(salts)).alias("salt")).agg(F.min_by(F.struct(F.col("rank").alias("pivot"), F.col("component").alias("of")), "rank").alias("p"))
-        pivots = tx.Stage(pivots.select("bucket", "p.pivot", "p.of"), "pivots")
-        met = now.df.join(pivots.df, "bucket").where("component <> of")
-        pairs = tx.Stage(met.select(F.least("rank", "pivot").alias("src"), F.greatest("rank", "pivot").alias("dst")).distinct(), "pairs")
+        pairs = tx.Stage(_across(members, groups, sketches, floor, best, block), "pairs")
         more = tx.Stage(links.df.union(_confirmed(pairs.df, sets, similarity)), "links")
-        live = tx.Stage(now.df.join(pivots.df.select("bucket", F.col("pivot").alias("rank")), ["bucket", "rank"], "left_anti").select("bucket", "rank"), "members")
-        for stage in (links, now, pivots, pairs):
+        for stage in (links, pairs, *used):
             stage.drop()
-        links, salts = more, 8 * salts
+        links = more
+    return links
 
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 7, block: int = 8_192) -> DataFrame:
@@ -412,7 +492,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budg
     named = members.df.select("rank").union(nominated.df.select("src")).union(nominated.df.select("dst")).distinct()
     named = ranked.df.select("rank", "least.order_id", "least.rid").join(named, "rank")
     sets = tx.Stage(texts.join(named, ["order_id", "rid"]).select("rank", "text").mapInArrow(lambda it: _set_rows(it, width), "rank long, grams binary").dropDuplicates(["rank"]), "sets")
-    links = _all_links(nominated.df, members.df, sets.df, similarity)
+    links = _all_links(nominated.df, members.df, ranked.df.select("rank", "sketch"), sets.df, similarity)
     groups, _ = components.connected_components(links.df)
     for stage in (nominated, members, sets, links):
         stage.drop()
