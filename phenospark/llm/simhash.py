@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, block: int
 
 # ---- similar texts: the pipeline's stage ----------------------------------------------------------------------------
 
-BINS, BANDS = 128, 25
+BINS, BANDS = 256, 25
 
 
 def shingle_sets(words: tx.Words, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def sketches(texts: list[bytes], width: int) -> tuple[np.ndarray, list[bytes], n
     of the set of shingles; and the keys of ``BANDS`` bands of the sketch's minima (0: a band without shingles).
 
     An edit touches few words but ``width`` times as many shingles, so fingerprints of words keep near copies close; the
-    sketch (a byte per bin, 0: empty) estimates the similarity of the shingles. A band of 5 minima (6 in three of them) is
+    sketch (a byte per bin, 0: empty) estimates the similarity of the shingles. Bands take the minima of pairs of bins; one of 5 (6 in three of them) is
     equal with the 5th power of that similarity, however the edits lie: at 0.8 one of 25 is equal in all but 0.01 % of pairs.
     """
     fps, marks = np.zeros(len(texts), dtype=np.uint64), []
@@ -287,7 +287,7 @@ def sketches(texts: list[bytes], width: int) -> tuple[np.ndarray, list[bytes], n
         byte = (tx.mix(least.copy()) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
         byte[least == none] = 0
         marks += [row.tobytes() for row in byte.reshape(hi - lo, BINS)]
-        least = least.reshape(hi - lo, BINS)
+        least = least.reshape(hi - lo, 2, BINS // 2).min(axis=1)
         for band in range(BANDS):
             minima = least[:, band::BANDS]
             key = np.full(hi - lo, band + 1, dtype=np.uint64)
@@ -450,11 +450,11 @@ def _across(members: DataFrame, groups: DataFrame, sketches: DataFrame, floor: f
 def _all_links(nominated: DataFrame, members: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float, block: int = 1_024) -> tx.Stage:
     """Confirmed links (src, dst) that connect whatever the links among ``nominated`` and inside buckets connect.
 
-    Sets of shingles travel only for pairs whose sketches come within 0.16 of the similarity, four standard errors. First the
+    Sets of shingles travel only for pairs whose sketches come within 0.1 of the similarity, four standard errors. First the
     nominated pairs and one star link a member; then each member with its best partner of every other component it shares a
     bucket with; last all pairs of a bucket that are still in different components. Three steps, whatever the input.
     """
-    floor = similarity - 0.16
+    floor = similarity - 0.1
     links = tx.Stage(_confirmed(nominated.union(_stars(members, sketches, floor)).distinct(), sets, similarity), "links")
     for best in (True, False):
         groups, used = components.connected_components(links.df)
@@ -470,8 +470,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budg
     """order_id, rid, component_id for every row of ``docs``: groups of texts linked by a similarity of at least
     ``similarity`` over their different shingles of ``width`` words. Texts without words are one group.
 
-    Pairs are nominated by word fingerprints that differ in at most ``budget`` bits (with the sketch's estimate, less its
-    standard error of 0.04) and by equal bands of minimum shingles, which find contiguous edits as well as scattered ones.
+    Pairs are nominated by word fingerprints that differ in at most ``budget`` bits (with the sketch's estimate, less a
+    margin of 0.04) and by equal bands of minimum shingles, which find contiguous edits as well as scattered ones.
     Only pairs whose counted similarity suffices are linked."""
     schema = "order_id long, rid long, fp long, sketch binary, digest long, bands array<long>"
     texts = tx.identified(docs)
