@@ -134,3 +134,22 @@ def test_plate_effect_over_all_pairs(spark, block):
     ap = ev.plate_effect(ProfileFrame(df, tuple("abcd")), "well", "plate", "compound", block=block)
     got, want = {r.row_id: r.average_precision for r in ap.collect()}, brute_plate_effect(rows, x)
     assert got.keys() == want.keys() and all(np.isclose(got[i], want[i]) for i in want)
+
+
+@pytest.mark.parametrize("held, cells", [(1 << 26, 200_000), (1 << 12, 3), (1, 50)])
+def test_p_values_by_slices_of_draws_and_parts_of_groups(spark, held, cells):
+    rng = np.random.default_rng(5)
+    kinds = [(r, n) for r in (2, 5, 9) for n in (11, 30)]
+    table = {k: rng.random(50) for k in kinds}
+    nulls = spark.createDataFrame([(*k, v.tolist()) for k, v in table.items()], "n_pos_pairs long, n_total_pairs long, draws array<double>")
+    groups, want = [], {}
+    for i in range(40):
+        made = [kinds[j] for j in sorted(rng.choice(6, size=1 + i % 5, replace=False))] if i % 4 else [kinds[0]]
+        cfg, seen = [(*k, int(rng.integers(1, 4)) if i % 4 else 1) for k in made], float(rng.random())
+        mean = sum(table[c[:2]] * c[2] for c in cfg) / sum(c[2] for c in cfg)
+        groups.append((i, seen, cfg))
+        want[i] = (1 + int((mean >= seen).sum())) / 51
+    df = spark.createDataFrame(groups, "g int, seen double, cfg array<struct<n_pos_pairs:bigint,n_total_pairs:bigint,weight:bigint>>").repartition(5)
+    out = ev.with_p_values(df, "cfg", "seen", nulls, held=held, cells=cells)
+    assert out.columns == ["g", "seen", "cfg", "p_value"]
+    assert {r.g: r.p_value for r in out.collect()} == pytest.approx(want)
