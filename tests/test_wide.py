@@ -117,3 +117,24 @@ def test_removal_per_batch(spark, data, remove, extra):
             if k:
                 kept = [q for q in r.features if q is not None]
                 assert r.n_kept == len(kept) == 8 - k and np.isclose(np.square(kept).sum(), want[i])
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_thresholds_travel_once_and_references_stream_past_them(spark, labelled):
+    from phenospark.operators import pairs as pr
+
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(1900, 3)), 1)
+    rows = [(i, "k" if i < 1800 else "l", v.tolist(), [str(i % 3), f"b{i % 7}"], sorted(int(t) for t in rng.integers(-4_000_000, 4_000_000, 1 + i % 4))) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, key string, features array<double>, marks array<string>, thr array<bigint>")
+    labels = "marks" if labelled else None
+    q, r = pr.side(df.filter("id % 2 = 0"), "id", ["key"], labels=labels, thresholds="thr"), pr.side(df, "id", ["key"], labels=labels)
+    assert pr._tiles(q, r, 16, above=True).filter("_tag = 0").count() == 950
+    steps = np.rint(x @ x.T / 1e-6)
+    for with_steps in (True, False):
+        got = {g._id: g._list for g in pr.count_above(q, r, 3, block=16, exclude_shared_labels=labelled, steps=with_steps).collect()}
+        assert len(got) == 950
+        for i, key, _, marks, thr in rows[::2]:
+            ok = np.array([k == key and j != i and not (labelled and set(m) & set(marks)) for j, k, _, m, _ in rows])
+            want = [int((steps[i][ok] > t).sum()) for t in thr]
+            assert [g.above if with_steps else g for g in got[i]] == want
