@@ -138,3 +138,11 @@ def test_thresholds_travel_once_and_references_stream_past_them(spark, labelled)
             ok = np.array([k == key and j != i and not (labelled and set(m) & set(marks)) for j, k, _, m, _ in rows])
             want = [int((steps[i][ok] > t).sum()) for t in thr]
             assert [g.above if with_steps else g for g in got[i]] == want
+
+
+def test_undefined_similarities_keep_thresholds_ascending(spark):
+    from phenospark.operators import evaluate as ev
+
+    df = spark.createDataFrame([([-2 ** 63, 5],), ([3, 5],), ([],)], "s array<bigint>")
+    low = -2 ** 62
+    assert [r[0] for r in df.select(ev.ascending_thresholds(F.col("s"))).collect()] == [[-2 ** 63, low, 5], [low, 3, 5], [low]]
