@@ -34,9 +34,10 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     if largest <= group_limit:
         return direct(df)
-    hot = counts.filter(F.col("_n") > group_limit).drop("_n")
     if not size_keys:
         return _bracketed(df, keys, value, probs, names, group_limit)
+    # One row per ``group_limit`` rows at most; a shuffled join would sort each large group in one task.
+    hot = F.broadcast(counts.filter(F.col("_n") > group_limit).drop("_n"))
     # NULL keys never match in these joins, so they stay with the direct way.
     small = df.join(hot, size_keys, "left_anti")
     return direct(small).unionByName(_bracketed(df.join(hot, size_keys, "left_semi"), keys, value, probs, names, group_limit))
@@ -54,7 +55,7 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: Sequence[float
     result = None
     for i, (p, name) in enumerate(zip(probs, names)):
         bounds = sketch.select(*keys, "_n", F.col(f"_b{i}")[0].alias("_lo"), F.col(f"_b{i}")[1].alias("_hi"))
-        marked = rows.join(bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))
+        marked = rows.join(F.broadcast(bounds), keys) if keys else rows.crossJoin(F.broadcast(bounds))
         marked = marked.filter(F.col(value) <= F.col("_hi"))
         # One entry per distinct value in the bracket; everything below collapses into one entry.
         slot = F.when(F.col(value) >= F.col("_lo"), F.col(value))

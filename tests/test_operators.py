@@ -449,3 +449,17 @@ def test_moments_by_keys_of_any_type(spark):
         x = np.array([f for day, price, level, f in rows if (day, price, level) == (r.day, r.price, r.level)])
         m = np.asarray(r.moments).reshape(4, 6)
         assert np.allclose(m[:, :4], x.T @ x) and np.allclose(m[:, 4], x.sum(0)) and (m[:, 5] == len(x)).all()
+
+
+def test_large_groups_are_not_sorted_for_their_quantiles(spark):
+    """The rows of a large group must not meet in one task: its bounds travel to them."""
+    df = spark.createDataFrame([(i % 3, float(i * 7 % 101)) for i in range(300)], "k int, v double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ag.group_median(df, ["k"], "v", group_limit=10)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+        got = dict(out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {k: statistics.median(float(i * 7 % 101) for i in range(300) if i % 3 == k) for k in range(3)}
