@@ -463,3 +463,18 @@ def test_large_groups_are_not_sorted_for_their_quantiles(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert got == {k: statistics.median(float(i * 7 % 101) for i in range(300) if i % 3 == k) for k in range(3)}
+
+
+def test_rank_operators_read_their_input_once(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame({"row_id": range(60), "k": [i % 2 for i in range(60)], "a": rng.integers(0, 9, 60) * 1.0, "b": rng.normal(size=60)})
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(x).write.parquet(path)
+    df = spark.read.parquet(path)
+    rho = st.spearman(df, ["k"])
+    assert not any(path in f for f in rho.inputFiles())
+    got = {r["k"]: (round(r["rho"], 9), r["n"]) for r in rho.collect()}
+    assert got == {k: (round(g["a"].rank().corr(g["b"].rank()), 9), len(g)) for k, g in x.groupby("k")}
+    scored = nm.inverse_normal_transform(ProfileFrame.from_wide(df, ["a", "b"]))
+    assert not any(path in f for f in scored.df.inputFiles())
+    assert scored.df.count() == 60
