@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phenospark.operators.relational import canonical_pairs, first_per_key, pairs_in_group, symmetrize
+from phenospark.operators.relational import canonical_pairs, class_pairs_in_group, first_per_key, pairs_in_group, symmetrize
 
 # Relation types that state a direct compound-gene mechanism.
 STRICT_COMPOUND_GENE = (
@@ -52,6 +52,8 @@ ULTRA_GENE_GENE = ("ppi", "PPI", "GENE_BINDING_GENE", "GENE_PTMOD_GENE")
 MODALITY_MODE = {"crispr": "inhibition", "orf": "activation"}
 
 EDGE_COLUMNS = ("compound", "target", "partner", "target_modality", "source")
+# Of an edge between classes: the edges it stands for, and the members of the classes at its ends.
+CLASS_COLUMNS = ("n_edges", "n_compounds", "n_partners")
 
 
 # ---- confidence tiers ------------------------------------------------------------------------
@@ -182,13 +184,32 @@ def bridged_compound_edges(cg: DataFrame, keys: Sequence[str] = ("target",), blo
                         F.lit("cc").alias("source"))
 
 
-def relation_graph(mode: str, pairs: DataFrame, genes: DataFrame, gene_pairs: DataFrame, known: DataFrame) -> DataFrame:
+def bridged_compound_classes(cg: DataFrame, keys: Sequence[str] = ("target",), block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """The edges of ``bridged_compound_edges`` between classes of compounds with the same targets, and who is in a class.
+
+    (edges with ``CLASS_COLUMNS``, whose ends are representatives; members (rep, id)). An edge of a representative with
+    itself stands for those between different members of its class.
+    """
+    links, members = class_pairs_in_group(cg, keys, "compound", block)
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"))
+    ends = (links.join(sizes.select(F.col("rep").alias("a"), F.col("_n").alias("n_compounds")), "a")
+            .join(sizes.select(F.col("rep").alias("b"), F.col("_n").alias("n_partners")), "b"))
+    n_edges = F.col("n_compounds") * (F.col("n_partners") - (F.col("a") == F.col("b")).cast("bigint"))
+    empty = F.lit(None).cast("string")
+    edges = ends.select(F.col("a").alias("compound"), empty.alias("target"), F.col("b").alias("partner"), empty.alias("target_modality"),
+                        F.lit("cc").alias("source"), n_edges.alias("n_edges"), "n_compounds", "n_partners")
+    return edges, members
+
+
+def relation_graph(mode: str, pairs: DataFrame, genes: DataFrame, gene_pairs: DataFrame, known: DataFrame, by_class: bool = False) -> DataFrame:
     """Edges of all three kinds in one schema, for the modes full, strict and ultra.
 
     ``pairs`` (compound, target, rel_type) and ``gene_pairs`` (target_a, target_b, rel_type) are filtered by the mode's
     types. Compounds are linked by ``known`` (compound, partner) in full mode, by a shared target in strict mode, by a
     shared target and action class in ultra mode, where a compound-gene edge also stands once per relation type.
+    ``by_class`` links classes of compounds with the same targets, whose edges carry ``CLASS_COLUMNS``.
     """
+    bridged = (lambda *a: bridged_compound_classes(*a)[0]) if by_class else bridged_compound_edges
     pairs = pairs.filter(F.col("target") != "")
     if mode == "full":
         ends = symmetrize(known.select("compound", "partner").filter("compound <> partner"), "compound", "partner")
@@ -197,12 +218,12 @@ def relation_graph(mode: str, pairs: DataFrame, genes: DataFrame, gene_pairs: Da
         return union_edges(compound_gene_edges(pairs, genes), cc, gene_gene_edges(gene_pairs, genes))
     if mode == "strict":
         kept = pairs.filter(F.col("rel_type").isin(*STRICT_COMPOUND_GENE))
-        return union_edges(compound_gene_edges(kept, genes), bridged_compound_edges(kept), gene_gene_edges(gene_pairs, genes, STRICT_GENE_GENE))
+        return union_edges(compound_gene_edges(kept, genes), bridged(kept), gene_gene_edges(gene_pairs, genes, STRICT_GENE_GENE))
     if mode == "ultra":
         kept = classify_actions(pairs.filter(F.col("rel_type").isin(*ULTRA_COMPOUND_GENE)))
         typed = kept.select("compound", "target", "rel_type").distinct()
         linked = typed.join(genes.select(F.col("symbol").alias("target"), F.col("gene_id").alias("partner"), F.col("modality").alias("target_modality")).distinct(), "target")
-        return union_edges(linked.withColumn("source", F.lit("cg")), bridged_compound_edges(kept, ["target", "action_class"]), gene_gene_edges(gene_pairs, genes, ULTRA_GENE_GENE))
+        return union_edges(linked.withColumn("source", F.lit("cg")), bridged(kept, ["target", "action_class"]), gene_gene_edges(gene_pairs, genes, ULTRA_GENE_GENE))
     raise ValueError(f"unknown mode {mode}")
 
 
@@ -214,12 +235,36 @@ def map_splits(splits: DataFrame, ids: DataFrame, key: str, split: str, id_key:
 
 
 def union_edges(*parts: DataFrame) -> DataFrame:
-    out = parts[0].select(*EDGE_COLUMNS)
+    """All edges in one schema; with an edge between classes among them, every other edge stands for itself."""
+    weighted = any("n_edges" in p.columns for p in parts)
+
+    def shaped(p):
+        if weighted and "n_edges" not in p.columns:
+            p = p.withColumns({c: F.lit(1).cast("bigint") for c in CLASS_COLUMNS})
+        return p.select(*EDGE_COLUMNS, *(CLASS_COLUMNS if weighted else ()))
+
+    out = shaped(parts[0])
     for p in parts[1:]:
-        out = out.unionByName(p.select(*EDGE_COLUMNS))
+        out = out.unionByName(shaped(p))
     return out
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """Per source: edges, different compounds and partners, edges with a target and with a target modality.
+
+    Edges between classes count as the edges they stand for. Both ends meet in one aggregation, which combines map-side.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    n, left, right = (F.col(c) if "n_edges" in edges.columns else one for c in CLASS_COLUMNS)
+    of = lambda c: F.when(F.col(c).isNotNull(), n).otherwise(none)
+    end = lambda side, c, size, *counts: F.struct(F.lit(side).alias("_left"), F.col(c).alias("_id"), size.alias("_size"), *[
+        x.alias(k) for k, x in zip(("n", "n_target", "n_modality"), counts)])
+    ends = edges.select("source", F.inline(F.array(end(True, "compound", left, n, of("target"), of("target_modality")), end(False, "partner", right, none, none, none))))
+    per = ends.groupBy("source", "_left", "_id").agg(F.max("_size").alias("_size"), *[F.sum(c).alias(c) for c in ("n", "n_target", "n_modality")])
+    known = lambda side: F.sum(F.when((F.col("_left") == side) & F.col("_id").isNotNull(), F.col("_size")).otherwise(none))
+    return per.groupBy("source").agg(F.sum("n").alias("n"), known(True).alias("n_left"), known(False).alias("n_right"), F.sum("n_target").alias("n_target"), F.sum("n_modality").alias("n_modality"))
+
+
 # ---- metadata build --------------------------------------------------------------------------
 
 def id_mapping(sources: Sequence[tuple[DataFrame, str]], registry: DataFrame, reg_key: str, id_col: str) -> DataFrame:

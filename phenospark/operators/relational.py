@@ -197,6 +197,29 @@ def pairs_in_group(df: DataFrame, keys: Sequence[str], id_col: str, block: int =
     return once.select(both).unionByName(wide.select("a", "b")).unionByName(mirrored)
 
 
+def class_pairs_in_group(df: DataFrame, keys: Sequence[str], id_col: str, block: int = 2048, widest: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``pairs_in_group`` between classes: (links (a, b), members (rep, id)).
+
+    Members of exactly the same groups have the same partners, so they are one class, named by its smallest member. A link
+    (a, b) stands for the pairs of each member of a's class with each of b's, a link (a, a) for those of different members
+    of one class; together they are the ordered pairs, each once. The work follows the rows and the pairs of classes, not
+    the pairs of members. A member of more than ``widest`` groups, or without an equal, is a class of its own.
+    """
+    from phenospark.session import materialize
+
+    keys = list(keys)
+    group = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    rows = materialize(df.select(*keys, F.col(id_col).alias("_m")).dropna().distinct(), "members")
+    reach = rows.groupBy("_m").agg(F.count(F.lit(1)).alias("_of"))
+    light = rows.join(reach.filter(F.col("_of") <= widest), "_m").groupBy("_m").agg(F.sort_array(F.collect_list(group)).alias("_in"))
+    named = light.join(light.groupBy("_in").agg(F.min("_m").alias("rep")), "_in").select("rep", F.col("_m").alias("id"))
+    alone = reach.filter(F.col("_of") > widest).select(F.col("_m").alias("rep"), F.col("_m").alias("id"))
+    members = materialize(named.unionByName(alone), "classes")
+    reps = rows.join(members.filter("rep = id").select(F.col("id").alias("_m")), "_m", "left_semi")
+    several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    return pairs_in_group(reps, keys, "_m", block, widest).unionByName(several), members
+
+
 # ---- sets ------------------------------------------------------------------------------------
 
 def symmetrize(df: DataFrame, a: str, b: str) -> DataFrame:

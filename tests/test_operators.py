@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phenospark.operators import aggregate as ag
 from phenospark.operators import batch as bt
+from phenospark.operators import curate as cu
 from phenospark.operators import evaluate as ev
 from phenospark.operators import linalg as la
 from phenospark.operators import masks as mk
@@ -115,6 +116,45 @@ def test_pairs_sharing_several_groups_come_once(spark):
             assert sorted(tuple(r) for r in rel.pairs_in_group(df, keys, "c", **kw).collect()) == want, (keys, kw)
 
 
+def shared_groups(seed, n=300):
+    """(group, kind, member) rows with repeats, NULLs, equal members, a member of all groups, and the pairs by brute force."""
+    rng = random.Random(seed)
+    rows = [(f"t{rng.randrange(8)}", rng.randrange(2), i % 90) for i in range(n)] + [(f"t{t}", k, 99) for t in range(8) for k in range(2)]
+    rows += [("t1", 1, i) for i in range(100, 130)] + [("t2", 0, i) for i in range(120, 140)] + [(None, 1, 3), ("t1", 1, None), ("lone", 0, 500)] + rows[:20]
+    groups = {}
+    for t, k, c in rows:
+        if t is not None and c is not None:
+            groups.setdefault((t, k), set()).add(c)
+    return rows, {(a, b) for g in groups.values() for a in g for b in g if a != b}
+
+
+def test_links_of_classes_stand_for_all_pairs(spark):
+    rows, want = shared_groups(3)
+    df = spark.createDataFrame(rows, "t string, k int, c int")
+    for kw in ({}, {"block": 4}, {"block": 4, "widest": 1}):
+        links, members = rel.class_pairs_in_group(df, ["t", "k"], "c", **kw)
+        of = {}
+        for rep, i in members.collect():
+            of.setdefault(rep, []).append(i)
+        got = [(x, y) for a, b in links.collect() for x in of[a] for y in of[b] if x != y]
+        assert len(got) == len(set(got)) and set(got) == want, kw
+    alike = spark.createDataFrame([(f"t{i % 3}", i) for i in range(60)], "t string, c int")
+    assert rel.class_pairs_in_group(alike, ["t"], "c")[0].count() == 3  # for 1,140 pairs
+
+
+def test_edge_counts_by_class_are_those_of_the_edges(spark):
+    rows, want = shared_groups(4)
+    cg = spark.createDataFrame([(str(c) if c is not None else None, t, str(k)) for t, k, c in rows], "compound string, target string, action_class string")
+    extra = spark.createDataFrame([("a", "x", "b", "orf", "gg"), (None, None, "b", None, "gg")], "compound string, target string, partner string, target_modality string, source string")
+    keys = ["target", "action_class"]
+    one = cu.union_edges(extra, cu.bridged_compound_edges(cg, keys))
+    classes = cu.union_edges(extra, cu.bridged_compound_classes(cg, keys)[0])
+    assert classes.count() < one.count()
+    got = {tuple(r) for r in cu.edge_counts(classes).collect()}
+    assert got == {tuple(r) for r in cu.edge_counts(one).collect()}
+    assert got == {("gg", 2, 1, 1, 1, 1), ("cc", len(want), len({a for a, _ in want}), len({b for _, b in want}), 0, 0)}
+
+
 # ---- selection and normalization -----------------------------------------------------------------
 
 def test_independent_set():
