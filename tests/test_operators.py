@@ -155,6 +155,17 @@ def test_edge_counts_by_class_are_those_of_the_edges(spark):
     assert got == {("gg", 2, 1, 1, 1, 1), ("cc", len(want), len({a for a, _ in want}), len({b for _, b in want}), 0, 0)}
 
 
+def test_coverage_by_class(spark):
+    rows, want = shared_groups(5)
+    links, members = rel.class_pairs_in_group(spark.createDataFrame(rows, "t string, k int, c int"), ["t", "k"], "c")
+    profiles = spark.createDataFrame([(i,) for i in range(0, 140, 3)] * 2, "c int")
+    pool = spark.createDataFrame([(i,) for i in range(0, 140, 2)], "c int")
+    pairs = spark.createDataFrame(sorted(want), "query int, ref int")
+    for p in (None, pool):
+        got = rt.coverage(links.toDF("query", "ref"), profiles, "c", p, members=members)
+        assert got.first() == rt.coverage(pairs, profiles, "c", p).first()
+
+
 # ---- selection and normalization -----------------------------------------------------------------
 
 def test_independent_set():
