@@ -121,9 +121,13 @@ def match_directions(ann: DataFrame, genes: DataFrame, target: str, mode: str, s
 
 
 def annotation_overlap(ann: DataFrame, ids: DataFrame, key: str, extra: DataFrame, extra_key: str, flag: str) -> DataFrame:
-    """Annotations of known ids, one row each, with a flag of presence in another list."""
+    """Annotations of known ids, one row each, with a flag of presence in another list.
+
+    The ids are distinct, so the inner join keeps the same rows as a semi-join. A semi-join would be moved below the
+    aggregates of ``ann``: its raw rows would meet the ids, and sort and all aggregates would share one task.
+    """
     marked = extra.select(extra_key).distinct().withColumn(flag, F.lit(True))
-    return (ann.dropDuplicates().join(ids.select(key).distinct(), key, "left_semi")
+    return (ann.dropDuplicates().join(ids.select(key).distinct(), key).select(*ann.columns)
             .join(marked, ann[key] == marked[extra_key] if key != extra_key else key, "left")
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 

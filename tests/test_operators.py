@@ -529,3 +529,15 @@ def test_rank_operators_read_their_input_once(spark, tmp_path):
     scored = nm.inverse_normal_transform(ProfileFrame.from_wide(df, ["a", "b"]))
     assert not any(path in f for f in scored.df.inputFiles())
     assert scored.df.count() == 60
+
+
+def test_annotations_are_grouped_before_they_meet_the_ids(spark, tmp_path):
+    """Below the aggregates the raw rows would be sorted by id, and one task would hold the sort and every aggregate."""
+    raw = spark.createDataFrame([("x", 1, 5), ("x", 1, 6), ("y", 2, 5), ("y", 2, 7), ("z", 3, 5), ("w", None, 1)], "target string, compound int, line int")
+    ann = raw.groupBy("target", "compound", "line").agg(F.count("*").alias("support")).select("target", "compound", "support")
+    ids, extra = (spark.createDataFrame([(i,) for i in rows], "compound int") for rows in ([1, 1, 2, None], [2, 3]))
+    ids.write.parquet(str(tmp_path / "ids"))  # small enough to be broadcast, by its files
+    out = cu.annotation_overlap(ann, spark.read.parquet(str(tmp_path / "ids")), "compound", extra, "compound", "listed")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan[plan.index("count(1)"):]
+    assert sorted((r.compound, r.target, r.support, r.listed) for r in out.collect()) == [(1, "x", 1, False), (2, "y", 1, True)]
