@@ -49,9 +49,7 @@ SITE_SQL = f"{PAIR_SQL}, sm AS (SELECT codec, feature, site, median(a) AS a, med
 
 
 def site_rows(t):
-    rows = pairs(t)
-    keys = ["codec", "feature", "site"]
-    return st.site_level(rows, keys, "a", "a").join(st.site_level(rows, keys, "b", "b"), keys)
+    return st.site_level(pairs(t), ["codec", "feature", "site"], "a", "b")
 
 
 @query("sta_03_site_level_correlation", f"WITH {SITE_SQL} SELECT codec, feature, round({CORR}, 6) AS r, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n FROM sm GROUP BY ALL")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phenospark.functions.scalar import correlation_p_value
-from phenospark.operators.aggregate import group_median
+from phenospark.operators.aggregate import group_median, group_medians
 from phenospark.operators.frame import finite_or_null
 from phenospark.operators.ordered import ranked_values, running_sums
 from phenospark.operators.relational import null_safe_join
@@ -66,9 +66,9 @@ def low_correlation_cause(r: Column, limit: float = 0.01) -> Column:
     return F.when(F.abs(r) < limit, cause)
 
 
-def site_level(cells: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Median per site and feature."""
-    return group_median(cells, keys, value, name)
+def site_level(cells: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """Medians per site and feature of the given columns, under their names; rows with a NULL key are left out."""
+    return group_medians(cells.dropna(subset=list(keys)), keys, values)
 
 
 def common_features(df: DataFrame, feature: str, variant: str, n_variants: int) -> DataFrame:
