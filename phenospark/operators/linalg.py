@@ -451,17 +451,38 @@ def apply_models(pf: ProfileFrame, models: DataFrame, key: str, names: Sequence[
         for b in batches:
             encoded = b.column(b.schema.get_field_index(key)).dictionary_encode(null_encoding="encode")
             labels, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False)
+            found = [shared.value.get(label) if label is not None else None for label in labels]
+            at_once = d * k <= SMALL_MODEL and b.num_rows < KEY_ROWS * len(labels)
+            small = np.array([at_once and m is not None and m[1].shape == (d, k) for m in found], bool)
+            if small.any():
+                rows = np.flatnonzero(small[codes])
+                whole = [m for m, s in zip(found, small) if s]
+                yield from _applied_by_row(b.take(pa.array(rows)), kept, d, k, (np.cumsum(small) - 1)[codes[rows]], whole, width_col)
             order = np.argsort(codes, kind="stable")
             edges = np.r_[0, np.flatnonzero(np.diff(codes[order])) + 1, len(codes)]
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if hi > lo:
-                    label = labels[codes[order[lo]]]
-                    model = shared.value.get(label) if label is not None else None
-                    yield from _answered(b.take(pa.array(order[lo:hi])), kept, d, k, model, missing, width_col)
+                if hi > lo and not small[codes[order[lo]]]:
+                    yield from _answered(b.take(pa.array(order[lo:hi])), kept, d, k, found[codes[order[lo]]], missing, width_col)
 
     return ProfileFrame(pf.df.mapInArrow(run, schema), tuple(names), pf.id_col)
 
 
+# Cells of a model up to which each row gets a copy of it, if keys have so few rows of a record batch: it then takes no step per key.
+SMALL_MODEL, KEY_ROWS, COPIED_CELLS = 256, 64, 1 << 20
+
+
+def _applied_by_row(rows: pa.RecordBatch, kept: Sequence[str], d: int, k: int, codes: np.ndarray, models: Sequence, width_col: str | None) -> Iterator[pa.RecordBatch]:
+    """Rows in their order, each times the model of its code."""
+    mean, matrix = (np.stack([m[i] for m in models]) for i in (0, 1))
+    step, width = max(1, COPIED_CELLS // (d * k)), [width_col] if width_col else []
+    for lo in range(0, len(codes), step):
+        part, code = rows.slice(lo, step), codes[lo:lo + step]
+        x = to_matrix(part.column(part.schema.get_field_index("features")), d) - mean[code]
+        out = to_list_array((x[:, None, :] @ matrix[code])[:, 0])
+        columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.full(len(part), k, np.int32)) for _ in width], out], names=[*kept, *width, "features"])
+
+
 def _applied_type(base: DataFrame, width_col: str | None) -> T.StructType:
     more = [T.StructField(width_col, T.IntegerType())] if width_col else []
     return T.StructType([*base.schema.fields, *more, T.StructField("features", T.ArrayType(T.DoubleType()))])

@@ -541,3 +541,34 @@ def test_annotations_are_grouped_before_they_meet_the_ids(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan[plan.index("count(1)"):]
     assert sorted((r.compound, r.target, r.support, r.listed) for r in out.collect()) == [(1, "x", 1, False), (2, "y", 1, True)]
+
+
+def test_site_medians_take_one_pass(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i % 2}", "f", None if i % 17 == 0 else i % 5, None if i % 7 == 0 else float(rng.integers(0, 20)), float(rng.normal())) for i in range(400)]
+    x = pd.DataFrame(rows, columns=["codec", "feature", "site", "a", "b"])
+    df = spark.createDataFrame(rows, "codec string, feature string, site int, a double, b double")
+    keys = ["codec", "feature", "site"]
+    want = {k: tuple(np.round(v, 9)) for k, v in zip(*(lambda g: (g.index, g[["a", "b"]].values))(x.dropna(subset=["site"]).groupby(keys).median()))}
+    out = st.site_level(df, keys, "a", "b")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for got in (out, ag.group_medians(df.dropna(subset=["site"]), keys, ["a", "b"], group_limit=10)):
+        assert {(r.codec, r.feature, r.site): (round(r.a, 9), round(r.b, 9)) for r in got.collect()} == want
+
+
+def test_many_small_models_take_no_step_per_key(spark):
+    """Rows of keys with a small model keep their order in the batch; the others follow, key by key."""
+    rng = np.random.default_rng(9)
+    x, mu, m = rng.normal(size=(300, 3)), rng.normal(size=(40, 3)), rng.normal(size=(40, 3, 3))
+    keys = [None if i % 50 == 7 else f"b{(i * 7) % 41}" for i in range(300)]  # b40 has no model
+    df = spark.createDataFrame([(i, k, v.tolist()) for i, (k, v) in enumerate(zip(keys, x))], "row_id int, batch string, features array<double>").coalesce(1)
+    models = spark.createDataFrame([(f"b{i}", mu[i].tolist(), m[i].ravel().tolist()) for i in range(40)], "batch string, mu array<double>, m array<double>")
+    pf = ProfileFrame(df, ("a", "b", "c"))
+    got = la.apply_models(pf, models, "batch", pf.names).df.collect()
+    known = [i for i, k in enumerate(keys) if k not in (None, "b40")]
+    assert [r.row_id for r in got][:len(known)] == known and sorted(r.row_id for r in got) == list(range(300))
+    for r in got:
+        j = None if keys[r.row_id] in (None, "b40") else int(keys[r.row_id][1:])
+        assert np.allclose(r.features, x[r.row_id] if j is None else (x[r.row_id] - mu[j]) @ m[j])
+    dropped = la.apply_models(pf, models, "batch", pf.names, "drop", width_col="w").df.collect()
+    assert sorted(r.row_id for r in dropped) == known and {r.w for r in dropped} == {3}
