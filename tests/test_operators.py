@@ -572,3 +572,20 @@ def test_many_small_models_take_no_step_per_key(spark):
         assert np.allclose(r.features, x[r.row_id] if j is None else (x[r.row_id] - mu[j]) @ m[j])
     dropped = la.apply_models(pf, models, "batch", pf.names, "drop", width_col="w").df.collect()
     assert sorted(r.row_id for r in dropped) == known and {r.w for r in dropped} == {3}
+
+
+def test_hits_are_not_looked_up_one_by_one(spark):
+    """Several labels of a row share its thresholds: their counts are found by order, missing ones are zero."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(20):
+        steps = np.sort(rng.choice(60, 30, replace=False))
+        hits = np.sort(rng.choice(60, 12, replace=False))
+        rows.append((i, [(int(s), int(rng.integers(1, 4))) for s in hits], [(int(s), int(rng.integers(0, 9))) for s in steps] if i else []))
+    df = spark.createDataFrame(rows, "id int, hits array<struct<step:bigint,n:bigint>>, above array<struct<step:bigint,above:bigint>>")
+    both = df.withColumn("both", ev._hits_behind_thresholds(F.col("hits"), F.col("above")))
+    got = {r.id: [tuple(x) for x in r.found] for r in both.select("id", ev._placed_hits(F.col("both")).alias("found")).collect()}
+    assert got == {i: [(n, dict(above).get(s, 0)) for s, n in hits] for i, hits, above in rows}
+    vectors = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"], rng.normal(size=3).tolist()) for i in range(8)], "row_id int, targets array<string>, features array<double>")
+    ap = ev.multilabel_precision(ProfileFrame(vectors, ("x", "y", "z")), "targets")
+    assert "map_from_entries" not in ap._jdf.queryExecution().optimizedPlan().toString()
