@@ -49,28 +49,39 @@ def close_pairs(blocks: DataFrame, bounds: dict[str, Callable[[str], Column]], m
     return pairs
 
 
-def with_partners(pairs: DataFrame, blocks: DataFrame, contents: list[str], n_blocks: int) -> DataFrame:
-    """(owner, other, contents of other) for every pair, the owner's own row first; a block owns about half its pairs.
+def owners_width(n_blocks: int) -> int:
+    """Neighbouring blocks that one owner holds; blocks travel once per owner, so their copies grow more slowly than pairs."""
+    return max(1, int((n_blocks / 16) ** 0.5))
 
-    A task streams its owners' partners past them, so a block is sent once per pair and a task holds two blocks.
+
+def with_partners(pairs: DataFrame, blocks: DataFrame, contents: list[str], n_blocks: int, width: int | None = None) -> DataFrame:
+    """(owner, other, mine, contents of other): blocks that the owner's blocks ``mine`` are paired with, its own blocks first.
+
+    An owner is a run of ``width`` neighbouring blocks and owns about half the pairs of its blocks with others. A task streams
+    partners past the owner's blocks, so a block is sent once per owner and a task holds the owner's blocks and one more.
     """
-    owned = pairs.select(F.when((F.col("a") + F.col("b")) % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("owner"), "a", "b")
-    owned = owned.select("owner", (F.col("a") + F.col("b") - F.col("owner")).alias("block"))
-    rows = owned.join(blocks.select("block", *contents), "block").select("owner", F.col("block").alias("other"), *contents)
-    return rows.repartition(max(1, 4 * n_blocks), "owner").sortWithinPartitions("owner", F.col("other") != F.col("owner"), "other")
+    width = width or owners_width(n_blocks)
+    run = lambda c: F.floor(F.col(c) / width)
+    of_a = (run("a") + run("b")) % 2 == 0  # blocks of one run: the later one comes to the earlier one
+    owned = pairs.select(F.when(of_a, run("a")).otherwise(run("b")).alias("owner"), F.when(of_a, F.col("a")).otherwise(F.col("b")).alias("mine"), "a", "b")
+    owned = owned.select("owner", "mine", (F.col("a") + F.col("b") - F.col("mine")).alias("block"))
+    owned = owned.groupBy("owner", "block").agg(F.sort_array(F.collect_set("mine")).alias("mine"))
+    rows = owned.join(blocks.select("block", *contents), "block").select("owner", F.col("block").alias("other"), "mine", *contents)
+    return rows.repartition(max(1, 4 * n_blocks), "owner").sortWithinPartitions("owner", F.floor(F.col("other") / width) != F.col("owner"), "other")
 
 
 def partners(batches, contents: list[str]):
     """(own contents, other's contents or None for the pair of a block with itself), as Arrow values."""
-    owner, own = None, None
+    owner, own = None, {}
     for batch in batches:
-        col = [batch.column(batch.schema.get_field_index(n)) for n in ("owner", "other", *contents)]
+        col = [batch.column(batch.schema.get_field_index(n)) for n in ("owner", "other", "mine", *contents)]
         for row in range(batch.num_rows):
-            now, other = col[0][row].as_py(), col[1][row].as_py()
-            got = [c[row].values for c in col[2:]]
-            if now == other:
-                owner, own = now, got
-                yield own, None
-            else:
-                assert now == owner, "a block comes before its partners"
-                yield own, got
+            now, other, mine = (c[row].as_py() for c in col[:3])
+            got = [c[row].values for c in col[3:]]
+            if now != owner:
+                owner, own = now, {}
+            if other in mine:  # every block is paired with itself, at its owner
+                own[other] = got
+            for block in mine:
+                assert block in own, "an owner's blocks come before their partners"
+                yield own[block], None if block == other else got

@@ -473,6 +473,11 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, budg
     Pairs are nominated by word fingerprints that differ in at most ``budget`` bits (with the sketch's estimate, less a
     margin of 0.04) and by equal bands of minimum shingles, which find contiguous edits as well as scattered ones.
     Only pairs whose counted similarity suffices are linked."""
+    with tx.small_batches(docs.sparkSession):
+        return _similar_texts(docs, width, similarity, budget, block)
+
+
+def _similar_texts(docs: DataFrame, width: int, similarity: float, budget: int, block: int) -> DataFrame:
     schema = "order_id long, rid long, fp long, sketch binary, digest long, bands array<long>"
     texts = tx.identified(docs)
     rows = tx.Stage(texts.mapInArrow(lambda it: _sketch_rows(it, width), schema), "sketches")

@@ -10,6 +10,7 @@ counters; where a contract needs equality, the text itself is compared later.
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """What runs inside sends Arrow batches of about ``size`` to Python instead of 64 MB, so large rows come a few at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 # ---- inside tasks -------------------------------------------------------------------------------------------------
 
 
