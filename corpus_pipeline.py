@@ -7,16 +7,31 @@ most the stage at hand.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phenospark.llm import decontaminate, packing, quality, simhash, suffix_dedup, texts as tx
 
 
+def _in_small_batches(stage):
+    """A stage's result is written by the caller, so the session keeps sending small Arrow batches after the stage returns."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(tx.BATCH_BYTES, tx.SMALL_BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.7 or more."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_in_small_batches
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest doc_id; of its repeated rows one."""
     found = simhash.similar_texts(docs).where(F.col("component_id") == F.col("order_id"))
@@ -32,16 +47,19 @@ def _one_of_equal(kept: DataFrame, columns: list[str]) -> DataFrame:
     return kept.groupBy("__order", "__rid").agg(F.min(whole).alias("row")).select(*(F.col("row")[c].alias(c) for c in columns))
 
 
+@_in_small_batches
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur elsewhere as well."""
     return suffix_dedup.strip_texts(docs)
 
 
+@_in_small_batches
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of 10 words of a benchmark item."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
     return packing.pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -71,19 +71,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_BATCH = "8m"
+
+
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m"):
+def small_batches(spark: SparkSession, size: str = SMALL_BATCH):
     """What runs inside sends Arrow batches of about ``size`` to Python instead of 64 MB, so large rows come a few at a time."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, size)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(name)
+            spark.conf.unset(BATCH_BYTES)
         else:
-            spark.conf.set(name, before)
+            spark.conf.set(BATCH_BYTES, before)
 
 
 # ---- inside tasks -------------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from phenospark.llm import intervals, texts as tx
 
 
@@ -35,3 +36,17 @@ def test_batches_of_large_rows_are_small(spark):
     with tx.small_batches(spark, "1m"):
         assert count().agg(F.max("n")).first()[0] <= 12
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cp.STAGES], ids=[n for n, _ in cp.STAGES])
+def test_stages_leave_small_batches_for_their_result(spark, stage, monkeypatch):
+    """The result of a stage is written after it returns."""
+    for module, name in ((cp.quality, "keep_good"), (cp.simhash, "similar_texts"), (cp.suffix_dedup, "strip_texts"), (cp.decontaminate, "remove_contaminated"), (cp.packing, "pack")):
+        monkeypatch.setattr(module, name, lambda *a: 1 / 0)
+    before = spark.conf.get(tx.BATCH_BYTES)
+    try:
+        with pytest.raises(ZeroDivisionError):
+            stage(spark, spark.range(1), "/root/testdata/sf0.001")
+        assert spark.conf.get(tx.BATCH_BYTES) == tx.SMALL_BATCH
+    finally:
+        spark.conf.set(tx.BATCH_BYTES, before)
