@@ -77,51 +77,23 @@ def average_precision(pf: ProfileFrame, positive: PairRule, negative: PairRule,
     df = materialize(_prepared(pf, metric).withColumn("_rid", F.monotonically_increasing_id()), "pairs")
     queries = df.filter(query) if query is not None else df
     pos_refs, neg_refs = (df.filter(r.where) if r.where is not None else df for r in (positive, negative))
-    few, rest = _by_smaller_side(queries, positive, pos_refs, negative, neg_refs)
+    sized = pr.partner_counts(queries, pos_refs, positive.same, "_np")
+    sized = pr.partner_counts(sized, neg_refs, negative.same, "_nn").filter("_np > 0")
+    sized = materialize(sized, "queries")
+    few_pos = F.col("_np") <= F.col("_nn")
+    n_few_pos, n_rest = sized.agg(F.count_if(few_pos), F.count_if(~few_pos)).first()
     parts = []
-    if few is not None:
+    if n_few_pos or not n_rest:
         # Queries carry their place among the negatives, so their steps go there at once.
-        asking = pr.side(few, rid, positive.same, positive.differ, carry=pr.place(rid, negative.same, negative.differ))
+        asking = pr.side(sized.filter(few_pos), rid, positive.same, positive.differ, carry=pr.place(rid, negative.same, negative.differ))
         hist = pr.similarity_histogram(asking, pr.side(pos_refs, rid, positive.same, positive.differ), pf.width, metric, resolution, block)
         parts.append(rank_placed_hits(hist, rid, negative, neg_refs, pf.width, metric, resolution, block))
-    if rest is not None:
-        parts.append(rank_misses(rest, rid, positive, pos_refs, negative, neg_refs, pf.width, metric, resolution, block))
+    if n_rest:
+        parts.append(rank_misses(sized.filter(~few_pos), rid, positive, pos_refs, negative, neg_refs, pf.width, metric, resolution, block))
     ap = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return queries.select(rid, *keep).join(ap.withColumnRenamed("_id", rid), rid).drop(rid)
 
 
-# Queries with so few positives are not asked whether their negatives are fewer.
-FEW_POSITIVES = 64
-
-
-def _by_smaller_side(queries: DataFrame, positive: PairRule, pos_refs: DataFrame, negative: PairRule, neg_refs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Queries whose positives are the smaller side, and those whose negatives are; one of them at least is given.
-
-    Only queries with many positives are counted and written again.
-    """
-    if not positive.same:
-        sized = pr.partner_counts(queries, pos_refs, positive.same, "_np")
-        small = None
-    else:
-        keys = {k: f"_key_{k}" for k in positive.same}
-        many = pos_refs.groupBy(*[F.col(k).alias(n) for k, n in keys.items()]).agg(F.count(F.lit(1)).alias("_np")).filter(F.col("_np") > FEW_POSITIVES)
-        many = materialize(many.dropna(subset=list(keys.values())), "many")
-        n_many = many.count()
-        if not n_many:
-            return queries, None
-        many = F.broadcast(many) if n_many <= pr.CUT_KEYS else many
-        cond = [queries[k] == many[n] for k, n in keys.items()]
-        sized = queries.join(many, cond).drop(*keys.values())
-        small = queries.join(many, cond, "left_anti")
-    sized = materialize(pr.partner_counts(sized, neg_refs, negative.same, "_nn").filter("_np > 0"), "queries")
-    few_pos = F.col("_np") <= F.col("_nn")
-    n_few_pos, n_rest = sized.agg(F.count_if(few_pos), F.count_if(~few_pos)).first()
-    few = sized.filter(few_pos).drop("_np", "_nn") if n_few_pos or not n_rest else None
-    if small is not None and not small.isEmpty():
-        few = small if few is None else small.unionByName(few)
-    return few, sized.filter(~few_pos) if n_rest else None
-
-
 def rank_placed_hits(hist: DataFrame, rid: str, negative: PairRule, refs: DataFrame, width: int, metric: str, resolution: float, block: int) -> DataFrame:
     """AP per ``_id`` of the histogram, whose queries carry their place among the negatives: their steps go there as thresholds,
     and the sizes of their hits are carried on."""

@@ -46,10 +46,8 @@ def brute(data, positive, negative):
 
 
 @pytest.mark.parametrize("block", [4, 1024])
-@pytest.mark.parametrize("few", [0, 5, 64])
-def test_precision_with_carried_places(table, data, block, few, monkeypatch):
-    """Queries without a plate have no negatives and stay; ties of the choice of side do not matter."""
-    monkeypatch.setattr(ev, "FEW_POSITIVES", few)
+def test_precision_with_carried_places(table, data, block):
+    """Queries without a plate have no negatives and stay."""
     pf = ProfileFrame(table, tuple("abcd"))
     ap = ev.average_precision(pf, ev.PairRule(("compound",)), ev.PairRule(("plate",), ("compound",)), metric="cosine", block=block)
     got = {r.row_id: (r.n_pos_pairs, r.n_total_pairs, round(r.average_precision, 6)) for r in ap.collect()}
